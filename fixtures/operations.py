@@ -24,7 +24,7 @@ AGENCY_SQL = S.scorecard(
 
 @query("agency_scorecard", with_(S.ENRICHED, AGENCY_SQL))
 def agency_scorecard(spark, sf):
-    return rounded(scorecards.agency_scorecard(V.enriched(spark, sf)), *DAYS)
+    return rounded(scorecards.agency_scorecard(V.enriched(spark, sf, outcomes=True)), *DAYS)
 
 
 TYPE_SQL = S.scorecard(
@@ -35,7 +35,7 @@ TYPE_SQL = S.scorecard(
 
 @query("type_scorecard", with_(S.ENRICHED, TYPE_SQL))
 def type_scorecard(spark, sf):
-    return rounded(scorecards.type_scorecard(V.enriched(spark, sf)), *DAYS)
+    return rounded(scorecards.type_scorecard(V.enriched(spark, sf, outcomes=True)), *DAYS)
 
 
 BOARD = ["community_board", "community_board_borough", "community_board_code"]

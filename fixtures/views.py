@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reqlens.contracts import Scope
 from reqlens.operators import frames, taxonomy
-from reqlens.rules import MismatchRule, SubtypeRule
+from reqlens.rules import OUTCOME_RULES, MismatchRule, SubtypeRule
 from reqlens.session import prepare
 
 SCOPE = Scope(start="1996-01-01", base_year=2000, partial_year=2001)
@@ -124,16 +124,17 @@ def analytic(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
     return frames.build_analytic(raw_requests(spark, sf_dir, text), SCOPE)
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Analytic rows with every text label, added in place."""
+def labelled(spark: SparkSession, sf_dir: str, outcomes: bool = True) -> DataFrame:
+    """Analytic rows with their text labels, added in place; closure outcomes on request."""
     raw = raw_requests(spark, sf_dir, text=True)
     base = frames.add_lifecycle(frames.in_scope(
         frames.clean_requests(raw.withColumn("city", F.col("resolution_description"))), SCOPE))
-    return taxonomy.label_requests(base.withColumn("resolution_description", F.col("city")), RULES, MISMATCHES)
+    return taxonomy.label_requests(base.withColumn("resolution_description", F.col("city")), RULES, MISMATCHES,
+                                   OUTCOME_RULES if outcomes else None)
 
 
-def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.enrich_inline(labelled(spark, sf_dir))
+def enriched(spark: SparkSession, sf_dir: str, outcomes: bool = False) -> DataFrame:
+    return frames.enrich_inline(labelled(spark, sf_dir, outcomes))
 
 
 AREA_SQL = """
@@ -148,7 +149,8 @@ SELECT zcta, 'area ' || zcta AS zcta_name,
   n % 10 = 9 AS acs_missing_flag
 FROM (
   SELECT c_custkey % 200 AS n, CAST(10000 + c_custkey % 200 AS {text}) AS zcta,
-         count(*) AS residents, round(avg(c_acctbal), 2) AS income
+         count(*) AS residents,
+         CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS income
   FROM {customer} GROUP BY c_custkey % 200
 )
 """

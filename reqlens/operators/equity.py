@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -19,6 +18,7 @@ from reqlens.operators.joins import attach
 from reqlens.operators.order_statistics import smallest_keys
 from reqlens.operators.sampling import uniform_sample
 from reqlens.operators.scorecards import EQUITY_COUNTS, against_benchmark, group_summary, with_descriptors
+from reqlens.session import cut_lineage
 
 PARTS = 5
 
@@ -78,12 +78,11 @@ def _label(number: Column, word: str) -> Column:
     return F.get(F.array(*[F.lit(label) for label in quintile_labels(word)]), number - 1)
 
 
-def request_quintiles(df: DataFrame, quintiles: Mapping[str, tuple[str, str]] = QUINTILES,
-                      key: str = "unique_key") -> DataFrame:
-    """Quintile of every request, volume-weighted: an area may straddle a boundary.
+def quintile_table(df: DataFrame, quintiles: Mapping[str, tuple[str, str]] = QUINTILES,
+                   key: str = "unique_key") -> DataFrame:
+    """Per area and measure: the quintile of its first request, and the keys after which it rises.
 
-    At most four areas per measure hold a boundary. For those the exact key at the boundary is
-    found; then the quintile of a request is a comparison with the boundaries of its area.
+    At most four areas per measure hold a boundary, so almost every list of keys is empty.
     """
     ranges = _area_positions(df, quintiles)
     boundaries = ranges.select(
@@ -96,19 +95,30 @@ def request_quintiles(df: DataFrame, quintiles: Mapping[str, tuple[str, str]] =
         F.collect_list("cut").alias("cuts"))
     first = sum((F.when(_last_rank(part) <= F.col("start"), 1).otherwise(0) for part in range(1, PARTS)), F.lit(1))
     table = ranges.select("zcta", "quintile", first.alias("first")).join(cuts, ["zcta", "quintile"], "left")
-    wide = table.groupBy("zcta").agg(*[
+    return table.groupBy("zcta").agg(*[
         F.max(F.when(F.col("quintile") == name, F.struct("first", "cuts"))).alias(f"_{name}") for name in quintiles])
+
+
+def label_quintiles(rows: DataFrame, table: DataFrame, quintiles: Mapping[str, tuple[str, str]] = QUINTILES,
+                    key: str = "unique_key") -> DataFrame:
+    """Quintile of each row: a comparison of its key with the boundaries of its area."""
     number_of_key = F.col(key).try_cast("bigint")
 
     def number(name: str) -> Column:
         passed = F.filter(F.col(f"_{name}.cuts"), lambda cut: number_of_key > cut)
         return F.col(f"_{name}.first") + F.coalesce(F.nullif(F.size(passed), F.lit(-1)), F.lit(0))
 
-    return df.join(wide, "zcta", "left").withColumns({
+    return rows.join(table, "zcta", "left").withColumns({
         name: _label(number(name).cast("int"), word) for name, (_, word) in quintiles.items()
     }).drop(*[f"_{name}" for name in quintiles])
 
 
+def request_quintiles(df: DataFrame, quintiles: Mapping[str, tuple[str, str]] = QUINTILES,
+                      key: str = "unique_key") -> DataFrame:
+    """Quintile of every request, volume-weighted: an area may straddle a boundary."""
+    return label_quintiles(df, quintile_table(df, quintiles, key), quintiles, key)
+
+
 def area_attributes(df: DataFrame, demographics: DataFrame) -> DataFrame:
     """Demographics and quintiles, one row per area."""
     return demographics.select("zcta", *DEMOGRAPHIC_COLUMNS).join(area_quintiles(df), "zcta", "left")
@@ -172,40 +182,46 @@ def _encode(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str
     encoder = OneHotEncoder(inputCols=[f"_i_{f}" for f in features], outputCols=[f"_v_{f}" for f in features],
                             dropLast=True)
     assembler = VectorAssembler(inputCols=[f"_v_{f}" for f in features], outputCol="features")
-    encoded = Pipeline(stages=[encoder, assembler]).fit(indexer.transform(df)).transform(indexer.transform(df))
+    indexed = indexer.transform(df)
+    encoded = assembler.transform(encoder.fit(indexed).transform(indexed)).select("features", "label").persist()
     names = [f"{feature}_{level}" for feature, levels in zip(features, indexer.labelsArray) for level in levels[:-1]]
     return encoded, names
 
 
 def adjusted_models(df: DataFrame, sample_size: int | None = 250_000, seed: int = 42) -> DataFrame:
-    """Demographic coefficients of a duration and a backlog model, controlling for the mix."""
+    """Demographic coefficients of a duration and a backlog model, controlling for the mix.
+
+    Rows are sampled before they get their quintiles; the small fitting tables are written
+    once, because the solvers read them again in every iteration.
+    """
     spark = df.sparkSession
     demographic = list(QUINTILES)
     features = [*demographic, *CONTROL_FEATURES]
-    usable = request_quintiles(matched_areas(df)).select(
-        "unique_key", *[F.col(name).cast("string").alias(name) for name in features],
-        "resolved_with_valid_date", "resolution_days", "unresolved_flag").dropna(subset=features)
-    resolved = usable.where("resolved_with_valid_date").dropna(subset=["resolution_days"])
-    if sample_size:
-        resolved = uniform_sample(resolved, sample_size, seed=seed)
-        usable = uniform_sample(usable, sample_size, seed=seed)
-    rows: list[tuple] = []
+    sources = [source for source, _ in QUINTILES.values()]
+    table = cut_lineage(quintile_table(df))
+    columns = ["unique_key", "zcta", *CONTROL_FEATURES, "resolved_with_valid_date", "resolution_days", "unresolved_flag"]
+    usable = matched_areas(df).dropna(subset=[*sources, *CONTROL_FEATURES]).select(*columns)
+
+    def fitting_rows(rows: DataFrame, label: Column) -> DataFrame:
+        sampled = uniform_sample(rows, sample_size, seed=seed) if sample_size else rows
+        labelled = label_quintiles(sampled, table).dropna(subset=features)
+        return cut_lineage(labelled.select(*[F.col(name).cast("string").alias(name) for name in features],
+                                           label.cast("double").alias("label")))
 
-    duration = resolved.withColumn("label", F.log1p("resolution_days")).persist()
+    rows: list[tuple] = []
+    resolved = usable.where(F.col("resolved_with_valid_date") & F.col("resolution_days").isNotNull())
+    duration = fitting_rows(resolved, F.log1p("resolution_days"))
     encoded, names = _encode(duration, features)
-    count = duration.count()
-    linear = LinearRegression(regParam=0.0, standardization=True, solver="auto").fit(encoded)
+    linear = LinearRegression(regParam=0.0, solver="auto").fit(encoded)
     rows += _coefficient_rows("log_resolution_days", names, linear.coefficients, demographic, "r2",
-                              linear.summary.r2, count)
-    duration.unpersist()
+                              linear.summary.r2, duration.count())
 
-    backlog = usable.withColumn("label", F.col("unresolved_flag").cast("double")).persist()
+    backlog = fitting_rows(usable, F.col("unresolved_flag"))
     encoded, names = _encode(backlog, features)
     count = backlog.count()
     logistic = LogisticRegression(maxIter=1000, regParam=1.0 / count, standardization=False, family="binomial").fit(encoded)
     auc = BinaryClassificationEvaluator(numBins=0).evaluate(logistic.transform(encoded))
     rows += _coefficient_rows("unresolved_log_odds", names, logistic.coefficients, demographic, "roc_auc", auc, count)
-    backlog.unpersist()
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 

@@ -15,6 +15,7 @@ from reqlens.functions.measures import first_mode, rank_in
 from reqlens.operators.order_statistics import summarize, tally
 from reqlens.operators.ranking import count_by, first_per_group
 from reqlens.operators.sampling import stratified_sample
+from reqlens.session import cut_lineage
 
 OTHER, INFREQUENT = "other", "infrequent"
 PREDICTED = "predicted_resolution_bucket"
@@ -36,9 +37,12 @@ def model_frame(enriched: DataFrame, scope: Scope = DEFAULT_SCOPE) -> DataFrame:
 
 def split_by_year(frame: DataFrame, scope: Scope = DEFAULT_SCOPE, train_size: int = 350_000,
                   test_size: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """Out-of-time split: fit on the base year, test on the partial year."""
-    train = stratified_sample(frame.where(F.col("created_year") == scope.base_year), train_size)
-    test = stratified_sample(frame.where(F.col("created_year") == scope.partial_year), test_size)
+    """Out-of-time split: fit on the base year, test on the partial year.
+
+    Both samples are of bounded size and read by every model, so they are written once.
+    """
+    train = cut_lineage(stratified_sample(frame.where(F.col("created_year") == scope.base_year), train_size))
+    test = cut_lineage(stratified_sample(frame.where(F.col("created_year") == scope.partial_year), test_size))
     if train.limit(1).count() == 0 or test.limit(1).count() == 0:
         raise ValueError("The training or the test year has no rows.")
     return train, test
@@ -129,8 +133,8 @@ def _one_hot(train: DataFrame, test: DataFrame, features: Sequence[str], min_cou
     known = {row["feature"]: row["levels"] + ([INFREQUENT] if row["rare"] else []) for row in listed.collect()}
     labels = [known[feature] or [INFREQUENT] for feature in features]
     inputs = [f"_g_{f}" for f in features]
-    indexer = StringIndexerModel.from_arrays_of_labels(
-        labels, inputCols=inputs, outputCols=[f"_i_{f}" for f in features], handleInvalid="keep")
+    indexers = [StringIndexerModel.from_labels(known_levels, inputCol=f"_g_{f}", outputCol=f"_i_{f}", handleInvalid="keep")
+                for f, known_levels in zip(features, labels)]
     encoder = OneHotEncoder(inputCols=[f"_i_{f}" for f in features], outputCols=[f"_v_{f}" for f in features],
                             dropLast=True, handleInvalid="error")
     assembler = VectorAssembler(inputCols=[f"_v_{f}" for f in features], outputCol="features")
@@ -138,7 +142,8 @@ def _one_hot(train: DataFrame, test: DataFrame, features: Sequence[str], min_cou
     def grouped(df: DataFrame) -> DataFrame:
         copies = df.withColumns({f"_g_{f}": F.col(f) for f in features})
         seen = train.withColumns({f"_g_{f}": F.col(f) for f in features})
-        return indexer.transform(group_rare_levels(copies, seen, inputs, min_count))
+        return reduce(lambda frame, indexer: indexer.transform(frame), indexers,
+                      group_rare_levels(copies, seen, inputs, min_count))
 
     train_indexed, test_indexed = grouped(train), grouped(test)
     fitted = encoder.fit(train_indexed)

@@ -103,7 +103,7 @@ def classify_outcomes(df: DataFrame, text: str = "resolution_description", eligi
     eligible = F.lit(True) if eligible is None else eligible
     df = df.withColumn("_text", F.when(eligible, F.coalesce(normalize_text(text), F.lit(""))))
     number = first_match([(F.col("_text").rlike(rule.pattern), i) for i, rule in enumerate(rules, start=1)])
-    df = df.withColumn("_rule", number)
+    df = df.withColumn("_rule", F.explode(F.array(number)))
 
     def pick(field: str, other: str) -> Column:
         found = F.get(F.array(*[F.lit(getattr(rule, field)) for rule in rules]), F.col("_rule") - 1)
@@ -138,9 +138,14 @@ def attach_outcomes(df: DataFrame, closure_texts: DataFrame, rules: Sequence[Out
 
 def label_requests(df: DataFrame, rules: Mapping[str, Sequence[SubtypeRule]] = SUBTYPE_RULES,
                    mismatches: Sequence[MismatchRule] = MISMATCH_RULES,
-                   outcomes: Sequence[OutcomeRule] = OUTCOME_RULES) -> DataFrame:
-    """All labels of rows that carry their closure text: one narrow projection, no join."""
+                   outcomes: Sequence[OutcomeRule] | None = OUTCOME_RULES) -> DataFrame:
+    """All labels of rows that carry their closure text: narrow projections, no join.
+
+    ``outcomes=None`` leaves the closure texts unread.
+    """
     labelled = flag_label_mismatches(assign_subtypes(add_normalized_text(clean_taxonomy_input(df)), rules), mismatches)
+    if outcomes is None:
+        return labelled
     return fill_missing_outcomes(classify_outcomes(labelled, eligible=has_closure_text(list(rules)), rules=outcomes))
 
 

@@ -160,7 +160,6 @@ def forecast_stage(enriched: DataFrame, scope: Scope = DEFAULT_SCOPE, train_size
                    min_count: int = 100, min_leaf: int = 200) -> Tables:
     """Baseline, logistic and tree models for both feature sets, with their evaluation."""
     train, test = forecast.split_by_year(forecast.model_frame(enriched, scope), scope, train_size, test_size)
-    train, test = train.persist(), test.persist()
     classes, rows = forecast.train_classes(train), train.count()
     baseline = forecast.majority_predictions(train, test)
     metrics = [forecast.classification_report(baseline, classes, MODEL_ORDER[0], "shared", rows)]

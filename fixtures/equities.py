@@ -19,10 +19,9 @@ ATTRIBUTES = ["population", "median_household_income", "poverty_share", "renter_
 ATTR = ", ".join(f"a.{c}" for c in ATTRIBUTES)
 
 
-def _frame(spark, sf, labels: bool = True):
-    base = V.enriched(spark, sf) if labels else frames.apply_defaults(V.analytic(spark, sf))
+def _frame(spark, sf):
     demographics = V.area_demographics(spark, sf)
-    return equity.equity_frame(base, demographics), demographics
+    return equity.equity_frame(V.enriched(spark, sf), demographics), demographics
 
 
 QUINTILE_JOINS = " ".join(f"LEFT JOIN {q}_rows USING (unique_key)" for q in QUINTILE_COLUMNS)
@@ -30,13 +29,13 @@ QUINTILE_JOINS = " ".join(f"LEFT JOIN {q}_rows USING (unique_key)" for q in QUIN
 
 @query("quintiles", with_(S.EQUITY, f"SELECT equity.unique_key, equity.zcta, {', '.join(QUINTILE_COLUMNS)} FROM equity {QUINTILE_JOINS}"))
 def quintiles(spark, sf):
-    frame, _ = _frame(spark, sf, labels=False)
+    frame, _ = _frame(spark, sf)
     return equity.request_quintiles(frame).select("unique_key", "zcta", *QUINTILE_COLUMNS)
 
 
 @query("area_quintiles", with_(S.EQUITY, f"SELECT zcta, {', '.join(QUINTILE_COLUMNS)} FROM attributes WHERE income_quintile IS NOT NULL"))
 def area_quintiles(spark, sf):
-    frame, _ = _frame(spark, sf, labels=False)
+    frame, _ = _frame(spark, sf)
     return equity.area_quintiles(frame)
 
 
@@ -135,26 +134,26 @@ def poverty_monthly(spark, sf):
 @query("minmax_scale", with_(AREA_CTE + ", b AS (SELECT min(complaints) AS lo, max(complaints) AS hi FROM area_table)",
                              "SELECT zcta, round(40 + (complaints - lo) / CAST(hi - lo AS DOUBLE) * 360, 6) AS marker FROM area_table, b"))
 def minmax_scale(spark, sf):
-    frame, _ = _frame(spark, sf, labels=False)
+    frame, _ = _frame(spark, sf)
     counts = ranking.count_by(filters.matched_areas(frame), "zcta")
     return rounded(ranking.minmax_scale(counts, "complaints", "marker", 40, 400).select("zcta", "marker"), "marker")
 
 
 @query("matched_areas", with_(S.EQUITY, "SELECT unique_key, zcta FROM matched"))
 def matched_areas(spark, sf):
-    frame, _ = _frame(spark, sf, labels=False)
+    frame, _ = _frame(spark, sf)
     return filters.matched_areas(frame).select("unique_key", "zcta")
 
 
 @query("equity_models")
 def equity_models(spark, sf):
-    frame, _ = _frame(spark, sf, labels=False)
+    frame, _ = _frame(spark, sf)
     return rounded(equity.adjusted_models(frame), "coefficient", "metric_value")
 
 
 @query("ranked_coefficients")
 def ranked_coefficients(spark, sf):
-    frame, _ = _frame(spark, sf, labels=False)
+    frame, _ = _frame(spark, sf)
     return rounded(equity.ranked_coefficients(equity.adjusted_models(frame), "log_resolution_days", 8), "coefficient", "abs_coefficient")
 
 

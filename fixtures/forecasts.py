@@ -188,8 +188,12 @@ def stratified_sample(spark, sf):
     return sampling.stratified_sample(frame, 1000).select("unique_key", "resolution_bucket")
 
 
+def _fitting_split(spark, sf):
+    return forecast.split_by_year(_frame(spark, sf), V.SCOPE)
+
+
 def _logistic(spark, sf, feature_set: str):
-    train, test = forecast.split_by_year(_frame(spark, sf), V.SCOPE)
+    train, test = _fitting_split(spark, sf)
     return forecast.logistic_forecast(train, test, FEATURE_SETS[feature_set], feature_set, min_count=20)
 
 
@@ -207,16 +211,18 @@ def feature_importance(spark, sf):
 
 @query("tree_forecast")
 def tree_forecast(spark, sf):
-    train, test = forecast.split_by_year(_frame(spark, sf), V.SCOPE)
+    train, test = _fitting_split(spark, sf)
     return forecast.tree_forecast(train, test, FEATURE_SETS["post_routing"], "post_routing", rounds=10, depth=4, min_leaf=20,
                                   limits={"descriptor": 40, "incident_zip_clean": 40})
 
 
 @query("model_comparison")
 def model_comparison(spark, sf):
-    """Scores of the baseline and both logistic models, best model first per feature set."""
-    train, test = _split(spark, sf)
-    rows = _with_train_rows(train)
-    reports = [forecast.classification_report(forecast.majority_predictions(train, test), BUCKET_ORDER, "most_frequent_baseline", name, rows) for name in FEATURE_SETS]
-    reports += [forecast.classification_report(_logistic(spark, sf, name)[0], BUCKET_ORDER, "multinomial_logistic", name, rows) for name in FEATURE_SETS]
+    """Scores of the baseline and the logistic model for each feature set."""
+    train, test = _fitting_split(spark, sf)
+    rows, reports = _with_train_rows(train), []
+    for name, features in FEATURE_SETS.items():
+        logistic, _ = forecast.logistic_forecast(train, test, features, name, min_count=20)
+        for model, frame in (("most_frequent_baseline", forecast.majority_predictions(train, test)), ("multinomial_logistic", logistic)):
+            reports.append(forecast.classification_report(frame, BUCKET_ORDER, model, name, rows))
     return rounded(forecast.model_comparison(forecast.union_all(reports)), "accuracy", "macro_f1", "weighted_f1", digits=4)

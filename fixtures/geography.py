@@ -8,7 +8,7 @@ from fixtures import sql as S
 from fixtures import views as V
 from fixtures.registry import DAYS, query, rounded
 from fixtures.sql import BASE, PARTIAL, with_
-from reqlens.operators import frames, geography, ranking, sampling, summaries
+from reqlens.operators import geography, ranking, sampling, summaries
 
 AREA_METRICS_SQL = f"""SELECT a.*, coalesce(m.complaints, 0) AS complaints, coalesce(m.unresolved_complaints, 0) AS unresolved_complaints,
   coalesce(m.geocoded_complaints, 0) AS geocoded_complaints, m.median_resolution_days, m.p90_resolution_days, m.unresolved_share, m.geocoded_share,
@@ -26,8 +26,7 @@ AREA_CTES = S.ENRICHED + "," + S.AREAS
 
 
 def _located(spark, sf):
-    """Analytic rows with place fields; no text labels needed."""
-    return frames.apply_defaults(V.analytic(spark, sf))
+    return V.enriched(spark, sf)
 
 
 def _areas(spark, sf):

@@ -31,7 +31,7 @@ SUBTYPE_COLUMNS = ["unique_key", "text_clean", "issue_family", "subtype_modeled_
 
 @query("rule_subtypes", with_(S.LABELLED, f"SELECT {', '.join(SUBTYPE_COLUMNS)} FROM labelled"))
 def rule_subtypes(spark, sf):
-    return V.labelled(spark, sf, outcomes=False).select(*SUBTYPE_COLUMNS)
+    return V.labelled(spark, sf).select(*SUBTYPE_COLUMNS)
 
 
 MISMATCH_COLUMNS = ["unique_key", "potential_label_mismatch_flag", "mismatch_suspected_family", "mismatch_match_text"]
@@ -39,7 +39,7 @@ MISMATCH_COLUMNS = ["unique_key", "potential_label_mismatch_flag", "mismatch_sus
 
 @query("label_mismatch", with_(S.LABELLED, f"SELECT {', '.join(MISMATCH_COLUMNS)} FROM labelled"))
 def label_mismatch(spark, sf):
-    return V.labelled(spark, sf, outcomes=False).select(*MISMATCH_COLUMNS)
+    return V.labelled(spark, sf).select(*MISMATCH_COLUMNS)
 
 
 OUTCOME_COLUMNS = ["unique_key", "resolution_has_text", "resolution_outcome_group", "resolution_outcome_confidence", "resolution_text_length"]
@@ -111,14 +111,14 @@ def document_outcomes(spark, sf):
     round(avg(CAST(details_norm IS NOT NULL AS INT)), 6) AS details_rate, round(avg(CAST(resolved_with_valid_date AS INT)), 6) AS resolution_rate,
     complaint_type IN ({', '.join(quote(f) for f in V.RULES)}) AS modeled FROM labelled GROUP BY 1"""))
 def text_coverage(spark, sf):
-    return rounded(taxonomy.text_coverage(V.labelled(spark, sf, outcomes=False), list(V.RULES)), "descriptor_rate", "details_rate", "resolution_rate")
+    return rounded(taxonomy.text_coverage(V.enriched(spark, sf), list(V.RULES)), "descriptor_rate", "details_rate", "resolution_rate")
 
 
 @query("subtype_summary", with_(S.LABELLED, """SELECT complaint_type, count(*) AS complaints, count(DISTINCT issue_subtype) AS subtype_variants,
     round(avg(CAST(issue_subtype <> 'other_unclassified' AS INT)), 6) AS assigned_share, round(avg(CAST(issue_subtype = 'other_unclassified' AS INT)), 6) AS residual_share
     FROM labelled WHERE subtype_modeled_flag GROUP BY 1"""))
 def subtype_summary(spark, sf):
-    return rounded(taxonomy.subtype_summary(V.labelled(spark, sf, outcomes=False)), "assigned_share", "residual_share")
+    return rounded(taxonomy.subtype_summary(V.enriched(spark, sf)), "assigned_share", "residual_share")
 
 
 LABEL_ONLY = "issue_subtype NOT IN ('not_modeled', 'other_unclassified')"
@@ -127,25 +127,25 @@ LABEL_ONLY = "issue_subtype NOT IN ('not_modeled', 'other_unclassified')"
 @query("top_subtypes", with_(S.LABELLED, f"""SELECT complaint_type, issue_subtype, complaints FROM (SELECT complaint_type, issue_subtype, count(*) AS complaints,
     row_number() OVER (PARTITION BY complaint_type ORDER BY count(*) DESC, issue_subtype) AS rn FROM labelled WHERE {LABEL_ONLY} GROUP BY 1, 2) WHERE rn <= 2"""))
 def top_subtypes(spark, sf):
-    return taxonomy.top_subtypes(V.labelled(spark, sf, outcomes=False), 2)
+    return taxonomy.top_subtypes(V.enriched(spark, sf), 2)
 
 
 @query("largest_subtype", with_(S.LABELLED, f"""SELECT complaint_type, issue_subtype, count(*) AS complaints FROM labelled WHERE {LABEL_ONLY}
     GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 1"""))
 def largest_subtype(spark, sf):
-    return summaries.top_label_findings(V.labelled(spark, sf, outcomes=False))
+    return summaries.top_label_findings(V.enriched(spark, sf))
 
 
 @query("top_modeled_subtypes", with_(S.LABELLED, """SELECT issue_subtype, count(*) AS complaints FROM labelled WHERE subtype_modeled_flag GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4"""))
 def top_modeled_subtypes(spark, sf):
-    return summaries.top_modeled_subtypes(V.labelled(spark, sf, outcomes=False))
+    return summaries.top_modeled_subtypes(V.enriched(spark, sf))
 
 
 @query("text_overall", with_(S.LABELLED, """SELECT count(*) AS complaints, round(avg(CAST(subtype_modeled_flag AS INT)), 6) AS modeled_share,
     round(avg(CAST(potential_label_mismatch_flag AS INT)), 6) AS mismatch_share, round(avg(CAST(resolution_outcome_group <> 'no_resolution_text' AS INT)), 6) AS resolution_text_share,
     round(avg(CAST(issue_subtype_confidence = 'high' AS INT)), 6) AS high_confidence_subtype_share FROM labelled"""))
 def text_overall(spark, sf):
-    return rounded(summaries.text_overall(V.labelled(spark, sf)), "modeled_share", "mismatch_share", "resolution_text_share", "high_confidence_subtype_share")
+    return rounded(summaries.text_overall(V.enriched(spark, sf)), "modeled_share", "mismatch_share", "resolution_text_share", "high_confidence_subtype_share")
 
 
 @query("type_coverage", with_(S.LABELLED, f"""SELECT s.*, coalesce(f.top_issue_family, 'Unknown') AS top_issue_family, t.top_issue_subtype FROM (
@@ -154,23 +154,23 @@ def text_overall(spark, sf):
     LEFT JOIN {S.mode_table('labelled', ['complaint_type'], 'issue_family', 'top_issue_family')} f USING (complaint_type)
     LEFT JOIN {S.mode_table('labelled', ['complaint_type'], 'issue_subtype', 'top_issue_subtype', 'subtype_modeled_flag')} t USING (complaint_type)"""))
 def type_coverage(spark, sf):
-    return rounded(summaries.type_coverage(V.labelled(spark, sf, outcomes=False)), "subtype_modeled_share", "mismatch_share")
+    return rounded(summaries.type_coverage(V.enriched(spark, sf)), "subtype_modeled_share", "mismatch_share")
 
 
 for _name, _key in (("subtype_source_counts", "subtype_source"), ("outcome_counts", "resolution_outcome_group"),
                     ("outcome_confidence_counts", "resolution_outcome_confidence"), ("issue_family_counts", "issue_family")):
     query(_name, with_(S.LABELLED, f"SELECT {_key}, count(*) AS complaints FROM labelled GROUP BY 1"))(
-        lambda spark, sf, key=_key: ranking.count_by(V.labelled(spark, sf), key))
+        lambda spark, sf, key=_key: ranking.count_by(V.enriched(spark, sf), key))
 
 for _name, _key in (("outcome_by_type", "complaint_type"), ("outcome_by_agency", "agency")):
     query(_name, with_(S.LABELLED, f"SELECT resolution_outcome_group, {_key}, count(*) AS complaints FROM labelled GROUP BY 1, 2"))(
-        lambda spark, sf, key=_key: ranking.count_by(V.labelled(spark, sf), "resolution_outcome_group", key))
+        lambda spark, sf, key=_key: ranking.count_by(V.enriched(spark, sf), "resolution_outcome_group", key))
 
 
 @query("outcome_leaders", with_(S.LABELLED, """SELECT agency, count(*) AS complaints FROM labelled WHERE resolution_outcome_group = 'summons_issued'
     GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3"""))
 def outcome_leaders(spark, sf):
-    counts = ranking.count_by(V.labelled(spark, sf), "resolution_outcome_group", "agency")
+    counts = ranking.count_by(V.enriched(spark, sf), "resolution_outcome_group", "agency")
     return ranking.rank_view(counts.where("resolution_outcome_group = 'summons_issued'"), "complaints", 3, ["agency"]).select("agency", "complaints")
 
 
@@ -180,7 +180,7 @@ COMMON = f"common AS (SELECT issue_subtype FROM labelled WHERE {LABEL_ONLY} GROU
 @query("subtype_durations", with_(S.LABELLED + "," + COMMON, """SELECT complaint_type, issue_subtype, count(*) AS complaints, round(quantile_cont(resolution_days, 0.5), 6) AS median_days,
     round(quantile_cont(resolution_days, 0.9), 6) AS p90_days FROM labelled WHERE resolved_with_valid_date AND issue_subtype IN (FROM common) GROUP BY 1, 2"""))
 def subtype_durations(spark, sf):
-    return rounded(summaries.subtype_durations(V.labelled(spark, sf, outcomes=False), 300), "median_days", "p90_days")
+    return rounded(summaries.subtype_durations(V.enriched(spark, sf), 300), "median_days", "p90_days")
 
 
 @query("outcomes_by_subtype", with_(S.LABELLED + "," + COMMON, """SELECT complaint_type, issue_subtype, resolution_outcome_group, complaints FROM (
@@ -188,7 +188,7 @@ def subtype_durations(spark, sf):
       row_number() OVER (PARTITION BY complaint_type, issue_subtype ORDER BY count(*) DESC, resolution_outcome_group) AS rn
     FROM labelled WHERE issue_subtype IN (FROM common) AND resolution_outcome_group <> 'no_resolution_text' GROUP BY 1, 2, 3) WHERE rn <= 3"""))
 def outcomes_by_subtype(spark, sf):
-    return summaries.outcomes_by_subtype(V.labelled(spark, sf), 300, 3)
+    return summaries.outcomes_by_subtype(V.enriched(spark, sf), 300, 3)
 
 
 @query("mix_shift", with_(S.LABELLED + "," + COMMON + f""", latest AS (SELECT max(created_date) AS last FROM labelled WHERE created_year = {PARTIAL}),
@@ -200,7 +200,7 @@ def outcomes_by_subtype(spark, sf):
     round((coalesce(max(share) FILTER (WHERE late), 0) - coalesce(max(share) FILTER (WHERE NOT late), 0)) * 100, 6) AS share_change_pct_points
   FROM shares GROUP BY 1, 2"""))
 def mix_shift(spark, sf):
-    return rounded(summaries.mix_shift(V.labelled(spark, sf, outcomes=False), V.SCOPE, 300), "base_share", "partial_share", "share_change", "share_change_pct_points")
+    return rounded(summaries.mix_shift(V.enriched(spark, sf), V.SCOPE, 300), "base_share", "partial_share", "share_change", "share_change_pct_points")
 
 
 # N-grams and clusters ------------------------------------------------------------

@@ -6,12 +6,14 @@ untidy on purpose (blanks, null words, unknown places) so that the cleaning has
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reqlens.contracts import Scope
 from reqlens.operators import frames, taxonomy
-from reqlens.rules import OUTCOME_RULES, MismatchRule, SubtypeRule
-from reqlens.session import prepare
+from reqlens.rules import MismatchRule, SubtypeRule
+from reqlens.session import cut_lineage, prepare
 
 SCOPE = Scope(start="1996-01-01", base_year=2000, partial_year=2001)
 GRID = 0.1
@@ -101,8 +103,19 @@ def closure_case() -> str:
     return f"CASE o_orderkey % {len(CLOSURE_PHRASES) + 1} {cases} END"
 
 
+_VIEWS: dict[tuple, DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """One definition per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _VIEWS:
+        _VIEWS[key] = build()
+    return _VIEWS[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _once(spark, sf_dir, f"table {name}", lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def raw_requests(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
@@ -121,20 +134,23 @@ def raw_requests(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFr
 
 
 def analytic(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
-    return frames.build_analytic(raw_requests(spark, sf_dir, text), SCOPE)
+    return _once(spark, sf_dir, f"analytic {text}",
+                 lambda: frames.build_analytic(raw_requests(spark, sf_dir, text), SCOPE))
 
 
-def labelled(spark: SparkSession, sf_dir: str, outcomes: bool = True) -> DataFrame:
-    """Analytic rows with their text labels, added in place; closure outcomes on request."""
-    raw = raw_requests(spark, sf_dir, text=True)
-    base = frames.add_lifecycle(frames.in_scope(
-        frames.clean_requests(raw.withColumn("city", F.col("resolution_description"))), SCOPE))
-    return taxonomy.label_requests(base.withColumn("resolution_description", F.col("city")), RULES, MISMATCHES,
-                                   OUTCOME_RULES if outcomes else None)
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analytic rows with every text label, added in place; evaluated by the query itself."""
+    def build() -> DataFrame:
+        raw = raw_requests(spark, sf_dir, text=True)
+        base = frames.add_lifecycle(frames.in_scope(
+            frames.clean_requests(raw.withColumn("city", F.col("resolution_description"))), SCOPE))
+        return taxonomy.label_requests(base.withColumn("resolution_description", F.col("city")), RULES, MISMATCHES)
+    return _once(spark, sf_dir, "labelled", build)
 
 
-def enriched(spark: SparkSession, sf_dir: str, outcomes: bool = False) -> DataFrame:
-    return frames.enrich_inline(labelled(spark, sf_dir, outcomes))
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched stage table: written once per session, as between stages, then scanned."""
+    return _once(spark, sf_dir, "enriched", lambda: cut_lineage(frames.enrich_inline(labelled(spark, sf_dir))))
 
 
 AREA_SQL = """
@@ -159,4 +175,4 @@ FROM (
 def area_demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per area: every tenth without demographics, some with population zero."""
     sql = AREA_SQL.replace("{text}", "STRING")
-    return spark.sql(sql, customer=table(spark, sf_dir, "customer"))
+    return _once(spark, sf_dir, "areas", lambda: spark.sql(sql, customer=table(spark, sf_dir, "customer")))

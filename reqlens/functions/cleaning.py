@@ -18,9 +18,16 @@ def _col(column: Column | str) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
+def strip_blanks(column: Column | str) -> Column:
+    """Strip all Unicode blanks. Few values have any, and looking at both ends is cheaper."""
+    text = _col(column).cast("string")
+    at_edge = F.left(text, F.lit(1)).isin(*BLANKS) | F.right(text, F.lit(1)).isin(*BLANKS)
+    return F.when(at_edge, F.btrim(text, F.lit(BLANKS))).otherwise(text)
+
+
 def clean_string(column: Column | str, extra_missing: Sequence[str] = ()) -> Column:
     """Strip blanks; empty and null-like tokens become null."""
-    text = F.btrim(_col(column).cast("string"), F.lit(BLANKS))
+    text = strip_blanks(column)
     return F.when(~text.isin(*MISSING_TOKENS, *extra_missing), text)
 
 
@@ -34,8 +41,7 @@ def title_case(column: Column | str) -> Column:
 
 def to_double(column: Column | str) -> Column:
     """Lenient number: anything unparsable, and NaN, is null."""
-    text = F.btrim(_col(column).cast("string"), F.lit(BLANKS))
-    number = text.try_cast("double")
+    number = strip_blanks(column).try_cast("double")
     return F.when(~F.isnan(number), number)
 
 

@@ -126,31 +126,35 @@ def _one_hot(train: DataFrame, test: DataFrame, features: Sequence[str], min_cou
     The fitted vocabulary is model state and lives on the driver, as in every ML encoder: at
     most rows/min_count levels per feature.
     """
-    frequent = train.unpivot([], list(features), "feature", "level").groupBy("feature", "level").count()
-    listed = frequent.groupBy("feature").agg(
+    levels = train.unpivot([], list(features), "feature", "level").groupBy("feature", "level").count()
+    listed = levels.groupBy("feature").agg(
         F.array_sort(F.collect_list(F.when(F.col("count") >= min_count, F.col("level")))).alias("levels"),
         F.max(F.col("count") < min_count).alias("rare"))
-    known = {row["feature"]: row["levels"] + ([INFREQUENT] if row["rare"] else []) for row in listed.collect()}
-    labels = [known[feature] or [INFREQUENT] for feature in features]
-    inputs = [f"_g_{f}" for f in features]
-    indexers = [StringIndexerModel.from_labels(known_levels, inputCol=f"_g_{f}", outputCol=f"_i_{f}", handleInvalid="keep")
-                for f, known_levels in zip(features, labels)]
+    fitted = {row["feature"]: (row["levels"], row["rare"]) for row in listed.collect()}
+    with_rare = [f for f in features if fitted[f][1]]
+    labels = [fitted[f][0] + ([INFREQUENT] if f in with_rare else []) for f in features]
+    indexers = [StringIndexerModel.from_labels(known, inputCol=f"_g_{f}", outputCol=f"_i_{f}", handleInvalid="keep")
+                for f, known in zip(features, labels)]
     encoder = OneHotEncoder(inputCols=[f"_i_{f}" for f in features], outputCols=[f"_v_{f}" for f in features],
                             dropLast=True, handleInvalid="error")
     assembler = VectorAssembler(inputCols=[f"_v_{f}" for f in features], outputCol="features")
 
-    def grouped(df: DataFrame) -> DataFrame:
-        copies = df.withColumns({f"_g_{f}": F.col(f) for f in features})
-        seen = train.withColumns({f"_g_{f}": F.col(f) for f in features})
-        return reduce(lambda frame, indexer: indexer.transform(frame), indexers,
-                      group_rare_levels(copies, seen, inputs, min_count))
-
-    train_indexed, test_indexed = grouped(train), grouped(test)
-    fitted = encoder.fit(train_indexed)
+    def indexed(df: DataFrame) -> DataFrame:
+        return reduce(lambda frame, indexer: indexer.transform(frame), indexers, df)
+
+    # Every training level that is not frequent is rare. A test level may also be unknown, so
+    # it is looked up, for the features that have rare levels at all.
+    train_indexed = indexed(train.withColumns({
+        f"_g_{f}": F.when(F.col(f).isin(fitted[f][0]), F.col(f)).otherwise(INFREQUENT) if f in with_rare else F.col(f)
+        for f in features}))
+    copies = test.withColumns({f"_g_{f}": F.col(f) for f in features})
+    seen = train.withColumns({f"_g_{f}": F.col(f) for f in with_rare})
+    test_indexed = indexed(group_rare_levels(copies, seen, [f"_g_{f}" for f in with_rare], min_count))
+    fitted_encoder = encoder.fit(train_indexed)
     drop = [f"_{kind}_{f}" for kind in "giv" for f in features]
     names = [(feature, level) for feature, levels in zip(features, labels) for level in levels]
-    return (assembler.transform(fitted.transform(train_indexed)).drop(*drop),
-            assembler.transform(fitted.transform(test_indexed)).drop(*drop), names)
+    return (assembler.transform(fitted_encoder.transform(train_indexed)).drop(*drop),
+            assembler.transform(fitted_encoder.transform(test_indexed)).drop(*drop), names)
 
 
 def _prediction_frame(scored: DataFrame, classes: Sequence[str], model: str, feature_set: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from reqlens.contracts import (
     DEFAULT_BOX, DEFAULT_SCOPE, RAW_COLUMNS, RENAMED_COLUMNS, Box, Scope)
@@ -26,8 +26,9 @@ def clean_requests(raw: DataFrame) -> DataFrame:
         "council_district": C.to_long("council_district"),
         "latitude": C.to_double("latitude"),
         "longitude": C.to_double("longitude"),
-        **{name: C.to_timestamp_lenient(name) for name in
-           ("created_date", "closed_date", "resolution_action_updated_date")},
+        **{name: C.to_timestamp_lenient(name) if df.schema[name].dataType == T.StringType()
+           else F.col(name).cast("timestamp_ntz")
+           for name in ("created_date", "closed_date", "resolution_action_updated_date")},
     })
 
 
@@ -66,8 +67,7 @@ def build_analytic(raw: DataFrame, scope: Scope = DEFAULT_SCOPE) -> DataFrame:
 
 
 def add_board_fields(df: DataFrame) -> DataFrame:
-    board = F.btrim(F.col("community_board").cast("string"), F.lit(C.BLANKS))
-    return df.withColumn("community_board", board).withColumns({
+    return df.withColumn("community_board", C.strip_blanks("community_board")).withColumns({
         "community_board_code": C.board_code("community_board"),
         "community_board_borough": C.board_borough("community_board", "borough"),
         "community_board_label": F.col("community_board"),

@@ -83,9 +83,16 @@ PROFILE_SCHEMA = T.StructType([
 ])
 
 
-def _vocabulary(counts: DataFrame, keys: Sequence[str], min_documents: int, max_terms: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("count"), F.asc("ngram")))
-    return counts.where(F.col("documents") >= min_documents).withColumn("_rank", rank).where(F.col("_rank") <= max_terms)
+def _vocabulary(counts: DataFrame, keys: Sequence[str], min_documents: int, max_terms: int,
+                salts: int = 256) -> DataFrame:
+    """Most frequent terms per key, in two steps: a hot key's terms are first cut per salt."""
+    order = [F.desc("count"), F.asc("ngram")]
+    salted = counts.where(F.col("documents") >= min_documents).withColumn(
+        "_salt", F.pmod(F.xxhash64("ngram"), F.lit(salts)))
+    partial = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
+    final = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    kept = salted.withColumn("_rank", partial).where(F.col("_rank") <= max_terms)
+    return kept.withColumn("_rank", final).where(F.col("_rank") <= max_terms)
 
 
 def _cluster_count(rows: int, distinct: int, most: int) -> int:

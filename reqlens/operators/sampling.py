@@ -38,18 +38,23 @@ def stratified_sample(df: DataFrame, size: int, target: str = TARGET, key: str =
     """``size`` rows in which each class keeps its share.
 
     Every class gets its rounded share, at least one row; then rows are dropped or topped up
-    at random until the size is exact. ``target`` is a class label, so the table of cuts has
-    one row per class.
+    at random until the size is exact. ``target`` is a class label: the counts read here and
+    the table of cuts have one row per class.
     """
-    if size <= 0:
+    counts = {row[target]: row["count"] for row in df.groupBy(target).count().collect()}
+    total = sum(counts.values())
+    if size <= 0 or total <= size:
         return df
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    share = F.bround(F.lit(float(size)) * F.col("_total") / total).cast("bigint")
-    quota = F.least(F.greatest(share, F.lit(1).cast("bigint")), F.col("_total"))
-    cuts = cut_points(df, [target], _bucket(key, seed), _order(key, seed), quota).select(
+    quota = {label: min(max(1, round(size * n / total)), n) for label, n in counts.items() if label is not None}
+    position = F.lit(None).cast("bigint")
+    for label, rows in quota.items():
+        position = F.when(F.col(target) == label, F.lit(rows).cast("bigint")).otherwise(position)
+    cuts = cut_points(df, [target], _bucket(key, seed), _order(key, seed), position).select(
         F.col(target).alias("_class"), F.col("cut").alias("_cut"))
     marked = df.join(cuts, F.col(target).eqNullSafe(F.col("_class")), "left").withColumn(
         "_late", F.when(_order(key, seed) <= F.col("_cut"), F.lit(0)).otherwise(F.lit(1)))
+    if sum(quota.values()) == size:
+        return marked.where("_late = 0").drop("_class", "_cut", "_late")
     # Picked rows come first, the others later, each in a second random order.
     order = F.struct(F.col("_late").alias("late"), _order(key, seed + 1).alias("o"))
     bucket = F.col("_late") * (1 << BUCKET_BITS) + _bucket(key, seed + 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,19 +30,28 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names for checkpoints; a temporary one on a local master only.
+
+    On a cluster the files of a machine-local folder die with the machine, so there none is
+    made up: without the setting the answer is None.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="reqlens-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
+    """Write a table to the shared folder and read it back: short plan, pruned scans.
 
-    Only a local master may fall back to a temporary folder: on a cluster the files of a
-    machine-local folder die with the machine.
+    Survives the loss of executors. Without a shared folder the rows are kept by the executors
+    and recomputed when lost.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("Set spark.checkpoint.dir to a folder every executor can reach.")
-            folder = tempfile.mkdtemp(prefix="reqlens-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        return df.persist()
+    path = f"{folder.rstrip('/')}/reqlens-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

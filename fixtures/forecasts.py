@@ -179,12 +179,12 @@ def high_confidence_misses(spark, sf):
 
 @query("uniform_sample")
 def uniform_sample(spark, sf):
-    return sampling.uniform_sample(V.analytic(spark, sf), 1000).select("unique_key", "created_date", "complaint_type")
+    return sampling.uniform_sample(V.enriched(spark, sf), 1000).select("unique_key", "created_date", "complaint_type")
 
 
 @query("stratified_sample")
 def stratified_sample(spark, sf):
-    frame = V.analytic(spark, sf).where(F.col("resolution_bucket").isNotNull())
+    frame = V.enriched(spark, sf).where(F.col("resolution_bucket").isNotNull())
     return sampling.stratified_sample(frame, 1000).select("unique_key", "resolution_bucket")
 
 

@@ -137,7 +137,7 @@ aligned AS (SELECT analytic.* FROM analytic, cut WHERE
 
 @query("aligned_ytd_filter", with_(S.ANALYTIC + "," + ALIGNED, "SELECT unique_key, created_date, created_year FROM aligned"))
 def aligned_ytd_filter(spark, sf):
-    return filters.filter_aligned_ytd(V.analytic(spark, sf), V.SCOPE).select("unique_key", "created_date", "created_year")
+    return filters.filter_aligned_ytd(V.enriched(spark, sf), V.SCOPE).select("unique_key", "created_date", "created_year")
 
 
 EXACT = f"""latest AS (SELECT max(created_date) AS last FROM analytic WHERE created_year = {PARTIAL}),
@@ -150,7 +150,7 @@ exact AS (SELECT analytic.* FROM analytic, latest WHERE
     count(*) FILTER (WHERE created_year = {PARTIAL}) AS partial_complaints,
     round(count(*) FILTER (WHERE created_year = {PARTIAL}) / CAST(count(*) FILTER (WHERE created_year = {BASE}) AS DOUBLE) - 1, 6) AS change FROM exact"""))
 def ytd_volume(spark, sf):
-    return rounded(summaries.ytd_volume(V.analytic(spark, sf), V.SCOPE), "change")
+    return rounded(summaries.ytd_volume(V.enriched(spark, sf), V.SCOPE), "change")
 
 
 COMPLETE = "date_trunc('month', cutoff) - INTERVAL 1 MONTH"
@@ -159,7 +159,7 @@ COMPLETE = "date_trunc('month', cutoff) - INTERVAL 1 MONTH"
 @query("complete_months", with_(S.ANALYTIC + "," + ALIGNED, f"""SELECT created_month_start, created_year, count(*) AS complaints
     FROM aligned, cut WHERE created_month_start <= {COMPLETE} GROUP BY created_month_start, created_year"""))
 def complete_months(spark, sf):
-    df = V.analytic(spark, sf)
+    df = V.enriched(spark, sf)
     cutoff = filters.aligned_ytd_cutoff(df, V.SCOPE)
     kept = filters.filter_complete_months(filters.filter_aligned_ytd(df, V.SCOPE), cutoff)
     return ranking.count_by(kept, "created_month_start", "created_year")
@@ -172,7 +172,7 @@ cut AS (SELECT date_trunc('day', max(created_date)) AS cutoff FROM analytic WHER
 @query("aligned_complete_months", with_(S.ANALYTIC + "," + MONTH_ROWS, f"""SELECT created_month_start, created_year, complaints,
     strftime(created_month_start, '%Y-%m') AS month_label FROM months, cut WHERE month(created_month_start) <= month({COMPLETE})"""))
 def aligned_complete_months(spark, sf):
-    df = V.analytic(spark, sf)
+    df = V.enriched(spark, sf)
     monthly = ranking.count_by(df, "created_month_start", "created_year").withColumn(
         "aligned_ytd_cutoff", filters.aligned_ytd_cutoff(df, V.SCOPE))
     return summaries.with_month_label(filters.aligned_complete_months(monthly)).drop("aligned_ytd_cutoff")
@@ -182,7 +182,7 @@ def aligned_complete_months(spark, sf):
     count(*) FILTER (WHERE created_year = {BASE}) AS base_complaints, count(*) FILTER (WHERE created_year = {PARTIAL}) AS partial_complaints
     FROM analytic WHERE created_year IN ({BASE}, {PARTIAL}) GROUP BY created_month"""))
 def year_pivot(spark, sf):
-    years = V.analytic(spark, sf).where(F.col("created_year").isin(BASE, PARTIAL))
+    years = V.enriched(spark, sf).where(F.col("created_year").isin(BASE, PARTIAL))
     counts = ranking.count_by(years, "created_month", "created_year")
     return ranking.pivot_wide(counts, "created_month", "created_year",
                               {BASE: "base_complaints", PARTIAL: "partial_complaints"}, "complaints", fill=0)
@@ -262,7 +262,7 @@ def numeric_coercion(spark, sf):
     FROM (SELECT unnest([{', '.join(S.quote(b) for b in [*BUCKET_ORDER, 'Missing'])}]) AS b)
     LEFT JOIN (SELECT unique_key, coalesce(resolution_bucket, 'Missing') AS rb FROM analytic) ON b = rb GROUP BY b"""))
 def resolution_buckets(spark, sf):
-    return summaries.bucket_counts(V.analytic(spark, sf))
+    return summaries.bucket_counts(V.enriched(spark, sf))
 
 
 @query("hourly_counts", """SELECT CAST(h AS INTEGER) AS created_hour, count(event_id) AS complaints FROM range(24) t(h)
@@ -287,12 +287,12 @@ YEAR_LABEL = f"CASE WHEN created_year = {PARTIAL} THEN '{PARTIAL} YTD' ELSE CAST
 @query("monthly_counts", with_(S.ANALYTIC, f"""SELECT created_month_start, {YEAR_LABEL} AS year_label, count(*) AS complaints,
     strftime(created_month_start, '%Y-%m') AS month_label FROM analytic GROUP BY 1, 2, 4"""))
 def monthly_counts(spark, sf):
-    return summaries.monthly_counts(V.analytic(spark, sf), V.SCOPE)
+    return summaries.monthly_counts(V.enriched(spark, sf), V.SCOPE)
 
 
 @query("seasonal_counts", with_(S.ANALYTIC, f"SELECT created_season, {YEAR_LABEL} AS year_label, count(*) AS complaints FROM analytic GROUP BY 1, 2"))
 def seasonal_counts(spark, sf):
-    return summaries.seasonal_counts(V.analytic(spark, sf), V.SCOPE)
+    return summaries.seasonal_counts(V.enriched(spark, sf), V.SCOPE)
 
 
 TOP_TYPES = "top AS (SELECT complaint_type FROM analytic GROUP BY 1 ORDER BY count(*) DESC, complaint_type LIMIT 3)"
@@ -301,32 +301,32 @@ TOP_TYPES = "top AS (SELECT complaint_type FROM analytic GROUP BY 1 ORDER BY cou
 @query("monthly_by_type", with_(S.ANALYTIC + "," + TOP_TYPES, """SELECT created_month_start, complaint_type, count(*) AS complaints,
     strftime(created_month_start, '%Y-%m') AS month_label FROM analytic WHERE complaint_type IN (FROM top) GROUP BY 1, 2, 4"""))
 def monthly_by_type(spark, sf):
-    return summaries.monthly_by_type(V.analytic(spark, sf), types=3)
+    return summaries.monthly_by_type(V.enriched(spark, sf), types=3)
 
 
 @query("borough_mix", with_(S.ANALYTIC + "," + TOP_TYPES, """SELECT borough, complaint_type, count(*) AS complaints
     FROM analytic WHERE complaint_type IN (FROM top) AND borough IS NOT NULL GROUP BY 1, 2"""))
 def borough_mix(spark, sf):
-    return summaries.borough_mix(V.analytic(spark, sf), types=3)
+    return summaries.borough_mix(V.enriched(spark, sf), types=3)
 
 
 @query("top_types", with_(S.ANALYTIC, "SELECT complaint_type, count(*) AS complaints FROM analytic GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4"))
 def top_types(spark, sf):
-    return ranking.top_counts(V.analytic(spark, sf), "complaint_type", 4)
+    return ranking.top_counts(V.enriched(spark, sf), "complaint_type", 4)
 
 
 @query("top_k_per_group", with_(S.ANALYTIC + "," + TOP_TYPES, """SELECT complaint_type, descriptor, complaints FROM (
     SELECT complaint_type, descriptor, count(*) AS complaints, row_number() OVER (PARTITION BY complaint_type ORDER BY count(*) DESC, descriptor) AS rn
     FROM analytic WHERE complaint_type IN (FROM top) GROUP BY 1, 2) WHERE rn <= 8"""))
 def top_k_per_group(spark, sf):
-    return summaries.top_within(V.analytic(spark, sf, text=True), "complaint_type", "descriptor", 8, leaders=3)
+    return summaries.top_within(V.enriched(spark, sf), "complaint_type", "descriptor", 8, leaders=3)
 
 
 @query("top_details_per_type", with_(S.ANALYTIC, """SELECT complaint_type, additional_details, complaints FROM (
     SELECT complaint_type, additional_details, count(*) AS complaints, row_number() OVER (PARTITION BY complaint_type ORDER BY count(*) DESC, additional_details) AS rn
     FROM analytic WHERE additional_details IS NOT NULL GROUP BY 1, 2) WHERE rn <= 3"""))
 def top_details_per_type(spark, sf):
-    return summaries.top_within(V.analytic(spark, sf, text=True), "complaint_type", "additional_details", 3)
+    return summaries.top_within(V.enriched(spark, sf), "complaint_type", "additional_details", 3)
 
 
 @query("top_counts_sql", with_(S.ANALYTIC, f"""SELECT borough, count(*) AS complaints FROM analytic
@@ -351,7 +351,7 @@ QUALITY_SQL = """SELECT count(*) AS complaints, count(*) FILTER (WHERE resolved_
 
 @query("quality_summary", with_(S.ANALYTIC, QUALITY_SQL))
 def quality_summary(spark, sf):
-    return rounded(summaries.quality_summary(V.analytic(spark, sf)), "median_resolution_days")
+    return rounded(summaries.quality_summary(V.enriched(spark, sf)), "median_resolution_days")
 
 
 @query("quality_checks", with_(S.ANALYTIC + f", q AS ({QUALITY_SQL})", """
@@ -359,7 +359,7 @@ def quality_summary(spark, sf):
     UNION ALL SELECT 'Non-closed status with close date', nonclosed_status_has_date_count, nonclosed_status_has_date_count / CAST(complaints AS DOUBLE) FROM q
     UNION ALL SELECT 'Negative resolution interval', negative_resolution_count, negative_resolution_count / CAST(complaints AS DOUBLE) FROM q"""))
 def quality_checks(spark, sf):
-    return summaries.quality_checks(summaries.quality_summary(V.analytic(spark, sf)))
+    return summaries.quality_checks(summaries.quality_summary(V.enriched(spark, sf)))
 
 
 _PROFILE = {
@@ -378,7 +378,7 @@ _PROFILE = {
 @query("analytic_profile", with_(S.ANALYTIC, " UNION ALL ".join(
     f"SELECT '{k}' AS metric, CAST({v} AS VARCHAR) AS value FROM analytic" for k, v in _PROFILE.items())))
 def analytic_profile(spark, sf):
-    return summaries.profile(V.analytic(spark, sf))
+    return summaries.profile(V.enriched(spark, sf))
 
 
 @query("qa_totals", with_(S.ENRICHED, """SELECT count(*) FILTER (WHERE closed_status_missing_date_flag) AS closed_status_missing_date_count,
@@ -396,25 +396,25 @@ DESCRIBED = ("mean", "std", "min", "max", "p50", "p90", "p95")
 
 @query("describe_durations", with_(S.ANALYTIC, f"SELECT {DESCRIBE} FROM analytic WHERE resolved_with_valid_date"))
 def describe_durations(spark, sf):
-    return rounded(summaries.describe_durations(V.analytic(spark, sf)), *DESCRIBED)
+    return rounded(summaries.describe_durations(V.enriched(spark, sf)), *DESCRIBED)
 
 
 @query("describe_durations_by_type", with_(S.ANALYTIC, f"SELECT complaint_type, {DESCRIBE} FROM analytic WHERE resolved_with_valid_date GROUP BY 1"))
 def describe_durations_by_type(spark, sf):
-    return rounded(summaries.describe_durations(V.analytic(spark, sf), ["complaint_type"]), *DESCRIBED)
+    return rounded(summaries.describe_durations(V.enriched(spark, sf), ["complaint_type"]), *DESCRIBED)
 
 
 @query("duration_by_borough", with_(S.ANALYTIC, """SELECT borough, count(*) AS volume, round(quantile_cont(resolution_days, 0.5), 6) AS median_days,
     round(quantile_cont(resolution_days, 0.9), 6) AS p90_days FROM analytic WHERE resolved_with_valid_date AND borough IS NOT NULL
     GROUP BY borough HAVING count(*) >= 100"""))
 def duration_by_borough(spark, sf):
-    return rounded(summaries.duration_by(V.analytic(spark, sf), "borough", 100), "median_days", "p90_days")
+    return rounded(summaries.duration_by(V.enriched(spark, sf), "borough", 100), "median_days", "p90_days")
 
 
 @query("clipped_durations", with_(S.ANALYTIC, """SELECT unique_key, round(least(resolution_days, (SELECT quantile_cont(resolution_days, 0.95) FROM analytic)), 6) AS clipped_days
     FROM analytic WHERE resolved_with_valid_date"""))
 def clipped_durations(spark, sf):
-    return rounded(summaries.clipped_durations(V.analytic(spark, sf)), "clipped_days").select("unique_key", "clipped_days")
+    return rounded(summaries.clipped_durations(V.enriched(spark, sf)), "clipped_days").select("unique_key", "clipped_days")
 
 
 @query("winsor_scale", with_(S.ENRICHED + f""", boards AS ({S.summary('enriched', BOARD)}),

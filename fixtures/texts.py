@@ -22,7 +22,7 @@ def _normalize_any(column: str) -> str:
 
 @query("text_normalize", f"SELECT doc_id, {_normalize_any('text')} AS text_norm FROM documents")
 def text_normalize(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", normalize_text("text").alias("text_norm"))
+    return V.documents(spark, sf).select("doc_id", normalize_text("text").alias("text_norm"))
 
 
 SUBTYPE_COLUMNS = ["unique_key", "text_clean", "issue_family", "subtype_modeled_flag", "issue_subtype",
@@ -99,7 +99,7 @@ def full_rule_list(spark, sf):
       FROM (SELECT coalesce({_normalize_any('text')}, '') AS closure_norm FROM documents)) GROUP BY 1""")
 def document_outcomes(spark, sf):
     """Closure rules over whole documents."""
-    out = taxonomy.classify_outcomes(V.table(spark, sf, "documents"), text="text", rules=OUTCOME_RULES)
+    out = taxonomy.classify_outcomes(V.documents(spark, sf), text="text", rules=OUTCOME_RULES)
     return out.groupBy("resolution_outcome_group").agg(
         F.count(F.lit(1)).alias("texts"), F.sum("resolution_text_length").alias("characters"))
 
@@ -215,7 +215,7 @@ terms AS (SELECT doc_id, unnest(w) AS ngram FROM words
 
 
 def _english(spark, sf):
-    return V.table(spark, sf, "documents").where(F.col("lang") == "en")
+    return V.documents(spark, sf).where(F.col("lang") == "en")
 
 
 @query("ngram_counts", with_(TERMS, "SELECT ngram, count(*) AS count FROM terms GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5 ORDER BY 2 DESC, 1 LIMIT 15"))
@@ -229,7 +229,7 @@ def ngram_documents(spark, sf):
 
 
 def _document_families(spark, sf):
-    documents = V.table(spark, sf, "documents").select(
+    documents = V.documents(spark, sf).select(
         F.col("doc_id").alias("unique_key"), F.col("lang").alias("complaint_type"), normalize_text("text").alias("text_clean"))
     return documents.withColumn("issue_subtype", F.lit(taxonomy.UNMATCHED))
 

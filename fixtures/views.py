@@ -103,6 +103,14 @@ def closure_case() -> str:
     return f"CASE o_orderkey % {len(CLOSURE_PHRASES) + 1} {cases} END"
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document texts, spread over all cores when they lie in fewer file splits than that."""
+    def build() -> DataFrame:
+        df, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return _once(spark, sf_dir, "documents", build)
+
+
 _VIEWS: dict[tuple, DataFrame] = {}
 
 

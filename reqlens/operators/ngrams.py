@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from reqlens.operators.taxonomy import UNMATCHED
 
+DOCUMENT_MARK = "#"  # never part of a word
 TOKEN = r"(?U)\b(\w\w+)\b"
 
 
@@ -36,26 +37,25 @@ def with_bigrams(words: Column) -> Column:
 
 def term_counts(df: DataFrame, text: str, stop_words: Sequence[str] | None = None, weight: Column | None = None,
                 keys: Sequence[str] = (), pattern: str = TOKEN) -> DataFrame:
-    """Occurrences and document frequency of every term, from one combined shuffle.
+    """Occurrences and document frequency of every term.
 
-    A term's occurrences and its first occurrence per text travel as separate small records,
-    so counting documents needs no shuffle by document.
+    The distinct terms of a text travel next to all its terms, marked by a prefix, so documents
+    are counted by the same map-side combined count, without a shuffle by document.
     """
     stop_words = english_stop_words() if stop_words is None else stop_words
     weight = F.lit(1).cast("bigint") if weight is None else weight
     rows = df.where(F.col(text).isNotNull()).select(
         *keys, weight.alias("_w"), terms_of(F.col(text), stop_words, pattern).alias("_words"))
     rows = rows.withColumn("_terms", with_bigrams(F.col("_words")))
-
-    def records(terms: Column, occurrence: int, document: int) -> Column:
-        return F.transform(terms, lambda term: F.struct(
-            term.alias("t"), F.lit(occurrence).alias("o"), F.lit(document).alias("d")))
-
-    both = F.concat(records(F.col("_terms"), 1, 0), records(F.array_distinct("_terms"), 0, 1))
-    exploded = rows.select(*keys, "_w", F.explode(both).alias("_r"))
-    return exploded.groupBy(*keys, F.col("_r.t").alias("ngram")).agg(
-        F.sum(F.col("_r.o") * F.col("_w")).alias("count"),
-        F.sum(F.col("_r.d") * F.col("_w")).alias("documents"))
+    once = F.transform(F.array_distinct("_terms"), lambda term: F.concat(F.lit(DOCUMENT_MARK), term))
+    marked = rows.select(*keys, "_w", F.explode(F.concat(F.col("_terms"), once)).alias("_term"))
+    counted = marked.groupBy(*keys, "_term").agg(F.sum("_w").alias("_n"))
+    is_document = F.startswith("_term", F.lit(DOCUMENT_MARK))
+    term = F.when(is_document, F.substring("_term", 2, 1 << 30)).otherwise(F.col("_term"))
+    zero = F.lit(0).cast("bigint")
+    return counted.groupBy(*keys, term.alias("ngram")).agg(
+        F.sum(F.when(is_document, zero).otherwise(F.col("_n"))).alias("count"),
+        F.sum(F.when(is_document, F.col("_n")).otherwise(zero)).alias("documents"))
 
 
 def top_ngrams(df: DataFrame, text: str, n: int = 15, min_documents: int = 5,

@@ -194,9 +194,10 @@ CLEAN_COLUMNS = ["unique_key", "agency", "agency_name", "complaint_type", "descr
                  "borough", "council_district", "latitude", "longitude"]
 
 
-@query("clean_requests", with_(S.ANALYTIC, f"SELECT {', '.join(CLEAN_COLUMNS)} FROM cleaned"))
+@query("clean_requests", with_(S.ANALYTIC, f"SELECT * REPLACE (CAST(council_district AS DOUBLE) AS council_district) FROM (SELECT {', '.join(CLEAN_COLUMNS)} FROM cleaned)"))
 def clean_requests(spark, sf):
-    return V.analytic(spark, sf, text=True).select(*CLEAN_COLUMNS)
+    cleaned = V.analytic(spark, sf, text=True).select(*CLEAN_COLUMNS)
+    return cleaned.withColumn("council_district", F.col("council_district").cast("double"))
 
 
 CALENDAR_COLUMNS = ["unique_key", "created_year", "created_month", "created_month_start", "created_weekday", "created_hour", "created_season"]
@@ -247,11 +248,11 @@ def parse_dates(spark, sf):
     return parse(raw)
 
 
-@query("numeric_coercion", """SELECT unique_key, TRY_CAST(council_district AS BIGINT) AS council_district, latitude FROM raw""".replace(
+@query("numeric_coercion", """SELECT unique_key, CAST(TRY_CAST(council_district AS BIGINT) AS DOUBLE) AS council_district, latitude FROM raw""".replace(
     "FROM raw", "FROM (WITH " + S.RAW.strip() + " SELECT * FROM raw)"))
 def numeric_coercion(spark, sf):
     raw = V.raw_requests(spark, sf)
-    return raw.select(F.col("unique_key").cast("string").alias("unique_key"), C.to_long("council_district").alias("council_district"),
+    return raw.select(F.col("unique_key").cast("string").alias("unique_key"), C.to_long("council_district").cast("double").alias("council_district"),
                       C.to_double("latitude").alias("latitude"))
 
 

@@ -45,19 +45,24 @@ def label_mismatch(spark, sf):
 OUTCOME_COLUMNS = ["unique_key", "resolution_has_text", "resolution_outcome_group", "resolution_outcome_confidence", "resolution_text_length"]
 
 
-@query("closure_outcome", with_(S.LABELLED, f"SELECT {', '.join(OUTCOME_COLUMNS)} FROM labelled"))
+def _outcome_columns(df):
+    """The nullable length as a double, which both engines return alike."""
+    return df.select(*OUTCOME_COLUMNS).withColumn("resolution_text_length", F.col("resolution_text_length").cast("double"))
+
+
+@query("closure_outcome", with_(S.LABELLED, f"SELECT * REPLACE (CAST(resolution_text_length AS DOUBLE) AS resolution_text_length) FROM (SELECT {', '.join(OUTCOME_COLUMNS)} FROM labelled)"))
 def closure_outcome(spark, sf):
-    return V.labelled(spark, sf).select(*OUTCOME_COLUMNS)
+    return _outcome_columns(V.labelled(spark, sf))
 
 
-@query("closure_outcome_joined", with_(S.LABELLED, f"SELECT {', '.join(OUTCOME_COLUMNS)} FROM labelled"))
+@query("closure_outcome_joined", with_(S.LABELLED, f"SELECT * REPLACE (CAST(resolution_text_length AS DOUBLE) AS resolution_text_length) FROM (SELECT {', '.join(OUTCOME_COLUMNS)} FROM labelled)"))
 def closure_outcome_joined(spark, sf):
     """The same outcomes from a separate closure-text table, joined by key."""
     from reqlens.operators.filters import closure_text_scan
 
     raw = V.raw_requests(spark, sf, text=True)
     texts = closure_text_scan(raw, list(V.RULES), V.SCOPE.start).withColumn("unique_key", F.col("unique_key").cast("string"))
-    return taxonomy.attach_outcomes(V.analytic(spark, sf).select("unique_key"), texts).select(*OUTCOME_COLUMNS)
+    return _outcome_columns(taxonomy.attach_outcomes(V.analytic(spark, sf).select("unique_key"), texts))
 
 
 # The full rule list, over requests whose type and texts are phrases chosen by keys.

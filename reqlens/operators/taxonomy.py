@@ -15,7 +15,6 @@ from reqlens.rules import (
     OutcomeRule, SubtypeRule)
 
 UNMATCHED, NOT_MODELED = "other_unclassified", "not_modeled"
-RULE_LIST_FIELDS = ("subtype", "confidence", "source", "match_column")
 
 
 def clean_taxonomy_input(df: DataFrame) -> DataFrame:
@@ -37,31 +36,38 @@ def add_normalized_text(df: DataFrame) -> DataFrame:
         "text_clean", F.nullif(F.col("combined_text"), F.lit("")))
 
 
-def _per_family(rules: Mapping[str, Sequence[SubtypeRule]]) -> tuple[Column, list[SubtypeRule]]:
-    """Number of the first matching rule; a row meets only the rules of its own family."""
-    flat: list[SubtypeRule] = []
-    chain = None
-    for family, family_rules in rules.items():
-        cases = []
-        for rule in family_rules:
-            flat.append(rule)
-            cases.append((any_match(rule.columns, rule.pattern), len(flat)))
-        here = F.col("complaint_type") == family
-        number = first_match(cases)
-        chain = F.when(here, number) if chain is None else chain.when(here, number)
-    return (F.lit(None).cast("int") if chain is None else chain), flat
+RULES_PER_STEP = 12
+
+
+def _rule_number(df: DataFrame, rules: Mapping[str, Sequence[SubtypeRule]]) -> tuple[DataFrame, list[SubtypeRule]]:
+    """Add ``_rule``, the number of the first matching rule; a row meets only its family's rules.
+
+    Each step explodes a one-element array, which evaluates its rules exactly once per row. As
+    a plain column, every later filter on a label would carry its own copy of all patterns
+    towards the scan. Steps are short, so that each compiles into a method the JVM optimises,
+    and a row that has its rule skips the later ones.
+    """
+    flat = [(family, rule) for family, family_rules in rules.items() for rule in family_rules]
+    df = df.withColumn("_rule", F.lit(None).cast("int"))
+    for start in range(0, len(flat), RULES_PER_STEP):
+        step = list(enumerate(flat, start=1))[start:start + RULES_PER_STEP]
+        chain = None
+        for family in dict.fromkeys(family for _, (family, _) in step):
+            cases = [(any_match(rule.columns, rule.pattern), number) for number, (owner, rule) in step if owner == family]
+            here = F.col("complaint_type") == family
+            chain = F.when(here, first_match(cases)) if chain is None else chain.when(here, first_match(cases))
+        found = F.when(F.col("_rule").isNull(), chain).otherwise(F.col("_rule"))
+        df = df.withColumn("_next", F.explode(F.array(found))).withColumn("_rule", F.col("_next")).drop("_next")
+    return df, [rule for _, rule in flat]
 
 
 def assign_subtypes(df: DataFrame, rules: Mapping[str, Sequence[SubtypeRule]] = SUBTYPE_RULES) -> DataFrame:
     """Family, subtype, confidence, source and quoted text of every request."""
-    number, flat = _per_family(rules)
-    # Exploding one element evaluates the rules exactly once per row. As a plain column, every
-    # later filter on a label would carry its own copy of all patterns towards the scan.
-    df = df.withColumn("_rule", F.explode(F.array(number)))
+    df, flat = _rule_number(df, rules)
     modeled = F.coalesce(F.col("complaint_type").isin(*rules), F.lit(False))
 
     def attribute(field: str, unmatched: str | None) -> Column:
-        values = F.array(*[F.lit(getattr(rule, field)) for rule in flat])
+        values = F.array(*[F.lit(getattr(rule, field)) for rule in flat]).cast("array<string>")
         found = F.get(values, F.col("_rule") - 1)
         if unmatched is None:
             return found

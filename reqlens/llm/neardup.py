@@ -4,8 +4,9 @@ Equal word sequences are one class; only one member of a class is sketched furth
 exponent of an exponentially spaced, truncated minimum, so sketches of parts merge by their maximum and
 equal registers tell of overlap. Classes that agree in a band of registers share a bucket. A bucket's
 pairs are never listed: first all members are compared with the bucket's most popular member, which joins
-most of a large group; what is still apart in a bucket is compared in blocks, and only pairs whose joint
-likelihood allows the wanted similarity leave the task. Every link is confirmed on the full shingle sets.
+most of a large group. What is still apart in a bucket is compared in blocks by the joint likelihood of
+the sketches; rows that have a likely partner meet again with their full shingle sets, and only links
+that connect something leave the task. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ BANDS, BAND_REGISTERS = 40, 5  # a pair at 0.75 shares no band with probability
 REGISTERS = BANDS * BAND_REGISTERS
 BASE, RATE = 1.08, 20.0  # spacing of the register values; rate of the exponential hashes
 DOUBT = 8.0  # a pair is verified unless its log likelihood at the wanted similarity is that much below its best
-BLOCK = 1024  # rows of a bucket compared with each other in one group
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000  # rows and shingles of a bucket compared with each other in one group
 BROADCAST_IDS = 2_000_000  # up to so many ids (16 MB) are broadcast to pick texts; beyond, the texts are shuffled
 
 _RANDOM = np.random.default_rng(20_11)
@@ -119,7 +120,7 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
     """``bucket, band, node``: one row per class and band."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda band: F.xxhash64(
         band, F.substring("sketch", band * BAND_REGISTERS + 1, F.lit(BAND_REGISTERS))))
-    return classes.select("node", F.posexplode(keys).alias("band", "bucket"))
+    return classes.select("node", "n_shingles", F.posexplode(keys).alias("band", "bucket"))
 
 
 def _bytes_matrix(column: pa.Array) -> np.ndarray:
@@ -144,104 +145,144 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             .mapInArrow(run, "a bigint, b bigint"))
 
 
-def pairs_apart(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Likely pairs ``a, b`` of nodes that share a bucket but no component.
-
-    ``rows``: ``bucket, band, members, node, root``. A bucket is dealt into blocks of about ``BLOCK`` rows,
-    and every two blocks meet in one group; a pair is looked at in the first band it shares only.
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Sorted rows in tables that split no group; the first ``keys`` columns name the group."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        # The last group may go on in the next batch; it has two blocks at most.
+        names = [table.column(k).combine_chunks().to_numpy() for k in range(keys)]
+        cut = int(np.argmax(np.logical_and.reduce([name == name[-1] for name in names])))
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut)
+    if held is not None:
+        yield held
+
+
+def _likely_within(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows that are likely links of different roots, in the first band that both share.
+
+    ``table``: ``bucket, low, high, own, band, node, root, n_shingles, sketch``. Rows at distance 1, 2, ...
+    of each other are compared for all groups at once.
+    """
+    bucket, low, high, side, band, _, root, size = (table.column(k).combine_chunks().to_numpy() for k in range(8))
+    sketch = _bytes_matrix(table.column(8).combine_chunks())
+    start = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+    ends = np.repeat(np.concatenate([start[1:], [len(bucket)]]), np.diff(np.concatenate([start, [len(bucket)]])))
+    active, lag = np.arange(len(bucket)), 1
+    while len(active := active[active + lag < ends[active]]):
+        i, j = active, active + lag
+        lag += 1
+        keep = (root[i] != root[j]) & ((side[i] != side[j]) | (low[i] == high[i])) & size_allows(size[i], size[j])
+        i, j = i[keep], j[keep]
+        same = sketch[i] == sketch[j]
+        alike = same.sum(axis=1)
+        some = alike >= REGISTERS // 2
+        i, j, same, alike = i[some], j[some], same[some], alike[some]
+        if len(i):
+            first = same.reshape(-1, BANDS, BAND_REGISTERS).all(axis=2).argmax(axis=1) == band[i]
+            i, j, alike = i[first], j[first], alike[first]
+            good = plausible(alike, (sketch[i] > sketch[j]).sum(axis=1), size[i], size[j])
+            yield i[good], j[good]
+
+
+def rows_apart(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows ``bucket, low, high, own, band, node, root`` that have a likely link to a row of another root.
+
+    ``rows``: ``bucket, band, blocks, node, root``. A bucket is dealt into blocks, and every two blocks
+    meet in one group.
     """
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")
-    dealt = (rows.join(classes, "node")
-             .withColumn("own", own)
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
+    dealt = (rows.join(classes, "node").withColumn("own", own)
              .select("bucket", "band", "node", "root", "n_shingles", "sketch", "own",
-                     F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-             .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")))
+                     F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+             .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}))
     ordered = (dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "own", "node")
                .select("bucket", "low", "high", "own", "band", "node", "root", "n_shingles", "sketch"))
 
-    def compare(table: pa.Table) -> pa.RecordBatch:
-        """Neighbours at distance 1, 2, ... of the sorted rows, for all groups of the table at once."""
-        column = lambda k: table.column(k).combine_chunks().to_numpy()
-        bucket, low, high, side, band, node, root, size = (column(k) for k in range(8))
-        sketch = _bytes_matrix(table.column(8).combine_chunks())
-        left, right = [], []
-        start = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-        ends = np.repeat(np.concatenate([start[1:], [len(bucket)]]), np.diff(np.concatenate([start, [len(bucket)]])))
-        active, lag = np.arange(len(bucket)), 1
-        while len(active := active[active + lag < ends[active]]):
-            i, j = active, active + lag
-            lag += 1
-            keep = (root[i] != root[j]) & ((side[i] != side[j]) | (low[i] == high[i])) & size_allows(size[i], size[j])
-            i, j = i[keep], j[keep]
-            same = sketch[i] == sketch[j]
-            alike = same.sum(axis=1)
-            some = alike >= REGISTERS // 2
-            i, j, same, alike = i[some], j[some], same[some], alike[some]
-            if len(i):
-                first = same.reshape(-1, BANDS, BAND_REGISTERS).all(axis=2).argmax(axis=1) == band[i]
-                i, j, alike = i[first], j[first], alike[first]
-                good = plausible(alike, (sketch[i] > sketch[j]).sum(axis=1), size[i], size[j])
-                left.append(node[i[good]])
-                right.append(node[j[good]])
-        empty = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left) if left else empty),
-                                           pa.array(np.concatenate(right) if right else empty)], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, 3):
+            found = [np.concatenate(pair) for pair in _likely_within(table)]
+            chosen = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            yield from table.select(list(range(7))).take(pa.array(chosen)).combine_chunks().to_batches()
+
+    return ordered.mapInArrow(run, "bucket bigint, low int, high int, own int, band int, node bigint, root bigint")
+
+
+def links_within(entries: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` between the rows of ``rows_apart``, confirmed on the full sets within the task.
+
+    A group yields at most one link fewer than it has rows: pairs that are connected by then are skipped.
+    """
+    named = sets.select(F.col("node").alias("set_node"), "shingles")
+    ordered = (entries.join(classes, "node").join(named, F.col("node") == F.col("set_node"))
+               .repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "own", "node")
+               .select("bucket", "low", "high", "own", "band", "node", "root", "n_shingles", "sketch", "shingles"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            # The last group may go on in the next batch; a group has two blocks at most.
-            key = [table.column(k).combine_chunks().to_numpy() for k in range(3)]
-            open_ = np.logical_and.reduce([k == k[-1] for k in key])
-            cut = int(np.argmax(open_))
-            if cut:
-                yield compare(table.slice(0, cut))
-            held = table.slice(cut)
-        if held is not None and held.num_rows:
-            yield compare(held)
+        for table in _groups(batches, 3):
+            nodes = table.column(5).to_pylist()
+            held = [np.frombuffer(value.as_buffer(), np.uint64) for value in table.column(9)]
+            above: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while (up := above.get(x, x)) != x:
+                    above[x] = above.get(up, up)
+                    x = up
+                return x
+
+            roots, a, b = table.column(6).to_pylist(), [], []
+            for left, right in _likely_within(table):
+                for i, j in zip(left.tolist(), right.tolist()):
+                    x, y = top(roots[i]), top(roots[j])
+                    if x != y and linked(held[i], held[j]):
+                        above[x] = y
+                        a.append(nodes[i])
+                        b.append(nodes[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of pairs ``a, b`` those whose full shingle sets reach the similarity. Only their texts are read again."""
-    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
-    wanted = ids.select(F.col("node").alias("wanted_id"))
-    if ids.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+def linked(first: np.ndarray, second: np.ndarray) -> bool:
+    """Whether two sorted shingle sets reach the similarity."""
+    both = np.concatenate([first, second])
+    both.sort(kind="stable")  # two sorted runs
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return len(first) > 0 and 100 * common >= SIMILARITY * (len(both) - common)
+
+
+def full_sets(nodes: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node, shingles`` of the given nodes (one column); only their texts are read again."""
+    ids = scratch.keep(nodes.toDF("wanted_id").distinct(), "ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = identified_texts(documents)
     texts = texts.join(wanted, texts["doc_id"] == F.col("wanted_id"), "left_semi")
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
                 [shingle_set(words_of(text.as_py())).tobytes() for text in batch.column(1)], pa.binary())], ["node", "shingles"])
 
-    sets = scratch.keep(texts.mapInArrow(shingles, "node bigint, shingles binary"), "sets")
+    return scratch.keep(texts.mapInArrow(run, "node bigint, shingles binary"), "sets")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs ``a, b`` those whose full shingle sets reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")  # two sorted runs
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                linked.append(100 * common >= SIMILARITY * (len(both) - common) and len(x) > 0)
-            mask = pa.array(linked, pa.bool_())
+            mask = pa.array([linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
+                             for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"set_{name}"))
-    links = (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-             .mapInArrow(verify, "a bigint, b bigint"))
-    kept = scratch.keep(links, "links")
-    scratch.drop(ids, sets)
-    return kept
+    return (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
+            .mapInArrow(run, "a bigint, b bigint"))
 
 
 def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -285,8 +326,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     sketched = classes.select("node", "n_shingles", "sketch")
 
     rows = bucket_rows(classes)
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = scratch.keep(rows.join(sizes, "bucket").select("bucket", "band", "members", "node"), "buckets")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles")).filter("members > 1")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    shared = scratch.keep(rows.join(sizes, "bucket").select("bucket", "band", "members", blocks.alias("blocks"), "node"), "buckets")
 
     # Every member against the member that lies in the largest buckets: the middle of a group of copies.
     popular = shared.groupBy("node").agg(F.sum("members").alias("weight"))
@@ -296,16 +338,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     spokes = (shared.join(centre, "bucket").filter("node <> centre")
               .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
     likely = scratch.keep(likely_pairs(spokes, sketched), "likely")
-    links = confirmed(likely.distinct(), documents, scratch)
+    sets = full_sets(likely.select(F.explode(F.array("a", "b"))), documents, scratch)
+    links = scratch.keep(confirmed(likely, sets), "links")
+    scratch.drop(sets)
     labels = connected(links, scratch)
 
     # What is still apart in a bucket.
-    rooted = shared.join(labels, "node", "left").select("bucket", "band", "members", "node", F.coalesce("root", "node").alias("root"))
+    rooted = shared.join(labels, "node", "left").select("bucket", "band", "blocks", "node", F.coalesce("root", "node").alias("root"))
     mixed = (rooted.groupBy("bucket").agg(F.min("root").alias("least_root"), F.max("root").alias("most_root"))
              .filter("least_root < most_root").select("bucket"))
-    apart = scratch.keep(pairs_apart(rooted.join(mixed, "bucket", "left_semi"), sketched).distinct(), "apart")
-    untested = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
-    more = confirmed(scratch.keep(untested, "untested"), documents, scratch)
+    entries = scratch.keep(rows_apart(rooted.join(mixed, "bucket", "left_semi"), sketched), "apart")
+    sets = full_sets(entries.select("node"), documents, scratch)
+    more = scratch.keep(links_within(entries, sketched, sets), "more")
+    scratch.drop(sets)
     rooted_links = (more.join(labels.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left")
                     .join(labels.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
                     .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))

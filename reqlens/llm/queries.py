@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reqlens.llm import (common, decontam, neardup, neighbours, pieces, pii, quality, secrets, sql, tokenfiles, toxicity,
+from reqlens.llm import (common, decontam, neardup, neighbours, pieces, pii, quality, secretscan, sql, tokenfiles, toxicity,
                          urlfilter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,7 +52,7 @@ def op3(table) -> DataFrame:
 
 @query("op4_secrets")
 def op4(table) -> DataFrame:
-    return secrets.secrets_digest(table("documents"))
+    return secretscan.secrets_digest(table("documents"))
 
 
 @query("op5_sentencepiece")

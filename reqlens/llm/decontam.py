@@ -116,6 +116,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     ``n_windows`` counts the document's windows that match, ``items`` lists the ids of the items matched
     in ascending order, comma-joined (empty without a match); one match makes a document contaminated.
+    Slots are compared within each window.
     Null and empty texts and texts shorter than every window match nothing. Rows with one id, and rows
     without an id, share their matches. Repeated items count once; items without words and an empty
     benchmark match nothing; items without an id match as well but are not listed. Only ids and texts

@@ -18,6 +18,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -324,8 +325,6 @@ def encode_documents(documents: DataFrame, model_path: str) -> DataFrame:
 
 def decode_column(ids: Column, model_path: str) -> Column:
     """Texts of id arrays; null arrays give null."""
-    import pandas as pd
-
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = codec(model_path)
         for rows in batches:

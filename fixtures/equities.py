@@ -10,7 +10,7 @@ from fixtures.operations import GAPS
 from fixtures.registry import DAYS, query, rounded
 from fixtures.sql import with_
 from reqlens.contracts import AREA_REFERENCE_SCHEMA, CENSUS_VARIABLES, QUINTILE_COLUMNS
-from reqlens.operators import equity, filters, frames, ranking
+from reqlens.operators import equity, filters, ranking
 from reqlens.operators.summaries import with_month_label
 from reqlens.sources import areas
 
@@ -102,8 +102,7 @@ def equity_monthly(spark, sf):
         "FROM equity", "FROM (SELECT * REPLACE (coalesce(community_board_borough, 'Unknown') AS community_board_borough) FROM equity)")))
 def board_sensitivity(spark, sf):
     frame, _ = _frame(spark, sf)
-    board = frames.add_board_fields(frame)
-    return rounded(equity.board_sensitivity(board), *DAYS)
+    return rounded(equity.board_sensitivity(frame), *DAYS)
 
 
 @query("quintile_rollup", with_(AREA_CTE, """SELECT income_quintile AS quintile_value, count(*) AS zctas, CAST(sum(complaints) AS BIGINT) AS complaints,

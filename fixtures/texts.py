@@ -214,23 +214,19 @@ STOP_WORDS = ("a an and are as at be by for from has have he in is it its of on
               "not but they you we she his her their").split()
 ASCII_TOKEN = "([a-z0-9_]{2,})"
 STOPS = ", ".join(quote(w) for w in STOP_WORDS)
-TERMS = f"""words AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}'), lambda x: x NOT IN ({STOPS})) AS w FROM documents WHERE lang = 'en'),
+TERMS = f"""words AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}'), lambda x: x NOT IN ({STOPS})) AS w FROM documents),
 terms AS (SELECT doc_id, unnest(w) AS ngram FROM words
   UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM words WHERE len(w) > 1))"""
 
 
-def _english(spark, sf):
-    return V.documents(spark, sf).where(F.col("lang") == "en")
-
-
 @query("ngram_counts", with_(TERMS, "SELECT ngram, count(*) AS count FROM terms GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5 ORDER BY 2 DESC, 1 LIMIT 15"))
 def ngram_counts(spark, sf):
-    return ngrams.top_ngrams(_english(spark, sf), "text", 15, 5, STOP_WORDS, ASCII_TOKEN)
+    return ngrams.top_ngrams(V.documents(spark, sf), "text", 15, 5, STOP_WORDS, ASCII_TOKEN)
 
 
 @query("ngram_documents", with_(TERMS, "SELECT ngram, count(*) AS count, count(DISTINCT doc_id) AS documents FROM terms GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5"))
 def ngram_documents(spark, sf):
-    return ngrams.term_counts(_english(spark, sf), "text", STOP_WORDS, pattern=ASCII_TOKEN).where("documents >= 5")
+    return ngrams.term_counts(V.documents(spark, sf), "text", STOP_WORDS, pattern=ASCII_TOKEN).where("documents >= 5")
 
 
 def _document_families(spark, sf):
@@ -241,13 +237,13 @@ def _document_families(spark, sf):
 
 @query("residual_cluster_profiles")
 def residual_cluster_profiles(spark, sf):
-    _, profiles = ngrams.residual_clusters(_document_families(spark, sf), min_rows=100, stop_words=STOP_WORDS, max_terms=500)
+    _, profiles = ngrams.residual_clusters(_document_families(spark, sf), min_rows=100, stop_words=STOP_WORDS)
     return rounded(profiles, "cluster_share")
 
 
 @query("residual_counts")
 def residual_counts(spark, sf):
     documents = _document_families(spark, sf)
-    assignments, _ = ngrams.residual_clusters(documents, min_rows=100, stop_words=STOP_WORDS, max_terms=500)
+    assignments, _ = ngrams.residual_clusters(documents, min_rows=100, stop_words=STOP_WORDS)
     counts = summaries.residual_counts(ngrams.attach_clusters(documents, assignments))
     return taxonomy.residual_only(counts)

@@ -104,11 +104,8 @@ def closure_case() -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document texts, spread over all cores when they lie in fewer file splits than that."""
-    def build() -> DataFrame:
-        df, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-    return _once(spark, sf_dir, "documents", build)
+    """Document texts; the split size of the scan decides how they are spread."""
+    return table(spark, sf_dir, "documents")
 
 
 _VIEWS: dict[tuple, DataFrame] = {}

@@ -14,9 +14,9 @@ from reqlens.contracts import BOARD_KEYS, DEMOGRAPHIC_COLUMNS, ISSUE_LEVELS, QUI
 from reqlens.functions.cleaning import zip_code
 from reqlens.functions.measures import distinct_labels, first_mode, per_10k
 from reqlens.operators.filters import matched_areas
+from reqlens.operators.frames import add_board_fields
 from reqlens.operators.joins import attach
 from reqlens.operators.order_statistics import smallest_keys
-from reqlens.operators.sampling import uniform_sample
 from reqlens.operators.scorecards import EQUITY_COUNTS, against_benchmark, group_summary, with_descriptors
 from reqlens.session import cut_lineage
 
@@ -28,12 +28,13 @@ def quintile_labels(word: str) -> list[str]:
 
 
 def equity_frame(enriched: DataFrame, demographics: DataFrame) -> DataFrame:
-    """Requests with the demographics of their area (many-to-one)."""
-    return enriched.withColumns({
+    """Requests with the demographics of their area (many-to-one); board fields follow the filled borough."""
+    filled = enriched.withColumns({
         "borough": F.coalesce(F.upper("borough"), F.lit("Unknown")),
         "descriptor": F.coalesce("descriptor", F.lit("Unknown")),
         "zcta": zip_code("incident_zip"),
-    }).join(demographics.drop("zcta_name", "acs_name"), "zcta", "left").withColumn(
+    })
+    return add_board_fields(filled).join(demographics.drop("zcta_name", "acs_name"), "zcta", "left").withColumn(
         "zcta_demographic_match_flag", F.col("median_household_income").isNotNull())
 
 
@@ -191,8 +192,8 @@ def _encode(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str
 def adjusted_models(df: DataFrame, sample_size: int | None = 250_000, seed: int = 42) -> DataFrame:
     """Demographic coefficients of a duration and a backlog model, controlling for the mix.
 
-    Rows are sampled before they get their quintiles; the small fitting tables are written
-    once, because the solvers read them again in every iteration.
+    The linear model is fitted on all rows. ``sample_size`` bounds the rows that the logistic solver
+    reads again in every iteration; its score is taken over all rows. The tables are written once.
     """
     spark = df.sparkSession
     demographic = list(QUINTILES)
@@ -202,25 +203,28 @@ def adjusted_models(df: DataFrame, sample_size: int | None = 250_000, seed: int
     columns = ["unique_key", "zcta", *CONTROL_FEATURES, "resolved_with_valid_date", "resolution_days", "unresolved_flag"]
     usable = matched_areas(df).dropna(subset=[*sources, *CONTROL_FEATURES]).select(*columns)
 
-    def fitting_rows(rows: DataFrame, label: Column) -> DataFrame:
-        sampled = uniform_sample(rows, sample_size, seed=seed) if sample_size else rows
-        labelled = label_quintiles(sampled, table).dropna(subset=features)
+    def labelled_rows(rows: DataFrame, label: Column) -> DataFrame:
+        labelled = label_quintiles(rows, table).dropna(subset=features)
         return cut_lineage(labelled.select(*[F.col(name).cast("string").alias(name) for name in features],
                                            label.cast("double").alias("label")))
 
     rows: list[tuple] = []
     resolved = usable.where(F.col("resolved_with_valid_date") & F.col("resolution_days").isNotNull())
-    duration = fitting_rows(resolved, F.log1p("resolution_days"))
+    duration = labelled_rows(resolved, F.log1p("resolution_days"))
     encoded, names = _encode(duration, features)
     linear = LinearRegression(regParam=0.0, solver="auto").fit(encoded)
     rows += _coefficient_rows("log_resolution_days", names, linear.coefficients, demographic, "r2",
                               linear.summary.r2, duration.count())
 
-    backlog = fitting_rows(usable, F.col("unresolved_flag"))
+    backlog = labelled_rows(usable, F.col("unresolved_flag"))
+    encoded.unpersist()
     encoded, names = _encode(backlog, features)
     count = backlog.count()
-    logistic = LogisticRegression(maxIter=1000, regParam=1.0 / count, standardization=False, family="binomial").fit(encoded)
+    fitted = encoded.sample(min(1.0, sample_size / max(count, 1)), seed=seed) if sample_size and count > sample_size else encoded
+    logistic = LogisticRegression(maxIter=1000, regParam=1.0 / min(count, sample_size or count), standardization=False,
+                                  family="binomial").fit(fitted)
     auc = BinaryClassificationEvaluator(numBins=0).evaluate(logistic.transform(encoded))
+    encoded.unpersist()
     rows += _coefficient_rows("unresolved_log_odds", names, logistic.coefficients, demographic, "roc_auc", auc, count)
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 

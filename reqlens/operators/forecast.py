@@ -35,14 +35,14 @@ def model_frame(enriched: DataFrame, scope: Scope = DEFAULT_SCOPE) -> DataFrame:
         name: F.coalesce(F.col(name).cast("string"), F.lit("Unknown")) for name in POST_ROUTING_FEATURES})
 
 
-def split_by_year(frame: DataFrame, scope: Scope = DEFAULT_SCOPE, train_size: int = 350_000,
-                  test_size: int = 200_000) -> tuple[DataFrame, DataFrame]:
+def split_by_year(frame: DataFrame, scope: Scope = DEFAULT_SCOPE, train_size: int = 350_000) -> tuple[DataFrame, DataFrame]:
     """Out-of-time split: fit on the base year, test on the partial year.
 
-    Both samples are of bounded size and read by every model, so they are written once.
+    The fitting rows are a sample of bounded size; every row of the test year is scored. Both are read
+    by every model, so they are written once.
     """
     train = cut_lineage(stratified_sample(frame.where(F.col("created_year") == scope.base_year), train_size))
-    test = cut_lineage(stratified_sample(frame.where(F.col("created_year") == scope.partial_year), test_size))
+    test = cut_lineage(frame.where(F.col("created_year") == scope.partial_year))
     if train.limit(1).count() == 0 or test.limit(1).count() == 0:
         raise ValueError("The training or the test year has no rows.")
     return train, test

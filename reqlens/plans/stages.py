@@ -22,7 +22,7 @@ from reqlens.operators import (
 from reqlens.operators.ranking import count_by, top_counts
 from reqlens.rules import MISMATCH_RULES, OUTCOME_RULES, SUBTYPE_RULES
 from reqlens.sources.raw import read_years
-from reqlens.sources.tables import publish, read_table, write_projection, write_table
+from reqlens.sources.tables import assert_unique, publish, read_table, write_projection, write_table
 
 Tables = dict[str, DataFrame]
 
@@ -95,8 +95,8 @@ def publish_stage(tables: Mapping[str, DataFrame], folder: str) -> dict[str, str
 
 
 def analytic_stage(spark: SparkSession, raw_path: str, out: str, scope: Scope = DEFAULT_SCOPE) -> DataFrame:
-    """Raw year folders to the analytic table."""
-    raw = read_years(spark, raw_path, [scope.base_year, scope.partial_year])
+    """Raw year folders, every year from the scope's start, to the analytic table."""
+    raw = read_years(spark, raw_path, list(range(int(scope.start[:4]), scope.partial_year + 1)))
     write_table(frames.build_analytic(raw, scope), f"{out}/analytic")
     return read_table(spark, f"{out}/analytic")
 
@@ -118,6 +118,7 @@ def taxonomy_stage(analytic: DataFrame, closure_texts: DataFrame | None, rules=S
             ("resolution_text_length", "bigint"))}
         labelled = taxonomy.fill_missing_outcomes(labelled.withColumns(empty))
     else:
+        assert_unique(closure_texts, "unique_key")
         labelled = taxonomy.attach_outcomes(labelled, closure_texts, outcomes)
     return labelled.select(*TAXONOMY_COLUMNS)
 
@@ -156,10 +157,10 @@ def equity_stage(enriched: DataFrame, demographics: DataFrame) -> Tables:
 
 
 def forecast_stage(enriched: DataFrame, scope: Scope = DEFAULT_SCOPE, train_size: int = 350_000,
-                   test_size: int = 200_000, tree_rounds: int = 200, min_slice_rows: int = 1000,
+                   tree_rounds: int = 200, min_slice_rows: int = 1000,
                    min_count: int = 100, min_leaf: int = 200) -> Tables:
     """Baseline, logistic and tree models for both feature sets, with their evaluation."""
-    train, test = forecast.split_by_year(forecast.model_frame(enriched, scope), scope, train_size, test_size)
+    train, test = forecast.split_by_year(forecast.model_frame(enriched, scope), scope, train_size)
     classes, rows = forecast.train_classes(train), train.count()
     baseline = forecast.majority_predictions(train, test)
     metrics = [forecast.classification_report(baseline, classes, MODEL_ORDER[0], "shared", rows)]
@@ -247,6 +248,8 @@ def run(spark: SparkSession, raw_path: str, out: str, areas: DataFrame, demograp
     analytic = analytic_stage(spark, raw_path, out, scope)
     write_table(taxonomy_stage(analytic, closure_texts), f"{out}/issue_subtypes")
     labelled = read_table(spark, f"{out}/issue_subtypes")
+    for side in (analytic, labelled):
+        assert_unique(side, "unique_key")  # the join is one to one
     write_table(frames.enrich(analytic, labelled), f"{out}/enriched")
     enriched = read_table(spark, f"{out}/enriched")
     paths = publish_stage(operations_stage(enriched, scope), out)

@@ -30,28 +30,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder the cluster names for checkpoints; a temporary one on a local master only.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints.
 
-    On a cluster the files of a machine-local folder die with the machine, so there none is
-    made up: without the setting the answer is None.
+    Files in a machine-local folder die with the machine, so without the setting a cluster is refused;
+    only a local master gets a temporary folder, once per application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None and spark.sparkContext.master.startswith("local"):
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         folder = tempfile.mkdtemp(prefix="reqlens-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: short plan, pruned scans.
-
-    Survives the loss of executors. Without a shared folder the rows are kept by the executors
-    and recomputed when lost.
-    """
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/reqlens-{uuid.uuid4().hex}"
+    """Write a table to the shared folder and read it back: short plan, pruned scans, safe from lost executors."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/reqlens-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,6 +22,7 @@ DEVIATIONS = 2.5  # the threshold lies so many deviations below the collisions e
 GROWTH = 1.2  # of the radius from round to round
 BLOCK_ROWS = 25_000
 QUERY_BLOCK = 20_000  # queries broadcast at once
+QUERY_GROUP = 256  # queries that widen together: their counters take 256 x 25 000 x 4 bytes = 26 MB
 
 
 def collision_threshold(projections: int = PROJECTIONS, width: float = WIDTH, deviations: float = DEVIATIONS) -> int:
@@ -39,38 +40,51 @@ class SortedProjections:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, axes: np.ndarray):
         self.ids, self.vectors, self.axes = ids, vectors, axes
         projected = vectors @ axes
-        self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32).copy()
+        self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
         self.values = np.take_along_axis(projected.T, self.order, axis=1)
 
-    def search(self, query_id: int, query: np.ndarray, k: int, threshold: int, width: float, growth: float) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest verified vectors: ids and distances, nearest first, ties by id."""
-        rows, count = len(self.ids), self.values.shape[0]
-        centre = query @ self.axes
-        at = np.array([np.searchsorted(v, c) for v, c in zip(self.values, centre)])
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, threshold: int, width: float,
+               growth: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The nearest verified vectors of each query: ids and distances, nearest first, ties by id.
+
+        The queries widen their windows together, so that a round looks up all window edges of one
+        projection at once; each query has its own radius and ends on its own.
+        """
+        rows = len(self.ids)
+        centres = queries @ self.axes
+        at = np.stack([np.searchsorted(v, c) for v, c in zip(self.values, centres.T)], axis=1)
         low, high = at.copy(), at.copy()
-        hits = np.zeros(rows, dtype=np.int64)
-        distance = np.full(rows, np.inf)
         # The first windows hold about k entries each.
-        near = np.minimum(np.maximum(at, 0) + k, rows - 1)
-        radius = max(float(np.median(np.abs(self.values[np.arange(count), near] - centre))) * 2 / width, 1e-12)
-        while True:
-            half = width * radius / 2
-            wider = [(np.searchsorted(v, c - half), np.searchsorted(v, c + half, side="right")) for v, c in zip(self.values, centre)]
-            entries = []
-            for j, (lo, hi) in enumerate(wider):
-                lo, hi = min(lo, low[j]), max(hi, high[j])
-                entries += [self.order[j, lo:low[j]], self.order[j, high[j]:hi]]
-                low[j], high[j] = lo, hi
-            hits += np.bincount(np.concatenate(entries), minlength=rows)
-            new = np.flatnonzero((hits >= threshold) & np.isinf(distance))
-            if len(new):
-                distance[new] = np.sqrt(((self.vectors[new] - query) ** 2).sum(axis=1))
-                distance[new[self.ids[new] == query_id]] = np.nan  # the query's own row
-            if np.count_nonzero(distance <= radius) >= k or (low == 0).all() and (high == rows).all():
-                found = np.flatnonzero(np.isfinite(distance))
-                best = found[np.lexsort((self.ids[found], distance[found]))[:k]]
-                return self.ids[best], distance[best]
-            radius *= growth
+        near = np.take_along_axis(self.values.T, np.minimum(at + k, rows - 1), axis=0)
+        radius = np.maximum(np.median(np.abs(near - centres), axis=1) * 2 / width, 1e-12)
+        hits = np.zeros((len(queries), rows), dtype=np.int32)
+        seen = [(np.empty(0, dtype=np.int64), np.empty(0))] * len(queries)
+        active = np.arange(len(queries))
+        while len(active):
+            half = (width * radius[active] / 2)[:, None]
+            lower, upper = centres[active] - half, centres[active] + half
+            new_low = np.stack([np.searchsorted(v, c) for v, c in zip(self.values, lower.T)], axis=1)
+            new_high = np.stack([np.searchsorted(v, c, side="right") for v, c in zip(self.values, upper.T)], axis=1)
+            new_low, new_high = np.minimum(new_low, low[active]), np.maximum(new_high, high[active])
+            ended = []
+            for turn, q in enumerate(active.tolist()):
+                edges = zip(self.order, new_low[turn].tolist(), low[q].tolist(), high[q].tolist(), new_high[turn].tolist())
+                entries = [part for order, lo, old_lo, old_hi, hi in edges for part in (order[lo:old_lo], order[old_hi:hi])]
+                fresh = np.bincount(np.concatenate(entries), minlength=rows)
+                before = hits[q] < threshold
+                hits[q] += fresh
+                new = np.flatnonzero(before & (hits[q] >= threshold))
+                if len(new):
+                    new = new[self.ids[new] != query_ids[q]]  # not the query's own row
+                    distance = np.sqrt(((self.vectors[new] - queries[q]) ** 2).sum(axis=1))
+                    seen[q] = np.concatenate([seen[q][0], new]), np.concatenate([seen[q][1], distance])
+                whole = (new_low[turn] == 0).all() and (new_high[turn] == rows).all()
+                ended.append(whole or np.count_nonzero(seen[q][1] <= radius[q]) >= k)
+            low[active], high[active] = new_low, new_high
+            radius[active] *= growth
+            active = active[~np.array(ended)]
+        best = [np.lexsort((self.ids[found], distance))[:k] for found, distance in seen]
+        return [(self.ids[found[b]], distance[b]) for b, (found, distance) in zip(best, seen)]
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -109,8 +123,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, projections: in
             for ids, matrix in _blocks(batches):
                 axes = lines(matrix.shape[1], projections, seed)
                 index = SortedProjections(ids, matrix, axes)
-                hits = [(q, *index.search(q, v, k, threshold, width, growth))
-                        for q, v in zip(query_ids.tolist(), query_vectors) if len(v) == matrix.shape[1]]
+                same = np.flatnonzero([len(v) == matrix.shape[1] for v in query_vectors])
+                hits = []
+                for start in range(0, len(same), QUERY_GROUP):
+                    part = same[start:start + QUERY_GROUP]
+                    found = index.search(query_ids[part], np.stack([query_vectors[i] for i in part]), k, threshold, width, growth)
+                    hits += [(q, *pair) for q, pair in zip(query_ids[part].tolist(), found)]
                 if hits:
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.repeat([q for q, _, _ in hits], [len(i) for _, i, _ in hits]).astype(np.int64)),

@@ -20,15 +20,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reqlens.llm.common import identified_texts
-from reqlens.llm.tokenfiles import slices
+from reqlens.llm.tokenfiles import runs, slices
 
 SPACE = "▁"
-_MEMO_CHUNKS = 500_000  # chunks of one generation of a worker's memory; it holds two
-_BATCH_CHARS = 4_000_000
-_INDEX_CHARS = 400_000  # text under one suffix array, one chunk at least
+# These bound a worker's memory (about 250 MB in all); they do not change results.
+_MEMO_CHUNKS = 150_000  # chunks of one generation of a worker's memory; it holds two
+_BATCH_BYTES = 1_000_000  # of texts turned into strings at once, one text at least
+_INDEX_CHARS = 50_000  # text under one suffix array, one chunk at least
 _STATE: dict = {}
 
 
@@ -309,11 +311,10 @@ def encode_documents(documents: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(model_path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for start, stop in slices(texts, _BATCH_CHARS):
-                coded = coder.encode(texts[start:stop])
-                same = [coder.decode(ids.tolist()) == text.replace(SPACE, " ")
-                        for ids, text in zip(coded, texts[start:stop])]
+            for start, stop in runs(pc.binary_length(batch.column(1)).to_pylist(), _BATCH_BYTES):
+                texts = batch.column(1).slice(start, stop - start).to_pylist()
+                coded = coder.encode(texts)
+                same = [coder.decode(ids.tolist()) == text.replace(SPACE, " ") for ids, text in zip(coded, texts)]
                 offsets = np.concatenate([[0], np.cumsum([len(ids) for ids in coded])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(start, stop - start), pa.array(np.diff(offsets).astype(np.int64)),

@@ -122,18 +122,23 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return _STATE[path]
 
 
-def slices(texts: Iterable[str], most: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows with at most ``most`` characters, one row at least."""
-    start = size = at = 0
-    for at, text in enumerate(texts, 1):
-        size += len(text)
-        if size >= most:
+def runs(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows that end once their sizes reach ``most``, one row at least."""
+    start = total = at = 0
+    for at, size in enumerate(sizes, 1):
+        total += size
+        if total >= most:
             yield start, at
-            start, size = at, 0
+            start, total = at, 0
     if at > start:
         yield start, at
 
 
+def slices(texts: Iterable[str], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows that end once they have ``most`` characters, one row at least."""
+    return runs(map(len, texts), most)
+
+
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 

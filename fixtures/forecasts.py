@@ -174,20 +174,27 @@ def high_confidence_misses(spark, sf):
     return misses.orderBy(F.desc("predicted_probability"), "unique_key").limit(100).select("unique_key", "predicted_probability")
 
 
-# Samples and fitted models: checked by rows here and by properties in the tests.
+# Samples: the order of the digests is the same in SQL.
 
 
-@query("uniform_sample")
+@query("uniform_sample", with_(S.ENRICHED, """SELECT unique_key, created_date, complaint_type FROM enriched
+    ORDER BY md5(unique_key || ':42'), unique_key LIMIT 1000"""))
 def uniform_sample(spark, sf):
     return sampling.uniform_sample(V.enriched(spark, sf), 1000).select("unique_key", "created_date", "complaint_type")
 
 
-@query("stratified_sample")
+@query("stratified_sample", with_(S.ENRICHED + """,
+turns AS (SELECT unique_key, resolution_bucket, count(*) OVER () AS total, count(*) OVER (PARTITION BY resolution_bucket) AS n,
+    row_number() OVER (PARTITION BY resolution_bucket ORDER BY md5(unique_key || ':42'), unique_key) AS turn
+  FROM enriched WHERE resolution_bucket IS NOT NULL)""", """SELECT unique_key, resolution_bucket FROM turns
+    ORDER BY turn > least(greatest(1, round_even(1000e0 * n / total, 0)), n), md5(unique_key || ':43'), unique_key LIMIT 1000"""))
 def stratified_sample(spark, sf):
     frame = V.enriched(spark, sf).where(F.col("resolution_bucket").isNotNull())
     return sampling.stratified_sample(frame, 1000).select("unique_key", "resolution_bucket")
 
 
+# Fitted models: checked by rows here and by properties in the tests.
+
 def _fitting_split(spark, sf):
     return forecast.split_by_year(_frame(spark, sf), V.SCOPE)
 

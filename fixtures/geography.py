@@ -211,6 +211,7 @@ def map_points(spark, sf):
     return geography.map_points(metrics, areas.select("zcta", shape.alias("geometry_wkt")), "zcta", ["complaints", "complaints_per_10k"])
 
 
-@query("point_sample")
+@query("point_sample", with_(S.ENRICHED, """SELECT longitude, latitude, complaint_type, issue_subtype FROM enriched
+    WHERE valid_coordinate_flag ORDER BY md5(unique_key || ':42'), unique_key LIMIT 500"""))
 def point_sample(spark, sf):
     return sampling.geocoded_sample(V.enriched(spark, sf), 500)

@@ -1,7 +1,8 @@
 """Seeded samples of an exact size, reproducible for any partitioning.
 
-Rows are ordered by the hash of their key. The cut that leaves exactly the wanted number of
-rows is an order statistic; the sample itself is then a filter, so rows are never shuffled.
+Rows are ordered by the md5 digest of ``key:seed``, which any SQL engine can repeat, and then by
+the key. The cut that leaves exactly the wanted number of rows is an order statistic; the sample
+itself is then a filter, so rows are never shuffled.
 """
 
 from __future__ import annotations
@@ -11,16 +12,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reqlens.contracts import TARGET
 from reqlens.operators.order_statistics import cut_points
 
-BUCKET_BITS = 16
+BUCKET_BITS = 16  # a multiple of four: whole hexadecimal digits
+
+
+def _digest(key: str, seed: int) -> Column:
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
 
 
 def _order(key: str, seed: int) -> Column:
-    return F.struct(F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.col(key).alias("k"))
+    return F.struct(_digest(key, seed).alias("h"), F.col(key).alias("k"))
 
 
 def _bucket(key: str, seed: int) -> Column:
-    """Upper bits of the hash, from zero."""
-    return F.shiftright(F.xxhash64(F.col(key), F.lit(seed)), 64 - BUCKET_BITS) + (1 << (BUCKET_BITS - 1))
+    """Upper bits of the digest."""
+    return F.conv(F.substring(_digest(key, seed), 1, BUCKET_BITS // 4), 16, 10).cast("bigint")
 
 
 def _capped(size: int) -> Column:

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -82,6 +84,7 @@ def test_uniform_sample_exact_and_stable(spark):
     one = {r[0] for r in sampling.uniform_sample(df.repartition(1), 777).collect()}
     many = {r[0] for r in sampling.uniform_sample(df.repartition(9), 777).collect()}
     assert len(one) == 777 and one == many
+    assert one == set(sorted(map(str, range(5000)), key=lambda k: (hashlib.md5(f"{k}:42".encode()).hexdigest(), k))[:777])
     assert sampling.uniform_sample(df, 9000).count() == 5000
     assert sampling.uniform_sample(df.where("false"), 10).count() == 0
 

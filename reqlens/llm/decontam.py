@@ -4,7 +4,8 @@ Texts are canonicalised: numbers, units behind a number and names become typed p
 are kept in small letters. Windows of words are hashed and joined with the windows of the benchmark. A
 match of windows with placeholders must also use its slots alike: where the benchmark repeats a value the
 document repeats one, and where it has two values the document has two. So questions whose numbers or
-names were exchanged are caught, and texts of the same outline only are not.
+names were exchanged are caught, and texts of the same outline only are not. A window with more than
+``MOST_PLACEHOLDERS`` of placeholders says too little as a template: it is matched by its own words and values.
 """
 
 from __future__ import annotations
@@ -45,19 +46,47 @@ def _hashes(words: str, places: Column, size: int) -> Column:
     return F.transform(places, lambda i: F.struct(F.xxhash64(F.slice(words, i, F.lit(size))).alias("hash"), i.alias("place")))
 
 
+def most_slots(size: int) -> int:
+    """Placeholders that a window matched as a template may hold."""
+    return int(MOST_PLACEHOLDERS * size)
+
+
+def dense_places(words: str, size: int) -> Column:
+    """Where windows of ``size`` words with too many placeholders begin: those that hold a placeholder and the
+    one so many placeholders later."""
+    more = most_slots(size)
+    last = F.size(words) - size + 1
+    slots = F.filter(F.transform(words, lambda w, i: F.when(w.isin(NUMBER, UNIT, NAME), i + 1)), lambda i: i.isNotNull())
+
+    def of_slots(at: Column) -> Column:
+        ends = F.filter(F.zip_with(F.slice(at, F.lit(1), F.greatest(F.size(at) - more, F.lit(0))), F.slice(at, F.lit(more + 1), F.size(at)),
+                                   lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda e: e["b"] - e["a"] < size)
+        begin = lambda e: F.sequence(F.least(F.greatest(e["b"] - size + 1, F.lit(1)), last), F.least(e["a"], last))
+        return F.array_distinct(F.flatten(F.transform(ends, begin)))
+
+    return F.transform(F.array(slots), of_slots)[0]
+
+
 def window_rows(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """``key, typed_form, hash, place`` of every window of ``size`` words; the typed form only where it holds a name."""
-    words = with_words(rows, key, text).select(key, "plain", "typed")
+    """``key, typed_form, exact, hash, place`` of every window of ``size`` words; the typed form only where it holds
+    a name. Windows with too many placeholders come a second time, ``exact``, with a hash of their raw words."""
+    words = with_words(rows, key, text)
     coded = lambda column: F.transform(column, lambda w: F.xxhash64(w))
-    coded_words = words.filter(F.size("plain") >= size).select(key, coded("plain").alias("plain"), coded("typed").alias("typed"))
+    long = words.filter(F.size("plain") >= size)
+    coded_words = long.select(key, coded("plain").alias("plain"), coded("typed").alias("typed"))
     last = F.size("plain") - size + 1
     name = F.xxhash64(F.lit(NAME))
     named = F.filter(F.sequence(F.lit(1), F.size("typed")), lambda i: F.element_at("typed", i) == name)
     beginnings = lambda p: F.sequence(F.greatest(F.least(p - size + 1, last), F.lit(1)), F.least(p, last))
     around = F.array_distinct(F.flatten(F.transform(named, beginnings)))
-    plain = coded_words.select(key, F.lit(False).alias("typed_form"), F.inline(_hashes("plain", F.sequence(F.lit(1), last), size)))
-    typed = coded_words.filter("typed is not null").select(key, F.lit(True).alias("typed_form"), F.inline(_hashes("typed", around, size)))
-    return plain.unionAll(typed)
+    form = lambda typed, exact: (key, F.lit(typed).alias("typed_form"), F.lit(exact).alias("exact"))
+    plain = coded_words.select(*form(False, False), F.inline(_hashes("plain", F.sequence(F.lit(1), last), size)))
+    typed = coded_words.filter("typed is not null").select(*form(True, False), F.inline(_hashes("typed", around, size)))
+    # Only windows of the plain form: a window that is dense by its names has its words and values compared there.
+    dense = (long.filter(F.array_contains("plain", NUMBER)).select(key, "raw", dense_places("plain", size).alias("places")).filter(F.size("places") > 0)
+             .select(key, "places", F.transform("raw", lambda w: F.xxhash64(F.lit("raw"), F.lower(w))).alias("raw")))
+    exact = dense.select(*form(False, True), F.inline(_hashes("raw", F.col("places"), size)))
+    return plain.unionAll(typed).unionAll(exact)
 
 
 def slot_pattern(form: Column, raw: Column, place: Column, size: int) -> Column:
@@ -94,8 +123,8 @@ def matched_windows(documents: DataFrame, benchmark: DataFrame, window: int = WI
     for size in sizes:
         own = items.filter(length == size if size < window else length >= window)
         found = patterns(window_rows(own, "item_id", "text", size), own, "item_id", size)
-        wordy = F.col("pattern").isNull() | (F.size("pattern") <= int(MOST_PLACEHOLDERS * size))
-        wanted = scratch.keep(found.filter(wordy).select("item_id", "hash", F.col("pattern").alias("item_pattern")).distinct(), f"items-{size}")
+        wordy = F.col("exact") | F.col("pattern").isNull() | (F.size("pattern") <= most_slots(size))
+        wanted = scratch.keep(found.filter(wordy).select("item_id", "hash", F.when(~F.col("exact"), F.col("pattern")).alias("item_pattern")).distinct(), f"items-{size}")
         hits = window_rows(texts, "doc_id", "text", size).join(_bounded(wanted), "hash")
         hits = scratch.keep(hits.select("doc_id", "typed_form", "place", "item_id", "item_pattern"), f"hits-{size}")
         # Equal hashes have their placeholders at equal places; only windows with placeholders need more.
@@ -116,7 +145,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     ``n_windows`` counts the document's windows that match, ``items`` lists the ids of the items matched
     in ascending order, comma-joined (empty without a match); one match makes a document contaminated.
-    Slots are compared within each window.
+    Slots are compared within each window. A window with more than ``MOST_PLACEHOLDERS`` of placeholders is
+    matched by equal words and values only, so copies of it with other values are not found.
     Null and empty texts and texts shorter than every window match nothing. Rows with one id, and rows
     without an id, share their matches. Repeated items count once; items without words and an empty
     benchmark match nothing; items without an id match as well but are not listed. Only ids and texts

@@ -111,6 +111,28 @@ def test_template_windows(spark, text, items):
     assert (row["items"], row["contaminated"]) == (items, items != "")
 
 
+DENSE = [(1, "Compute 12 + 15 * 7 - 3 / 4"), (2, "1 1 2 3 5 8 13 21 34 55 89 144"), (3, "row 3.5 4 km 7 8 km 9 row 10 11 12 13 14 sum"), (4, "42")]
+
+
+def test_windows_of_many_placeholders_need_equal_values(spark):
+    wanted = {"so: compute 12 + 15 * 7 - 3 / 4, please": "1", "compute 12 + 15 * 7 - 3 / 5": "", "see 0 1 1 2 3 5 8 13 21 34 55 89 here": "2",
+              "1 1 2 3 5 8 13 21 34": "", "0 0 0 0 0 0 0 0 0 0 0 0": "", "Row 3.5 4 KM 7 8 km 9 row 10 and": "3", "row 3.5 4 km 7 8 km 9 row 1": "",
+              "it is 42": "4", "it is 43": ""}
+    benchmark = spark.createDataFrame(DENSE, "item_id bigint, text string")
+    found = {r["doc_id"]: r["items"] for r in decontam.contamination(documents(spark, list(enumerate(wanted))), benchmark).collect()}
+    assert [found[i] for i in range(len(wanted))] == list(wanted.values())
+
+
+def test_places_of_dense_windows(spark):
+    rnd = random.Random(3)
+    for size in (1, 3, 6, 10):
+        texts = [[rnd.choice(["a", "0", "1", "b"]) for _ in range(rnd.randint(size, 40))] for _ in range(60)]
+        frame = spark.createDataFrame([(t,) for t in texts], "w array<string>").select("w", decontam.dense_places("w", size).alias("p"))
+        for r in frame.collect():
+            assert sorted(r["p"]) == [i + 1 for i in range(len(r["w"]) - size + 1)
+                                      if sum(x in "01" for x in r["w"][i:i + size]) > decontam.MOST_PLACEHOLDERS * size]
+
+
 def test_contamination_with_odd_rows(spark):
     benchmark = spark.createDataFrame(BENCHMARK, "item_id bigint, text string").withColumn("hash", F.lit(1))
     frame = documents(spark, [(1, BENCHMARK[0][1]), (1, "clean"), (None, BENCHMARK[0][1]), (2, "clean " * 5000)]).withColumn("place", F.lit(0))

@@ -3,7 +3,8 @@
 Terms describe how a text is written (shapes of words, neighbouring shapes, bands of simple ratios) and,
 with less weight, its words. A truncated singular value decomposition of the labelled texts gives the
 latent space. The labelled vectors are broadcast; every document gets its exact cosine to all of them, in
-blocks, and its nearest labelled texts vote.
+blocks, and its nearest labelled texts vote. Where a class has more labelled rows than the sample takes, its
+votes count for as many rows as each stands for, so the sample's bound does not change the shares of the classes.
 """
 
 from __future__ import annotations
@@ -89,12 +90,13 @@ class Terms:
 
 @dataclass
 class QualityModel:
-    """Term weights, the basis of the latent space, and the labelled vectors with their labels."""
+    """Term weights, the basis of the latent space, and the labelled vectors with their labels and the rows each stands for."""
 
     idf: np.ndarray
     basis: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
+    stands_for: np.ndarray
     base_rate: float
 
     def latent(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -106,7 +108,7 @@ class QualityModel:
         return np.divide(out, norm, out=out, where=norm > 0)
 
     def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Share of label 1 among the nearest labelled texts, weighted by similarity."""
+        """Share of label 1 among the nearest labelled texts, weighted by similarity and by the rows each stands for."""
         out = np.full(len(rows), self.base_rate)
         if not len(self.labels):
             return out
@@ -115,22 +117,33 @@ class QualityModel:
             own = self.latent(rows[start:start + _BLOCK])
             cosine = own @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0.0).astype(np.float64) ** 4
+            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0.0).astype(np.float64) ** 4 * self.stands_for[near]
             total = weight.sum(axis=1)
             voted = (weight * self.labels[near]).sum(axis=1)
             out[start:start + _BLOCK] = np.where(total > 0, voted / np.where(total > 0, total, 1), self.base_rate)
         return np.clip(out, 0.0, 1.0)
 
 
+def known_labels(labels: DataFrame, label: str, divisor: int, held_out: int) -> DataFrame:
+    """``labelled_id, target`` outside the held-out fold; without null ids and labels other than 0 and 1, the larger label of an id."""
+    return (labels.select(F.col("doc_id").alias("labelled_id"), F.col(label).cast("int").alias("target"))
+            .filter(F.col("target").isin(0, 1) & (remainder(F.col("labelled_id"), divisor) != held_out))
+            .groupBy("labelled_id").agg(F.max("target").alias("target")))
+
+
+def rows_for_each(labels: DataFrame, label: str, divisor: int, held_out: int, rows: int) -> np.ndarray:
+    """By class, how many labelled ids of the whole fold one of at most ``rows`` chosen ids stands for."""
+    counts = {r["target"]: r["count"] for r in known_labels(labels, label, divisor, held_out).groupBy("target").count().collect()}
+    return np.array([max(1.0, counts.get(target, 0) / rows) for target in (0, 1)])
+
+
 def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, divisor: int, held_out: int, rows: int) -> DataFrame:
     """``doc_id, text, target`` of at most ``rows`` labelled documents of each class, outside the held-out fold.
 
     The choice is by a hash of the id. Null labels, ids and labels other than 0 and 1 take no part; of
     several rows with one id each text counts, with the larger label.
     """
-    known = (labels.select(F.col("doc_id").alias("labelled_id"), F.col(label).cast("int").alias("target"))
-             .filter(F.col("target").isin(0, 1) & (remainder(F.col("labelled_id"), divisor) != held_out))
-             .groupBy("labelled_id").agg(F.max("target").alias("target")))
+    known = known_labels(labels, label, divisor, held_out)
     order = F.xxhash64("labelled_id", F.lit(7))
     chosen = (known.filter("target = 1").orderBy(order, "labelled_id").limit(rows)
               .unionAll(known.filter("target = 0").orderBy(order, "labelled_id").limit(rows)))
@@ -162,7 +175,7 @@ def fit(documents: DataFrame, labels: DataFrame, divisor: int = 4, held_out: int
     examples, targets = collect_terms(labelled_texts(documents, labels, "quality", divisor, held_out, rows))
     size = SHAPE_TERMS + WORD_TERMS
     if not len(targets):
-        return QualityModel(np.ones(size), np.zeros((size, 1), np.float32), np.zeros((0, 1), np.float32), targets, 0.5)
+        return QualityModel(np.ones(size), np.zeros((size, 1), np.float32), np.zeros((0, 1), np.float32), targets, targets, 0.5)
     seen = np.zeros(size)
     for keys, _ in examples:
         seen[keys] += 1
@@ -176,7 +189,8 @@ def fit(documents: DataFrame, labels: DataFrame, divisor: int = 4, held_out: int
     # Right singular vectors of the term matrix.
     _, vectors = np.linalg.eigh(gram)
     basis = np.ascontiguousarray(vectors[:, ::-1][:, :DIMENSIONS], dtype=np.float32)
-    model = QualityModel(idf, basis, np.zeros((0, 1), np.float32), targets, float(targets.mean()))
+    stands_for = rows_for_each(labels, "quality", divisor, held_out, rows)[targets.astype(int)]
+    model = QualityModel(idf, basis, np.zeros((0, 1), np.float32), targets, stands_for, float(np.average(targets, weights=stands_for)))
     model.vectors = model.latent(examples)
     return model
 
@@ -197,7 +211,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, divisor: int = 4, h
 
     ``score`` is the weighted share of label 1 among the neighbours, ``predicted`` is 1 from 0.7. Texts
     without words (null, empty, white space) and documents far from all labelled ones get the share of
-    label 1 in the fitted sample (0.5 without labels). ``held_out`` is null for null ids. Repeated rows
+    label 1 in the whole fold (0.5 without labels). ``held_out`` is null for null ids. Repeated rows
     are scored each; an empty table gives an empty result. Only the text enters the score.
     """
     texts = identified_texts(documents)

@@ -40,6 +40,18 @@ def test_labels_of_the_held_out_fold_are_not_read(spark):
     assert quality.labelled_texts(documents, labels, "quality", 4, 2, 5).count() == 10
 
 
+def test_scores_do_not_depend_on_the_bound_of_the_sample(spark):
+    import zlib
+    rows = [(i, int(i % 20 > 2)) for i in range(400)]
+    documents = spark.createDataFrame([(i, "plain words here") for i, _ in rows] + [(1000, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame(rows, "doc_id bigint, quality int")
+    fold = [q for i, q in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    share = sum(fold) / len(fold)
+    # Ten rows of each class, all of them among the neighbours of every text.
+    scores = {r["doc_id"]: r["score"] for r in quality.score_documents(documents, labels, rows=10).filter("doc_id in (1, 1000)").collect()}
+    assert abs(scores[1] - share) < 1e-6 and abs(scores[1000] - share) < 1e-6
+
+
 def test_scores_of_odd_rows(spark):
     documents = spark.createDataFrame([(1, ""), (2, None), (None, "words"), (3, "word " * 30_000), (3, "again")], "doc_id bigint, text string").withColumn("score", F.lit("x"))
     for score, label in ((quality.score_documents, "quality"), (toxicity.score_documents, "toxic")):

@@ -1,11 +1,12 @@
 """Benchmark decontamination by template windows.
 
 Texts are canonicalised: numbers, units behind a number and names become typed placeholders, other words
-are kept in small letters. Windows of words are hashed and joined with the windows of the benchmark. A
+are kept in small letters. A name is a run of capitalised words, wherever it stands, without function words;
+it is one placeholder. Windows of words are hashed and joined with the windows of the benchmark. A
 match of windows with placeholders must also use its slots alike: where the benchmark repeats a value the
 document repeats one, and where it has two values the document has two. So questions whose numbers or
 names were exchanged are caught, and texts of the same outline only are not. A window with more than
-``MOST_PLACEHOLDERS`` of placeholders says too little as a template: it is matched by its own words and values.
+``MOST_PLACEHOLDERS`` of placeholders (a name or unit that comes again in it not counted) says too little as a template: it is matched by its own words and values.
 """
 
 from __future__ import annotations
@@ -26,24 +27,43 @@ UNITS = ("mm cm m km in ft yd mi miles mile meters metres meter metre g kg mg lb
 _WORD = r"\p{L}[\p{L}\p{M}]*+"
 _NUMBER = r"[0-9]++(?:[.,][0-9]++)*+"
 _UNIT = rf"{NUMBER}(\s+)(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}])"
-# A capitalised word behind something other than the end of a sentence; all capitals are no names.
-_NAME = rf"\p{{Lu}}(?<=[^.!?\n\s][ \t\"'(]{{1,3}}.)\p{{Ll}}[\p{{L}}\p{{M}}]*+"
+# Words that are no names when capitalised.
+FUNCTION_WORDS = ("a an the this that these those it its he she they we you his her their our your my in on at by for from of to with without "
+                  "into onto over under after before behind between during through until since about against among and or but nor so yet if "
+                  "then than as when while where who whom whose which what why how there here is are was were be been has have had do does did "
+                  "can could should would shall must might not no all any both each every either neither some most many much few several "
+                  "one two three four five six seven eight nine ten first second also only just now once because although though").split()
+_ONE_NAME = rf"(?!(?:{'|'.join(w.capitalize() for w in FUNCTION_WORDS)})(?![\p{{L}}\p{{M}}]))\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}]*+"
+# Capitalised words that follow each other; all capitals and single letters are no names.
+_NAME = rf"(?<![\p{{L}}\p{{M}}]){_ONE_NAME}(?:[ \t'’-]{{1,3}}{_ONE_NAME})*+"
+# The words of the form with names, as they stand in the text: a name is one of them.
+_NAMED = rf"(?<=[0-9]\s{{0,40}})(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}])|{_NAME}|{_WORD}|{_NUMBER}"
 
 
 def with_words(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, raw, plain, typed``: the words of each text, aligned: as they are, with numbers and units as
-    placeholders, and with names as placeholders too (``typed`` is null where the text has no name)."""
+    """``key, raw_text, raw, named, plain, typed``: the words of each text. ``raw`` (as they are) is aligned with ``plain``
+    (numbers and units as placeholders), ``named`` (as they are, a name in one) with ``typed`` (names as placeholders
+    too; null where the text has no name)."""
     numbered = F.when(F.col(text).rlike("[0-9]"), F.regexp_replace(F.regexp_replace(text, _NUMBER, f" {NUMBER} "), _UNIT, f"{NUMBER}$1{UNIT} "))
     canonical = rows.select(key, F.col(text).alias("raw_text"), F.coalesce(numbered, text).alias("plain_text"))
     words = lambda column: F.regexp_extract_all(F.lower(column), F.lit(f"{_WORD}|[{NUMBER}{UNIT}{NAME}]"), F.lit(0))
     return canonical.select(
-        key, F.regexp_extract_all("raw_text", F.lit(f"{_WORD}|{_NUMBER}"), F.lit(0)).alias("raw"), words(F.col("plain_text")).alias("plain"),
+        key, "raw_text", raw_words(F.col("raw_text")).alias("raw"), F.regexp_extract_all("raw_text", F.lit(_NAMED), F.lit(0)).alias("named"),
+        words(F.col("plain_text")).alias("plain"),
         F.when(F.col("plain_text").rlike(_NAME), words(F.regexp_replace("plain_text", _NAME, f" {NAME} "))).alias("typed"))
 
 
-def _hashes(words: str, places: Column, size: int) -> Column:
-    """Hash and place of the windows that begin at ``places``; ``words`` names an array of word hashes."""
-    return F.transform(places, lambda i: F.struct(F.xxhash64(F.slice(words, i, F.lit(size))).alias("hash"), i.alias("place")))
+def raw_words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"{_WORD}|{_NUMBER}"), F.lit(0))
+
+
+WINDOWS = "array<struct<typed_form:boolean,exact:boolean,hash:bigint,place:int>>"
+
+
+def _hashes(words: str, places: Column, size: int, typed_form: bool = False, exact: bool = False) -> Column:
+    """Form, hash and place of the windows that begin at ``places``; ``words`` names an array of word hashes."""
+    return F.transform(places, lambda i: F.struct(F.lit(typed_form).alias("typed_form"), F.lit(exact).alias("exact"),
+                                                  F.xxhash64(F.slice(words, i, F.lit(size))).alias("hash"), i.alias("place")))
 
 
 def most_slots(size: int) -> int:
@@ -70,39 +90,54 @@ def dense_places(words: str, size: int) -> Column:
 def window_rows(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """``key, typed_form, exact, hash, place`` of every window of ``size`` words; the typed form only where it holds
     a name. Windows with too many placeholders come a second time, ``exact``, with a hash of their raw words."""
-    words = with_words(rows, key, text)
     coded = lambda column: F.transform(column, lambda w: F.xxhash64(w))
-    long = words.filter(F.size("plain") >= size)
-    coded_words = long.select(key, coded("plain").alias("plain"), coded("typed").alias("typed"))
     last = F.size("plain") - size + 1
+    typed_last = F.size("typed") - size + 1
     name = F.xxhash64(F.lit(NAME))
     named = F.filter(F.sequence(F.lit(1), F.size("typed")), lambda i: F.element_at("typed", i) == name)
-    beginnings = lambda p: F.sequence(F.greatest(F.least(p - size + 1, last), F.lit(1)), F.least(p, last))
+    beginnings = lambda p: F.sequence(F.greatest(F.least(p - size + 1, typed_last), F.lit(1)), F.least(p, typed_last))
     around = F.array_distinct(F.flatten(F.transform(named, beginnings)))
-    form = lambda typed, exact: (key, F.lit(typed).alias("typed_form"), F.lit(exact).alias("exact"))
-    plain = coded_words.select(*form(False, False), F.inline(_hashes("plain", F.sequence(F.lit(1), last), size)))
-    typed = coded_words.filter("typed is not null").select(*form(True, False), F.inline(_hashes("typed", around, size)))
+    none = F.array().cast(WINDOWS)
     # Only windows of the plain form: a window that is dense by its names has its words and values compared there.
-    dense = (long.filter(F.array_contains("plain", NUMBER)).select(key, "raw", dense_places("plain", size).alias("places")).filter(F.size("places") > 0)
-             .select(key, "places", F.transform("raw", lambda w: F.xxhash64(F.lit("raw"), F.lower(w))).alias("raw")))
-    exact = dense.select(*form(False, True), F.inline(_hashes("raw", F.col("places"), size)))
-    return plain.unionAll(typed).unionAll(exact)
+    many = F.when((last > 0) & F.array_contains("plain", NUMBER), dense_places("plain", size))
+    words = with_words(rows, key, text).select(key, "raw_text", coded("plain").alias("plain"), coded("typed").alias("typed"), many.alias("many"))
+    raw = F.when(F.size("many") > 0, F.transform(raw_words(F.col("raw_text")), lambda w: F.xxhash64(F.lit("raw"), F.lower(w))))
+    return words.select(key, "plain", "typed", "many", raw.alias("raw")).select(key, F.inline(F.concat(
+        F.when(last > 0, _hashes("plain", F.sequence(F.lit(1), last), size)).otherwise(none),
+        F.when(F.col("typed").isNotNull() & (typed_last > 0), _hashes("typed", around, size, typed_form=True)).otherwise(none),
+        F.when(F.col("raw").isNotNull(), _hashes("raw", F.col("many"), size, exact=True)).otherwise(none))))
 
 
-def slot_pattern(form: Column, raw: Column, place: Column, size: int) -> Column:
-    """The window's slots numbered by the first place of their value; null without slots."""
+def slot_values(form: Column, raw: Column, place: Column, size: int) -> Column:
+    """The values of the window's slots, in small letters."""
     pairs = F.zip_with(F.slice(form, place, F.lit(size)), F.slice(raw, place, F.lit(size)),
                        lambda w, r: F.when(w.isin(NUMBER, UNIT, NAME), F.lower(r)))
-    values = F.filter(pairs, lambda v: v.isNotNull())
+    return F.filter(pairs, lambda v: v.isNotNull())
+
+
+def slot_pattern(values: Column) -> Column:
+    """Slots numbered by the first place of their value; null without slots."""
     return F.when(F.size(values) > 0, F.transform(values, lambda v: F.array_position(values, v)))
 
 
+def free_slots(values: Column) -> Column:
+    """Slots without the names and units that repeat one before: these are as settled as words."""
+    number = lambda v: v.rlike("^[0-9]")
+    return F.size(F.filter(values, number)) + F.size(F.array_distinct(F.filter(values, lambda v: ~number(v))))
+
+
 def patterns(windows: DataFrame, rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Adds ``pattern`` to windows ``key, typed_form, place``; the texts are read again for these keys only."""
-    words = with_words(rows, key, "text").select(F.col(key).alias("words_key"), "raw", "plain", "typed")
-    form = F.when(F.col("typed_form"), F.col("typed")).otherwise(F.col("plain"))
+    """Adds ``pattern`` and ``free`` to windows ``key, typed_form, place``; the texts are read again for these keys only.
+
+    Places become those of the plain window that ends where the last word or name of the window begins."""
+    words = with_words(rows, key, "text").select(F.col(key).alias("words_key"), "raw", "named", "plain", "typed")
+    pick = lambda typed, plain: F.when(F.col("typed_form"), F.col(typed)).otherwise(F.col(plain))
+    before = F.size(raw_words(F.array_join(F.slice("named", F.lit(1), F.col("place") + size - 2), "\n")))
     return (windows.join(words, windows[key].eqNullSafe(words["words_key"]))
-            .withColumn("pattern", slot_pattern(form, F.col("raw"), F.col("place"), size)).drop("words_key", "raw", "plain", "typed"))
+            .withColumn("values", slot_values(pick("typed", "plain"), pick("named", "raw"), F.col("place"), size))
+            .withColumns({"pattern": slot_pattern(F.col("values")), "free": free_slots(F.col("values")),
+                          "place": F.when(F.col("typed_form"), before + 2 - size).otherwise(F.col("place"))})
+            .drop("words_key", "raw", "named", "plain", "typed", "values"))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -116,14 +151,19 @@ def matched_windows(documents: DataFrame, benchmark: DataFrame, window: int = WI
     scratch = Scratch(spark, "decontam")
     items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).distinct()
     texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull())
-    length = F.size(F.regexp_extract_all("text", F.lit(f"{_WORD}|{_NUMBER}"), F.lit(0)))
-    # At most ``window`` sizes: an item with fewer words is one window of its own size.
-    sizes = sorted(r["size"] for r in items.select(F.least(length, F.lit(window)).alias("size")).distinct().collect() if r["size"] > 0)
+    # At most ``window`` sizes: an item with fewer words is one window of its own size, in each form.
+    length = lambda form: F.least(F.when(F.size(form) > 0, F.size(form)), F.when(F.size(form) > 0, window))
+    sized = scratch.keep(with_words(items, "item_id", "text").select("item_id", F.col("raw_text").alias("text"), length("plain").alias("plain_size"),
+                                                                     length("typed").alias("typed_size")), "items")
+    sizes = sorted(r["size"] for r in sized.select(F.explode(F.array("plain_size", "typed_size")).alias("size")).distinct().collect() if r["size"])
     matched = [spark.range(0).selectExpr("id AS doc_id", "CAST(0 AS INT) AS size", "CAST(0 AS INT) AS place", "id AS item_id")]
     for size in sizes:
-        own = items.filter(length == size if size < window else length >= window)
-        found = patterns(window_rows(own, "item_id", "text", size), own, "item_id", size)
-        wordy = F.col("exact") | F.col("pattern").isNull() | (F.size("pattern") <= most_slots(size))
+        parts = []
+        for form, mine in (("plain_size", "not typed_form"), ("typed_size", "typed_form")):
+            own = sized.filter(F.col(form) == size).select("item_id", "text")
+            parts.append(patterns(window_rows(own, "item_id", "text", size).filter(mine), own, "item_id", size))
+        found = parts[0].unionAll(parts[1])
+        wordy = F.col("exact") | F.col("pattern").isNull() | (F.col("free") <= most_slots(size))
         wanted = scratch.keep(found.filter(wordy).select("item_id", "hash", F.when(~F.col("exact"), F.col("pattern")).alias("item_pattern")).distinct(), f"items-{size}")
         hits = window_rows(texts, "doc_id", "text", size).join(_bounded(wanted), "hash")
         hits = scratch.keep(hits.select("doc_id", "typed_form", "place", "item_id", "item_pattern"), f"hits-{size}")
@@ -145,8 +185,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     ``n_windows`` counts the document's windows that match, ``items`` lists the ids of the items matched
     in ascending order, comma-joined (empty without a match); one match makes a document contaminated.
-    Slots are compared within each window. A window with more than ``MOST_PLACEHOLDERS`` of placeholders is
-    matched by equal words and values only, so copies of it with other values are not found.
+    Slots are compared within each window. Windows of both forms that end at one word count once. A window with more than
+    ``MOST_PLACEHOLDERS`` of placeholders (a name or unit that comes again not counted) is matched by equal words and values only, so copies of it with other values are not found.
     Null and empty texts and texts shorter than every window match nothing. Rows with one id, and rows
     without an id, share their matches. Repeated items count once; items without words and an empty
     benchmark match nothing; items without an id match as well but are not listed. Only ids and texts

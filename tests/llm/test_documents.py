@@ -123,6 +123,17 @@ def test_windows_of_many_placeholders_need_equal_values(spark):
     assert [found[i] for i in range(len(wanted))] == list(wanted.values())
 
 
+def test_names_begin_sentences_and_are_one_placeholder(spark):
+    items = [(1, "Tom has 5 apples. Sue has 7 pears. Tom gives Sue 3."), (2, "Maria sells green lamps"), (3, "yesterday our neighbour John Smith went home and sang to the old cat"),
+             (4, "The river was cold. Then Anna swam to the far bank alone.")]
+    wanted = {"Ann has 8 apples. Bob has 6 pears. Ann gives Bob 4.": "1", "Ann has 8 apples. Bob has 6 pears. Bob gives Ann 4.": "", "so John Smith sells green lamps": "2",
+              "Green lamps": "", "yesterday our neighbour Maria went home and sang to the old cat": "3", "The river was cold. Then Mary Ann O'Neil swam": "",
+              "The river was cold. Then Mary Ann swam to the far bank": "4", "A river was cold. Then Mary Ann swam to the far": ""}
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    found = {r["doc_id"]: r["items"] for r in decontam.contamination(documents(spark, list(enumerate(wanted))), benchmark).collect()}
+    assert [found[i] for i in range(len(wanted))] == list(wanted.values())
+
+
 def test_places_of_dense_windows(spark):
     rnd = random.Random(3)
     for size in (1, 3, 6, 10):

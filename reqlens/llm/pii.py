@@ -1,4 +1,7 @@
-"""Personal data: patterns propose spans, check digits confirm them, nearby words adjust the score."""
+"""Personal data: patterns propose spans, check digits confirm them, nearby words adjust the score.
+
+The words are looked for in the text around a match, past other matches: an entry of a list has the words of the list.
+"""
 
 from __future__ import annotations
 
@@ -73,12 +76,12 @@ BASE = tuple(kind for kind in KINDS if kind.base)
 DOUBTS = "version|release|order|invoice|isbn|example"
 
 
-def _score(kind: Kind) -> Callable[[Column], Column]:
-    """The kind's score, more with fitting words before the match, less with words of harmless numbers."""
+def _score(kind: Kind, text: Column) -> Callable[[Column], Column]:
+    """The kind's score, more with fitting words before or behind the match, less with words of harmless numbers before it."""
 
     def score(place: Column) -> Column:
-        before = F.lower(place["before"])
-        return F.round(F.lit(kind.score) + F.when(before.rlike(kind.context), 0.3).otherwise(0.0)
+        before, behind = F.lower(spans.before(text, place)), F.lower(spans.behind(text, place))
+        return F.round(F.lit(kind.score) + F.when(before.rlike(kind.context) | behind.rlike(kind.context), 0.3).otherwise(0.0)
                        - F.when(before.rlike(DOUBTS), 0.2).otherwise(0.0), 6)
 
     return score
@@ -98,7 +101,7 @@ def with_spans(rows: DataFrame, text: str, out: str) -> DataFrame:
                               for k in KINDS})
     named = found.withColumns({f"{out}_{k.name}": spans.as_spans(
         F.filter(spans.located(F.col(text), F.col(f"{out}_{k.name}"), k.pattern), _passes(k)),
-        k.name, i, _score(k)) for i, k in enumerate(KINDS)})
+        k.name, i, _score(k, F.col(text))) for i, k in enumerate(KINDS)})
     base = named.withColumn(f"{out}_base", spans.in_order([F.col(f"{out}_{k.name}") for k in BASE]))
     more = F.filter(F.concat(*[F.col(f"{out}_{k.name}") for k in KINDS if not k.base]), lambda s: s["score"] >= THRESHOLD)
     return (base.withColumn(out, spans.in_order([F.col(f"{out}_base"), spans.apart_from(more, F.col(f"{out}_base"))]))

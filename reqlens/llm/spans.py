@@ -10,8 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-CONTEXT = 40  # code points before a match that count as its context
-FOUND = "array<struct<start:int,stop:int,value:string,before:string>>"
+CONTEXT = 40  # code points before a match, and behind it, that count as its context
+FOUND = "array<struct<start:int,stop:int,value:string>>"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -20,13 +20,13 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def located(text: Column, found: Column, pattern: str) -> Column:
-    """Matches with their places and the text shortly before them; ``found`` are the text's matches."""
+    """Matches with their places; ``found`` are the text's matches."""
     pieces = F.split(text, pattern, -1)
 
     def step(state: Column, item: Column) -> Column:
         start = state["at"] + F.length(item["piece"])
         stop = start + F.length(item["value"])
-        one = F.struct(start.alias("start"), stop.alias("stop"), item["value"].alias("value"), F.right(item["piece"], F.lit(CONTEXT)).alias("before"))
+        one = F.struct(start.alias("start"), stop.alias("stop"), item["value"].alias("value"))
         return F.struct(stop.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
     pairs = F.zip_with(found, F.slice(pieces, F.lit(1), F.size(found)), lambda v, p: F.struct(v.alias("value"), p.alias("piece")))
@@ -34,6 +34,17 @@ def located(text: Column, found: Column, pattern: str) -> Column:
     return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(FOUND))
 
 
+def before(text: Column, place: Column) -> Column:
+    """The text shortly before a place, whatever matches it holds."""
+    start = F.greatest(place["start"] - CONTEXT, F.lit(0))
+    return F.substring(text, start + 1, place["start"] - start)
+
+
+def behind(text: Column, place: Column) -> Column:
+    """The text shortly behind a place."""
+    return F.substring(text, place["stop"] + 1, F.lit(CONTEXT))
+
+
 def as_spans(places: Column, kind: str, rank: int, score) -> Column:
     """Places as spans; ``score`` makes a column of a place."""
     return F.transform(places, lambda p: F.struct(p["start"].alias("start"), F.lit(rank).alias("rank"), p["stop"].alias("stop"),

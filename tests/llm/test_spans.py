@@ -67,6 +67,16 @@ def test_added_kinds_need_checks_and_context(spark):
     assert found[4] == "local_phone:5:19" and found[5] == "" and found[6] == "phone:0:17"
 
 
+def test_context_reaches_over_other_matches_and_behind(spark):
+    rows = {"SSN 123-45-6789, 234-56-7890": "national_id:4:15,national_id:17:28", "call (555) 123-4567 or (555) 765-4321": "local_phone:5:19,local_phone:23:37",
+            "SSN since 2001-02-03: 123-45-6789": "national_id:22:33", "(555) 123-4567 is my phone": "local_phone:0:14", "é😀 call (555) 123-4567": "local_phone:8:22",
+            "call " + "x" * 41 + " (555) 123-4567": "", "(555) 123-4567 " + "x" * 40 + " phone": "", "123-45-6789": ""}
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.pii_digest(frame).collect()}
+    assert [found[i] for i in range(len(rows))] == list(rows.values())
+    assert pii.redact(frame).filter("doc_id = 0").collect()[0]["text"] == "SSN <national_id>, <national_id>"
+
+
 def test_redact_keeps_columns(spark):
     frame = spark.createDataFrame([(1, "write é@x a@b.cd or +1 234 567 8901.", "en", 9, 7), (2, None, None, None, 8), (3, "nothing", "en", 7, None)],
                                   "doc_id bigint, text string, lang string, n_chars bigint, spans int")

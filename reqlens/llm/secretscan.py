@@ -1,6 +1,6 @@
 """Secrets: known forms, and tokens that a battery of randomness tests cannot tell from random ones.
 
-The encoding of a long token is inferred from its alphabet. Three tests ask whether the token could be
+The encoding of a long token is the narrowest alphabet that has all its signs; every token has one. Three tests ask whether the token could be
 random in that alphabet: chi-squared uniformity, runs above and below the middle, and serial correlation.
 Their p-values are combined by Fisher's method. Within each encoding and class of lengths the step-up
 procedure of Benjamini and Hochberg decides, over all tokens of the corpus, which tokens are not random;
@@ -32,15 +32,21 @@ BASE = (
 )
 VALUE_LENGTH = 6  # of an assigned value at least
 TOKEN = rf"[A-Za-z0-9+/_-](?<![A-Za-z0-9+/_-]{{2}})[A-Za-z0-9+/_-]{{{SHORTEST - 1},}}+"
-# Encodings from the narrowest: name, pattern of the whole token, alphabet in the order of values.
+# Encodings from the narrowest, the last one of all signs of a token: name, pattern of the whole token, alphabet in the order of values.
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = (
+    ("digits", "^[0-9]+$", DIGITS),
     ("hex", "^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", DIGITS + LOWER[:6]),
     ("upper_hex", "^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", DIGITS + UPPER[:6]),
+    ("lower", "^[a-z]+$", LOWER),
+    ("upper", "^[A-Z]+$", UPPER),
     ("base32", "^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", UPPER + DIGITS[2:8]),
     ("base36", "^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", DIGITS + LOWER),
-    ("base64", "^(?=.*[0-9].*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
-    ("url_base64", "^(?=.*[0-9].*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
+    ("upper_base36", "^[0-9A-Z]+$", DIGITS + UPPER),
+    ("letters", "^[A-Za-z]+$", UPPER + LOWER),
+    ("base64", "^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
+    ("url_base64", "^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
+    ("all", "^[A-Za-z0-9+/_-]+$", UPPER + LOWER + DIGITS + "+/-_"),
 )
 
 
@@ -99,7 +105,7 @@ def length_class(length: Column) -> Column:
 
 
 def tested_tokens(text: Column, found: Column) -> Column:
-    """Tokens with an inferred encoding: place, stratum (encoding and length class), bin of the p-value."""
+    """All tokens: place, stratum (encoding and length class), bin of the p-value."""
     alphabets = F.array(*[F.lit(alphabet) for _, _, alphabet in ENCODINGS])
 
     def inferred(place: Column) -> Column:
@@ -113,8 +119,7 @@ def tested_tokens(text: Column, found: Column) -> Column:
         return F.struct(token["start"].alias("start"), token["stop"].alias("stop"),
                         (token["encoding"] * 100 + length_class(F.length(token["value"]))).alias("stratum"), bin_.alias("bin"))
 
-    coded = F.filter(F.transform(spans.located(text, found, TOKEN), inferred), lambda t: t["encoding"].isNotNull())
-    return F.transform(coded, judged)
+    return F.transform(F.transform(spans.located(text, found, TOKEN), inferred), judged)
 
 
 def scan(documents: DataFrame) -> DataFrame:

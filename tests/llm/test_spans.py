@@ -101,6 +101,21 @@ def test_random_tokens_are_found_and_structured_ones_are_not(spark):
     assert found[100] == found[101] == found[102] == ""
 
 
+def test_every_random_token_is_tested(spark):
+    import random
+    rnd = random.Random(5)
+    alphabets = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"]
+    tokens = ["".join(rnd.choices(a, k=40)) for a in alphabets for _ in range(40)] + ["aBcDeFgHiJkLmNoPqRsT" + "u1vWxYzQ"]
+    rows = [(i, f"key {token} end") for i, token in enumerate(tokens)] + [(200, "key " + "0" * 40), (201, "key " + "ab" * 20), (202, "a_b-" * 10)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    tested = {r["doc_id"]: r["n"] for r in secretscan.scan(frame).select("doc_id", F.size("tokens").alias("n")).collect()}
+    assert all(n == 1 for n in tested.values())
+    found = {r["doc_id"]: r["spans"] for r in secretscan.secrets_digest(frame).collect()}
+    for k in range(3):
+        assert sum(":4:44" in found[i] for i in range(40 * k, 40 * k + 40)) >= 36
+    assert not any("random" in found[i] for i in (200, 201, 202))
+
+
 def test_battery_accepts_random_tokens_at_its_rate(spark):
     tokens = [(hashlib.sha256(str(i).encode()).hexdigest(),) for i in range(400)]
     frame = spark.createDataFrame(tokens, "t string").select(secretscan.battery(F.col("t"), F.lit("0123456789abcdef")).alias("p"))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reqlens.llm import (common, decontam, neardup, neighbours, pieces, pii, quality, secretscan, sql, tokenfiles, toxicity,
-                         urlfilter)
+from reqlens.llm import (common, decontam, langid, neardup, neighbours, pieces, pii, quality, repair, resample, secretscan, sql,
+                         tokenfiles, toxicity, urlfilter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,18 @@ def op9(table) -> DataFrame:
 @query("op10_url_filter", sql.URL_FILTER)
 def op10(table) -> DataFrame:
     return urlfilter.judge_urls(table("pages"), RULES)
+
+
+@query("op11_conversation_repair")
+def op11(table) -> DataFrame:
+    return repair.repair(repair.damaged(table("conversations")), F.col("present"))
+
+
+@query("op12_language_id")
+def op12(table) -> DataFrame:
+    return langid.identify(table("documents"))
+
+
+@query("op13_importance_resampling")
+def op13(table) -> DataFrame:
+    return resample.resample(table("documents"), table("benchmark"))

@@ -11,7 +11,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from reqlens.llm import common, langid, queries, resample
+from reqlens.llm import langid, queries, resample
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -201,4 +201,3 @@ def test_the_draw_of_a_language_is_bounded_before_its_shuffle(spark):
     documents = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("text "), "id").alias("text"))
     chosen, counts = langid.sample(documents, 3, 1, 10)
     assert chosen.count() == 10 and counts["en"] > 13_000
-    assert common.remainder(F.col("x"), 3) is not None

@@ -4,13 +4,18 @@ Texts are canonicalised: numbers, units behind a number and names become typed p
 are kept in small letters. A name is a run of capitalised words, wherever it stands, without function words;
 it is one placeholder. Windows of words are hashed and joined with the windows of the benchmark. A
 match of windows with placeholders must also use its slots alike: where the benchmark repeats a value the
-document repeats one, and where it has two values the document has two. So questions whose numbers or
+document repeats one, and where it has two values the document has two. Only windows that begin with the first two words of some window of the benchmark are
+hashed: a table of bytes made from the items tells which, and it may be wrong in one direction only, so no match is lost.
+So questions whose numbers or
 names were exchanged are caught, and texts of the same outline only are not. A window with more than
 ``MOST_PLACEHOLDERS`` of placeholders (a name or unit that comes again in it not counted) says too little as a template: it is matched by its own words and values.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reqlens.llm.common import Scratch
@@ -18,6 +23,7 @@ from reqlens.llm.common import Scratch
 WINDOW = 10  # words; a shorter item is one window
 MOST_PLACEHOLDERS = 0.4  # share of a window's words
 BROADCAST_ROWS = 1_000_000  # rows of small tables (at most about 64 MB) that are broadcast; larger ones are shuffled
+START_BYTES = (1 << 16, 1 << 24)  # least and most bytes of the table of first words
 # Canonical texts hold no digits but these, which stand for a number, a unit and a name.
 NUMBER, UNIT, NAME = "0", "1", "2"
 # Words taken for units behind a number.
@@ -35,7 +41,7 @@ FUNCTION_WORDS = ("a an the this that these those it its he she they we you his
                   "one two three four five six seven eight nine ten first second also only just now once because although though").split()
 _ONE_NAME = rf"(?!(?:{'|'.join(w.capitalize() for w in FUNCTION_WORDS)})(?![\p{{L}}\p{{M}}]))\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}]*+"
 # Capitalised words that follow each other; all capitals and single letters are no names.
-_NAME = rf"(?<![\p{{L}}\p{{M}}]){_ONE_NAME}(?:[ \t'’-]{{1,3}}{_ONE_NAME})*+"
+_NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}]){_ONE_NAME}(?:[ \t'’-]{{1,3}}{_ONE_NAME})*+"
 # The words of the form with names, as they stand in the text: a name is one of them.
 _NAMED = rf"(?<=[0-9]\s{{0,40}})(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}])|{_NAME}|{_WORD}|{_NUMBER}"
 
@@ -57,15 +63,34 @@ def raw_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"{_WORD}|{_NUMBER}"), F.lit(0))
 
 
-WINDOWS = "array<struct<typed_form:boolean,exact:boolean,hash:bigint,place:int>>"
+WINDOWS = "array<struct<typed_form:boolean,exact:boolean,size:int,hash:bigint,place:int>>"
 
 
 def _hashes(words: str, places: Column, size: int, typed_form: bool = False, exact: bool = False) -> Column:
-    """Form, hash and place of the windows that begin at ``places``; ``words`` names an array of word hashes."""
-    return F.transform(places, lambda i: F.struct(F.lit(typed_form).alias("typed_form"), F.lit(exact).alias("exact"),
+    """Form, size, hash and place of the windows that begin at ``places``; ``words`` names an array of word hashes."""
+    return F.transform(places, lambda i: F.struct(F.lit(typed_form).alias("typed_form"), F.lit(exact).alias("exact"), F.lit(size).alias("size"),
                                                   F.xxhash64(F.slice(words, i, F.lit(size))).alias("hash"), i.alias("place")))
 
 
+def _first_words(words: str, place: Column, size: int) -> Column:
+    """A number of the first two words (of the only one) of a window."""
+    first = F.get(words, place - 1)
+    return F.xxhash64(first, F.get(words, place)) if size > 1 else F.xxhash64(first)
+
+
+def start_table(windows: DataFrame, count: int) -> bytes:
+    """A byte for each number of first words modulo the table's length; 1 where a window of the benchmark begins so.
+
+    ``count`` windows give a table of 16 bytes for each, within ``START_BYTES``, so its size is bounded; a
+    crowded table only lets more windows pass.
+    """
+    size = min(max(1 << (16 * count).bit_length(), START_BYTES[0]), START_BYTES[1])
+    table = bytearray(size)
+    for row in windows.select(F.pmod("first_words", F.lit(size)).cast("int").alias("slot")).distinct().toLocalIterator():
+        table[row["slot"]] = 1
+    return bytes(table)
+
+
 def most_slots(size: int) -> int:
     """Placeholders that a window matched as a template may hold."""
     return int(MOST_PLACEHOLDERS * size)
@@ -87,30 +112,50 @@ def dense_places(words: str, size: int) -> Column:
     return F.transform(F.array(slots), of_slots)[0]
 
 
-def window_rows(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """``key, typed_form, exact, hash, place`` of every window of ``size`` words; the typed form only where it holds
-    a name. Windows with too many placeholders come a second time, ``exact``, with a hash of their raw words."""
+def window_rows(rows: DataFrame, key: str, text: str, sizes: Sequence[int], starts: bytes | None = None) -> DataFrame:
+    """``key, typed_form, exact, size, hash, place`` of every window of ``sizes`` words; the typed form only where it holds
+    a name. Windows with too many placeholders come a second time, ``exact``, with a hash of their raw words. With a table
+    ``starts`` of first words, other windows that are not exact are left out; without one ``first_words`` is added.
+
+    Words are taken from the texts once, whatever the number of sizes.
+    """
     coded = lambda column: F.transform(column, lambda w: F.xxhash64(w))
-    last = F.size("plain") - size + 1
-    typed_last = F.size("typed") - size + 1
     name = F.xxhash64(F.lit(NAME))
-    named = F.filter(F.sequence(F.lit(1), F.size("typed")), lambda i: F.element_at("typed", i) == name)
-    beginnings = lambda p: F.sequence(F.greatest(F.least(p - size + 1, typed_last), F.lit(1)), F.least(p, typed_last))
-    around = F.array_distinct(F.flatten(F.transform(named, beginnings)))
     none = F.array().cast(WINDOWS)
     # Only windows of the plain form: a window that is dense by its names has its words and values compared there.
-    many = F.when((last > 0) & F.array_contains("plain", NUMBER), dense_places("plain", size))
-    words = with_words(rows, key, text).select(key, "raw_text", coded("plain").alias("plain"), coded("typed").alias("typed"), many.alias("many"))
-    raw = F.when(F.size("many") > 0, F.transform(raw_words(F.col("raw_text")), lambda w: F.xxhash64(F.lit("raw"), F.lower(w))))
-    return words.select(key, "plain", "typed", "many", raw.alias("raw")).select(key, F.inline(F.concat(
-        F.when(last > 0, _hashes("plain", F.sequence(F.lit(1), last), size)).otherwise(none),
-        F.when(F.col("typed").isNotNull() & (typed_last > 0), _hashes("typed", around, size, typed_form=True)).otherwise(none),
-        F.when(F.col("raw").isNotNull(), _hashes("raw", F.col("many"), size, exact=True)).otherwise(none))))
-
-
-def slot_values(form: Column, raw: Column, place: Column, size: int) -> Column:
+    many = {f"many_{size}": F.when((F.size("plain") >= size) & F.array_contains("plain", NUMBER), dense_places("plain", size)) for size in sizes}
+    words = with_words(rows, key, text).select(key, "raw_text", coded("plain").alias("plain"), coded("typed").alias("typed"),
+                                               *[places.alias(column) for column, places in many.items()])
+    dense = reduce(lambda a, b: a | b, [F.coalesce(F.size(column) > 0, F.lit(False)) for column in many])
+    raw = F.when(dense, F.transform(raw_words(F.col("raw_text")), lambda w: F.xxhash64(F.lit("raw"), F.lower(w))))
+
+    def begins(form: str, size: int) -> Column:
+        places = F.when(F.size(form) > 0, F.sequence(F.lit(1), F.size(form)))
+        if starts is None:
+            return places
+        table = F.lit(starts)
+        known = lambda i: F.substring(table, F.pmod(_first_words(form, i, size), F.lit(len(starts))).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+        return F.filter(places, known)
+
+    # The places of single words and of pairs of words serve all sizes.
+    kinds = {min(size, 2) for size in sizes}
+    begun = words.select("*", raw.alias("raw"), *[begins(form, kind).alias(f"{form}_{kind}") for form in ("plain", "typed") for kind in kinds])
+    parts = []
+    for size in sizes:
+        fits = lambda form: F.filter(f"{form}_{min(size, 2)}", lambda i: i <= F.size(form) - size + 1)
+        named = F.filter(fits("typed"), lambda i: F.array_contains(F.slice("typed", i, F.lit(size)), name))
+        parts += [F.coalesce(_hashes("plain", fits("plain"), size), none), F.coalesce(_hashes("typed", named, size, typed_form=True), none),
+                  F.coalesce(_hashes("raw", F.col(f"many_{size}"), size, exact=True), none)]
+    made = begun.select(key, *(["plain", "typed"] if starts is None else []), F.inline(F.concat(*parts)))
+    if starts is None:
+        pick = lambda size: F.when(F.col("typed_form"), _first_words("typed", F.col("place"), size)).otherwise(_first_words("plain", F.col("place"), size))
+        made = made.withColumn("first_words", F.when(F.col("size") > 1, pick(2)).otherwise(pick(1))).drop("plain", "typed")
+    return made
+
+
+def slot_values(form: Column, raw: Column, place: Column, size: Column) -> Column:
     """The values of the window's slots, in small letters."""
-    pairs = F.zip_with(F.slice(form, place, F.lit(size)), F.slice(raw, place, F.lit(size)),
+    pairs = F.zip_with(F.slice(form, place, size), F.slice(raw, place, size),
                        lambda w, r: F.when(w.isin(NUMBER, UNIT, NAME), F.lower(r)))
     return F.filter(pairs, lambda v: v.isNotNull())
 
@@ -126,17 +171,17 @@ def free_slots(values: Column) -> Column:
     return F.size(F.filter(values, number)) + F.size(F.array_distinct(F.filter(values, lambda v: ~number(v))))
 
 
-def patterns(windows: DataFrame, rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Adds ``pattern`` and ``free`` to windows ``key, typed_form, place``; the texts are read again for these keys only.
+def patterns(windows: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Adds ``pattern`` and ``free`` to windows ``key, typed_form, size, place``; the texts are read again for these keys only.
 
     Places become those of the plain window that ends where the last word or name of the window begins."""
     words = with_words(rows, key, "text").select(F.col(key).alias("words_key"), "raw", "named", "plain", "typed")
     pick = lambda typed, plain: F.when(F.col("typed_form"), F.col(typed)).otherwise(F.col(plain))
-    before = F.size(raw_words(F.array_join(F.slice("named", F.lit(1), F.col("place") + size - 2), "\n")))
+    before = F.size(raw_words(F.array_join(F.slice("named", F.lit(1), F.col("place") + F.col("size") - 2), "\n")))
     return (windows.join(words, windows[key].eqNullSafe(words["words_key"]))
-            .withColumn("values", slot_values(pick("typed", "plain"), pick("named", "raw"), F.col("place"), size))
+            .withColumn("values", slot_values(pick("typed", "plain"), pick("named", "raw"), F.col("place"), F.col("size")))
             .withColumns({"pattern": slot_pattern(F.col("values")), "free": free_slots(F.col("values")),
-                          "place": F.when(F.col("typed_form"), before + 2 - size).otherwise(F.col("place"))})
+                          "place": F.when(F.col("typed_form"), before + 2 - F.col("size")).otherwise(F.col("place"))})
             .drop("words_key", "raw", "named", "plain", "typed", "values"))
 
 
@@ -156,28 +201,30 @@ def matched_windows(documents: DataFrame, benchmark: DataFrame, window: int = WI
     sized = scratch.keep(with_words(items, "item_id", "text").select("item_id", F.col("raw_text").alias("text"), length("plain").alias("plain_size"),
                                                                      length("typed").alias("typed_size")), "items")
     sizes = sorted(r["size"] for r in sized.select(F.explode(F.array("plain_size", "typed_size")).alias("size")).distinct().collect() if r["size"])
-    matched = [spark.range(0).selectExpr("id AS doc_id", "CAST(0 AS INT) AS size", "CAST(0 AS INT) AS place", "id AS item_id")]
-    for size in sizes:
-        parts = []
-        for form, mine in (("plain_size", "not typed_form"), ("typed_size", "typed_form")):
-            own = sized.filter(F.col(form) == size).select("item_id", "text")
-            parts.append(patterns(window_rows(own, "item_id", "text", size).filter(mine), own, "item_id", size))
-        found = parts[0].unionAll(parts[1])
-        wordy = F.col("exact") | F.col("pattern").isNull() | (F.col("free") <= most_slots(size))
-        wanted = scratch.keep(found.filter(wordy).select("item_id", "hash", F.when(~F.col("exact"), F.col("pattern")).alias("item_pattern")).distinct(), f"items-{size}")
-        hits = window_rows(texts, "doc_id", "text", size).join(_bounded(wanted), "hash")
-        hits = scratch.keep(hits.select("doc_id", "typed_form", "place", "item_id", "item_pattern"), f"hits-{size}")
-        # Equal hashes have their placeholders at equal places; only windows with placeholders need more.
-        slotted = hits.filter("item_pattern is not null")
-        keys = scratch.keep(slotted.select(F.col("doc_id").alias("wanted_id")).distinct(), f"keys-{size}")
-        few = texts.join(_bounded(keys), texts["doc_id"].eqNullSafe(keys["wanted_id"]), "left_semi")
-        alike = patterns(slotted, few, "doc_id", size).filter(F.col("pattern") == F.col("item_pattern"))
-        for part in (hits.filter("item_pattern is null"), alike):
-            matched.append(part.select("doc_id", F.lit(size).alias("size"), "place", "item_id"))
-    result = matched[0]
-    for part in matched[1:]:
-        result = result.unionAll(part)
-    return result
+    if not sizes:
+        return spark.range(0).selectExpr("id AS doc_id", "CAST(0 AS INT) AS size", "CAST(0 AS INT) AS place", "id AS item_id")
+    own_size = F.when(F.col("typed_form"), F.col("typed_size")).otherwise(F.col("plain_size"))
+    numbered = sized.withColumn("item_row", F.monotonically_increasing_id())
+    rows = scratch.keep(numbered, "rows")
+    found = window_rows(rows, "item_row", "text", sizes)
+    lengths = rows.select(F.col("item_row").alias("length_row"), "item_id", "plain_size", "typed_size")
+    found = found.join(lengths, found["item_row"] == lengths["length_row"]).filter(F.col("size") == own_size).drop("length_row")
+    found = patterns(found, rows, "item_row")
+    wordy = F.col("exact") | F.col("pattern").isNull() | (F.col("free") <= F.floor(F.lit(MOST_PLACEHOLDERS) * F.col("size")))
+    wanted = scratch.keep(found.filter(wordy).select(
+        "item_id", "size", "hash", "exact", "first_words", F.when(~F.col("exact"), F.col("pattern")).alias("item_pattern")).distinct(), "windows")
+    starts = start_table(wanted.filter(~F.col("exact")), wanted.count())
+    item_windows = wanted.select("item_id", F.col("size").alias("item_size"), F.col("hash").alias("item_hash"), "item_pattern").distinct()
+    made = window_rows(texts, "doc_id", "text", sizes, starts)
+    hits = made.join(_bounded(item_windows), (made["hash"] == item_windows["item_hash"]) & (made["size"] == item_windows["item_size"]))
+    hits = scratch.keep(hits.select("doc_id", "typed_form", "size", "place", "item_id", "item_pattern"), "hits")
+    # Equal hashes have their placeholders at equal places; only windows with placeholders need more.
+    slotted = hits.filter("item_pattern is not null")
+    keys = scratch.keep(slotted.select(F.col("doc_id").alias("wanted_id")).distinct(), "keys")
+    few = texts.join(_bounded(keys), texts["doc_id"].eqNullSafe(keys["wanted_id"]), "left_semi")
+    alike = patterns(slotted, few, "doc_id").filter(F.col("pattern") == F.col("item_pattern"))
+    columns = ["doc_id", "size", "place", "item_id"]
+    return hits.filter("item_pattern is null").select(*columns).unionAll(alike.select(*columns))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

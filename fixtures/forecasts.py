@@ -219,17 +219,18 @@ def feature_importance(spark, sf):
 @query("tree_forecast")
 def tree_forecast(spark, sf):
     train, test = _fitting_split(spark, sf)
-    return forecast.tree_forecast(train, test, FEATURE_SETS["post_routing"], "post_routing", rounds=10, depth=4, min_leaf=20,
-                                  limits={"descriptor": 40, "incident_zip_clean": 40})
+    return rounded(forecast.tree_forecast(train, test, FEATURE_SETS["post_routing"], "post_routing"), "predicted_probability", digits=4)
 
 
 @query("model_comparison")
 def model_comparison(spark, sf):
-    """Scores of the baseline and the logistic model for each feature set."""
+    """Scores of the baseline, the logistic model and the trees for each feature set."""
     train, test = _fitting_split(spark, sf)
     rows, reports = _with_train_rows(train), []
     for name, features in FEATURE_SETS.items():
         logistic, _ = forecast.logistic_forecast(train, test, features, name, min_count=20)
-        for model, frame in (("most_frequent_baseline", forecast.majority_predictions(train, test)), ("multinomial_logistic", logistic)):
+        trees = forecast.tree_forecast(train, test, features, name)
+        for model, frame in (("most_frequent_baseline", forecast.majority_predictions(train, test)), ("multinomial_logistic", logistic),
+                             ("hist_gradient_boosting", trees)):
             reports.append(forecast.classification_report(frame, BUCKET_ORDER, model, name, rows))
     return rounded(forecast.model_comparison(forecast.union_all(reports)), "accuracy", "macro_f1", "weighted_f1", digits=4)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
+import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from reqlens.contracts import BUCKET_ORDER, DEFAULT_SCOPE, POST_ROUTING_FEATURES, TARGET, Scope
 from reqlens.functions.measures import first_mode, rank_in
+from reqlens.operators import boosting
 from reqlens.operators.order_statistics import summarize, tally
 from reqlens.operators.ranking import count_by, first_per_group
 from reqlens.operators.sampling import stratified_sample
@@ -74,10 +76,11 @@ def group_rare_levels(df: DataFrame, train: DataFrame, columns: Sequence[str], m
 
 
 def ordinal_encode(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Alphabetical number of each training level, -1 for unknown ones."""
+    """Alphabetical number of each training level, -1 for unknown ones; all columns are numbered by one aggregate."""
+    levels = train.unpivot([], list(columns), "feature", "level").where(F.col("level").isNotNull()).distinct()
+    numbered = levels.withColumn("_number", F.row_number().over(Window.partitionBy("feature").orderBy("level")) - 1)
     for column in columns:
-        numbers = train.select(column).distinct().where(F.col(column).isNotNull()).withColumn(
-            "_number", F.row_number().over(Window.orderBy(column)) - 1)
+        numbers = numbered.where(F.col("feature") == column).select(F.col("level").alias(column), "_number")
         df = _with_levels(df, column, numbers, F.coalesce(F.col("_number"), F.lit(-1)))
     return df
 
@@ -159,8 +162,10 @@ def _one_hot(train: DataFrame, test: DataFrame, features: Sequence[str], min_cou
 
 def _prediction_frame(scored: DataFrame, classes: Sequence[str], model: str, feature_set: str) -> DataFrame:
     predicted = scored.withColumn(PREDICTED, _class_of(F.col("prediction"), classes))
-    probability = (F.array_max(vector_to_array("probability")) if "probability" in scored.columns
-                   else F.lit(None).cast("double"))
+    of_classes = F.col("probability")
+    if not isinstance(scored.schema["probability"].dataType, T.ArrayType):
+        of_classes = vector_to_array(of_classes)
+    probability = F.array_max(of_classes)
     return predicted.select(
         *PREDICTION_COLUMNS, PREDICTED, probability.alias("predicted_probability"),
         (F.col(TARGET) == F.col(PREDICTED)).alias("correct_prediction_flag"),
@@ -211,28 +216,24 @@ TREE_LEVEL_LIMITS = {"descriptor": 250, "incident_zip_clean": 250}
 
 
 def tree_forecast(train: DataFrame, test: DataFrame, features: Sequence[str], feature_set: str,
-                  rounds: int = 200, step: float = 0.08, depth: int = 6, min_leaf: int = 200,
-                  limits: Mapping[str, int] = TREE_LEVEL_LIMITS, seed: int = 42, parallelism: int = 5) -> DataFrame:
-    """Boosted trees, one per class, on capped categorical features."""
+                  rounds: int = 200, step: float = 0.08, leaves: int = 63, min_leaf: int = 200,
+                  limits: Mapping[str, int] = TREE_LEVEL_LIMITS) -> DataFrame:
+    """Boosted trees over all classes on capped categorical features, with balanced weights.
+
+    ``train`` is the bounded sample of ``split_by_year``. Every row of ``test`` is scored; levels beyond the
+    limits, unseen ones and nulls share one code.
+    """
+    spark = train.sparkSession
     classes = train_classes(train)
-    chosen = {name: limit for name, limit in limits.items() if name in features}
-    capped_train, capped_test = cap_levels(train, train, chosen), cap_levels(test, train, chosen)
-    indexer = StringIndexer(inputCols=list(features), outputCols=[f"_i_{f}" for f in features],
-                            stringOrderType="alphabetAsc", handleInvalid="keep").fit(capped_train)
-    widest = max(len(levels) for levels in indexer.labelsArray) + 1
-    assembler = VectorAssembler(inputCols=[f"_i_{f}" for f in features], outputCol="features")
-    fitting = _label(_weighted(assembler.transform(indexer.transform(capped_train)), "tree_weight"), classes).select(
-        "features", "label", "_weight").persist()
-    trees = GBTClassifier(maxIter=rounds, stepSize=step, maxDepth=depth, minInstancesPerNode=min_leaf,
-                          maxBins=max(32, widest), seed=seed)
-    model = OneVsRest(classifier=trees, weightCol="_weight", parallelism=parallelism).fit(fitting)
-    fitting.unpersist()
-    scored = model.transform(assembler.transform(indexer.transform(capped_test)))
-    predicted = scored.withColumn("_predicted", F.col("prediction"))
-    original = test.select("unique_key", *[c for c in PREDICTION_COLUMNS if c != "unique_key"])
-    return _prediction_frame(
-        original.join(predicted.select("unique_key", F.col("_predicted").alias("prediction")), "unique_key"),
-        classes, "hist_gradient_boosting", feature_set)
+    known = boosting.level_codes(train, features, dict(limits))
+    codes = boosting.code_bytes(known)
+    weights = {row[TARGET]: row["tree_weight"] for row in class_weights(train).collect()}
+    label = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(TARGET)) - 1
+    model = boosting.fit_table(train, codes, label, len(features), np.array([weights[c] for c in classes]), rounds=rounds,
+                               step=step, leaves=leaves, least_rows=min_leaf)
+    scored = test.withColumn("probability", boosting.probability_column(model, codes, len(features), spark))
+    first_best = F.array_position("probability", F.array_max("probability")) - 1
+    return _prediction_frame(scored.withColumn("prediction", first_best), classes, "hist_gradient_boosting", feature_set)
 
 
 # Evaluation --------------------------------------------------------------------

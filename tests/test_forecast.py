@@ -1,8 +1,11 @@
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from reqlens.contracts import BUCKET_ORDER, Scope
-from reqlens.operators import forecast as P
+from reqlens.operators import boosting, forecast as P
 
 
 def predictions(spark):
@@ -69,13 +72,94 @@ def test_models_beat_the_baseline(spark):
     train, test = P.split_by_year(learnable(spark), scope)
     features = ["agency", "complaint_type", "subtype_modeled_flag"]
     logistic, importance = P.logistic_forecast(train, test, features, "post_routing", min_count=10)
-    trees = P.tree_forecast(train, test, features, "post_routing", rounds=3, depth=3, min_leaf=5)
+    trees = P.tree_forecast(train, test, features, "post_routing", rounds=3, leaves=6, min_leaf=5)
     for frame in (logistic, trees):
         assert frame.count() == 200
         assert frame.where("correct_prediction_flag").count() > 120
+        assert frame.where("predicted_probability BETWEEN 0.25 AND 1.0").count() == 200
+    repeated = P.tree_forecast(train, test.unionByName(test), features, "post_routing", rounds=1, leaves=3, min_leaf=5)
+    assert repeated.count() == 400  # rows with one key are scored each
     assert logistic.where("predicted_probability BETWEEN 0.25 AND 1.0").count() == 200
     rows = importance.collect()
     assert {r["feature_group"] for r in rows} == set(features)
     assert all(r["max_abs_coefficient"] >= r["mean_abs_coefficient"] >= 0 for r in rows)
     with pytest.raises(ValueError):
         P.split_by_year(learnable(spark).where("created_year = 2025"), scope)
+
+
+def plain_boosting(codes, labels, counts, weights, classes, rounds, step, leaves, least_rows):
+    """The same model by loops over rows, features and levels; returns the margins of the rows."""
+    n, total = len(codes), sum(c * w for c, w in zip(counts, weights))
+    base = [math.log(sum(c * w for c, w, y in zip(counts, weights, labels) if y == k) / total) for k in range(classes)]
+    margins = [base[:] for _ in range(n)]
+
+    def best_split(rows, g, h):
+        best = None
+        all_g, all_h = sum(g[i] for i in rows), sum(h[i] for i in rows)
+        for feature in range(len(codes[0])):
+            levels = sorted({codes[i][feature] for i in rows})
+            of = {v: [i for i in rows if codes[i][feature] == v] for v in levels}
+            levels.sort(key=lambda v: sum(g[i] for i in of[v]) / (sum(h[i] for i in of[v]) + boosting.SMOOTHING))
+            for cut in range(1, len(levels)):
+                left = [i for v in levels[:cut] for i in of[v]]
+                right = [i for v in levels[cut:] for i in of[v]]
+                if min(sum(counts[i] for i in left), sum(counts[i] for i in right)) < least_rows:
+                    continue
+                gl, hl, gr, hr = (sum(x[i] for i in side) for side in (left, right) for x in (g, h))
+                if min(hl, hr) < boosting.LEAST_HESSIAN:
+                    continue
+                gain = gl ** 2 / hl + gr ** 2 / hr - all_g ** 2 / all_h
+                if gain > 1e-10 and (best is None or gain > best[0] + 1e-9):
+                    best = (gain, left, right)
+        return best
+
+    for _ in range(rounds):
+        shares = []
+        for row in margins:
+            raised = [math.exp(m - max(row)) for m in row]
+            shares.append([r / sum(raised) for r in raised])
+        for k in range(classes):
+            g = [(shares[i][k] - (labels[i] == k)) * counts[i] * weights[i] for i in range(n)]
+            h = [shares[i][k] * (1 - shares[i][k]) * counts[i] * weights[i] for i in range(n)]
+            grown = [(list(range(n)), best_split(list(range(n)), g, h))]
+            while len(grown) < leaves and any(split for _, split in grown):
+                at = max((j for j, (_, split) in enumerate(grown) if split), key=lambda j: grown[j][1][0])
+                _, (_, left, right) = grown.pop(at)
+                grown += [(left, best_split(left, g, h)), (right, best_split(right, g, h))]
+            for rows, _ in grown:
+                value = -step * sum(g[i] for i in rows) / sum(h[i] for i in rows)
+                for i in rows:
+                    margins[i][k] += value
+    return margins
+
+
+@pytest.mark.parametrize("leaves,least_rows", [(4, 1), (6, 8), (63, 3)])
+def test_boosting_equals_a_plain_version(leaves, least_rows):
+    draw = np.random.default_rng(leaves)
+    codes = np.column_stack([draw.integers(0, 4, 70), draw.integers(0, 7, 70), draw.integers(0, 3, 70)]).astype(np.uint8)
+    labels = ((codes[:, 0] + codes[:, 1] // 3 + (draw.random(70) < 0.2)) % 3).astype(np.int64)
+    counts, weights = 1 + 3 * draw.random(70), np.array([0.5, 1.0, 2.0])[labels]
+    model = boosting.fit(codes, labels, counts, weights, 3, rounds=4, step=0.3, leaves=leaves, least_rows=least_rows, early_rows=None)
+    wanted = plain_boosting(codes.tolist(), labels.tolist(), counts.tolist(), weights.tolist(), 3, 4, 0.3, leaves, least_rows)
+    assert np.allclose(model.margins(codes), wanted, atol=1e-8)
+    assert max((tree.feature < 0).sum() for trees in model.rounds for tree in trees) <= leaves
+    assert np.allclose(model.probabilities(codes).sum(axis=1), 1)
+
+
+def test_boosting_of_odd_tables():
+    none = boosting.fit(np.zeros((0, 2), np.uint8), np.zeros(0, int), np.zeros(0), np.zeros(0), 2)
+    assert none.rounds == [] and none.probabilities(np.zeros((3, 2), np.uint8)).shape == (3, 2)
+    one = boosting.fit(np.zeros((5, 1), np.uint8), np.array([0, 0, 1, 1, 1]), np.ones(5), np.ones(5), 2, rounds=2, least_rows=1)
+    assert one.probabilities(np.array([[0], [255]], np.uint8))[:, 1] == pytest.approx([0.6, 0.6])
+    draw = np.random.default_rng(1)
+    codes, labels = draw.integers(0, 5, (300, 2)).astype(np.uint8), draw.integers(0, 2, 300)
+    noise = boosting.fit(codes, labels, np.full(300, 50.0), np.ones(300), 2, rounds=200, step=0.5, least_rows=1)
+    assert len(noise.rounds) < 200  # nothing to learn: stopped early
+
+
+def test_codes_of_levels(spark):
+    train = spark.createDataFrame([("b", "x"), ("a", "x"), ("a", None), ("c", "y"), ("a", "y")], "p string, q string")
+    known = boosting.level_codes(train, ["p", "q"], {"p": 2})
+    assert known == {"p": ["a", "b"], "q": ["x", "y"]}
+    rows = train.unionByName(spark.createDataFrame([("new", None)], train.schema)).select(boosting.code_bytes(known).alias("c")).collect()
+    assert [tuple(r["c"]) for r in rows] == [(1, 0), (0, 0), (0, 255), (255, 1), (0, 1), (255, 255)]

@@ -312,8 +312,9 @@ def error_slices(predictions: DataFrame, columns: Sequence[str] = SLICE_COLUMNS,
                             for c in columns])).alias("s")).select("*", "s.*").drop("s")
     sliced = sliced.where(F.col("segment_value").isNotNull())
     keys = ["feature_set", "segment_column", "segment_value"]
-    tallied = tally(sliced, keys, {"correct": F.col("correct_prediction_flag")}, F.col("predicted_probability"))
-    measured = summarize(tallied, keys, "complaints", ["correct"], {"median_confidence": 0.5}, bin_width=1.0 / 1024)
+    tallied = tally(sliced, keys, {"correct": F.col("correct_prediction_flag")}, F.col("predicted_probability"),
+                    bin_width=1.0 / 1024)
+    measured = summarize(tallied, keys, "complaints", ["correct"], {"median_confidence": 0.5})
     labels = sliced.groupBy(*keys).agg(
         first_mode(TARGET).alias("top_actual_bucket"), first_mode(PREDICTED).alias("top_predicted_bucket"))
     largest = first_per_group(measured, keys[:2], top, F.desc("complaints"), F.asc("segment_value"))

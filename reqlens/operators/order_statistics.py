@@ -1,36 +1,54 @@
-"""Exact order statistics that never gather a group into one task.
+"""Exact order statistics by radix selection, never gathering a group into one task.
 
 ``percentile`` keeps every distinct value of a group in one buffer, and a ranking window puts
 a whole group into one task. Both break when a group holds a third of a very large table.
-Here values are first counted (combined on the map side and spread over all tasks), then the
-small histogram of each group tells in which narrow bin a wanted position lies, and only the
-rows of that bin are ordered. The result is exact for any distribution.
+Here pass one counts rows per group and coarse bin, combined on the map side, with the bin's least and
+greatest value. The small histogram of each group tells in which bin a wanted position lies. A position at either
+end of its bin, or in a bin of one value, is settled by that. Pass two counts values inside the other wanted bins only.
+What crosses the network grows with groups times bins and with the values of the wanted bins, not with the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from reqlens.operators.joins import all_of, any_of
+from reqlens.operators.joins import all_of
+from reqlens.session import cut_lineage
 
-VALUE, ROWS, BIN = "_value", "_rows", "_bin"
+VALUE, ROWS, BIN, LEAST, GREATEST = "_value", "_rows", "_bin", "_least", "_greatest"
 HOUR_OF_DAY = 1.0 / 24.0
+BROADCAST_BINS = 200_000  # wanted bins (some 100 bytes each) that are broadcast; more are joined by a shuffle
+
+
+@dataclass
+class Tally:
+    """Rows with their bin, and their counts per (keys, bin)."""
+
+    rows: DataFrame
+    keys: list[str]
+    flags: list[str]
+    histogram: DataFrame
 
 
 def tally(df: DataFrame, keys: Mapping[str, Column] | Sequence[str], flags: Mapping[str, Column],
-          value: Column | None = None) -> DataFrame:
-    """Rows per (keys, flags, value); the only shuffle that sees many rows.
+          value: Column | None = None, bin_width: float = HOUR_OF_DAY, staged: bool = False) -> Tally:
+    """Rows, flagged rows, least and greatest value per (keys, bin), combined on the map side.
 
-    Flags are grouping columns rather than sums. Every later use then needs the very same
-    aggregate, so Spark computes its shuffle once and reuses it.
+    ``bin_width`` bounds what pass two counts in a wanted bin: at most ``bin_width`` divided by the clock
+    tick distinct values. ``staged`` writes the counts once for several summaries.
     """
-    named = keys if isinstance(keys, Mapping) else {key: F.col(key) for key in keys}
+    named = dict(keys) if isinstance(keys, Mapping) else {key: F.col(key) for key in keys}
     measured = F.lit(None).cast("double") if value is None else value.cast("double")
     columns = {**named, **{name: F.coalesce(flag, F.lit(False)) for name, flag in flags.items()}, VALUE: measured}
     rows = df.select(*[column.alias(name) for name, column in columns.items()])
-    return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias(ROWS))
+    rows = rows.withColumn(BIN, F.floor(F.col(VALUE) / F.lit(bin_width)))
+    histogram = rows.groupBy(*named, BIN).agg(
+        F.count(F.lit(1)).alias(ROWS), *[F.count_if(F.col(name)).alias(name) for name in flags],
+        F.min(VALUE).alias(LEAST), F.max(VALUE).alias(GREATEST))
+    return Tally(rows.drop(*flags), list(named), list(flags), cut_lineage(histogram) if staged else histogram)
 
 
 def _position(quantile: float) -> Column:
@@ -45,63 +63,51 @@ def _upper(quantile: float) -> Column:
     return F.ceil(_position(quantile))
 
 
-def summarize(tallied: DataFrame, keys: Sequence[str], rows_as: str, sums: Sequence[str],
-              quantiles: Mapping[str, float], bin_width: float = HOUR_OF_DAY) -> DataFrame:
+def summarize(tallied: Tally, keys: Sequence[str], rows_as: str, sums: Sequence[str],
+              quantiles: Mapping[str, float]) -> DataFrame:
     """Totals and linearly interpolated quantiles per group of a tally.
 
     ``keys`` may be a subset of the tally's keys: coarser groups are rolled up from the same
-    tally, without another look at the rows. ``bin_width`` bounds the work of one task: a bin
-    holds at most ``bin_width`` divided by the clock tick distinct values.
+    counts. The histogram of the groups is written, so that pass two knows the size of what it looks for.
     """
     keys = list(keys)
-    counted = [F.sum(ROWS).alias(ROWS), *[
-        F.sum(F.when(F.col(name), F.col(ROWS)).otherwise(F.lit(0))).alias(name) for name in sums]]
+    counted = [F.sum(ROWS).alias(ROWS), *[F.sum(name).alias(name) for name in sums]]
     if not quantiles:
-        return tallied.groupBy(*keys).agg(*counted).withColumnRenamed(ROWS, rows_as)
-
-    binned = tallied.withColumn(BIN, F.floor(F.col(VALUE) / F.lit(bin_width)))
-    histogram = binned.groupBy(*keys, BIN).agg(*counted)
+        return tallied.histogram.groupBy(*keys).agg(*counted).withColumnRenamed(ROWS, rows_as)
 
+    histogram = tallied.histogram
+    if keys != tallied.keys:
+        histogram = histogram.groupBy(*keys, BIN).agg(*counted, F.min(LEAST).alias(LEAST), F.max(GREATEST).alias(GREATEST))
     group = Window.partitionBy(*keys)
     upto = group.orderBy(F.col(BIN).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     measured = F.when(F.col(BIN).isNotNull(), F.col(ROWS)).otherwise(F.lit(0))
-    located = histogram.select(
-        *keys, BIN,
-        F.sum(measured).over(upto).alias("_end"),
-        (F.sum(measured).over(upto) - measured).alias("_start"),
-        F.sum(measured).over(group).alias("_valid"),
-        F.sum(ROWS).over(group).alias(rows_as),
-        *[F.sum(name).over(group).alias(name) for name in sums],
-    )
-    wanted = any_of([
-        (F.col("_start") <= edge(q)) & (edge(q) < F.col("_end"))
-        for q in quantiles.values() for edge in (_lower, _upper)
-    ])
-    target = located.where(F.when(F.col("_valid") == 0, F.col(BIN).isNull())
-                           .otherwise(F.col(BIN).isNotNull() & wanted))
-
-    # Null-safe on the bin as well: a plain equality would push a filter into this side only,
-    # and the tally would be computed twice. Every target bin has rows, so an inner join keeps
-    # all groups, and lets the small target be the broadcast side.
-    detail = binned.select(*[F.col(name).alias(f"_d_{name}") for name in (*keys, BIN)],
-                           VALUE, F.col(ROWS).alias("_n"))
-    same = [F.col(name).eqNullSafe(F.col(f"_d_{name}")) for name in (*keys, BIN)]
-    placed = detail.join(target, all_of(same))
-    in_bin = Window.partitionBy(*keys, BIN).orderBy(VALUE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("_to", F.col("_start") + F.sum("_n").over(in_bin)).withColumn(
-        "_from", F.col("_to") - F.col("_n"))
-
-    def at(index: Column) -> Column:
-        return F.max(F.when((F.col("_from") <= index) & (index < F.col("_to")), F.col(VALUE)))
-
-    picked = placed.groupBy(*keys).agg(
-        F.max(rows_as).alias(rows_as),
-        *[F.max(name).alias(name) for name in sums],
-        F.max("_valid").alias("_valid"),
-        *[at(_lower(q)).alias(f"_lo_{name}") for name, q in quantiles.items()],
-        *[at(_upper(q)).alias(f"_hi_{name}") for name, q in quantiles.items()],
-    )
-    return picked.select(
+    located = histogram.withColumns({
+        "_end": F.sum(measured).over(upto), "_valid": F.sum(measured).over(group)})
+    start = F.col("_end") - F.col(ROWS)
+    edges = {f"_{side}_{name}": edge(q) for name, q in quantiles.items() for side, edge in (("lo", _lower), ("hi", _upper))}
+
+    def within(position: Column) -> Column:
+        """The bin that holds a position: its number, the place in it, the value where that is settled."""
+        place = position - start
+        settled = (F.when((place == 0) | (F.col(LEAST) == F.col(GREATEST)), F.col(LEAST))
+                   .when(place == F.col(ROWS) - 1, F.col(GREATEST)))
+        hit = F.col(BIN).isNotNull() & (start <= position) & (position < F.col("_end"))
+        return F.max(F.when(hit, F.struct(F.col(BIN).alias("bin"), place.alias("place"), settled.alias("value"))))
+
+    groups = cut_lineage(located.groupBy(*keys).agg(
+        F.sum(ROWS).alias(rows_as), *[F.sum(name).alias(name) for name in sums], F.max("_valid").alias("_valid"),
+        *[within(position).alias(name) for name, position in edges.items()]))
+    found = groups.select(*keys, rows_as, *sums, "_valid", *[F.col(f"{name}.value").alias(name) for name in edges])
+    open_edges = F.filter(F.array(*[F.struct(F.lit(name).alias("edge"), F.col(f"{name}.bin").alias("bin"), F.col(f"{name}.place").alias("place"),
+                                             F.col(f"{name}.value").alias("value")) for name in edges]),
+                          lambda e: e["bin"].isNotNull() & e["value"].isNull())
+    wanted = groups.select(*keys, F.explode(open_edges).alias("e")).groupBy(*keys, F.col("e.bin").alias(BIN)).agg(
+        F.collect_list(F.struct("e.edge", "e.place")).alias("_edges"))  # at most one entry per edge
+    bins = wanted.count()
+    if bins:
+        found = found.unionByName(_inside(tallied.rows, wanted, bins, keys, list(edges)), allowMissingColumns=True)
+        found = found.groupBy(*keys).agg(*[F.max(name).alias(name) for name in (rows_as, *sums, "_valid", *edges)])
+    return found.select(
         *keys, rows_as, *sums,
         *[
             (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))
@@ -111,10 +117,24 @@ def summarize(tallied: DataFrame, keys: Sequence[str], rows_as: str, sums: Seque
     )
 
 
+def _inside(rows: DataFrame, wanted: DataFrame, bins: int, keys: Sequence[str], edges: Sequence[str]) -> DataFrame:
+    """Pass two: the value at each place of the wanted bins, one row per group and bin."""
+    named = {name: f"_w_{name}" for name in (*keys, BIN)}
+    target = wanted.withColumnsRenamed(named)
+    same = all_of([F.col(name).eqNullSafe(F.col(other)) for name, other in named.items()])
+    detail = rows.join(F.broadcast(target) if bins <= BROADCAST_BINS else target, same).groupBy(*keys, BIN, VALUE).agg(
+        F.count(F.lit(1)).alias(ROWS), F.any_value("_edges").alias("_edges"))
+    upto = Window.partitionBy(*keys, BIN).orderBy(VALUE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(ROWS).over(upto)
+    placed = detail.withColumns({"_to": end, "_from": end - F.col(ROWS)})
+    picked = placed.withColumn("_edge", F.explode(F.filter("_edges", lambda e: (F.col("_from") <= e["place"]) & (e["place"] < F.col("_to")))))
+    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_edge.edge") == name, F.col(VALUE))).alias(name) for name in edges])
+
+
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, quantiles: Mapping[str, float],
                       rows_as: str = "rows", bin_width: float = HOUR_OF_DAY) -> DataFrame:
     column = F.col(value) if isinstance(value, str) else value
-    return summarize(tally(df, keys, {}, column), keys, rows_as, [], quantiles, bin_width)
+    return summarize(tally(df, keys, {}, column, bin_width), keys, rows_as, [], quantiles)
 
 
 def small_quantile(column: Column | str, quantile: float) -> Column:

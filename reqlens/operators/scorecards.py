@@ -11,7 +11,7 @@ from reqlens.functions.lifecycle import year_type
 from reqlens.functions.measures import distinct_labels, first_mode, modeled_subtype
 from reqlens.operators.filters import aligned_ytd_cutoff
 from reqlens.operators.joins import attach
-from reqlens.operators.order_statistics import approximate_quantile, summarize, tally
+from reqlens.operators.order_statistics import Tally, approximate_quantile, summarize, tally
 
 # Count column -> flag it counts.
 OPERATIONS_COUNTS = {
@@ -45,15 +45,15 @@ def resolved_days() -> Column:
 
 
 def tally_requests(df: DataFrame, keys: Sequence[str] | Mapping[str, Column],
-                   counts: Mapping[str, str] = OPERATIONS_COUNTS) -> DataFrame:
-    return tally(df, keys, {name: F.col(flag) for name, flag in counts.items()}, resolved_days())
+                   counts: Mapping[str, str] = OPERATIONS_COUNTS, staged: bool = False) -> Tally:
+    return tally(df, keys, {name: F.col(flag) for name, flag in counts.items()}, resolved_days(), staged=staged)
 
 
 def add_shares(df: DataFrame, counts: Sequence[str]) -> DataFrame:
     return df.withColumns({SHARES[name]: F.col(name) / F.col("complaints") for name in counts})
 
 
-def summarize_requests(tallied: DataFrame, keys: Sequence[str],
+def summarize_requests(tallied: Tally, keys: Sequence[str],
                        counts: Mapping[str, str] = OPERATIONS_COUNTS) -> DataFrame:
     totals = summarize(tallied, keys, "complaints", list(counts), DURATION_QUANTILES)
     return add_shares(totals, list(counts))
@@ -145,9 +145,10 @@ def against_benchmark(df: DataFrame, cell_keys: Sequence[str], benchmark_keys: S
                       levels: Sequence[str] = ISSUE_LEVELS) -> DataFrame:
     """Summary of every cell next to the summary of its benchmark, with gaps.
 
-    Cells and benchmarks are rolled up from one tally, so the rows are read and exploded once.
+    Cells and benchmarks are rolled up from one written tally; rows are read again only for bins whose
+    ends do not settle a wanted position.
     """
-    tallied = tally_requests(by_issue_level(df, levels), cell_keys, counts)
+    tallied = tally_requests(by_issue_level(df, levels), cell_keys, counts, staged=True)
     cells = summarize_requests(tallied, cell_keys, counts)
     compared = [
         "complaints", "resolved_complaints", "unresolved_complaints", "status_backlog_complaints",

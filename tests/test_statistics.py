@@ -33,8 +33,8 @@ def to_spark(spark, frame, schema):
 def test_quantiles_equal_numpy(spark, width):
     frame = hot_frame()
     df = to_spark(spark, frame, "g string, v double, flag boolean").repartition(7)
-    tallied = O.tally(df, ["g"], {"flagged": F.col("flag")}, F.col("v"))
-    out = {r["g"]: r for r in O.summarize(tallied, ["g"], "n", ["flagged"], {"q50": 0.5, "q90": 0.9}, width).collect()}
+    tallied = O.tally(df, ["g"], {"flagged": F.col("flag")}, F.col("v"), width)
+    out = {r["g"]: r for r in O.summarize(tallied, ["g"], "n", ["flagged"], {"q50": 0.5, "q90": 0.9}).collect()}
     assert set(out) == {None, "hot", "a", "b", "empty"}
     for name, row in out.items():
         part = frame[frame["g"].isna()] if name is None else frame[frame["g"] == name]
@@ -57,12 +57,59 @@ def test_quantiles_without_keys_and_rollup(spark):
     assert total["n"] == 2000 and total["q"] == pytest.approx(frame["v"].dropna().quantile(0.25))
 
 
-def test_tally_shuffle_is_reused(spark):
-    df = spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") / 7).alias("v"))
-    out = O.summarize(O.tally(df, ["g"], {}, F.col("v")), ["g"], "n", [], {"q": 0.5})
-    out.collect()
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "ReusedExchange" in plan
+def shuffled_rows(df):
+    """Rows written by the shuffles of a plan that has run."""
+    from pyspark.sql import SparkSession
+
+    def nodes(plan):
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            yield from nodes(plan.executedPlan())
+        elif name in ("ShuffleQueryStage", "BroadcastQueryStage", "TableCacheQueryStage"):
+            yield from nodes(plan.plan())
+        else:
+            yield plan
+            children = plan.children()
+            for i in range(children.size()):
+                yield from nodes(children.apply(i))
+
+    assert SparkSession.getActiveSession() is not None
+    df.collect()
+    found = [n for n in nodes(df._jdf.queryExecution().executedPlan()) if n.nodeName() == "Exchange"]
+    return sum(n.metrics().apply("shuffleRecordsWritten").value() for n in found)
+
+
+def test_shuffled_rows_grow_with_bins_and_not_with_rows(spark):
+    """One row per value would be thirty thousand; both passes stay at groups times bins and values of wanted bins."""
+    def frame(n):
+        return spark.range(n).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % n / n * 40).alias("v")).repartition(4)
+
+    first, second = [], []
+    for n in (3_000, 30_000):
+        df = frame(n)
+        tallied = O.tally(df, ["g"], {}, F.col("v"), bin_width=2.0)
+        first.append(shuffled_rows(tallied.histogram) - n)  # the repartition itself
+        wanted = O.summarize(tallied, ["g"], "n", [], {"q": 0.5})
+        second.append(shuffled_rows(wanted) - n)
+        values = df.where("g = 1").toPandas()["v"]
+        assert {r["g"]: r["q"] for r in wanted.collect()}[1] == pytest.approx(values.quantile(0.5))
+    assert first[0] <= 3 * 20 * 4 and first[1] <= 3 * 20 * 4
+    assert second[1] < 30_000 / 5  # two bins of twenty hold the wanted places
+
+
+def test_bins_whose_ends_settle_a_place_are_not_read_again(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 1.0), ("b", 1.1), ("b", 1.2), ("c", 5.0), ("d", None)], "g string, v double")
+    out = O.summarize(O.tally(df, ["g"], {}, F.col("v"), 10.0), ["g"], "n", [], {"q": 0.5})
+    assert {r["g"]: r["q"] for r in out.collect()} == {"a": 1.0, "b": pytest.approx(1.15), "c": 5.0, "d": None}
+    assert "Join" not in out._jdf.queryExecution().toString()
+
+
+def test_many_wanted_bins_are_joined_by_a_shuffle(spark, monkeypatch):
+    frame = hot_frame(2000)
+    df = to_spark(spark, frame, "g string, v double, flag boolean")
+    monkeypatch.setattr(O, "BROADCAST_BINS", 0)
+    out = {r["g"]: r["q"] for r in O.grouped_quantiles(df, ["g"], "v", {"q": 0.9}, bin_width=50.0).collect()}
+    assert out["hot"] == pytest.approx(frame.loc[frame["g"] == "hot", "v"].dropna().quantile(0.9))
 
 
 def test_group_summary_all_unresolved_and_null_key(spark):

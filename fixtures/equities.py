@@ -10,8 +10,9 @@ from fixtures.operations import GAPS
 from fixtures.registry import DAYS, query, rounded
 from fixtures.sql import with_
 from reqlens.contracts import AREA_REFERENCE_SCHEMA, CENSUS_VARIABLES, QUINTILE_COLUMNS
-from reqlens.operators import equity, filters, ranking
+from reqlens.operators import collapsed, equity, filters, ranking
 from reqlens.operators.summaries import with_month_label
+from reqlens.session import cut_lineage
 from reqlens.sources import areas
 
 ATTRIBUTES = ["population", "median_household_income", "poverty_share", "renter_share", "nonwhite_share",
@@ -150,6 +151,28 @@ def equity_models(spark, sf):
     return rounded(equity.adjusted_models(frame), "coefficient", "metric_value")
 
 
+# The duration model's normal equations: rows and summed log days of every pair of feature levels.
+FEATURES = [*QUINTILE_COLUMNS, *equity.CONTROL_FEATURES]
+_FIRST = ", ".join(f"min(CAST({f} AS VARCHAR)) AS first_{f}" for f in FEATURES)
+_TERMS = ", ".join(f"CASE WHEN CAST({f} AS VARCHAR) <> first_{f} THEN '{f}=' || CAST({f} AS VARCHAR) END" for f in FEATURES)
+_KNOWN = " AND ".join(f"{f} IS NOT NULL" for f in FEATURES)
+NORMAL_EQUATIONS = with_(S.EQUITY + f""", labelled_rows AS (SELECT m.unique_key, m.resolution_days, {', '.join(f'm.{f}' for f in equity.CONTROL_FEATURES)}, {', '.join(QUINTILE_COLUMNS)}
+    FROM matched m {QUINTILE_JOINS} WHERE m.resolved_with_valid_date AND m.resolution_days IS NOT NULL),
+model_rows AS (SELECT * FROM labelled_rows WHERE {_KNOWN}),
+firsts AS (SELECT {_FIRST} FROM model_rows),
+termed AS (SELECT ln(1 + resolution_days) AS y, list_filter(['(intercept)', {_TERMS}], lambda t: t IS NOT NULL) AS terms FROM model_rows, firsts),
+lefts AS (SELECT y, terms, unnest(terms) AS left_term FROM termed), pairs AS (SELECT y, left_term, unnest(terms) AS right_term FROM lefts)""",
+    """SELECT left_term, right_term, count(*) AS rows, round(CASE WHEN left_term = '(intercept)' OR right_term = '(intercept)' THEN sum(y) END, 6) AS total
+    FROM pairs WHERE left_term <= right_term GROUP BY 1, 2""")
+
+
+@query("equity_normal_equations", NORMAL_EQUATIONS)
+def equity_normal_equations(spark, sf):
+    frame, _ = _frame(spark, sf)
+    rows = equity.model_rows(frame, cut_lineage(equity.quintile_table(frame)))
+    return rounded(collapsed.normal_equations(equity.duration_design(rows), "total"), "total")
+
+
 @query("ranked_coefficients")
 def ranked_coefficients(spark, sf):
     frame, _ = _frame(spark, sf)

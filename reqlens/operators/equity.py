@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from reqlens.contracts import BOARD_KEYS, DEMOGRAPHIC_COLUMNS, ISSUE_LEVELS, QUINTILES
 from reqlens.functions.cleaning import zip_code
 from reqlens.functions.measures import distinct_labels, first_mode, per_10k
+from reqlens.operators import collapsed
 from reqlens.operators.filters import matched_areas
 from reqlens.operators.frames import add_board_fields
 from reqlens.operators.joins import attach
@@ -176,59 +173,50 @@ RESULT_SCHEMA = T.StructType([
 ])
 
 
-def _encode(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """One-hot without the alphabetically first level of each feature; names in vector order."""
-    indexer = StringIndexer(inputCols=list(features), outputCols=[f"_i_{f}" for f in features],
-                            stringOrderType="alphabetDesc", handleInvalid="error").fit(df)
-    encoder = OneHotEncoder(inputCols=[f"_i_{f}" for f in features], outputCols=[f"_v_{f}" for f in features],
-                            dropLast=True)
-    assembler = VectorAssembler(inputCols=[f"_v_{f}" for f in features], outputCol="features")
-    indexed = indexer.transform(df)
-    encoded = assembler.transform(encoder.fit(indexed).transform(indexed)).select("features", "label").persist()
-    names = [f"{feature}_{level}" for feature, levels in zip(features, indexer.labelsArray) for level in levels[:-1]]
-    return encoded, names
+def model_rows(df: DataFrame, quintiles: DataFrame) -> DataFrame:
+    """Rows of matched areas with all features known; ``quintiles`` is the written table of ``quintile_table``."""
+    features = [*QUINTILES, *CONTROL_FEATURES]
+    sources = [source for source, _ in QUINTILES.values()]
+    columns = ["unique_key", "zcta", *CONTROL_FEATURES, "resolved_with_valid_date", "resolution_days", "unresolved_flag"]
+    usable = matched_areas(df).dropna(subset=[*sources, *CONTROL_FEATURES]).select(*columns)
+    return label_quintiles(usable, quintiles).dropna(subset=features)
+
+
+def duration_design(rows: DataFrame) -> collapsed.Design:
+    resolved = rows.where(F.col("resolved_with_valid_date") & F.col("resolution_days").isNotNull())
+    log_days = F.log1p("resolution_days")
+    return collapsed.collapse(resolved, [*QUINTILES, *CONTROL_FEATURES], {"total": log_days, "squares": log_days * log_days})
+
+
+def backlog_design(rows: DataFrame) -> collapsed.Design:
+    return collapsed.collapse(rows.where(F.col("unresolved_flag").isNotNull()), [*QUINTILES, *CONTROL_FEATURES],
+                              {"positives": F.col("unresolved_flag").cast("int")})
 
 
-def adjusted_models(df: DataFrame, sample_size: int | None = 250_000, seed: int = 42) -> DataFrame:
+def adjusted_models(df: DataFrame) -> DataFrame:
     """Demographic coefficients of a duration and a backlog model, controlling for the mix.
 
-    The linear model is fitted on all rows. ``sample_size`` bounds the rows that the logistic solver
-    reads again in every iteration; its score is taken over all rows. The tables are written once.
+    Both models use every row: equal feature rows are folded, and each pass of a fit is an aggregate over
+    the folded rows. So the result does not depend on how the rows are spread.
     """
     spark = df.sparkSession
     demographic = list(QUINTILES)
-    features = [*demographic, *CONTROL_FEATURES]
-    sources = [source for source, _ in QUINTILES.values()]
-    table = cut_lineage(quintile_table(df))
-    columns = ["unique_key", "zcta", *CONTROL_FEATURES, "resolved_with_valid_date", "resolution_days", "unresolved_flag"]
-    usable = matched_areas(df).dropna(subset=[*sources, *CONTROL_FEATURES]).select(*columns)
-
-    def labelled_rows(rows: DataFrame, label: Column) -> DataFrame:
-        labelled = label_quintiles(rows, table).dropna(subset=features)
-        return cut_lineage(labelled.select(*[F.col(name).cast("string").alias(name) for name in features],
-                                           label.cast("double").alias("label")))
-
-    rows: list[tuple] = []
-    resolved = usable.where(F.col("resolved_with_valid_date") & F.col("resolution_days").isNotNull())
-    duration = labelled_rows(resolved, F.log1p("resolution_days"))
-    encoded, names = _encode(duration, features)
-    linear = LinearRegression(regParam=0.0, solver="auto").fit(encoded)
-    rows += _coefficient_rows("log_resolution_days", names, linear.coefficients, demographic, "r2",
-                              linear.summary.r2, duration.count())
-
-    backlog = labelled_rows(usable, F.col("unresolved_flag"))
-    encoded.unpersist()
-    encoded, names = _encode(backlog, features)
-    count = backlog.count()
-    fitted = encoded.sample(min(1.0, sample_size / max(count, 1)), seed=seed) if sample_size and count > sample_size else encoded
-    logistic = LogisticRegression(maxIter=1000, regParam=1.0 / min(count, sample_size or count), standardization=False,
-                                  family="binomial").fit(fitted)
-    auc = BinaryClassificationEvaluator(numBins=0).evaluate(logistic.transform(encoded))
-    encoded.unpersist()
-    rows += _coefficient_rows("unresolved_log_odds", names, logistic.coefficients, demographic, "roc_auc", auc, count)
+    table = model_rows(df, cut_lineage(quintile_table(df)))
+    duration = duration_design(table)
+    coefficients, fit, count = collapsed.least_squares(duration, "total", "squares")
+    rows = _coefficient_rows("log_resolution_days", _names(duration), coefficients[1:], demographic, "r2", fit, count)
+    backlog = backlog_design(table)
+    coefficients = collapsed.logistic(backlog, "positives")
+    area = collapsed.area_under_curve(backlog, coefficients, "positives")
+    count = backlog.rows.agg(F.coalesce(F.sum(collapsed.ROWS), F.lit(0))).first()[0]
+    rows += _coefficient_rows("unresolved_log_odds", _names(backlog), coefficients[1:], demographic, "roc_auc", area, count)
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
+def _names(design: collapsed.Design) -> list[str]:
+    return [f"{feature}_{level}" for feature, level in design.names]
+
+
 def _coefficient_rows(model, names, coefficients, demographic, metric, value, count) -> list[tuple]:
     return [(model, name, float(c), metric, float(value), int(count)) for name, c in zip(names, coefficients)
             if any(token in name for token in demographic)]

@@ -110,11 +110,6 @@ def train_classes(train: DataFrame, target: str = TARGET) -> list[str]:
 # Models ------------------------------------------------------------------------
 
 
-def _weighted(train: DataFrame, weight: str) -> DataFrame:
-    weights = class_weights(train).select(F.col(TARGET).alias("_class"), F.col(weight).alias("_weight"))
-    return train.join(weights, F.col(TARGET) == F.col("_class")).drop("_class")
-
-
 def _label(df: DataFrame, classes: Sequence[str]) -> DataFrame:
     return df.withColumn("label", (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(TARGET)) - 1).cast("double"))
 
@@ -124,7 +119,7 @@ def _class_of(index: Column, classes: Sequence[str]) -> Column:
 
 
 def _one_hot(train: DataFrame, test: DataFrame, features: Sequence[str], min_count: int):
-    """One slot per frequent level and one for rare ones; unseen levels have no slot.
+    """Folded training rows and test rows: one slot per frequent level and one for rare ones; unseen levels have no slot.
 
     The fitted vocabulary is model state and lives on the driver, as in every ML encoder: at
     most rows/min_count levels per feature.
@@ -156,7 +151,8 @@ def _one_hot(train: DataFrame, test: DataFrame, features: Sequence[str], min_cou
     fitted_encoder = encoder.fit(train_indexed)
     drop = [f"_{kind}_{f}" for kind in "giv" for f in features]
     names = [(feature, level) for feature, levels in zip(features, labels) for level in levels]
-    return (assembler.transform(fitted_encoder.transform(train_indexed)).drop(*drop),
+    folded = train_indexed.groupBy(*[f"_i_{f}" for f in features], TARGET).agg(F.count(F.lit(1)).alias("_rows"))
+    return (assembler.transform(fitted_encoder.transform(folded)).drop(*drop),
             assembler.transform(fitted_encoder.transform(test_indexed)).drop(*drop), names)
 
 
@@ -188,12 +184,15 @@ def logistic_forecast(train: DataFrame, test: DataFrame, features: Sequence[str]
                       min_count: int = 100) -> tuple[DataFrame, DataFrame]:
     """Balanced multinomial logistic regression: (predictions, feature importance).
 
-    The penalty is rescaled to the per-row loss: balanced weights sum to the row count.
+    Equal feature rows of a class are fitted once, weighted by their number. The penalty is rescaled to the
+    per-row loss: balanced weights sum to the row count.
     """
     classes = train_classes(train)
     encoded, scored_input, names = _one_hot(train, test, features, min_count)
-    fitting = _label(_weighted(encoded, "logistic_weight"), classes).select("features", "label", "_weight").persist()
-    penalty = 1.0 / (strength * fitting.count())
+    weights = class_weights(train).select(F.col(TARGET).alias("_class"), F.col("logistic_weight").alias("_weight"))
+    weighted = encoded.join(weights, F.col(TARGET) == F.col("_class")).withColumn("_weight", F.col("_weight") * F.col("_rows"))
+    fitting = _label(weighted, classes).select("features", "label", "_weight").persist()
+    penalty = 1.0 / (strength * train.count())
     model = LogisticRegression(family="multinomial", regParam=penalty, elasticNetParam=0.0, standardization=False,
                                maxIter=iterations, tol=tolerance, weightCol="_weight").fit(fitting)
     fitting.unpersist()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reqlens.contracts import Scope
-from reqlens.operators import equity, filters, order_statistics as O, ranking as R, sampling, scorecards as S
+from reqlens.operators import collapsed, equity, filters, order_statistics as O, ranking as R, sampling, scorecards as S
 
 RNG = np.random.default_rng(7)
 
@@ -218,3 +218,55 @@ def test_pivot_reindex_and_domain(spark):
     counts = dict(R.fixed_domain_counts(df, "h", [1, 3]).collect())
     assert counts == {1: 1, 3: 0}
     assert [tuple(r) for r in R.ordered(df.unionByName(spark.createDataFrame([(None, None, 1)], df.schema)), ("h", "desc"), ("d", "asc")).select("h").collect()] == [(2,), (1,), (None,)]
+
+
+def categorical_rows(n=1500):
+    frame = pd.DataFrame({"a": RNG.choice(["p", "q", "r"], n), "b": RNG.choice(["x", "y"], n, p=[0.8, 0.2])})
+    frame["c"] = frame["b"].map({"x": "one", "y": "two"})  # depends on b
+    frame["y"] = (frame["a"] == "q") * 1.5 - (frame["b"] == "y") * 0.5 + RNG.normal(size=n)
+    frame["hit"] = RNG.random(n) < 1 / (1 + np.exp(-(frame["y"] - 0.7)))
+    return frame
+
+
+def dummies(frame, features):
+    columns = {f"{f}={v}": (frame[f] == v).astype(float) for f in features for v in sorted(frame[f].unique())[1:]}
+    return np.column_stack([np.ones(len(frame)), *columns.values()]), list(columns)
+
+
+def test_collapsed_models_equal_whole_rows(spark):
+    frame = categorical_rows()
+    df = to_spark(spark, frame, "a string, b string, c string, y double, hit boolean")
+    results = []
+    for parts in (1, 5):
+        design = collapsed.collapse(df.repartition(parts), ["a", "b", "c"], {"total": F.col("y"), "squares": F.col("y") * F.col("y"),
+                                                                             "positives": F.col("hit").cast("int")})
+        assert design.rows.count() <= 6
+        coefficients, fit, rows = collapsed.least_squares(design, "total", "squares")
+        likely = collapsed.logistic(design, "positives", strength=2.0)
+        results.append((coefficients, fit, likely, collapsed.area_under_curve(design, likely, "positives")))
+    x, names = dummies(frame, ["a", "b", "c"])
+    assert [f"{f}={v}" for f, v in design.names] == names and rows == len(frame)
+    centred = x[:, 1:] - x[:, 1:].mean(axis=0)
+    slopes = np.linalg.lstsq(centred, frame["y"] - frame["y"].mean(), rcond=None)[0]
+    residual = frame["y"] - frame["y"].mean() - centred @ slopes
+    for coefficients, fit, likely, area in results:
+        assert coefficients[1:] == pytest.approx(slopes, abs=1e-8)
+        assert fit == pytest.approx(1 - (residual ** 2).sum() / ((frame["y"] - frame["y"].mean()) ** 2).sum())
+        # The gradient of the penalised log loss is zero.
+        share = 1 / (1 + np.exp(-x @ likely))
+        slope = x.T @ (share - frame["hit"]) + np.append(0, likely[1:] / 2.0)
+        assert np.abs(slope).max() < 1e-6
+        score = x @ likely
+        wins = (np.round(score[frame["hit"]].to_numpy() if hasattr(score, "to_numpy") else score[frame["hit"].to_numpy()], 9)[:, None]
+                - np.round(score[~frame["hit"].to_numpy()], 9)[None, :])
+        assert area == pytest.approx(((wins > 0) + 0.5 * (wins == 0)).mean())
+
+
+def test_collapsed_models_of_empty_and_constant_rows(spark):
+    df = spark.createDataFrame([("p", 1.0), ("p", 1.0)], "a string, y double")
+    sums = {"total": F.col("y"), "squares": F.col("y") * F.col("y"), "positives": F.lit(1)}
+    design = collapsed.collapse(df, ["a"], sums)
+    coefficients, fit, rows = collapsed.least_squares(design, "total", "squares")
+    assert coefficients.tolist() == [1.0] and np.isnan(fit) and rows == 2
+    none = collapsed.collapse(df.limit(0), ["a"], sums)
+    assert collapsed.least_squares(none, "total", "squares")[2] == 0 and collapsed.logistic(none, "positives").tolist() == [0.0]

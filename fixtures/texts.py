@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import Window, functions as F
 
 from fixtures import sql as S
 from fixtures import views as V
 from fixtures.registry import query, rounded
 from fixtures.sql import PARTIAL, quote, with_
 from reqlens.functions.text import normalize_text
-from reqlens.operators import ngrams, ranking, summaries, taxonomy
+from reqlens.operators import clustering, ngrams, ranking, summaries, taxonomy
 from reqlens.rules import MISMATCH_RULES, OUTCOME_RULES, SUBTYPE_RULES, TARGET_FAMILIES
 
 # Python string blanks differ from SQL trim; document texts may start or end with line breaks.
@@ -235,6 +236,42 @@ def _document_families(spark, sf):
     return documents.withColumn("issue_subtype", F.lit(taxonomy.UNMATCHED))
 
 
+# The assignment step: the three texts of a family with the least digests are its centres.
+ASSIGNMENT = f"""families AS (SELECT lang AS family, {_normalize_any('text')} AS point FROM documents),
+texts AS (SELECT family, point, count(*) AS n FROM families WHERE point IS NOT NULL AND family IS NOT NULL GROUP BY 1, 2),
+kept AS (SELECT family, sum(n) AS total FROM texts GROUP BY 1 HAVING sum(n) >= 100 AND count(*) >= 2),
+cluster_words AS (SELECT family, point, n, list_filter(regexp_extract_all(lower(point), '[a-z0-9_]{{2,}}'), lambda x: x NOT IN ({STOPS})) AS w FROM texts JOIN kept USING (family)),
+cluster_terms AS MATERIALIZED (SELECT family, point, n, unnest(w) AS ngram FROM cluster_words
+  UNION ALL SELECT family, point, n, w[i] || ' ' || w[i + 1] FROM (SELECT *, unnest(range(1, len(w))) AS i FROM cluster_words WHERE len(w) > 1)),
+tf AS MATERIALIZED (SELECT family, point, n, ngram, count(*) AS tf FROM cluster_terms GROUP BY 1, 2, 3, 4),
+ranked_terms AS (SELECT family, ngram, sum(n) AS documents, row_number() OVER (PARTITION BY family ORDER BY sum(n * tf) DESC, ngram) AS place
+  FROM tf GROUP BY 1, 2 HAVING sum(n) >= 5),
+raw_vectors AS (SELECT tf.family, point, tf.ngram, tf * (ln((1 + total) / CAST(1 + documents AS DOUBLE)) + 1) AS v
+  FROM tf JOIN ranked_terms r ON tf.family = r.family AND tf.ngram = r.ngram AND place <= 1500 JOIN kept k ON tf.family = k.family),
+vectors AS MATERIALIZED (SELECT family, point, ngram, v / sqrt(sum(v * v) OVER (PARTITION BY family, point)) AS v FROM raw_vectors),
+centre_texts AS (SELECT family, point, row_number() OVER (PARTITION BY family ORDER BY md5(point)) - 1 AS cluster FROM texts JOIN kept USING (family)
+  QUALIFY row_number() OVER (PARTITION BY family ORDER BY md5(point)) <= 3),
+lengths AS (SELECT family, point, sum(v * v) AS s FROM vectors GROUP BY 1, 2),
+centre_vectors AS MATERIALIZED (SELECT c.family, c.cluster, y.ngram, y.v FROM centre_texts c JOIN vectors y ON y.family = c.family AND y.point = c.point),
+dots AS (SELECT x.family, x.point, y.cluster, sum(x.v * y.v) AS dot FROM vectors x JOIN centre_vectors y ON x.family = y.family AND x.ngram = y.ngram GROUP BY 1, 2, 3),
+distances AS (SELECT t.family, t.point, t.n, c.cluster, greatest(round(coalesce(lx.s, 0) + coalesce(lc.s, 0) - 2 * coalesce(d.dot, 0), 9), 0) AS distance
+  FROM texts t JOIN kept USING (family) JOIN centre_texts c ON t.family = c.family LEFT JOIN lengths lx ON lx.family = t.family AND lx.point = t.point
+  LEFT JOIN lengths lc ON lc.family = c.family AND lc.point = c.point LEFT JOIN dots d ON d.family = t.family AND d.point = t.point AND d.cluster = c.cluster)"""
+
+
+@query("cluster_assignment", with_(ASSIGNMENT, """SELECT family, md5(point) AS text_key, CAST(n AS DOUBLE) AS weight, arg_min(cluster, (distance, cluster)) AS cluster
+    FROM distances GROUP BY 1, 2, 3"""))
+def cluster_assignment(spark, sf):
+    made = ngrams.family_vectors(_document_families(spark, sf), min_rows=100, stop_words=STOP_WORDS, pattern=ASCII_TOKEN)
+    first = F.row_number().over(Window.partitionBy("family").orderBy(F.md5("point")))
+    chosen = made.points.withColumn("turn", first).where("turn <= 3").collect()
+    centres = {name: np.zeros((3, len(terms))) for name, terms in made.vocabulary.items()}
+    for row in chosen:
+        centres[row["family"]][row["turn"] - 1, np.frombuffer(bytes(row["keys"]), "<i4")] = np.frombuffer(bytes(row["numbers"]), "<f8")
+    placed = clustering.assign(made.points, centres)
+    return placed.select("family", F.md5("point").alias("text_key"), "weight", "cluster")
+
+
 @query("residual_cluster_profiles")
 def residual_cluster_profiles(spark, sf):
     _, profiles = ngrams.residual_clusters(_document_families(spark, sf), min_rows=100, stop_words=STOP_WORDS)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
-from pyspark.ml.linalg import Vectors
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from reqlens.operators import clustering
 from reqlens.operators.taxonomy import UNMATCHED
+from reqlens.session import cut_lineage
 
 DOCUMENT_MARK = "#"  # never part of a word
 TOKEN = r"(?U)\b(\w\w+)\b"
@@ -105,56 +109,85 @@ def _top_terms(center, vocabulary: Sequence[str], n: int) -> str:
     return ", ".join(vocabulary[i] for i in strongest[:n])
 
 
-def residual_clusters(df: DataFrame, min_rows: int = 150, max_clusters: int = 6, max_terms: int = 1500,
-                      min_documents: int = 5, label_terms: int = 5, stop_words: Sequence[str] | None = None,
-                      seed: int = 42, family: str = "complaint_type", text: str = "text_clean",
-                      pattern: str = TOKEN, iterations: int = 20) -> tuple[DataFrame, DataFrame]:
-    """TF-IDF and K-means inside each family of unmatched texts: (assignments, profiles).
+@dataclass
+class FamilyVectors:
+    """Different texts of each family as TF-IDF vectors of length one, weighted by their rows."""
+
+    points: DataFrame
+    vocabulary: dict[str, list[str]]
+    rows: dict[str, tuple[int, int]]  # rows and different texts of each family
 
-    Equal texts are clustered once with their number of rows as weight, so the fit grows with
-    the variety of texts and a hot family does not repeat its work. Only the vocabulary (at
-    most ``max_terms`` per family) and the centres reach the driver.
+
+def family_vectors(df: DataFrame, min_rows: int = 150, max_terms: int = 1500, min_documents: int = 5,
+                   stop_words: Sequence[str] | None = None, family: str = "complaint_type", text: str = "text_clean",
+                   pattern: str = TOKEN) -> FamilyVectors:
+    """Vectors of the unmatched texts of every family with enough rows; written once.
+
+    Equal texts are folded, so a hot family does not repeat its work. Only the vocabulary (at most
+    ``max_terms`` per family) reaches the driver.
     """
     spark = df.sparkSession
-    residual = df.where((F.col("issue_subtype") == UNMATCHED) & F.col(text).isNotNull())
-    texts = residual.groupBy(F.col(family).alias("complaint_type"), F.col(text).alias("text_clean")).agg(
-        F.count(F.lit(1)).alias("rows")).persist()
+    residual = df.where((F.col("issue_subtype") == UNMATCHED) & F.col(text).isNotNull() & F.col(family).isNotNull())
+    texts = cut_lineage(residual.groupBy(F.col(family).alias("complaint_type"), F.col(text).alias("text_clean")).agg(
+        F.count(F.lit(1)).alias("rows")))
     stop_words = english_stop_words() if stop_words is None else stop_words
-
     sizes = texts.groupBy("complaint_type").agg(
         F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("distinct")).where(
         (F.col("rows") >= min_rows) & (F.col("distinct") >= 2))
-    families = {row["complaint_type"]: (row["rows"], row["distinct"]) for row in sizes.collect()}
+    rows = {row["complaint_type"]: (row["rows"], row["distinct"]) for row in sizes.collect()}
     counts = term_counts(texts, "text_clean", stop_words, F.col("rows"), ["complaint_type"], pattern)
-    chosen: dict[str, list] = {}
+    chosen: dict[str, dict[str, int]] = {}
     for row in _vocabulary(counts, ["complaint_type"], min_documents, max_terms).collect():
-        chosen.setdefault(row["complaint_type"], []).append((row["ngram"], row["documents"]))
-
-    assignments = spark.createDataFrame([], ASSIGNMENT_SCHEMA)
-    profiles = spark.createDataFrame([], PROFILE_SCHEMA)
-    for name, (rows, distinct) in sorted(families.items()):
-        terms = sorted(chosen.get(name, []))
-        clusters = _cluster_count(rows, distinct, max_clusters)
-        if len(terms) < 2 or clusters < 2:
-            continue
-        vocabulary = [term for term, _ in terms]
-        weights = Vectors.dense([_smooth_idf(rows, documents) for _, documents in terms])
-        family_texts = texts.where(F.col("complaint_type") == name).withColumn(
-            "_terms", with_bigrams(terms_of(F.col("text_clean"), stop_words, pattern)))
-        counted = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_terms", outputCol="_tf").transform(family_texts)
-        scaled = ElementwiseProduct(scalingVec=weights, inputCol="_tf", outputCol="_tfidf").transform(counted)
-        features = Normalizer(inputCol="_tfidf", outputCol="features", p=2.0).transform(scaled)
-        model = KMeans(k=clusters, seed=seed, maxIter=iterations, weightCol="rows").fit(features)
-        labels = F.array(*[F.lit(_top_terms(center, vocabulary, label_terms)) for center in model.clusterCenters()])
-        placed = model.transform(features).select(
-            "complaint_type", "text_clean", "rows", F.col("prediction").cast("bigint").alias("residual_cluster"),
-            F.get(labels, F.col("prediction")).alias("residual_cluster_label"))
-        assignments = assignments.unionByName(placed.drop("rows"))
-        profiles = profiles.unionByName(placed.groupBy("complaint_type", "residual_cluster").agg(
-            F.sum("rows").alias("cluster_rows"),
-            (F.sum("rows") / F.lit(float(rows))).alias("cluster_share"),
-            F.first("residual_cluster_label").alias("cluster_terms"),
-            F.min("text_clean").alias("example_text")))
+        chosen.setdefault(row["complaint_type"], {})[row["ngram"]] = row["documents"]
+    vocabulary = {name: sorted(chosen[name]) for name in rows if len(chosen.get(name, ())) >= 2}
+    weights = {name: {term: (i, _smooth_idf(rows[name][0], chosen[name][term])) for i, term in enumerate(terms)}
+               for name, terms in vocabulary.items()}
+    sent = spark.sparkContext.broadcast(weights)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keys, numbers = [], []
+            for name, words in zip(frame["family"], frame["terms"]):
+                known = sent.value[name]
+                counted = Counter(word for word in words if word in known)
+                places = np.array([known[word][0] for word in counted], dtype="<i4")
+                values = np.array([n * known[word][1] for word, n in counted.items()], dtype="<f8")
+                length = np.sqrt((values ** 2).sum())
+                keys.append(places.tobytes())
+                numbers.append((values / length if length else values).tobytes())
+            yield frame[["family", "point", "weight"]].assign(keys=keys, numbers=numbers)
+
+    known = texts.where(F.col("complaint_type").isin(list(vocabulary))).select(
+        F.col("complaint_type").alias("family"), F.col("text_clean").alias("point"), F.col("rows").cast("double").alias("weight"),
+        with_bigrams(terms_of(F.col("text_clean"), stop_words, pattern)).alias("terms"))
+    return FamilyVectors(cut_lineage(known.mapInPandas(run, clustering.POINTS)), vocabulary, rows)
+
+
+def residual_clusters(df: DataFrame, min_rows: int = 150, max_clusters: int = 6, max_terms: int = 1500,
+                      min_documents: int = 5, label_terms: int = 5, stop_words: Sequence[str] | None = None,
+                      seed: int = 42, family: str = "complaint_type", text: str = "text_clean",
+                      pattern: str = TOKEN, starts: int = 10, iterations: int = 50) -> tuple[DataFrame, DataFrame]:
+    """TF-IDF and K-means inside each family of unmatched texts: (assignments, profiles).
+
+    All families and all ``starts`` are fitted together, the best start of each family counts. The example of
+    a profile is the cluster's first text in alphabetical order.
+    """
+    spark = df.sparkSession
+    made = family_vectors(df, min_rows, max_terms, min_documents, stop_words, family, text, pattern)
+    sizes = {name: (_cluster_count(*made.rows[name], max_clusters), len(terms)) for name, terms in made.vocabulary.items()}
+    sizes = {name: size for name, size in sizes.items() if size[0] >= 2}
+    if not sizes:
+        return spark.createDataFrame([], ASSIGNMENT_SCHEMA), spark.createDataFrame([], PROFILE_SCHEMA)
+    centres = clustering.best_centres(made.points, sizes, starts, seed, iterations)
+    placed = cut_lineage(clustering.assign(made.points, centres))
+    labels = [(name, k, _top_terms(centre, made.vocabulary[name], label_terms), made.rows[name][0])
+              for name, own in centres.items() for k, centre in enumerate(own)]
+    named = placed.join(spark.createDataFrame(labels, "family string, cluster bigint, label string, family_rows bigint"), ["family", "cluster"])
+    assignments = named.select(F.col("family").alias("complaint_type"), F.col("point").alias("text_clean"),
+                               F.col("cluster").alias("residual_cluster"), F.col("label").alias("residual_cluster_label"))
+    profiles = named.groupBy(F.col("family").alias("complaint_type"), F.col("cluster").alias("residual_cluster")).agg(
+        F.sum("weight").cast("bigint").alias("cluster_rows"), (F.sum("weight") / F.first("family_rows")).alias("cluster_share"),
+        F.first("label").alias("cluster_terms"), F.min("point").alias("example_text"))
     return assignments, profiles
 
 

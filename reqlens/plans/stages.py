@@ -102,12 +102,18 @@ def analytic_stage(spark: SparkSession, raw_path: str, out: str, scope: Scope =
 
 
 def taxonomy_stage(analytic: DataFrame, closure_texts: DataFrame | None, rules=SUBTYPE_RULES,
-                   mismatches=MISMATCH_RULES, outcomes=OUTCOME_RULES, cluster: bool = True) -> DataFrame:
-    """Text labels per request; closure texts come from their own table, by key."""
+                   mismatches=MISMATCH_RULES, outcomes=OUTCOME_RULES, cluster: bool = True,
+                   profiles_path: str | None = None) -> DataFrame:
+    """Text labels per request; closure texts come from their own table, by key.
+
+    Profiles of the clusters of unmatched texts are published at ``profiles_path``.
+    """
     base = taxonomy.add_normalized_text(taxonomy.clean_taxonomy_input(analytic))
     labelled = taxonomy.flag_label_mismatches(taxonomy.assign_subtypes(base, rules), mismatches)
     if cluster:
-        assignments, _ = ngrams.residual_clusters(labelled)
+        assignments, profiles = ngrams.residual_clusters(labelled)
+        if profiles_path is not None:
+            write_table(profiles, profiles_path)
         labelled = ngrams.attach_clusters(labelled, assignments)
     else:
         labelled = labelled.withColumns({
@@ -134,8 +140,11 @@ def operations_stage(enriched: DataFrame, scope: Scope = DEFAULT_SCOPE) -> Table
 
 
 def geography_stage(enriched: DataFrame, areas: DataFrame, size: float = GRID_SIZE_DEGREES,
-                    box: Box = DEFAULT_BOX) -> Tables:
+                    box: Box = DEFAULT_BOX, out: str | None = None) -> Tables:
+    """Tables of areas, boards and cells; with ``out`` the cells' months are written first, and read for the persistence."""
     monthly = geography.grid_monthly(enriched, size, box)
+    if out is not None:
+        monthly = read_table(enriched.sparkSession, write_table(monthly, f"{out}/grid_monthly_cells"))
     return {
         "zcta_metrics": geography.area_metrics(enriched, areas),
         "community_board_metrics": geography.board_metrics(enriched),
@@ -246,14 +255,14 @@ def run(spark: SparkSession, raw_path: str, out: str, areas: DataFrame, demograp
         closure_texts: DataFrame | None = None, scope: Scope = DEFAULT_SCOPE, **forecast_options) -> dict[str, str]:
     """All stages in order; returns the paths of the published tables."""
     analytic = analytic_stage(spark, raw_path, out, scope)
-    write_table(taxonomy_stage(analytic, closure_texts), f"{out}/issue_subtypes")
+    write_table(taxonomy_stage(analytic, closure_texts, profiles_path=f"{out}/residual_cluster_profiles"), f"{out}/issue_subtypes")
     labelled = read_table(spark, f"{out}/issue_subtypes")
     for side in (analytic, labelled):
         assert_unique(side, "unique_key")  # the join is one to one
     write_table(frames.enrich(analytic, labelled), f"{out}/enriched")
     enriched = read_table(spark, f"{out}/enriched")
     paths = publish_stage(operations_stage(enriched, scope), out)
-    paths |= publish_stage(geography_stage(enriched, areas), out)
+    paths |= publish_stage(geography_stage(enriched, areas, out=out), out)
     paths |= publish_stage(equity_stage(enriched, demographics), out)
     paths |= publish_stage(forecast_stage(enriched, scope, **forecast_options), out)
     paths |= publish_stage(exploratory_summaries(analytic, scope), f"{out}/summaries")

@@ -277,6 +277,11 @@ def qa_totals(monthly: DataFrame) -> DataFrame:
     return monthly.agg(*[F.sum(name).alias(name) for name in names])
 
 
+def largest_hotspot_share(persistence: DataFrame) -> DataFrame:
+    """Share of its active months in which the most persistent cell is a hotspot."""
+    return persistence.agg(F.max("hotspot_month_share").alias("hotspot_month_share"))
+
+
 def top_label_findings(df: DataFrame) -> DataFrame:
     """Largest labelled (family, subtype) pair."""
     counts = count_by(labelled_only(df), "complaint_type", "issue_subtype")

@@ -104,8 +104,10 @@ def closure_case() -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document texts; the split size of the scan decides how they are spread."""
-    return table(spark, sf_dir, "documents")
+    """Document texts; spread over the cores where the files give fewer splits than there are cores."""
+    texts = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return texts if texts.rdd.getNumPartitions() >= cores else texts.repartition(cores)
 
 
 _VIEWS: dict[tuple, DataFrame] = {}

@@ -39,18 +39,25 @@ def with_bigrams(words: Column) -> Column:
     return F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
 
 
-def term_counts(df: DataFrame, text: str, stop_words: Sequence[str] | None = None, weight: Column | None = None,
-                keys: Sequence[str] = (), pattern: str = TOKEN) -> DataFrame:
-    """Occurrences and document frequency of every term.
+def _terms(df: DataFrame, text: str, stop_words: Sequence[str] | None, pattern: str, keys: Sequence[str] = (),
+           weight: Column | None = None) -> DataFrame:
+    """``keys, _w, _terms``: the words and bigrams of each text that is not null.
 
-    The distinct terms of a text travel next to all its terms, marked by a prefix, so documents
-    are counted by the same map-side combined count, without a shuffle by document.
+    Both are exploded from one-element arrays: later steps then read a column, and do not copy the expressions.
     """
     stop_words = english_stop_words() if stop_words is None else stop_words
     weight = F.lit(1).cast("bigint") if weight is None else weight
     rows = df.where(F.col(text).isNotNull()).select(
-        *keys, weight.alias("_w"), terms_of(F.col(text), stop_words, pattern).alias("_words"))
-    rows = rows.withColumn("_terms", with_bigrams(F.col("_words")))
+        *keys, weight.alias("_w"), F.explode(F.array(terms_of(F.col(text), stop_words, pattern))).alias("_words"))
+    return rows.select(*keys, "_w", F.explode(F.array(with_bigrams(F.col("_words")))).alias("_terms"))
+
+
+def _counted(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Occurrences and document frequency of every term.
+
+    The distinct terms of a text travel next to all its terms, marked by a prefix, so documents
+    are counted by the same map-side combined count, without a shuffle by document.
+    """
     once = F.transform(F.array_distinct("_terms"), lambda term: F.concat(F.lit(DOCUMENT_MARK), term))
     marked = rows.select(*keys, "_w", F.explode(F.concat(F.col("_terms"), once)).alias("_term"))
     counted = marked.groupBy(*keys, "_term").agg(F.sum("_w").alias("_n"))
@@ -62,11 +69,47 @@ def term_counts(df: DataFrame, text: str, stop_words: Sequence[str] | None = Non
         F.sum(F.when(is_document, F.col("_n")).otherwise(zero)).alias("documents"))
 
 
+def term_counts(df: DataFrame, text: str, stop_words: Sequence[str] | None = None, weight: Column | None = None,
+                keys: Sequence[str] = (), pattern: str = TOKEN) -> DataFrame:
+    """Occurrences and document frequency of every term."""
+    return _counted(_terms(df, text, stop_words, pattern, keys, weight), keys)
+
+
+def frequent_candidates(rows: DataFrame, candidates: int, tracked: int) -> tuple[list[str], int]:
+    """Terms that may be frequent, and a bound on the occurrences of every other term.
+
+    One mergeable summary of ``tracked`` terms per task; only summaries are shuffled. A term outside a summary
+    occurs at most ``3.5 / tracked`` of all occurrences; one inside it, but not returned, no more often than the
+    least estimate returned (an estimate is never too low).
+    """
+    terms = rows.select(F.explode("_terms").alias("term"))
+    found = terms.agg(F.expr(f"approx_top_k(term, {candidates}, {tracked})").alias("top"), F.count(F.lit(1)).alias("total")).first()
+    top = found["top"] or []
+    outside = -(-7 * found["total"] // (2 * tracked))
+    least = min((row["count"] for row in top), default=0) if len(top) == candidates else 0
+    return [row["item"] for row in top], max(outside, least)
+
+
 def top_ngrams(df: DataFrame, text: str, n: int = 15, min_documents: int = 5,
-               stop_words: Sequence[str] | None = None, pattern: str = TOKEN) -> DataFrame:
-    """Most frequent terms that occur in enough texts. Sample beforehand if a sample is wanted."""
-    counts = term_counts(df, text, stop_words, pattern=pattern).where(F.col("documents") >= min_documents)
-    return counts.orderBy(F.desc("count"), F.asc("ngram")).limit(n).select("ngram", "count")
+               stop_words: Sequence[str] | None = None, pattern: str = TOKEN,
+               candidates: int = 1_000, tracked: int = 1 << 16) -> DataFrame:
+    """Most frequent terms that occur in enough texts. Sample beforehand if a sample is wanted.
+
+    Candidates come from a bounded summary and are counted exactly in a second pass. Where the summary's bound does
+    not set the last of the ``n`` terms apart from all other terms, all terms are counted.
+    """
+    rows = _terms(df, text, stop_words, pattern)
+
+    def largest(counts: DataFrame) -> DataFrame:
+        kept = counts.where(F.col("documents") >= min_documents)
+        return kept.orderBy(F.desc("count"), F.asc("ngram")).limit(n).select("ngram", "count")
+
+    names, others = frequent_candidates(rows, candidates, tracked)
+    known = rows.withColumn("_terms", F.filter("_terms", lambda term: term.isin(names)))
+    first = largest(_counted(known)).collect()
+    if len(first) == n and first[-1]["count"] > others:
+        return df.sparkSession.createDataFrame(first, "ngram string, count bigint")  # n rows
+    return largest(_counted(rows))
 
 
 # Residual clustering ---------------------------------------------------------

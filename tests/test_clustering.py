@@ -101,3 +101,18 @@ def test_clusters_of_odd_families(spark):
     assert sum(r["cluster_rows"] for r in profiles.collect()) == 200
     for part in ngrams.residual_clusters(df.limit(0)):
         assert part.count() == 0
+
+
+def test_frequent_terms_are_exact_by_summary_and_by_count(spark):
+    words = [f"w{i}" for i in range(400)]
+    weight = 1 / np.arange(1, 401)
+    texts = [" ".join(RNG.choice(words, 30, p=weight / weight.sum())) for _ in range(400)] + [None, "", "w1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    counts = {r["ngram"]: (r["count"], r["documents"]) for r in ngrams.term_counts(df, "t", []).collect()}
+    wanted = sorted(((n, d) for n, d in counts.items() if d[1] >= 5), key=lambda p: (-p[1][0], p[0]))[:10]
+    names, others = ngrams.frequent_candidates(ngrams._terms(df, "t", [], ngrams.TOKEN), 50, 1 << 14)
+    assert len(names) == 50 and all(counts[n][0] <= others for n in counts if n not in names)
+    for candidates, tracked in ((50, 1 << 14), (20, 32), (10, 1 << 14)):  # set apart by the bound; not; not
+        found = ngrams.top_ngrams(df, "t", 10, 5, [], candidates=candidates, tracked=tracked)
+        assert [(r["ngram"], r["count"]) for r in found.collect()] == [(n, d[0]) for n, d in wanted]
+    assert ngrams.top_ngrams(df.limit(0), "t", 10, 5, []).count() == 0

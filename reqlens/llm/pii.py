@@ -53,6 +53,27 @@ def _national_id(value: Column) -> Column:
     return value.rlike("^[0-8][0-9]{2}-[0-9]{2}-[0-9]{4}$") & ~value.rlike("^(000|666)|-00-|-0000$")
 
 
+# Signs of an account number (IBAN) by country.
+IBAN_LENGTHS = """
+AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27
+GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28
+PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20
+"""
+
+
+def _iban_grammar() -> str:
+    """Countries of one length, check digits, groups of four and the rest: the next word is never taken along."""
+    by_length: dict[int, list[str]] = {}
+    for entry in IBAN_LENGTHS.split():
+        by_length.setdefault(int(entry[2:]), []).append(entry[:2])
+    ways = []
+    for length, countries in sorted(by_length.items()):
+        groups, rest = divmod(length - 4, 4)
+        last = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+        ways.append(rf"(?:{'|'.join(countries)})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}{last}\b")
+    return "|".join(ways)
+
+
 # The grammars are fixed values, as text: base kinds in their stated order, then the kinds added here.
 KINDS = (
     Kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -65,8 +86,7 @@ KINDS = (
          True, 0.7, "card|visa|credit|pay|iban", "", lambda value: F.call_function("luhn_check", _digits(value))),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", True, 0.7, "tel|phone|call|fax|mobil|cell", "+",
          lambda value: F.length(_digits(value)).between(10, 15)),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]{4})+(\x20?[A-Z0-9]{1,3})?",
-         r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4})++(?:\x20?[A-Z0-9]{1,3})?+", False, 0.7, "iban|account|bank|konto|cuenta|compte", "", _iban),
+    Kind("iban", _iban_grammar(), rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:{_iban_grammar()})", False, 0.7, "iban|account|bank|konto|cuenta|compte", "", _iban),
     Kind("national_id", r"[0-9]+-[0-9]+-[0-9]+", r"[0-9](?<![0-9][0-9])[0-9]*+-[0-9]++-[0-9]++", False, 0.4,
          "ssn|social|security|insurance|passport", "-", _national_id),
     Kind("local_phone", r"\([0-9]{3}\)[\x20-][0-9]{3}-[0-9]{4}", r"\([0-9]{3}\)[\x20-][0-9]{3}-[0-9]{4}", False, 0.3,

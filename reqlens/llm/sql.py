@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reqlens.llm import decontam, pii
+from reqlens.llm import decontam, pii, spans
 
 URL_FILTER = """
 WITH parts AS (
@@ -71,16 +71,17 @@ def _pii() -> str:
     for rank, kind in enumerate(pii.KINDS):
         grammar = _quoted(kind.grammar)
         ctes.append(f"""m_{kind.name} AS (
-  SELECT r, regexp_extract_all(text, {grammar}) AS m, string_split_regex(text, {grammar}) AS p FROM texts WHERE regexp_matches(text, {grammar})
+  SELECT r, text, regexp_extract_all(text, {grammar}) AS m, string_split_regex(text, {grammar}) AS p FROM texts WHERE regexp_matches(text, {grammar})
 ), s_{kind.name} AS (
-  SELECT r, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'start': coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0)
-    + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0), 'v': m[i], 'before': lower(right(p[i], 40))}}), recursive := true)
+  SELECT r, text, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'start': coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0)
+    + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0), 'v': m[i]}}), recursive := true)
   FROM m_{kind.name}
 ), k_{kind.name} AS (
   SELECT r, CAST(start AS BIGINT) AS start, {rank} AS rank, CAST(start + length(v) AS BIGINT) AS stop, '{kind.name}' AS kind, {str(kind.base).lower()} AS base,
-    {kind.score} + CASE WHEN regexp_matches(before, {_quoted(kind.context)}) THEN 0.3 ELSE 0 END
+    {kind.score} + CASE WHEN regexp_matches(before, {_quoted(kind.context)}) OR regexp_matches(behind, {_quoted(kind.context)}) THEN 0.3 ELSE 0 END
     - CASE WHEN regexp_matches(before, {_quoted(pii.DOUBTS)}) THEN 0.2 ELSE 0 END AS score
-  FROM s_{kind.name} WHERE {_CONFIRMED[kind.name]}
+  FROM (SELECT *, lower(substr(text, CAST(greatest(start - {spans.CONTEXT}, 0) AS BIGINT) + 1, CAST(least(start, {spans.CONTEXT}) AS BIGINT))) AS before,
+      lower(substr(text, CAST(start AS BIGINT) + length(v) + 1, {spans.CONTEXT})) AS behind FROM s_{kind.name} WHERE {_CONFIRMED[kind.name]})
 )""")
         names.append(f"SELECT * FROM k_{kind.name}")
     ctes.append("found AS (" + " UNION ALL ".join(names) + ")")

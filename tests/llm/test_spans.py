@@ -121,3 +121,12 @@ def test_battery_accepts_random_tokens_at_its_rate(spark):
     frame = spark.createDataFrame(tokens, "t string").select(secretscan.battery(F.col("t"), F.lit("0123456789abcdef")).alias("p"))
     values = [r["p"] for r in frame.collect()]
     assert all(0 <= p <= 1 for p in values) and sum(p < 0.05 for p in values) < 50
+
+
+def test_account_numbers_end_where_their_country_says(spark):
+    texts = ["IBAN BE71 0961 2345 6769 EURO", "IBAN BE71 0961 2345 6769 A", "konto BE71096123456769 DE89370400440532013000.", "IBAN NO93 8601 1117 947, GB82WEST12345698765432",
+             "IBAN BE71 0961 2345 6768 EURO", "bank MT84 MALT 0110 0001 2345 MTLC AST0 01S 99"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.pii_digest(frame).collect()}
+    assert [found[i] for i in (0, 1, 2, 3, 5)] == ["iban:5:24", "iban:5:24", "iban:6:22,iban:23:45", "iban:5:23,iban:25:47", "iban:5:43"]
+    assert "iban" not in found[4]

@@ -32,11 +32,6 @@ def first_mode(column: Column | str, default: str | None = "Unknown") -> Column:
     return mode if default is None else F.coalesce(mode, F.lit(default))
 
 
-def distinct_labels(column: Column | str) -> Column:
-    """Distinct non-null labels of a small domain, without the row expansion of COUNT DISTINCT."""
-    return F.size(F.collect_set(column)).cast("bigint")
-
-
 def modeled_subtype() -> Column:
     """Subtype when the request belongs to a modelled family, else null."""
     modeled = F.col("subtype_modeled_flag") & (F.col("issue_subtype") != "not_modeled")

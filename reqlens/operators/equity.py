@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from reqlens.contracts import BOARD_KEYS, DEMOGRAPHIC_COLUMNS, ISSUE_LEVELS, QUINTILES
 from reqlens.functions.cleaning import zip_code
-from reqlens.functions.measures import distinct_labels, first_mode, per_10k
+from reqlens.functions.measures import per_10k
 from reqlens.operators import collapsed
 from reqlens.operators.filters import matched_areas
 from reqlens.operators.frames import add_board_fields
 from reqlens.operators.joins import attach
 from reqlens.operators.order_statistics import smallest_keys
-from reqlens.operators.scorecards import EQUITY_COUNTS, against_benchmark, group_summary, with_descriptors
+from reqlens.operators.scorecards import EQUITY_COUNTS, against_benchmark, group_summary, labelled_summary
 from reqlens.session import cut_lineage
 
 PARTS = 5
@@ -123,15 +123,12 @@ def area_attributes(df: DataFrame, demographics: DataFrame) -> DataFrame:
 
 
 def area_equity(df: DataFrame, demographics: DataFrame) -> DataFrame:
-    matched = matched_areas(df)
-    keys = ["zcta"]
-    summary = with_descriptors(group_summary(matched, keys, EQUITY_COUNTS), matched, keys, {
-        "borough_count": distinct_labels("borough"),
-        "top_borough": first_mode("borough"),
-        "top_agency": first_mode("agency"),
-        "top_complaint_type": first_mode("complaint_type"),
-        "top_issue_family": first_mode("issue_family"),
-    })
+    summary = labelled_summary(matched_areas(df), ["zcta"], {
+        "top_borough": "borough",
+        "top_agency": "agency",
+        "top_complaint_type": "complaint_type",
+        "top_issue_family": "issue_family",
+    }, {"borough_count": "borough"}, EQUITY_COUNTS)
     return summary.join(area_attributes(df, demographics), "zcta", "left").withColumns({
         "complaints_per_10k": per_10k(F.col("complaints"), F.col("population")),
         "unresolved_per_10k": per_10k(F.col("unresolved_complaints"), F.col("population")),
@@ -153,11 +150,11 @@ def equity_monthly(df: DataFrame, demographics: DataFrame) -> DataFrame:
 
 
 def board_sensitivity(df: DataFrame) -> DataFrame:
-    return with_descriptors(group_summary(df, BOARD_KEYS, EQUITY_COUNTS), df, BOARD_KEYS, {
-        "top_agency": first_mode("agency"),
-        "top_complaint_type": first_mode("complaint_type"),
-        "top_issue_family": first_mode("issue_family"),
-    })
+    return labelled_summary(df, BOARD_KEYS, {
+        "top_agency": "agency",
+        "top_complaint_type": "complaint_type",
+        "top_issue_family": "issue_family",
+    }, counts=EQUITY_COUNTS)
 
 
 # Adjusted models -------------------------------------------------------------

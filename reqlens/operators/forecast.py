@@ -12,9 +12,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from reqlens.contracts import BUCKET_ORDER, DEFAULT_SCOPE, POST_ROUTING_FEATURES, TARGET, Scope
-from reqlens.functions.measures import first_mode, rank_in
+from reqlens.functions.measures import rank_in
 from reqlens.operators import boosting
-from reqlens.operators.order_statistics import summarize, tally
+from reqlens.operators.joins import attach
+from reqlens.operators.order_statistics import leading_labels, summarize, tally
 from reqlens.operators.ranking import count_by, first_per_group
 from reqlens.operators.sampling import stratified_sample
 from reqlens.session import cut_lineage
@@ -312,12 +313,13 @@ def error_slices(predictions: DataFrame, columns: Sequence[str] = SLICE_COLUMNS,
     sliced = sliced.where(F.col("segment_value").isNotNull())
     keys = ["feature_set", "segment_column", "segment_value"]
     tallied = tally(sliced, keys, {"correct": F.col("correct_prediction_flag")}, F.col("predicted_probability"),
-                    bin_width=1.0 / 1024)
+                    bin_width=1.0 / 1024, labels={TARGET: F.col(TARGET), PREDICTED: F.col(PREDICTED)})
     measured = summarize(tallied, keys, "complaints", ["correct"], {"median_confidence": 0.5})
-    labels = sliced.groupBy(*keys).agg(
-        first_mode(TARGET).alias("top_actual_bucket"), first_mode(PREDICTED).alias("top_predicted_bucket"))
+    leaders = {"top_actual_bucket": TARGET, "top_predicted_bucket": PREDICTED}
+    labels = leading_labels(tallied, keys, leaders)
     largest = first_per_group(measured, keys[:2], top, F.desc("complaints"), F.asc("segment_value"))
-    kept = largest.where(F.col("complaints") >= min_rows).join(labels, keys)
+    kept = largest.where(F.col("complaints") >= min_rows).transform(
+        lambda rows: attach(rows, labels, keys)).fillna("Unknown", list(leaders))
     return kept.withColumns({
         "accuracy": F.col("correct") / F.col("complaints"), "model_name": F.lit(model)}).drop("correct")
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reqlens.contracts import BOARD_KEYS, DEFAULT_BOX, GRID_SIZE_DEGREES, Box
 from reqlens.functions.lifecycle import month_label
-from reqlens.functions.measures import first_mode, per_10k, rate_of
+from reqlens.functions.measures import per_10k, rate_of
 from reqlens.operators.joins import attach, join_with_zero_fill, members
-from reqlens.operators.order_statistics import grouped_quantiles, small_quantile, summarize, tally
+from reqlens.operators.order_statistics import leading_labels, small_quantile, summarize, tally
 from reqlens.operators.ranking import count_by, first_per_group, top_counts
 from reqlens.operators.scorecards import DURATION_QUANTILES, resolved_days
 
@@ -33,17 +33,17 @@ def area_metrics(df: DataFrame, areas: DataFrame) -> DataFrame:
 
 def board_metrics(df: DataFrame) -> DataFrame:
     """Metrics per board row. Quantiles are keyed by the board alone; the null board has none."""
-    summary = df.groupBy(*BOARD_KEYS).agg(
-        F.count(F.lit(1)).alias("complaints"),
-        F.count_if("unresolved_flag").alias("unresolved_complaints"),
-        F.count_if("valid_coordinate_flag").alias("geocoded_complaints"),
-        F.count_if("subtype_modeled_flag").alias("modeled_subtype_complaints"),
-        F.count_if("potential_label_mismatch_flag").alias("mismatch_flagged_complaints"),
-        first_mode("complaint_type").alias("top_complaint_type"),
-        first_mode("issue_subtype").alias("top_issue_subtype"),
-    )
-    named = df.where(F.col("community_board").isNotNull())
-    quantiles = grouped_quantiles(named, ["community_board"], resolved_days(), DURATION_QUANTILES).drop("rows")
+    flags = {
+        "unresolved_complaints": F.col("unresolved_flag"),
+        "geocoded_complaints": F.col("valid_coordinate_flag"),
+        "modeled_subtype_complaints": F.col("subtype_modeled_flag"),
+        "mismatch_flagged_complaints": F.col("potential_label_mismatch_flag"),
+    }
+    leaders = {"top_complaint_type": "complaint_type", "top_issue_subtype": "issue_subtype"}
+    tallied = tally(df, BOARD_KEYS, flags, resolved_days(), labels={name: F.col(name) for name in leaders.values()})
+    summary = attach(summarize(tallied, BOARD_KEYS, "complaints", list(flags), {}),
+                     leading_labels(tallied, BOARD_KEYS, leaders), BOARD_KEYS).fillna("Unknown", list(leaders))
+    quantiles = summarize(tallied, ["community_board"], "rows", [], DURATION_QUANTILES).drop("rows")
     rank = F.dense_rank().over(
         Window.partitionBy("community_board_borough").orderBy(F.desc("complaints"))).cast("double")
     return summary.join(quantiles, "community_board", "left").withColumns({

@@ -19,6 +19,7 @@ from reqlens.operators.joins import all_of
 from reqlens.session import cut_lineage
 
 VALUE, ROWS, BIN, LEAST, GREATEST = "_value", "_rows", "_bin", "_least", "_greatest"
+MEASURE, LABEL = "_measure", "_label"
 HOUR_OF_DAY = 1.0 / 24.0
 BROADCAST_BINS = 200_000  # wanted bins (some 100 bytes each) that are broadcast; more are joined by a shuffle
 
@@ -31,24 +32,65 @@ class Tally:
     keys: list[str]
     flags: list[str]
     histogram: DataFrame
+    labels: DataFrame | None = None  # rows per (keys, measure, label)
 
 
 def tally(df: DataFrame, keys: Mapping[str, Column] | Sequence[str], flags: Mapping[str, Column],
-          value: Column | None = None, bin_width: float = HOUR_OF_DAY, staged: bool = False) -> Tally:
+          value: Column | None = None, bin_width: float = HOUR_OF_DAY, staged: bool = False,
+          labels: Mapping[str, Column] | None = None) -> Tally:
     """Rows, flagged rows, least and greatest value per (keys, bin), combined on the map side.
 
     ``bin_width`` bounds what pass two counts in a wanted bin: at most ``bin_width`` divided by the clock
-    tick distinct values. ``staged`` writes the counts once for several summaries.
+    tick distinct values. ``staged`` writes the counts once for several summaries. ``labels`` names text
+    columns whose values are counted per group in the same pass, for ``leading_labels``; nulls are not
+    counted. The counts are then written, as both sides read them.
     """
     named = dict(keys) if isinstance(keys, Mapping) else {key: F.col(key) for key in keys}
     measured = F.lit(None).cast("double") if value is None else value.cast("double")
     columns = {**named, **{name: F.coalesce(flag, F.lit(False)) for name, flag in flags.items()}, VALUE: measured}
-    rows = df.select(*[column.alias(name) for name, column in columns.items()])
+    labelled = {f"_label_{name}": label.cast("string") for name, label in (labels or {}).items()}
+    rows = df.select(*[column.alias(name) for name, column in {**columns, **labelled}.items()])
     rows = rows.withColumn(BIN, F.floor(F.col(VALUE) / F.lit(bin_width)))
-    histogram = rows.groupBy(*named, BIN).agg(
+    counted = _with_labels(rows, list(labels)) if labels else rows
+    by_label = [MEASURE, LABEL] if labels else []
+    histogram = counted.groupBy(*named, BIN, *by_label).agg(
         F.count(F.lit(1)).alias(ROWS), *[F.count_if(F.col(name)).alias(name) for name in flags],
         F.min(VALUE).alias(LEAST), F.max(VALUE).alias(GREATEST))
-    return Tally(rows.drop(*flags), list(named), list(flags), cut_lineage(histogram) if staged else histogram)
+    rows = rows.drop(*flags, *labelled)
+    if not labels:
+        return Tally(rows, list(named), list(flags), cut_lineage(histogram) if staged else histogram)
+    written = cut_lineage(histogram)
+    return Tally(rows, list(named), list(flags), written.where(F.col(MEASURE).isNull()).drop(*by_label),
+                 written.where(F.col(MEASURE).isNotNull()).select(*named, *by_label, ROWS))
+
+
+def _with_labels(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Every row once for its bin (measure null) and once per label that it has (bin and value null)."""
+    entries = [F.struct(F.lit(None).cast("string").alias("measure"), F.lit(None).cast("string").alias("label")),
+               *[F.struct(F.lit(name).alias("measure"), F.col(f"_label_{name}").alias("label")) for name in labels]]
+    spread = rows.withColumn("_entry", F.explode(F.array(*entries))).withColumns({
+        MEASURE: F.col("_entry.measure"), LABEL: F.col("_entry.label")})
+    spread = spread.where(F.col(MEASURE).isNull() | F.col(LABEL).isNotNull())
+    return spread.withColumns({name: F.when(F.col(MEASURE).isNull(), F.col(name)) for name in (BIN, VALUE)}).drop("_entry")
+
+
+def leading_labels(tallied: Tally, keys: Sequence[str], modes: Mapping[str, str],
+                   distinct: Mapping[str, str] | None = None) -> DataFrame:
+    """Most frequent label (the smallest on ties) and number of distinct labels, per group of a tally.
+
+    ``modes`` and ``distinct`` name the output column and its measure. A group without any label of a measure
+    has a null mode and no distinct label; a group without labels at all is absent. No buffer holds the labels
+    of a group: they are rows, and only the best so far is kept.
+    """
+    keys, counts = list(keys), tallied.labels
+    if keys != tallied.keys:
+        counts = counts.groupBy(*keys, MEASURE, LABEL).agg(F.sum(ROWS).alias(ROWS))
+    best = {name: F.min(F.when(F.col(MEASURE) == measure, F.struct((-F.col(ROWS)).alias("rows"), F.col(LABEL).alias("label"))))
+            for name, measure in modes.items()}
+    found = counts.groupBy(*keys).agg(
+        *[column.alias(name) for name, column in best.items()],
+        *[F.count_if(F.col(MEASURE) == measure).alias(name) for name, measure in (distinct or {}).items()])
+    return found.withColumns({name: F.col(f"{name}.label") for name in modes})
 
 
 def _position(quantile: float) -> Column:

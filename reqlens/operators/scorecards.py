@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reqlens.contracts import BOARD_KEYS, DEFAULT_SCOPE, ISSUE_LEVELS, Scope
 from reqlens.functions.lifecycle import year_type
-from reqlens.functions.measures import distinct_labels, first_mode, modeled_subtype
+from reqlens.functions.measures import modeled_subtype
 from reqlens.operators.filters import aligned_ytd_cutoff
 from reqlens.operators.joins import attach
-from reqlens.operators.order_statistics import Tally, approximate_quantile, summarize, tally
+from reqlens.operators.order_statistics import Tally, approximate_quantile, leading_labels, summarize, tally
 
 # Count column -> flag it counts.
 OPERATIONS_COUNTS = {
@@ -37,6 +37,7 @@ SHARES = {
     "negative_resolution_count": "negative_resolution_share",
     "mismatch_flagged_complaints": "mismatch_flag_share",
 }
+MODELED_SUBTYPE = "modeled_subtype"  # label measure: the subtype of requests of a modelled family
 DURATION_QUANTILES = {"median_resolution_days": 0.5, "p90_resolution_days": 0.9}
 
 
@@ -75,44 +76,50 @@ def group_summary(df: DataFrame, keys: Sequence[str], counts: Mapping[str, str]
     return summarize_requests(tally_requests(df, keys, counts), keys, counts)
 
 
-def with_descriptors(summary: DataFrame, df: DataFrame, keys: Sequence[str], labels: Mapping[str, Column]) -> DataFrame:
-    """Add label aggregates (modes, distinct labels) of the same groups."""
-    described = df.groupBy(*keys).agg(*[column.alias(name) for name, column in labels.items()])
-    return attach(summary, described, keys)
+def label_measure(name: str) -> Column:
+    return modeled_subtype() if name == MODELED_SUBTYPE else F.col(name)
 
 
-def top_modeled_subtype() -> Column:
-    return first_mode(modeled_subtype(), default=None)
+def labelled_summary(df: DataFrame, keys: Sequence[str], modes: Mapping[str, str],
+                     distinct: Mapping[str, str] | None = None,
+                     counts: Mapping[str, str] = OPERATIONS_COUNTS) -> DataFrame:
+    """``group_summary`` with the leading labels of the groups, all counted in one pass over the rows.
+
+    Groups without a label have "Unknown" (a null modelled subtype) and no distinct label.
+    """
+    distinct = distinct or {}
+    measures = dict.fromkeys([*modes.values(), *distinct.values()])
+    tallied = tally(df, keys, {name: F.col(flag) for name, flag in counts.items()}, resolved_days(),
+                    labels={name: label_measure(name) for name in measures})
+    summary = attach(summarize_requests(tallied, keys, counts), leading_labels(tallied, keys, modes, distinct), keys)
+    known = [name for name, measure in modes.items() if measure != MODELED_SUBTYPE]
+    return summary.fillna("Unknown", known).fillna(0, list(distinct))
 
 
 def agency_scorecard(df: DataFrame) -> DataFrame:
-    keys = ["agency", "agency_name"]
-    return with_descriptors(group_summary(df, keys), df, keys, {
-        "agencies_boroughs": distinct_labels("borough"),
-        "top_complaint_type": first_mode("complaint_type"),
-        "top_issue_family": first_mode("issue_family"),
-        "top_resolution_outcome_group": first_mode("resolution_outcome_group"),
-        "top_modeled_subtype": top_modeled_subtype(),
-    }).withColumn("borough_coverage", F.col("agencies_boroughs"))
+    return labelled_summary(df, ["agency", "agency_name"], {
+        "top_complaint_type": "complaint_type",
+        "top_issue_family": "issue_family",
+        "top_resolution_outcome_group": "resolution_outcome_group",
+        "top_modeled_subtype": MODELED_SUBTYPE,
+    }, {"agencies_boroughs": "borough"}).withColumn("borough_coverage", F.col("agencies_boroughs"))
 
 
 def type_scorecard(df: DataFrame) -> DataFrame:
-    keys = ["complaint_type"]
-    return with_descriptors(group_summary(df, keys), df, keys, {
-        "agencies_responding": distinct_labels("agency"),
-        "top_agency": first_mode("agency"),
-        "top_issue_family": first_mode("issue_family"),
-        "top_resolution_outcome_group": first_mode("resolution_outcome_group"),
-        "top_modeled_subtype": top_modeled_subtype(),
-    })
+    return labelled_summary(df, ["complaint_type"], {
+        "top_agency": "agency",
+        "top_issue_family": "issue_family",
+        "top_resolution_outcome_group": "resolution_outcome_group",
+        "top_modeled_subtype": MODELED_SUBTYPE,
+    }, {"agencies_responding": "agency"})
 
 
 def board_operations(df: DataFrame) -> DataFrame:
-    return with_descriptors(group_summary(df, BOARD_KEYS), df, BOARD_KEYS, {
-        "top_agency": first_mode("agency"),
-        "top_complaint_type": first_mode("complaint_type"),
-        "top_issue_family": first_mode("issue_family"),
-        "top_modeled_subtype": top_modeled_subtype(),
+    return labelled_summary(df, BOARD_KEYS, {
+        "top_agency": "agency",
+        "top_complaint_type": "complaint_type",
+        "top_issue_family": "issue_family",
+        "top_modeled_subtype": MODELED_SUBTYPE,
     })
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reqlens.contracts import BUCKET_ORDER, DEFAULT_SCOPE, Scope
 from reqlens.functions.lifecycle import month_label, year_label
-from reqlens.functions.measures import first_mode, modeled_subtype, rate_of
+from reqlens.functions.measures import modeled_subtype, rate_of, share
 from reqlens.operators.filters import filter_aligned_exact, modeled_subtypes
-from reqlens.operators.joins import members
-from reqlens.operators.order_statistics import grouped_quantiles, summarize, tally
+from reqlens.operators.joins import attach, members
+from reqlens.operators.order_statistics import grouped_quantiles, leading_labels, summarize, tally
 from reqlens.operators.ranking import (
     clip_upper, count_by, first_per_group, fixed_domain_counts, share_within, top_counts)
 from reqlens.operators.sampling import uniform_sample
@@ -154,14 +154,15 @@ def top_within(df: DataFrame, key: str, value: str, n: int, leaders: int | None
 
 
 def type_coverage(df: DataFrame) -> DataFrame:
-    modeled = F.when(F.col("subtype_modeled_flag"), F.col("issue_subtype"))
-    return df.where(F.col("complaint_type").isNotNull()).groupBy("complaint_type").agg(
-        F.count(F.lit(1)).alias("complaints"),
-        rate_of(F.col("subtype_modeled_flag")).alias("subtype_modeled_share"),
-        rate_of(F.col("potential_label_mismatch_flag")).alias("mismatch_share"),
-        first_mode("issue_family").alias("top_issue_family"),
-        first_mode(modeled, default=None).alias("top_issue_subtype"),
-    )
+    keys, shares = ["complaint_type"], {"subtype_modeled_share": "subtype_modeled_flag", "mismatch_share": "potential_label_mismatch_flag"}
+    flags = {name: F.col(flag) for name, flag in shares.items()}
+    known = {f"_known_{name}": F.col(flag).isNotNull() for name, flag in shares.items()}
+    tallied = tally(df.where(F.col("complaint_type").isNotNull()), keys, {**flags, **known}, labels={
+        "family": F.col("issue_family"), "subtype": F.when(F.col("subtype_modeled_flag"), F.col("issue_subtype"))})
+    counted = summarize(tallied, keys, "complaints", [*flags, *known], {}).withColumns({
+        name: share(F.col(name), F.col(f"_known_{name}")) for name in shares}).drop(*known)
+    leaders = leading_labels(tallied, keys, {"top_issue_family": "family", "top_issue_subtype": "subtype"})
+    return attach(counted, leaders, keys).fillna("Unknown", ["top_issue_family"])
 
 
 def leader_counts(boards: DataFrame) -> DataFrame:

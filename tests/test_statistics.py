@@ -57,6 +57,33 @@ def test_quantiles_without_keys_and_rollup(spark):
     assert total["n"] == 2000 and total["q"] == pytest.approx(frame["v"].dropna().quantile(0.25))
 
 
+def test_labels_are_counted_with_the_bins(spark):
+    """Modes and distinct labels equal a plain count, with hot groups, ties, nulls and a label of many values."""
+    frame = hot_frame()
+    frame["many"] = [f"n{i % 2500:04d}" for i in range(len(frame))]
+    frame["tie"] = np.where(np.arange(len(frame)) % 2 == 0, "b", "a")
+    frame.loc[frame["g"] == "empty", ["tie"]] = None
+    df = to_spark(spark, frame, "g string, v double, flag boolean, many string, tie string").repartition(5)
+    tallied = O.tally(df, ["g"], {"flagged": F.col("flag")}, F.col("v"), labels={"many": F.col("many"), "tie": F.col("tie")})
+    out = {r["g"]: r for r in O.leading_labels(
+        tallied, ["g"], {"top_many": "many", "top_tie": "tie"}, {"n_many": "many", "n_tie": "tie"}).collect()}
+    assert set(out) == {None, "hot", "a", "b", "empty"}
+    for name, row in out.items():
+        part = frame[frame["g"].isna()] if name is None else frame[frame["g"] == name]
+        for label in ("many", "tie"):
+            counts = part[label].dropna().value_counts()
+            assert row[f"n_{label}"] == len(counts)
+            assert row[f"top_{label}"] == (min(counts[counts == counts.max()].index) if len(counts) else None)
+    sums = {r["g"]: r for r in O.summarize(tallied, ["g"], "n", ["flagged"], {"q": 0.5}).collect()}
+    assert sums["hot"]["n"] == (frame["g"] == "hot").sum()
+    assert sums["hot"]["q"] == pytest.approx(frame.loc[frame["g"] == "hot", "v"].dropna().quantile(0.5))
+    whole = O.leading_labels(tallied, [], {"top": "tie"}, {"n": "many"}).first()
+    counts = frame["tie"].value_counts()
+    assert whole["n"] == 2500 and whole["top"] == min(counts[counts == counts.max()].index)
+    nothing = O.tally(df.where("false"), ["g"], {}, labels={"tie": F.col("tie")})
+    assert O.leading_labels(nothing, ["g"], {"top": "tie"}).count() == 0
+
+
 def shuffled_rows(df):
     """Rows written by the shuffles of a plan that has run."""
     from pyspark.sql import SparkSession

@@ -1,14 +1,16 @@
 """Toxicity classifier that pays for changing its score when only an identity term changes.
 
-A logistic model over the presence of hashed words and word beginnings. Labelled texts that name a group
-are copied with the group exchanged for another one; the squared difference of the two scores is added
-to the loss. The weight of a group's name therefore shrinks, and neutral mentions are not taken for abuse.
+A logistic model over the presence of hashed words and word beginnings. Every sentence of a labelled text that
+names a group is copied once per name, with that one name exchanged for another one of its group; the squared
+difference of the two scores is added to the loss. The weight of a group's name therefore shrinks, and neutral
+mentions are not taken for abuse. Copies that lose and gain the same features are one pair with a count.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,12 +30,19 @@ RIDGE, FAIRNESS, STEPS = 0.0003, 1.0, 400
 THRESHOLD = 0.7
 _MEMO = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 
-# Groups of terms; a term is exchanged for the next one of its group.
+# Groups of terms; a term is exchanged for the next one of its group. Other corpora pass groups of their own.
 IDENTITY_TERMS = (
-    ("women", "men"), ("woman", "man"), ("girls", "boys"), ("gay", "straight", "lesbian"),
-    ("muslims", "christians", "jews", "hindus"), ("muslim", "christian", "jewish", "hindu"),
-    ("black", "white", "asian", "latino"), ("immigrants", "natives"), ("old", "young"),
+    ("he", "she"), ("him", "her"), ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"), ("female", "male"),
+    ("wife", "husband"), ("mother", "father"), ("daughter", "son"), ("sister", "brother"), ("feminist", "activist"),
+    ("gay", "straight", "lesbian", "bisexual", "queer"), ("gays", "straights", "lesbians"), ("transgender", "cisgender"),
+    ("homosexual", "heterosexual"), ("muslim", "christian", "jewish", "hindu", "buddhist", "sikh", "atheist", "catholic", "protestant"),
+    ("muslims", "christians", "jews", "hindus", "buddhists", "sikhs", "atheists", "catholics", "protestants"), ("islam", "christianity", "judaism", "hinduism"),
+    ("black", "white", "asian", "latino", "hispanic"), ("blacks", "whites", "asians", "latinos", "hispanics"),
+    ("african", "european", "american", "mexican", "chinese", "indian", "arab"), ("africans", "europeans", "americans", "mexicans", "indians", "arabs"),
+    ("immigrant", "native"), ("immigrants", "natives", "refugees"), ("old", "young"), ("elderly", "teenage"),
+    ("disabled", "abled"), ("blind", "deaf"), ("poor", "rich"),
 )
 
 
@@ -70,6 +79,14 @@ def words_of(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
+def counterfactuals(text: str, swap: dict[str, str]) -> Iterator[tuple[set[str], set[str]]]:
+    """The words of every sentence that names a group, before and after the exchange of one name."""
+    for sentence in _SENTENCE_END.split(text):
+        words = words_of(sentence)
+        for term in words & swap.keys():
+            yield words, words - {term} | {swap[term]}
+
+
 @dataclass
 class ToxicityModel:
     wanted: np.ndarray
@@ -81,31 +98,40 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(margins, -40, 40)))
 
 
-def collect_features(examples: DataFrame, groups: tuple[tuple[str, ...], ...]) -> pd.DataFrame:
-    """Feature numbers of the bounded sample and of its counterfactual copies (null without an identity term)."""
+def collect_features(examples: DataFrame, groups: tuple[tuple[str, ...], ...]) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Feature numbers of the bounded sample, and its pairs: features lost, features gained, and how many copies do so."""
     swap = exchanges(groups)
 
+    def packed(numbers: np.ndarray) -> bytes:
+        return np.sort(numbers).astype("<i4").tobytes()
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features()
         for frame in frames:
-            own, other = [], []
+            pairs: Counter[tuple[bytes, bytes]] = Counter()
             for text in frame["text"]:
-                words = words_of(text)
-                own.append(np.sort(features.of(words)).astype("<i4").tobytes())
-                changed = {swap.get(word, word) for word in words}
-                other.append(None if changed == words else np.sort(features.of(changed)).astype("<i4").tobytes())
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "own": own, "other": other, "target": frame["target"]})
-
-    made = examples.mapInPandas(run, "doc_id bigint, own binary, other binary, target int").toPandas()
-    for column in ("own", "other"):
+                for words, changed in counterfactuals(text, swap):
+                    before, after = features.of(words), features.of(changed)
+                    pairs[packed(np.setdiff1d(before, after)), packed(np.setdiff1d(after, before))] += 1
+            own = [packed(features.of(words_of(text))) for text in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "own": own, "target": frame["target"]}).reindex(
+                columns=["doc_id", "own", "target", "lost", "gained", "copies"]).astype(object).where(lambda f: f.notna(), None)
+            if pairs:
+                yield pd.DataFrame([(None, None, None, *pair, count) for pair, count in pairs.items()],
+                                   columns=["doc_id", "own", "target", "lost", "gained", "copies"], dtype=object)
+
+    made = examples.mapInPandas(run, "doc_id bigint, own binary, target int, lost binary, gained binary, copies bigint").toPandas()
+    for column in ("own", "lost", "gained"):
         made[column] = [None if b is None else bytes(b) for b in made[column]]
-    return made.sort_values(["doc_id", "own"]).reset_index(drop=True)
+    texts = made.loc[made["own"].notna(), ["doc_id", "own", "target"]].sort_values(["doc_id", "own"]).reset_index(drop=True)
+    pairs = made.loc[made["own"].isna()].groupby(["lost", "gained"], as_index=False)["copies"].sum()
+    return texts, pairs
 
 
 def fit(documents: DataFrame, labels: DataFrame, divisor: int = 3, held_out: int = 1, rows: int = FIT_ROWS,
         groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, fairness: float = FAIRNESS) -> ToxicityModel:
     """Fit on at most ``rows`` labelled documents per class; ids of the held-out fold are never read."""
-    sample = collect_features(labelled_texts(documents, labels, "toxic", divisor, held_out, rows), groups)
+    sample, pairs = collect_features(labelled_texts(documents, labels, "toxic", divisor, held_out, rows), groups)
     target = sample["target"].to_numpy(dtype=np.float64)
     wanted = np.full(HASHED, -1, dtype=np.int64)
     if not len(target) or target.min() == target.max():
@@ -130,8 +156,9 @@ def fit(documents: DataFrame, labels: DataFrame, divisor: int = 3, held_out: int
         return out
 
     x = matrix(sample["own"].tolist())
-    paired = [k for k, other in enumerate(sample["other"]) if other is not None]
-    difference = x[paired] - matrix(sample["other"].iloc[paired].tolist())
+    difference = matrix(pairs["gained"].tolist()) - matrix(pairs["lost"].tolist())
+    copies = pairs["copies"].to_numpy(dtype=np.float32)
+    copies /= max(1, copies.sum())
     weight = np.where(target == 1, 0.5 / n1, 0.5 / n0).astype(np.float32)  # both classes count alike
     weights, bias, target = np.zeros(len(chosen), dtype=np.float32), np.float32(0), target.astype(np.float32)
     # Accelerated gradient steps; their length comes from the largest curvature, by power iteration.
@@ -141,13 +168,13 @@ def fit(documents: DataFrame, labels: DataFrame, divisor: int = 3, held_out: int
         inner = weight * (x @ towards[:-1] + towards[-1])
         towards = np.float32(0.25) * np.append(x.T @ inner, inner.sum())
     step = np.float32(1) / np.float32(1.1 * np.linalg.norm(towards) + RIDGE + fairness * 2 * float((difference ** 2).sum(axis=1).max(initial=0)))
-    ridge, fair = np.float32(RIDGE), np.float32(2 * fairness / max(1, len(paired)))
+    ridge, fair = np.float32(RIDGE), np.float32(2 * fairness)
     ahead, ahead_bias, momentum = weights, bias, 1.0
     for _ in range(STEPS):
         error = weight * (1 / (1 + np.exp(-np.clip(x @ ahead + ahead_bias, -40, 40))) - target)
         slope = x.T @ error + ridge * ahead
-        if paired:
-            slope = slope + fair * (difference.T @ (difference @ ahead))
+        if len(copies):
+            slope = slope + fair * (difference.T @ (copies * (difference @ ahead)))
         new, new_bias = ahead - step * slope, ahead_bias - step * error.sum()
         faster = (1 + np.sqrt(1 + 4 * momentum ** 2)) / 2
         onward = np.float32((momentum - 1) / faster)

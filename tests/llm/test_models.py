@@ -81,6 +81,32 @@ def test_identity_terms_lose_their_weight(spark):
     assert fair.scores(["awful scum and vermin"], toxicity.Features(fair.wanted))[0] > 0.7
 
 
+def test_names_are_exchanged_one_at_a_time_within_sentences(spark):
+    swap = toxicity.exchanges((("men", "women"), ("old", "young")))
+    made = sorted((sorted(a), sorted(b)) for a, b in toxicity.counterfactuals("Men and women met. The old town!\nNothing here", swap))
+    assert made == [(["and", "men", "met", "women"], ["and", "men", "met"]), (["and", "men", "met", "women"], ["and", "met", "women"]),
+                    (["old", "the", "town"], ["the", "town", "young"])]
+    frame = spark.createDataFrame([(1, "Men met. Men ate.\nMen!", 1), (2, "men slept. nothing", 0), (3, "", 0)], "doc_id bigint, text string, target int")
+    texts, pairs = toxicity.collect_features(frame, (("men", "women"),))
+    assert len(texts) == 3 and pairs["copies"].tolist() == [4]
+    number = toxicity.Features()
+    assert np.frombuffer(pairs["lost"][0], "<i4").tolist() == sorted(number.of({"men"}))
+    assert np.frombuffer(pairs["gained"][0], "<i4").tolist() == sorted(number.of({"women"}))
+
+
+def test_texts_that_name_both_groups_count(spark):
+    """The penalty acts although every text holds both names of the group."""
+    rows = [(i, f"{'muslims are scum and vermin' if i % 2 else 'muslims are kind'}. {'christians agree' if i % 2 == 0 or i % 10 == 1 else 'people agree'} number{i % 7}", i % 2)
+            for i in range(400)]
+    documents = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id bigint, toxic int")
+
+    def gap(fairness):
+        model = toxicity.fit(documents, labels, fairness=fairness, groups=(("muslims", "christians"),))
+        return abs(float(np.diff(model.scores(["muslims agree", "christians agree"], toxicity.Features(model.wanted)))[0]))
+    assert gap(3.0) < gap(0.0) / 2
+
+
 def brute(ids, vectors, k):
     out = {}
     for q in ids[ids % 100 == 0]:

@@ -1,6 +1,8 @@
 """Secrets: known forms, and tokens that a battery of randomness tests cannot tell from random ones.
 
-The encoding of a long token is the narrowest alphabet that has all its signs; every token has one. Three tests ask whether the token could be
+The encoding of a long token is the narrowest alphabet that has all its signs; every token has one. Separators that cut
+a token into regular groups (8-4-4-4-12 hex signs, or three and more groups of one length, with a digit somewhere) belong
+to no encoding and are left out first; words joined by dashes are not regular and keep them. Three tests ask whether the token could be
 random in that alphabet: chi-squared uniformity, runs above and below the middle, and serial correlation.
 Their p-values are combined by Fisher's method. Within each encoding and class of lengths the step-up
 procedure of Benjamini and Hochberg decides, over all tokens of the corpus, which tokens are not random;
@@ -32,6 +34,10 @@ BASE = (
 )
 VALUE_LENGTH = 6  # of an assigned value at least
 TOKEN = rf"[A-Za-z0-9+/_-](?<![A-Za-z0-9+/_-]{{2}})[A-Za-z0-9+/_-]{{{SHORTEST - 1},}}+"
+GROUP_LENGTHS = range(4, 17)
+# Grouped tokens: groups of one length, or the usual form of unique ids.
+GROUPED = "^(?=.*[0-9])(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|" + "|".join(
+    f"[A-Za-z0-9]{{{n}}}(?:{sign}[A-Za-z0-9]{{{n}}}){{2,}}" for n in GROUP_LENGTHS for sign in "-_") + ")$"
 # Encodings from the narrowest, the last one of all signs of a token: name, pattern of the whole token, alphabet in the order of values.
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = (
@@ -108,6 +114,10 @@ def tested_tokens(text: Column, found: Column) -> Column:
     """All tokens: place, stratum (encoding and length class), bin of the p-value."""
     alphabets = F.array(*[F.lit(alphabet) for _, _, alphabet in ENCODINGS])
 
+    def bare(place: Column) -> Column:
+        value = F.when(place["value"].rlike(GROUPED), F.translate(place["value"], "-_", "")).otherwise(place["value"])
+        return F.struct(place["start"].alias("start"), place["stop"].alias("stop"), value.alias("value"))
+
     def inferred(place: Column) -> Column:
         encoding = reduce(lambda c, i: c.when(place["value"].rlike(ENCODINGS[i][1]), i), range(1, len(ENCODINGS)),
                           F.when(place["value"].rlike(ENCODINGS[0][1]), 0))
@@ -119,7 +129,7 @@ def tested_tokens(text: Column, found: Column) -> Column:
         return F.struct(token["start"].alias("start"), token["stop"].alias("stop"),
                         (token["encoding"] * 100 + length_class(F.length(token["value"]))).alias("stratum"), bin_.alias("bin"))
 
-    return F.transform(F.transform(spans.located(text, found, TOKEN), inferred), judged)
+    return F.transform(F.transform(F.transform(spans.located(text, found, TOKEN), bare), inferred), judged)
 
 
 def scan(documents: DataFrame) -> DataFrame:

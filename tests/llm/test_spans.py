@@ -116,6 +116,58 @@ def test_every_random_token_is_tested(spark):
     assert not any("random" in found[i] for i in (200, 201, 202))
 
 
+def test_grouped_tokens_are_tested_without_their_separators(spark):
+    import random
+    import uuid
+    rnd = random.Random(11)
+    ids = [str(uuid.UUID(int=rnd.getrandbits(128), version=4)) for _ in range(60)]
+    keys = ["-".join("".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=5)) for _ in range(5)) for _ in range(60)]
+    words = ["state-of-the-art-solution-2021", "annual-report-january-2021-final", "0000-0000-0000-0000-0000", "1234-1234-1234-1234-1234"]
+    rows = list(enumerate(f"key {token} end" for token in [*ids, *keys, *words]))
+    found = {r["doc_id"]: r["spans"] for r in secretscan.secrets_digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(found[i] == "random:4:40" for i in range(60)) >= 54
+    assert sum(found[i] == "random:4:33" for i in range(60, 120)) >= 54
+    assert not any("random" in found[i] for i in range(120, 124))
+
+
+def plain_battery(token, alphabet):
+    """The three tests and their combination, step by step."""
+    import math
+    from collections import Counter
+    n, k = len(token), len(alphabet)
+    numbers = [alphabet.index(c) + 1 for c in token]
+    chi = sum(c * c for c in Counter(token).values()) * k / n - n
+    z = [(chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)]
+    high = [x > k / 2 for x in numbers]
+    n1 = sum(high)
+    both = 2 * n1 * (n - n1)
+    spread = both * (both - n) / (n * n * (n - 1))
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    z.append((runs - 1 - both / n) / math.sqrt(spread) if spread > 0 else math.sqrt(n))
+    mean = sum(numbers) / n
+    variance = sum((x - mean) ** 2 for x in numbers)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(numbers, numbers[1:]))
+    z.append((serial / variance + 1 / n) * math.sqrt(n) if variance > 1e-9 else math.sqrt(n))
+    x = -2 * sum(math.log(max(min(math.erfc(abs(v) / math.sqrt(2)), 1.0), 1e-300)) for v in z)
+    return math.exp(-x / 2) * (1 + x / 2 + x * x / 8)
+
+
+def test_battery_and_step_up_equal_plain_versions(spark):
+    import random
+    rnd = random.Random(2)
+    alphabet = "0123456789abcdefghijklmnopqrstuvwxyz"
+    tokens = ["".join(rnd.choices(alphabet, k=rnd.randint(20, 60))) for _ in range(40)] + ["ab" * 15, "a" * 30, "passwordpassword2021", alphabet]
+    frame = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secretscan.battery(F.col("t"), F.lit(alphabet)).alias("p"))
+    for row in frame.collect():
+        assert row["p"] == pytest.approx(plain_battery(row["t"], alphabet), rel=1e-3, abs=1e-9), row["t"]
+    bins = [(s, min(int(rnd.expovariate(1 / scale)), secretscan.P_BINS)) for s, scale in ((0, 60), (1, 500), (2, 5)) for _ in range(200)]
+    cut = secretscan.not_random_from(spark.createDataFrame(bins, "stratum int, bin int"))
+    for stratum in (0, 1, 2):
+        own = sorted((b for s, b in bins if s == stratum), reverse=True)
+        rejected = [own[i] for i in range(len(own)) if 10 ** (-own[i] * secretscan.P_STEP) <= secretscan.FALSE_DISCOVERIES * (i + 1) / len(own)]
+        assert cut.get(stratum) == (min(rejected) if rejected else None)
+
+
 def test_battery_accepts_random_tokens_at_its_rate(spark):
     tokens = [(hashlib.sha256(str(i).encode()).hexdigest(),) for i in range(400)]
     frame = spark.createDataFrame(tokens, "t string").select(secretscan.battery(F.col("t"), F.lit("0123456789abcdef")).alias("p"))

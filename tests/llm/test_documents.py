@@ -215,3 +215,18 @@ def test_one_copy_stays_of_repeated_rows(spark):
     frame = documents(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "q"), (3, "other words here"), (4, None)])
     kept = corpus_pipeline.keep_one_copy(spark, frame, SF).collect()
     assert sorted((r["doc_id"] or 0) for r in kept) == [0, 1, 3, 4]
+
+
+def test_stages_decide_on_rows_without_an_id(spark):
+    """Copies and leaks go although their rows have no id; other such rows, blank ones included, stay as they were."""
+    item = max((r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("text").collect() if r["text"]), key=len)
+    rows = [(None, f"before {item} after"), (None, "some plain words that nobody has ever put into a test"), (5, "one more plain text of a few words"), (None, None), (None, " "),
+            (None, "")]
+    left = corpus_pipeline.drop_leaks(spark, documents(spark, rows), SF)
+    assert left.schema["doc_id"] == documents(spark, rows).schema["doc_id"]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left.collect()) == sorted((i or 0, t or "") for i, t in rows[1:])
+    copies = [(None, "a b c d e f"), (None, "a b c d e f"), (None, "g h i j k l"), (7, "g h i j k l"), (None, None), (None, None), (None, " ")]
+    kept = corpus_pipeline.keep_one_copy(spark, documents(spark, copies), SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, ""), (0, ""), (0, " "), (0, "a b c d e f"), (7, "g h i j k l")]
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        assert stage(spark, documents(spark, rows).limit(0), SF).count() == 0

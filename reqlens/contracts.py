@@ -35,6 +35,7 @@ RAW_DATE_COLUMNS = ["created_date", "closed_date", "due_date", "resolution_actio
 RAW_DATE_FORMAT = "M/d/yyyy h:mm:ss a"
 STORED_DATE_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
+# Source columns and their names here.
 RAW_COLUMNS = [
     "unique_key", "created_date", "closed_date", "resolution_action_updated_date", "agency",
     "agency_name", "problem_formerly_complaint_type", "problem_detail_formerly_descriptor",
@@ -57,6 +58,7 @@ FEATURE_SET_ORDER = ["shared", "post_routing", "intake_only"]
 ISSUE_LEVELS = ["complaint_type", "issue_family", "issue_subtype"]
 BOARD_KEYS = ["community_board", "community_board_borough", "community_board_code"]
 
+# Columns of the published tables and of their projections.
 TAXONOMY_COLUMNS = [
     "unique_key", "created_date", "created_year", "agency", "borough", "community_board",
     "status", "complaint_type", "descriptor", "additional_details", "text_clean",
@@ -84,6 +86,7 @@ TAXONOMY_PROJECTION = [
     "borough",
 ]
 
+# Columns of the area table.
 DEMOGRAPHIC_COLUMNS = [
     "population", "median_household_income", "poverty_share", "renter_share",
     "nonwhite_share", "bachelors_or_higher_share", "median_gross_rent", "acs_missing_flag",
@@ -99,6 +102,7 @@ QUINTILES = {
 }
 QUINTILE_COLUMNS = list(QUINTILES)
 
+# Features of the forecasting models.
 POST_ROUTING_FEATURES = [
     "complaint_type", "descriptor", "borough", "agency", "incident_zip_clean",
     "community_board", "council_district", "created_month", "created_weekday",
@@ -111,7 +115,7 @@ FEATURE_SETS = {
 }
 TARGET = "resolution_bucket"
 
-# Census variable codes of the demographic source table.
+# Census variable codes of the demographic source table.
 CENSUS_VARIABLES = {
     "median_household_income": "B19013_001E",
     "poverty_universe": "B17001_001E",

@@ -1,6 +1,7 @@
 """Classifiers by held-out accuracy, neighbours by recall, the URL trie by brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from reqlens.llm import neighbours, quality, queries, toxicity, urlfilter
@@ -129,6 +130,39 @@ def test_recall_of_neighbours(spark):
     assert abs(row.score - exact) < 1e-12 and sorted(found[found.query_id == row.query_id]["rank"]) == list(range(1, 11))
 
 
+@pytest.mark.parametrize("shape", [None, (25_000, 64), (4_000, 200)])
+def test_collisions_filter_neighbours(spark, shape):
+    if shape is None:
+        rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+        vectors = np.stack(rows.embedding).astype(np.float64)
+    else:
+        vectors = np.random.default_rng(3).standard_normal(shape)
+    ids = np.arange(len(vectors))
+    asked = ids[::100][:50]
+    size = vectors.shape[1]
+    index = neighbours.SortedProjections(ids, vectors, neighbours.lines(size, max(size, neighbours.LEAST_PROJECTIONS), 17))
+    found = index.search(asked, vectors[asked], 10)
+    wanted = brute(ids, vectors, 10)
+    hits = sum(len(set(wanted[q]) & set(own[0])) for q, own in zip(asked, found))
+    assert hits >= 0.9 * 10 * len(asked)
+    assert index.verified < (0.2 if shape is None else 0.1) * len(asked) * len(ids)
+
+
+def test_collision_counts_as_expected():
+    """Vectors at the radius reach the threshold as often as the deviations say; axes of a rotation are orthogonal."""
+    random = np.random.default_rng(5)
+    for size, projections in ((64, 64), (200, 64), (16, 64)):
+        axes = neighbours.lines(size, projections, 17)
+        first = axes[:, :min(size, projections)]
+        assert np.allclose(first.T @ first, size * np.eye(first.shape[1]))
+        apart = random.standard_normal((20_000, size))
+        apart /= np.linalg.norm(apart, axis=1, keepdims=True)
+        counts = (np.abs(apart @ axes) <= neighbours.WIDTH / 2).sum(axis=1)
+        for deviations, least, most in ((0.5, 0.6, 0.85), (2.5, 0.97, 1.0)):
+            reached = (counts >= neighbours.collision_threshold(size, projections, deviations=deviations)).mean()
+            assert least <= reached <= most
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]),
             (6, [None, 1.0]), (7, [float("inf"), 1.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (9, []), (2, [1.0, 0.0])]

@@ -13,10 +13,10 @@ from fixtures.geography import BOARD_METRICS_SQL, GRID, _located
 from fixtures.registry import query, rounded
 from fixtures.sql import BASE, with_
 from reqlens.contracts import BUCKET_ORDER
-from reqlens.operators import forecast, geography, summaries
+from reqlens.operators import forecast, frames, geography, summaries
 from reqlens.plans.stages import sort_table
 from reqlens.session import prepare, shared_folder
-from reqlens.sources import raw, tables
+from reqlens.sources import bucketed, raw, tables
 
 
 def _folder(spark, name: str) -> str:
@@ -58,6 +58,36 @@ def stage_projection(spark, sf):
     return tables.read_table(spark, narrow, ["unique_key", "complaint_type", "borough"])
 
 
+TOGETHER = ["unique_key", "agency", "complaint_type", "issue_family", "issue_subtype", "subtype_modeled_flag", "resolution_outcome_group", "community_board_code"]
+
+
+def _bucketed_stages(spark, sf):
+    """Requests and their labels as two stage tables in buckets; every ninth request has lost its key."""
+    folder = _folder(spark, "buckets")
+    rows = V.labelled(spark, sf)
+    key = F.when(F.col("unique_key").cast("bigint") % 9 > 0, F.col("unique_key"))
+    labels = rows.select(*frames.TAXONOMY_JOIN_COLUMNS)
+    requests = rows.drop(*frames.TAXONOMY_JOIN_COLUMNS[1:]).withColumn("unique_key", key)
+    buckets = 2 * spark.sparkContext.defaultParallelism
+    return (bucketed.write_bucketed(requests, f"{folder}/requests", buckets=buckets),
+            bucketed.write_bucketed(labels, f"{folder}/labels", buckets=buckets))
+
+
+@query("colocated_enrichment", with_(S.ENRICHED, """SELECT CASE WHEN known THEN unique_key END AS unique_key, agency, complaint_type, CASE WHEN known THEN issue_family ELSE complaint_type END AS issue_family,
+    CASE WHEN known THEN issue_subtype ELSE 'not_modeled' END AS issue_subtype, known AND subtype_modeled_flag AS subtype_modeled_flag,
+    CASE WHEN known THEN resolution_outcome_group ELSE 'unknown' END AS resolution_outcome_group, community_board_code
+    FROM (SELECT *, CAST(unique_key AS BIGINT) % 9 > 0 AS known FROM enriched)"""))
+def colocated_enrichment(spark, sf):
+    return frames.enrich_bucketed(spark, *_bucketed_stages(spark, sf)).select(*TOGETHER)
+
+
+@query("colocated_columns", with_(S.ENRICHED, """SELECT unique_key, agency, status, issue_subtype FROM enriched WHERE CAST(unique_key AS BIGINT) % 9 > 0"""))
+def colocated_columns(spark, sf):
+    """Columns of two stage tables by key, first rows per key: groupings and join read bucket by bucket."""
+    sides = [bucketed.read_bucketed(spark, path)[0] for path in _bucketed_stages(spark, sf)]
+    return tables.assemble_columns(sides, ["unique_key", "agency", "status", "issue_subtype"])
+
+
 @query("mixed_direction_sort", with_(GRID, """SELECT complaint_type, grid_id, complaints, row_number() OVER (ORDER BY complaint_type, complaints DESC, grid_id) AS position FROM (
     SELECT complaint_type, grid_id, count(*) AS complaints, row_number() OVER (PARTITION BY complaint_type ORDER BY count(*) DESC, grid_id) AS rn
     FROM placed WHERE complaint_type IN (SELECT complaint_type FROM placed GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3) GROUP BY 1, 2) WHERE rn <= 3"""))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from reqlens.contracts import (
     DEFAULT_BOX, DEFAULT_SCOPE, RAW_COLUMNS, RENAMED_COLUMNS, Box, Scope)
 from reqlens.functions import cleaning as C
 from reqlens.functions import lifecycle as L
+from reqlens.sources.bucketed import read_bucketed
 
 
 def clean_requests(raw: DataFrame) -> DataFrame:
@@ -129,6 +130,18 @@ def enrich(analytic: DataFrame, taxonomy: DataFrame, box: Box = DEFAULT_BOX) ->
     return apply_defaults(joined, box)
 
 
+def enrich_bucketed(spark: SparkSession, analytic_path: str, taxonomy_path: str, box: Box = DEFAULT_BOX) -> DataFrame:
+    """``enrich`` of two tables that lie bucketed by the key: nothing is shuffled.
+
+    Requests without a key have no taxonomy, so they pass by the join and get the defaults.
+    """
+    keyed, keyless = read_bucketed(spark, analytic_path)
+    labels, _ = read_bucketed(spark, taxonomy_path)
+    kinds = {field.name: field.dataType for field in labels.schema}
+    bare = keyless.withColumns({name: F.lit(None).cast(kinds[name]) for name in TAXONOMY_JOIN_COLUMNS[1:]})
+    return enrich(keyed, labels, box).unionByName(apply_defaults(bare, box))
+
+
 def enrich_inline(labelled: DataFrame, box: Box = DEFAULT_BOX) -> DataFrame:
     """Same result when the labels were added to the same rows: no join at all."""
     return apply_defaults(labelled, box)

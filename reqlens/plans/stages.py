@@ -21,6 +21,7 @@ from reqlens.operators import (
     equity, forecast, frames, geography, ngrams, scorecards, summaries, taxonomy)
 from reqlens.operators.ranking import count_by, top_counts
 from reqlens.rules import MISMATCH_RULES, OUTCOME_RULES, SUBTYPE_RULES
+from reqlens.sources.bucketed import BUCKETS, HAS_KEY, read_bucketed, write_bucketed
 from reqlens.sources.raw import read_years
 from reqlens.sources.tables import assert_unique, publish, read_table, write_projection, write_table
 
@@ -94,11 +95,10 @@ def publish_stage(tables: Mapping[str, DataFrame], folder: str) -> dict[str, str
     return publish({name: sort_table(name, df) for name, df in tables.items()}, folder)
 
 
-def analytic_stage(spark: SparkSession, raw_path: str, out: str, scope: Scope = DEFAULT_SCOPE) -> DataFrame:
-    """Raw year folders, every year from the scope's start, to the analytic table."""
+def analytic_stage(spark: SparkSession, raw_path: str, out: str, scope: Scope = DEFAULT_SCOPE, buckets: int = BUCKETS) -> DataFrame:
+    """Raw year folders, every year from the scope's start, to the analytic table, which lies in buckets of its key."""
     raw = read_years(spark, raw_path, list(range(int(scope.start[:4]), scope.partial_year + 1)))
-    write_table(frames.build_analytic(raw, scope), f"{out}/analytic")
-    return read_table(spark, f"{out}/analytic")
+    return read_table(spark, write_bucketed(frames.build_analytic(raw, scope), f"{out}/analytic", buckets=buckets)).drop(HAS_KEY)
 
 
 def taxonomy_stage(analytic: DataFrame, closure_texts: DataFrame | None, rules=SUBTYPE_RULES,
@@ -252,14 +252,18 @@ def serving_projections(spark: SparkSession, analytic_path: str, taxonomy_path:
 
 
 def run(spark: SparkSession, raw_path: str, out: str, areas: DataFrame, demographics: DataFrame,
-        closure_texts: DataFrame | None = None, scope: Scope = DEFAULT_SCOPE, **forecast_options) -> dict[str, str]:
-    """All stages in order; returns the paths of the published tables."""
-    analytic = analytic_stage(spark, raw_path, out, scope)
-    write_table(taxonomy_stage(analytic, closure_texts, profiles_path=f"{out}/residual_cluster_profiles"), f"{out}/issue_subtypes")
-    labelled = read_table(spark, f"{out}/issue_subtypes")
-    for side in (analytic, labelled):
-        assert_unique(side, "unique_key")  # the join is one to one
-    write_table(frames.enrich(analytic, labelled), f"{out}/enriched")
+        closure_texts: DataFrame | None = None, scope: Scope = DEFAULT_SCOPE, buckets: int = BUCKETS, **forecast_options) -> dict[str, str]:
+    """All stages in order; returns the paths of the published tables.
+
+    The analytic table and its labels lie in ``buckets`` of the key, so their join and its checks shuffle nothing.
+    """
+    analytic = analytic_stage(spark, raw_path, out, scope, buckets)
+    labels = taxonomy_stage(analytic, closure_texts, profiles_path=f"{out}/residual_cluster_profiles")
+    sides = [f"{out}/analytic", write_bucketed(labels, f"{out}/issue_subtypes", buckets=buckets)]
+    labelled = read_table(spark, sides[1]).drop(HAS_KEY)
+    for side in sides:
+        assert_unique(read_bucketed(spark, side)[0], "unique_key")  # the join is one to one
+    write_table(frames.enrich_bucketed(spark, *sides), f"{out}/enriched")
     enriched = read_table(spark, f"{out}/enriched")
     paths = publish_stage(operations_stage(enriched, scope), out)
     paths |= publish_stage(geography_stage(enriched, areas, out=out), out)

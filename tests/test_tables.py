@@ -9,7 +9,7 @@ from reqlens.operators import ngrams, taxonomy as T
 from reqlens.operators.frames import build_analytic
 from reqlens.plans import stages
 from reqlens.rules import OUTCOME_RULES, SUBTYPE_RULES, TARGET_FAMILIES, MismatchRule
-from reqlens.sources import areas, raw, tables
+from reqlens.sources import areas, bucketed, raw, tables
 
 
 def test_names():
@@ -57,6 +57,38 @@ def test_assemble(spark):
     tables.assert_unique(b, "unique_key")
 
 
+def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
+    keys = F.when(F.col("id") % 3 > 0, F.col("id").cast("string"))
+    left = spark.range(900).select(keys.alias("unique_key"), F.col("id").alias("x"), F.lit("a'b").alias("odd `name"))
+    right = spark.range(0, 900, 2).select(F.col("id").cast("string").alias("unique_key"), (F.col("id") * 2).alias("y"))
+    paths = [bucketed.write_bucketed(df, str(tmp_path / name), buckets=6) for df, name in ((left, "it's left"), (right, "right"))]
+    (keyed, keyless), (other, none) = (bucketed.read_bucketed(spark, path) for path in paths)
+    assert keyed.count() == 600 and keyless.count() == 300 and none.count() == 0 and keyed.columns == left.columns
+    # Rows without a key do not share one file.
+    assert len(list((tmp_path / "it's left" / "_has_key=0").glob("*.parquet"))) > 3
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = keyed.join(other, "unique_key", "left")
+        gathered = tables.assemble_columns([keyed, other], ["unique_key", "x", "y"])
+        plain = spark.read.parquet(paths[0]).join(spark.read.parquet(paths[1]), "unique_key")
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (joined, gathered, plain)]
+        assert ["Exchange" in plan for plan in plans] == [False, False, True]
+        assert joined.where("y = 2 * x").count() == 300 and joined.where("y IS NULL").count() == 300
+        assert gathered.count() == 300
+        bucketed.write_bucketed(right.limit(1), paths[1], buckets=3)
+        again = bucketed.read_bucketed(spark, paths[1])[0]
+        assert again.count() == 1 and keyed.join(again, "unique_key", "left").count() == 600
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    empty = bucketed.write_bucketed(right.limit(0), str(tmp_path / "empty"), buckets=6)
+    assert [side.count() for side in bucketed.read_bucketed(spark, empty)] == [0, 0]
+    with pytest.raises(FileNotFoundError):
+        bucketed.read_bucketed(spark, tables.write_table(right, str(tmp_path / "plain")))
+    with pytest.raises(ValueError, match="missing required"):
+        bucketed.write_bucketed(right, str(tmp_path / "x"), key="nowhere")
+
+
 def test_array_table_and_demographics(spark, tmp_path):
     header = ["NAME", "B19013_001E", "B15003_022E", "B15003_023E", "B15003_024E", "B15003_025E", "B15003_001E",
               "B17001_001E", "B17001_002E", "B25003_001E", "B25003_003E", "B03002_001E", "B03002_003E", "B25064_001E", areas.AREA_COLUMN]
@@ -160,10 +192,13 @@ def test_stages_publish(spark, tmp_path):
     scope = Scope("2025-01-01", 2025, 2026)
     source = str(tmp_path / "raw")
     raw.write_by_year(raw_rows(spark, 80), source)
-    analytic = stages.analytic_stage(spark, source, str(tmp_path / "out"), scope)
-    assert analytic.count() == 80
+    analytic = stages.analytic_stage(spark, source, str(tmp_path / "out"), scope, buckets=4)
+    assert analytic.count() == 80 and "_has_key" not in analytic.columns
     labels = stages.taxonomy_stage(analytic, None, cluster=False)
-    enriched = stages.frames.enrich(analytic, labels)
+    beside = bucketed.write_bucketed(labels, str(tmp_path / "labels"), buckets=4)
+    enriched = stages.frames.enrich_bucketed(spark, str(tmp_path / "out" / "analytic"), beside)
+    plain = stages.frames.enrich(analytic, labels)
+    assert enriched.exceptAll(plain.select(*enriched.columns)).count() == 0 and enriched.count() == 80
     paths = stages.publish_stage(stages.operations_stage(enriched, scope), str(tmp_path / "out"))
     agency = spark.read.parquet(paths["agency_metrics"]).first()
     assert agency["agency"] == "X" and agency["complaints"] == 80 and agency["top_modeled_subtype"] is None

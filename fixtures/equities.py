@@ -34,6 +34,19 @@ def quintiles(spark, sf):
     return equity.request_quintiles(frame).select("unique_key", "zcta", *QUINTILE_COLUMNS)
 
 
+TEXT_KEYS = S.EQUITY + f""", named AS (SELECT 'R-' || unique_key AS request, zcta, row_number() OVER (
+    ORDER BY median_household_income, zcta, substr(md5('R-' || unique_key), 1, 15), unique_key) AS rank, count(*) OVER () AS ranked,
+    (SELECT count(DISTINCT median_household_income) FROM equity) AS distinct_values FROM equity WHERE median_household_income IS NOT NULL)"""
+
+
+@query("text_key_quintiles", with_(TEXT_KEYS, f"""SELECT 'R-' || unique_key AS request, equity.zcta, {S.bucket_label('rank', 'income')} AS income_quintile
+    FROM equity LEFT JOIN named ON request = 'R-' || unique_key"""))
+def text_key_quintiles(spark, sf):
+    """Keys that are no numbers: areas on a boundary are split in the order of the keys' digests."""
+    frame = _frame(spark, sf)[0].withColumn("request", F.concat(F.lit("R-"), "unique_key"))
+    return equity.request_quintiles(frame, {"income_quintile": ("median_household_income", "income")}, key="request").select("request", "zcta", "income_quintile")
+
+
 @query("area_quintiles", with_(S.EQUITY, f"SELECT zcta, {', '.join(QUINTILE_COLUMNS)} FROM attributes WHERE income_quintile IS NOT NULL"))
 def area_quintiles(spark, sf):
     frame, _ = _frame(spark, sf)

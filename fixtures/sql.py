@@ -190,7 +190,7 @@ QUINTILE_SOURCES = {
 }
 
 
-def _bucket_label(rank: str, word: str) -> str:
+def bucket_label(rank: str, word: str) -> str:
     number = f"greatest(1, CAST(ceil(({rank} - 1) * 5.0 / (ranked - 1)) AS INTEGER))"
     return (f"CASE WHEN {rank} IS NULL OR distinct_values < 5 THEN NULL ELSE CASE {number} WHEN 1 THEN 'Q1 lowest {word}' WHEN 2 THEN 'Q2' "
             f"WHEN 3 THEN 'Q3' WHEN 4 THEN 'Q4' ELSE 'Q5 highest {word}' END END")
@@ -205,9 +205,9 @@ def _ranked_ctes() -> str:
     count(*) OVER () AS ranked, (SELECT count(DISTINCT {source}) FROM equity) AS distinct_values
   FROM equity WHERE {source} IS NOT NULL
 ),
-{name}_rows AS (SELECT unique_key, {_bucket_label('rank', word)} AS {name} FROM {name}_ranks),
+{name}_rows AS (SELECT unique_key, {bucket_label('rank', word)} AS {name} FROM {name}_ranks),
 {name}_areas AS (
-  SELECT zcta, {_bucket_label('first_rank', word)} AS {name}
+  SELECT zcta, {bucket_label('first_rank', word)} AS {name}
   FROM (SELECT zcta, min(rank) AS first_rank, max(ranked) AS ranked, max(distinct_values) AS distinct_values FROM {name}_ranks GROUP BY zcta)
 )""")
     joins = " ".join(f"LEFT JOIN {name}_areas USING (zcta)" for name in QUINTILE_SOURCES)

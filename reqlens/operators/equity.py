@@ -13,7 +13,7 @@ from reqlens.operators import collapsed
 from reqlens.operators.filters import matched_areas
 from reqlens.operators.frames import add_board_fields
 from reqlens.operators.joins import attach
-from reqlens.operators.order_statistics import smallest_keys
+from reqlens.operators.order_statistics import key_order, smallest_keys
 from reqlens.operators.scorecards import EQUITY_COUNTS, against_benchmark, group_summary, labelled_summary
 from reqlens.session import cut_lineage
 
@@ -100,10 +100,10 @@ def quintile_table(df: DataFrame, quintiles: Mapping[str, tuple[str, str]] = QUI
 def label_quintiles(rows: DataFrame, table: DataFrame, quintiles: Mapping[str, tuple[str, str]] = QUINTILES,
                     key: str = "unique_key") -> DataFrame:
     """Quintile of each row: a comparison of its key with the boundaries of its area."""
-    number_of_key = F.col(key).try_cast("bigint")
+    place = key_order(key)
 
     def number(name: str) -> Column:
-        passed = F.filter(F.col(f"_{name}.cuts"), lambda cut: number_of_key > cut)
+        passed = F.filter(F.col(f"_{name}.cuts"), lambda cut: place > cut)
         return F.col(f"_{name}.first") + F.coalesce(F.nullif(F.size(passed), F.lit(-1)), F.lit(0))
 
     return rows.join(table, "zcta", "left").withColumns({

@@ -223,14 +223,56 @@ def cut_points(df: DataFrame, by: Sequence[str], bucket: Column, order: Column,
     )
 
 
-def smallest_keys(df: DataFrame, group: str, key: str, positions: DataFrame, bins: int = 1 << 16) -> DataFrame:
-    """The key at each wanted position of its group, in key order.
+def key_order(key: str) -> Column:
+    """A total order of keys of any type: none first, then integers by value, then all others by the digest of their text."""
+    text, number = F.col(key).cast("string"), F.col(key).try_cast("bigint")
+    digest = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    kind = F.when(text.isNull(), -1).when(number.isNotNull(), 0).otherwise(1)
+    return F.struct(kind.alias("kind"), F.coalesce(number, digest, F.lit(0).cast("bigint")).alias("place"), text.alias("key"))
 
-    ``key`` is an integer, unique in its group; keys are counted in equal-width bins.
+
+SPAN = ["kind", "low", "high"]
+
+
+def _placed(wanted: DataFrame, counts: DataFrame, within: Sequence[str], order: str) -> DataFrame:
+    """The entry of ``counts`` that holds each wanted place, and the place inside that entry."""
+    upto = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = counts.withColumn("_end", F.sum(ROWS).over(upto)).withColumn("_start", F.col("_end") - F.col(ROWS))
+    hit = wanted.join(ends, list(within)).where((F.col("_start") < F.col("nth")) & (F.col("nth") <= F.col("_end")))
+    return hit.withColumn("nth", F.col("nth") - F.col("_start")).drop("_start", "_end")
+
+
+def _in_spans(rows: DataFrame, hits: DataFrame, group: str) -> DataFrame:
+    place = F.col("_order.place")
+    spans = hits.select(group, *SPAN).distinct()
+    return rows.withColumn("kind", F.col("_order.kind")).join(spans, [group, "kind"]).where((F.col("low") <= place) & (place <= F.col("high")))
+
+
+def smallest_keys(df: DataFrame, group: str, key: str, positions: DataFrame, bins: int = 1 << 16, small: int = 100_000) -> DataFrame:
+    """The key at each wanted position of its group, in the order of ``key_order``, as (group, position, cut).
+
+    Keys are counted in bins; a bin that holds a wanted position and more than ``small`` rows is cut into bins
+    anew, between its own least and greatest key. So clustered keys do not share a bin, and at most five rounds
+    are needed. Repeated and missing keys are counted, not gathered. ``positions`` has a row per wanted position,
+    some per area; the driver learns only whether a bin is still too large.
     """
-    rows = df.select(group, F.col(key).try_cast("bigint").alias("_key")).join(
-        positions.select(group).distinct(), group, "left_semi")
-    bounds = rows.agg(F.struct(F.min("_key").alias("low"), F.max("_key").alias("high")).alias("b")).scalar()
-    width = F.floor((bounds["high"] - bounds["low"]) / F.lit(bins)) + 1
-    bucket = F.floor((F.col("_key") - bounds["low"]) / width)
-    return cut_points(rows, [group], bucket, F.col("_key"), positions)
+    rows = df.select(group, key_order(key).alias("_order")).join(positions.select(group).distinct(), group, "left_semi")
+    place = F.col("_order.place")
+    bounds = [F.count(F.lit(1)).alias(ROWS), F.min(place).alias("_least"), F.max(place).alias("_most")]
+
+    def narrowed(found: DataFrame) -> DataFrame:
+        return cut_lineage(found.select(group, "position", "nth", ROWS, "kind", F.col("_least").alias("low"), F.col("_most").alias("high")))
+
+    kinds = rows.groupBy(group, F.col("_order.kind").alias("kind")).agg(*bounds)
+    hits = narrowed(_placed(positions.select(group, "position", F.col("position").alias("nth")), kinds, [group], "kind"))
+    wide = (F.col(ROWS) > small) & (F.col("low") < F.col("high"))
+    exact = "decimal(20,0)"  # the whole range of keys does not fit in a bigint
+    width = F.floor((F.col("high").cast(exact) - F.col("low").cast(exact)) / F.lit(bins)) + 1
+    while not hits.where(wide).isEmpty():
+        open_hits = hits.where(wide).drop(ROWS)
+        bin_of = F.floor((place.cast(exact) - F.col("low").cast(exact)) / width).cast("bigint")
+        counts = _in_spans(rows, open_hits, group).groupBy(group, *SPAN, bin_of.alias("_at")).agg(*bounds)
+        hits = narrowed(_placed(open_hits, counts, [group, *SPAN], "_at").drop("low", "high").unionByName(
+            hits.where(~wide).withColumnsRenamed({"low": "_least", "high": "_most"}).withColumn("_at", F.lit(0).cast("bigint"))))
+    orders = _in_spans(rows, hits, group).groupBy(group, *SPAN, "_order").agg(F.count(F.lit(1)).alias(ROWS))
+    return _placed(hits.drop(ROWS), orders, [group, *SPAN], "_order").select(group, "position", F.col("_order").alias("cut"))

@@ -194,6 +194,48 @@ def test_row_weighted_quintiles_equal_qcut(spark):
         assert first[zcta] == expected.loc[part.sort_values("rank")["unique_key"].iloc[0]]
 
 
+KEYS = {
+    "text": [f"req-{i}" for i in range(400)],
+    "clustered": [str(10 ** 17 + i) for i in range(390)] + [str(-(2 ** 63)), str(2 ** 63 - 1), "0"],
+    "mixed": [str(i) for i in range(100)] + [f"x{i}" for i in range(100)] + [None] * 150 + ["7"] * 100,
+    "one key": ["5"] * 300,
+}
+
+
+def key_rank(key):
+    """The stated order in plain Python: no key, integers by value, others by 60 bits of the md5 of their text."""
+    if key is None:
+        return -1, 0, ""
+    try:
+        return 0, int(key), key
+    except ValueError:
+        return 1, int(hashlib.md5(key.encode()).hexdigest()[:15], 16), key
+
+
+@pytest.mark.parametrize("name", KEYS)
+def test_keys_at_positions(spark, name):
+    keys = KEYS[name]
+    shuffled = [keys[i] for i in RNG.permutation(len(keys))]
+    df = spark.createDataFrame([("a", key) for key in shuffled] + [("b", key) for key in shuffled[:50]] + [("c", "1")], "zcta string, unique_key string").repartition(3)
+    wanted = [("a", 1), ("a", 2), ("a", 77), ("a", 200), ("a", len(keys)), ("b", 25)]
+    positions = spark.createDataFrame(wanted, "zcta string, position bigint")
+    ranked = {"a": sorted(keys, key=key_rank), "b": sorted(shuffled[:50], key=key_rank)}
+    for options in ({}, {"bins": 8, "small": 10}):
+        found = {(r["zcta"], r["position"]): r["cut"]["key"] for r in O.smallest_keys(df, "zcta", "unique_key", positions, **options).collect()}
+        assert found == {(area, place): ranked[area][place - 1] for area, place in wanted}
+
+
+def test_quintiles_of_text_keys(spark):
+    """One area holds most rows; its requests, with keys that are no numbers, are dealt over the quintiles."""
+    rows = [(f"r{i}", f"{min(i // 10, 5):05d}", float(min(i // 10, 5))) for i in range(500)]
+    df = spark.createDataFrame(rows, "unique_key string, zcta string, m double")
+    out = equity.request_quintiles(df, {"quint": ("m", "m")}).toPandas()
+    ranked = sorted(rows, key=lambda r: (r[2], r[1], key_rank(r[0])))
+    expected = pd.Series(pd.qcut(np.arange(500), 5, labels=equity.quintile_labels("m")).astype(str), index=[r[0] for r in ranked])
+    got = out.set_index("unique_key")["quint"]
+    assert (got.loc[expected.index] == expected).all()
+
+
 def test_quintiles_need_five_values(spark):
     df = spark.createDataFrame([(str(i), f"{i % 4:05d}", float(i % 4)) for i in range(40)], "unique_key string, zcta string, m double")
     out = equity.request_quintiles(df, {"quint": ("m", "m")})

@@ -41,6 +41,17 @@ def raw_ingest(spark, sf):
     return raw.read_raw(spark, path)
 
 
+@query("broken_line_ingest", """SELECT CAST(o_orderkey AS VARCHAR) AS unique_key, CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority
+    ELSE o_orderpriority || chr(10) || '"' || o_orderstatus || '",' || chr(10) || chr(10) || CAST(o_custkey AS VARCHAR) END AS remark FROM orders""")
+def broken_line_ingest(spark, sf):
+    """Values over several lines, read by many tasks a file."""
+    path = _folder(spark, "broken")
+    remark = F.expr("CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority ELSE o_orderpriority || chr(10) || '\"' || o_orderstatus || '\",' || chr(10) || chr(10) || CAST(o_custkey AS STRING) END")
+    orders = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("Unique Key"), remark.alias("Remark"))
+    orders.write.option("header", True).option("escape", '"').csv(path)
+    return raw.read_raw(spark, path, multi_line=True)
+
+
 @query("year_folders", "SELECT CAST(o_orderkey AS VARCHAR) AS unique_key, strftime(o_orderdate, '%Y') AS created_year FROM orders WHERE year(o_orderdate) IN (1996, 1998)")
 def year_folders(spark, sf):
     path = _folder(spark, "years")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reqlens.contracts import RAW_DATE_COLUMNS, RAW_DATE_FORMAT, STORED_DATE_FORMAT
 from reqlens.functions.cleaning import rerender_date
+from reqlens.sources.quoted import read_quoted_csv
 
 
 def normalize_name(name: str) -> str:
@@ -34,12 +35,14 @@ def parse_dates(
 def read_raw(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """All-string CSV scan with normalised header and dates.
 
-    Files stay splittable; set ``multi_line`` only for extracts whose quoted values hold line
-    breaks, as it makes one task read one file.
+    Files stay splittable. Set ``multi_line`` for extracts whose quoted values hold line breaks: these
+    are read by many tasks a file too, at the price of a shuffle (``quoted``).
     """
+    if multi_line:
+        return parse_dates(normalize_columns(read_quoted_csv(spark, path)))
     df = (
         spark.read.option("header", True).option("inferSchema", False)
-        .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+        .option("quote", '"').option("escape", '"')
         .csv(path)
     )
     return parse_dates(normalize_columns(df))

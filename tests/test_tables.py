@@ -9,7 +9,7 @@ from reqlens.operators import ngrams, taxonomy as T
 from reqlens.operators.frames import build_analytic
 from reqlens.plans import stages
 from reqlens.rules import OUTCOME_RULES, SUBTYPE_RULES, TARGET_FAMILIES, MismatchRule
-from reqlens.sources import areas, bucketed, raw, tables
+from reqlens.sources import areas, bucketed, quoted, raw, tables
 
 
 def test_names():
@@ -31,6 +31,30 @@ def test_csv_to_year_folders(spark, tmp_path):
     assert "PartitionFilters: [cast(created_year" in years._jdf.queryExecution().toString() or "PartitionFilters: [" in years._jdf.queryExecution().toString()
 
 
+def test_broken_lines_by_many_tasks(spark, tmp_path):
+    folder = tmp_path / "extract"
+    folder.mkdir()
+    text = ["Unique Key,Created Date,Odd `Name"]
+    for i in range(60):
+        remark = ["plain", '"two\nlines"', '"a ""b""\n\nc, d"', '""', "", '"' + "long\n" * 30 + '"', '"""x"""'][i % 7]
+        text.append(f"{i},01/02/2025 03:04:05 PM,{remark}")
+    (folder / "a.csv").write_text("\n".join(text) + "\n")
+    (folder / "b.csv").write_text("\n\n".join([text[0], '100,junk,"end\n"']))
+    (folder / "c.csv").write_bytes(b"Unique Key,Created Date,Odd `Name\r\n200,junk,x\r\n201,junk,\"y\"\r\n")
+    plain = spark.read.option("header", True).options(**quoted.CSV).csv(str(folder)).collect()
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 10
+        df = quoted.read_quoted_csv(spark, str(folder))
+        assert df.columns == ["Unique Key", "Created Date", "Odd `Name"]
+        assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, plain), key=str) and len(plain) == 63
+        dates = raw.read_raw(spark, str(folder), multi_line=True)
+        assert dates.columns[0] == "unique_key" and dates.where("created_date = '2025-01-02 15:04:05'").count() == 60
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_missing_inputs_and_columns(spark, tmp_path):
     with pytest.raises(FileNotFoundError) as error:
         tables.require_inputs(spark, [str(tmp_path / "no1"), str(tmp_path / "no2")])

@@ -53,6 +53,50 @@ def test_scores_do_not_depend_on_the_bound_of_the_sample(spark):
     assert abs(scores[1] - share) < 1e-6 and abs(scores[1000] - share) < 1e-6
 
 
+def test_quality_votes_equal_a_plain_version(spark):
+    """Every document: cosines one by one, sorted; the first neighbours vote. The space is that of a plain decomposition."""
+    documents, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    scores = quality.score_documents(documents, labels, rows=100).select("doc_id", "score").toPandas().groupby("doc_id")["score"].first()
+    model = quality.fit(documents, labels, rows=100)
+    examples, targets = quality.collect_terms(quality.labelled_texts(documents, labels, "quality", 4, 2, 100))
+    size = len(model.idf)
+
+    def dense(keys, values):
+        out = np.zeros(size)
+        out[keys] = values
+        return out
+
+    matrix = np.stack([dense(*row) for row in examples])
+    idf = np.log((1 + len(matrix)) / (1 + (matrix != 0).sum(axis=0))) + 0.2
+    right = np.linalg.svd(matrix * idf, full_matrices=False)[2][:quality.DIMENSIONS]
+    assert np.linalg.svd(right @ model.basis)[1].min() > 0.999  # both span one space
+    per_class = np.array([1.0, 1.0])
+    known = quality.known_labels(labels, "quality", 4, 2).toPandas().target
+    for target in (0, 1):
+        per_class[target] = max(1.0, (known == target).sum() / 100)
+
+    def place(row):
+        out = right @ (dense(*row) * idf)
+        return out / np.linalg.norm(out) if np.linalg.norm(out) else out
+
+    labelled = [(place(row), target) for row, target in zip(examples, targets)]
+    terms, compared = quality.Terms(), 0
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).toPandas().drop_duplicates("doc_id")
+    for doc_id, text in zip(texts.doc_id, texts.text):
+        own = place(terms.of(text))
+        ranked = sorted(((float(own @ vector), target) for vector, target in labelled), reverse=True)
+        k = quality.NEIGHBOURS
+        edge = {target for cosine, target in ranked if abs(cosine - ranked[k - 1][0]) < 1e-5}
+        if len(edge) > 1:
+            continue  # labels of equally near texts at the last place differ: either may vote
+        votes = [(max(cosine, 0.0) ** 4 * per_class[int(target)], target) for cosine, target in ranked[:k]]
+        total = sum(weight for weight, _ in votes)
+        wanted = sum(weight * target for weight, target in votes) / total if total else model.base_rate
+        assert abs(scores[doc_id] - wanted) < 1e-3
+        compared += 1
+    assert compared > 0.9 * len(texts)
+
+
 def test_scores_of_odd_rows(spark):
     documents = spark.createDataFrame([(1, ""), (2, None), (None, "words"), (3, "word " * 30_000), (3, "again")], "doc_id bigint, text string").withColumn("score", F.lit("x"))
     for score, label in ((quality.score_documents, "quality"), (toxicity.score_documents, "toxic")):

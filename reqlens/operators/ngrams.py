@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,6 @@ from reqlens.operators import clustering
 from reqlens.operators.taxonomy import UNMATCHED
 from reqlens.session import cut_lineage
 
-DOCUMENT_MARK = "#"  # never part of a word
 TOKEN = r"(?U)\b(\w\w+)\b"
 
 
@@ -55,18 +55,15 @@ def _terms(df: DataFrame, text: str, stop_words: Sequence[str] | None, pattern:
 def _counted(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Occurrences and document frequency of every term.
 
-    The distinct terms of a text travel next to all its terms, marked by a prefix, so documents
-    are counted by the same map-side combined count, without a shuffle by document.
+    The distinct terms of a text travel behind all its terms and are told apart by their place, so both numbers
+    come from one map-side combined aggregate, without a shuffle by document, and a term is shuffled once.
     """
-    once = F.transform(F.array_distinct("_terms"), lambda term: F.concat(F.lit(DOCUMENT_MARK), term))
-    marked = rows.select(*keys, "_w", F.explode(F.concat(F.col("_terms"), once)).alias("_term"))
-    counted = marked.groupBy(*keys, "_term").agg(F.sum("_w").alias("_n"))
-    is_document = F.startswith("_term", F.lit(DOCUMENT_MARK))
-    term = F.when(is_document, F.substring("_term", 2, 1 << 30)).otherwise(F.col("_term"))
-    zero = F.lit(0).cast("bigint")
-    return counted.groupBy(*keys, term.alias("ngram")).agg(
-        F.sum(F.when(is_document, zero).otherwise(F.col("_n"))).alias("count"),
-        F.sum(F.when(is_document, F.col("_n")).otherwise(zero)).alias("documents"))
+    spread = rows.select(*keys, "_w", F.size("_terms").alias("_size"),
+                         F.posexplode(F.concat("_terms", F.array_distinct("_terms"))).alias("_at", "ngram"))
+    occurs, zero = F.col("_at") < F.col("_size"), F.lit(0).cast("bigint")
+    return spread.groupBy(*keys, "ngram").agg(
+        F.sum(F.when(occurs, F.col("_w")).otherwise(zero)).alias("count"),
+        F.sum(F.when(occurs, zero).otherwise(F.col("_w"))).alias("documents"))
 
 
 def term_counts(df: DataFrame, text: str, stop_words: Sequence[str] | None = None, weight: Column | None = None,
@@ -190,9 +187,9 @@ def family_vectors(df: DataFrame, min_rows: int = 150, max_terms: int = 1500, mi
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             keys, numbers = [], []
-            for name, words in zip(frame["family"], frame["terms"]):
-                known = sent.value[name]
-                counted = Counter(word for word in words if word in known)
+            for name, words in zip(frame["family"], frame["words"]):
+                known, words = sent.value[name], words.tolist()
+                counted = Counter(term for term in chain(words, map(" ".join, pairwise(words))) if term in known)
                 places = np.array([known[word][0] for word in counted], dtype="<i4")
                 values = np.array([n * known[word][1] for word, n in counted.items()], dtype="<f8")
                 length = np.sqrt((values ** 2).sum())
@@ -202,7 +199,7 @@ def family_vectors(df: DataFrame, min_rows: int = 150, max_terms: int = 1500, mi
 
     known = texts.where(F.col("complaint_type").isin(list(vocabulary))).select(
         F.col("complaint_type").alias("family"), F.col("text_clean").alias("point"), F.col("rows").cast("double").alias("weight"),
-        with_bigrams(terms_of(F.col("text_clean"), stop_words, pattern)).alias("terms"))
+        terms_of(F.col("text_clean"), stop_words, pattern).alias("words"))
     return FamilyVectors(cut_lineage(known.mapInPandas(run, clustering.POINTS)), vocabulary, rows)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Window, functions as F
 
@@ -231,8 +233,9 @@ def ngram_documents(spark, sf):
 
 
 def _document_families(spark, sf):
+    """Exploded from a one-element array: a filter on the text then does not normalise it once more."""
     documents = V.documents(spark, sf).select(
-        F.col("doc_id").alias("unique_key"), F.col("lang").alias("complaint_type"), normalize_text("text").alias("text_clean"))
+        F.col("doc_id").alias("unique_key"), F.col("lang").alias("complaint_type"), F.explode(F.array(normalize_text("text"))).alias("text_clean"))
     return documents.withColumn("issue_subtype", F.lit(taxonomy.UNMATCHED))
 
 
@@ -263,11 +266,17 @@ distances AS (SELECT t.family, t.point, t.n, c.cluster, greatest(round(coalesce(
     FROM distances GROUP BY 1, 2, 3"""))
 def cluster_assignment(spark, sf):
     made = ngrams.family_vectors(_document_families(spark, sf), min_rows=100, stop_words=STOP_WORDS, pattern=ASCII_TOKEN)
-    first = F.row_number().over(Window.partitionBy("family").orderBy(F.md5("point")))
-    chosen = made.points.withColumn("turn", first).where("turn <= 3").collect()
+    first = F.row_number().over(Window.partitionBy("family").orderBy("digest"))
+    digests = made.points.select("family", F.md5("point").alias("digest"))  # only digests are sorted
+    leading = digests.withColumn("turn", first).where("turn <= 3").collect()
+    turns = {(row["family"], row["digest"]): row["turn"] for row in leading}
+    chosen = made.points.where(F.md5("point").isin(sorted({row["digest"] for row in leading}))).collect()
     centres = {name: np.zeros((3, len(terms))) for name, terms in made.vocabulary.items()}
     for row in chosen:
-        centres[row["family"]][row["turn"] - 1, np.frombuffer(bytes(row["keys"]), "<i4")] = np.frombuffer(bytes(row["numbers"]), "<f8")
+        turn = turns.get((row["family"], hashlib.md5(row["point"].encode()).hexdigest()))
+        if turn is None:  # the text of another family's centre
+            continue
+        centres[row["family"]][turn - 1, np.frombuffer(bytes(row["keys"]), "<i4")] = np.frombuffer(bytes(row["numbers"]), "<f8")
     placed = clustering.assign(made.points, centres)
     return placed.select("family", F.md5("point").alias("text_key"), "weight", "cluster")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,6 +12,7 @@ from reqlens.functions.cleaning import clean_string
 from reqlens.rules import MISDECODED_SEQUENCES
 
 SEPARATOR = " | "
+PLAIN = re.compile(r"[A-Za-z0-9 ,'/&-]+")  # an alternative that stands for itself
 
 
 def normalize_text(column: Column | str) -> Column:
@@ -21,9 +23,9 @@ def normalize_text(column: Column | str) -> Column:
         repaired = F.replace(repaired, F.lit(bad), F.lit(good))
     # All sequences start with the same letter: most texts need no repair.
     text = F.when(text.contains(next(iter(MISDECODED_SEQUENCES))[0]), repaired).otherwise(text)
-    text = F.regexp_replace(F.lower(text), r"[^a-z0-9/&+ -]+", " ")
-    text = F.trim(F.regexp_replace(text, r" +", " "))
-    return F.nullif(text, F.lit(""))
+    # The runs of kept characters, joined: cheaper than replacing what lies between them.
+    runs = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9/&+-]+)"), F.lit(1))
+    return F.nullif(F.array_join(runs, " "), F.lit(""))
 
 
 def join_texts(descriptor: Column, details: Column) -> Column:
@@ -32,8 +34,18 @@ def join_texts(descriptor: Column, details: Column) -> Column:
     return F.btrim(joined, F.lit(" |"))
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """``rlike``; alternatives without special characters are looked up as substrings, which is cheaper."""
+    parts = [pattern] if re.search(r"[\\()\[\]{}]", pattern) else pattern.split("|")
+    plain = [part for part in parts if PLAIN.fullmatch(part)]
+    hits = [text.contains(F.lit(part)) for part in plain]
+    if len(plain) < len(parts):
+        hits.append(text.rlike("|".join(part for part in parts if part not in plain)))
+    return reduce(lambda left, right: left | right, hits)
+
+
 def any_match(columns: Sequence[str], pattern: str) -> Column:
-    hits = [F.coalesce(F.col(name), F.lit("")).rlike(pattern) for name in columns]
+    hits = [matches(F.coalesce(F.col(name), F.lit("")), pattern) for name in columns]
     return reduce(lambda left, right: left | right, hits)
 
 

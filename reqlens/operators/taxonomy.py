@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reqlens.functions.cleaning import clean_string
 from reqlens.functions.measures import rate_of
-from reqlens.functions.text import any_match, first_match, join_texts, normalize_text
+from reqlens.functions.text import any_match, first_match, join_texts, matches, normalize_text
 from reqlens.operators.ranking import count_by, first_per_group
 from reqlens.rules import (
     MISMATCH_RULES, NO_TEXT_OUTCOME, OTHER_OUTCOME, OUTCOME_RULES, SUBTYPE_RULES, MismatchRule,
@@ -108,7 +108,7 @@ def classify_outcomes(df: DataFrame, text: str = "resolution_description", eligi
     """Closure outcome, confidence and text length of eligible rows; others are left null."""
     eligible = F.lit(True) if eligible is None else eligible
     df = df.withColumn("_text", F.when(eligible, F.coalesce(normalize_text(text), F.lit(""))))
-    number = first_match([(F.col("_text").rlike(rule.pattern), i) for i, rule in enumerate(rules, start=1)])
+    number = first_match([(matches(F.col("_text"), rule.pattern), i) for i, rule in enumerate(rules, start=1)])
     df = df.withColumn("_rule", F.explode(F.array(number)))
 
     def pick(field: str, other: str) -> Column:

@@ -27,7 +27,12 @@ def strip_blanks(column: Column | str) -> Column:
 
 def clean_string(column: Column | str, extra_missing: Sequence[str] = ()) -> Column:
     """Strip blanks; empty and null-like tokens become null."""
-    text = strip_blanks(column)
+    return known_string(strip_blanks(column), extra_missing)
+
+
+def known_string(text: Column | str, extra_missing: Sequence[str] = ()) -> Column:
+    """Null-like tokens of a stripped text become null."""
+    text = _col(text)
     return F.when(~text.isin(*MISSING_TOKENS, *extra_missing), text)
 
 
@@ -75,7 +80,3 @@ def board_code(board: Column | str) -> Column:
 def board_borough(board: Column | str, borough: Column | str) -> Column:
     """Trailing capitals of the board name, else the borough of the request."""
     return F.coalesce(_group_or_null(_col(board), r"([A-Z][A-Z ]+)$"), _col(borough))
-
-
-def upper_or(column: Column | str, default: str) -> Column:
-    return F.coalesce(F.upper(clean_string(column)), F.lit(default))

@@ -14,16 +14,19 @@ from reqlens.sources.bucketed import read_bucketed
 def clean_requests(raw: DataFrame) -> DataFrame:
     """Domain standardisation of the raw string columns."""
     df = raw.select(*[F.col(name).alias(RENAMED_COLUMNS.get(name, name)) for name in RAW_COLUMNS])
-    text = {name: C.clean_string(name) for name in
-            ("unique_key", "additional_details", "incident_zip", "city", "community_board")}
+    plain = ("unique_key", "additional_details", "incident_zip", "city", "community_board")
+    # A projection of its own: the expressions below name each text several times.
+    df = df.withColumns({name: C.strip_blanks(name) for name in (
+        *plain, "borough", "status", "agency", "agency_name", "complaint_type", "descriptor")})
+    df = df.withColumn("status", C.known_string("status", ("Unspecified",)))
     return df.withColumns({
-        **text,
-        "borough": F.upper(C.clean_string("borough", ("Unspecified",))),
-        "status": F.coalesce(C.title_case(C.clean_string("status", ("Unspecified",))), F.lit("Unknown")),
-        "agency": C.upper_or("agency", "UNKNOWN"),
-        "agency_name": F.coalesce(C.clean_string("agency_name"), F.lit("Unknown Agency")),
-        "complaint_type": F.coalesce(C.clean_string("complaint_type"), F.lit("Unknown")),
-        "descriptor": F.coalesce(C.clean_string("descriptor"), F.lit("Unknown")),
+        **{name: C.known_string(name) for name in plain},
+        "borough": F.upper(C.known_string("borough", ("Unspecified",))),
+        "status": F.coalesce(C.title_case("status"), F.lit("Unknown")),
+        "agency": F.coalesce(F.upper(C.known_string("agency")), F.lit("UNKNOWN")),
+        "agency_name": F.coalesce(C.known_string("agency_name"), F.lit("Unknown Agency")),
+        "complaint_type": F.coalesce(C.known_string("complaint_type"), F.lit("Unknown")),
+        "descriptor": F.coalesce(C.known_string("descriptor"), F.lit("Unknown")),
         "council_district": C.to_long("council_district"),
         "latitude": C.to_double("latitude"),
         "longitude": C.to_double("longitude"),

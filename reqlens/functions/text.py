@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from reqlens.functions.cleaning import clean_string
+from reqlens.functions.cleaning import clean_string, known_string, strip_blanks
 from reqlens.rules import MISDECODED_SEQUENCES
 
 SEPARATOR = " | "
@@ -17,13 +17,29 @@ PLAIN = re.compile(r"[A-Za-z0-9 ,'/&-]+")  # an alternative that stands for itse
 
 def normalize_text(column: Column | str) -> Column:
     """Lower case, only ``a-z 0-9 / & + -`` and single spaces; empty is null."""
-    text = F.coalesce(clean_string(column), F.lit(""))
+    return _kept_runs(_repaired(F.coalesce(clean_string(column), F.lit(""))))
+
+
+def add_normalized(df: DataFrame, texts: Mapping[str, Column | str]) -> DataFrame:
+    """``normalize_text`` of several texts by projections of their own, as each step names the text before it several times.
+
+    In one projection the steps would be written out within each other, and methods of over 8000 bytes are not compiled.
+    """
+    df = df.withColumns({name: strip_blanks(text) for name, text in texts.items()})
+    df = df.withColumns({name: F.coalesce(known_string(name), F.lit("")) for name in texts})
+    return df.withColumns({name: _repaired(F.col(name)) for name in texts}).withColumns({name: _kept_runs(F.col(name)) for name in texts})
+
+
+def _repaired(text: Column) -> Column:
     repaired = text
     for bad, good in MISDECODED_SEQUENCES.items():
         repaired = F.replace(repaired, F.lit(bad), F.lit(good))
     # All sequences start with the same letter: most texts need no repair.
-    text = F.when(text.contains(next(iter(MISDECODED_SEQUENCES))[0]), repaired).otherwise(text)
-    # The runs of kept characters, joined: cheaper than replacing what lies between them.
+    return F.when(text.contains(next(iter(MISDECODED_SEQUENCES))[0]), repaired).otherwise(text)
+
+
+def _kept_runs(text: Column) -> Column:
+    """The runs of kept characters, joined: cheaper than replacing what lies between them."""
     runs = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9/&+-]+)"), F.lit(1))
     return F.nullif(F.array_join(runs, " "), F.lit(""))
 

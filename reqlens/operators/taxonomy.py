@@ -6,9 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reqlens.functions.cleaning import clean_string
+from reqlens.functions.cleaning import known_string, strip_blanks
 from reqlens.functions.measures import rate_of
-from reqlens.functions.text import any_match, first_match, join_texts, matches, normalize_text
+from reqlens.functions.text import add_normalized, any_match, first_match, join_texts, matches
 from reqlens.operators.ranking import count_by, first_per_group
 from reqlens.rules import (
     MISMATCH_RULES, NO_TEXT_OUTCOME, OTHER_OUTCOME, OUTCOME_RULES, SUBTYPE_RULES, MismatchRule,
@@ -19,18 +19,16 @@ UNMATCHED, NOT_MODELED = "other_unclassified", "not_modeled"
 
 def clean_taxonomy_input(df: DataFrame) -> DataFrame:
     """Cleaning of the columns the taxonomy reads."""
+    df = df.withColumns({name: strip_blanks(name) for name in ("complaint_type", "descriptor", "additional_details")})
     return df.withColumns({
-        "complaint_type": F.coalesce(clean_string("complaint_type"), F.lit("Unknown")),
-        "descriptor": F.coalesce(clean_string("descriptor"), F.lit("Unknown")),
-        "additional_details": clean_string("additional_details"),
+        "complaint_type": F.coalesce(known_string("complaint_type"), F.lit("Unknown")),
+        "descriptor": F.coalesce(known_string("descriptor"), F.lit("Unknown")),
+        "additional_details": known_string("additional_details"),
     })
 
 
 def add_normalized_text(df: DataFrame) -> DataFrame:
-    df = df.withColumns({
-        "descriptor_norm": normalize_text("descriptor"),
-        "details_norm": normalize_text("additional_details"),
-    })
+    df = add_normalized(df, {"descriptor_norm": "descriptor", "details_norm": "additional_details"})
     combined = join_texts(F.col("descriptor_norm"), F.col("details_norm"))
     return df.withColumn("combined_text", combined).withColumn(
         "text_clean", F.nullif(F.col("combined_text"), F.lit("")))
@@ -107,7 +105,8 @@ def classify_outcomes(df: DataFrame, text: str = "resolution_description", eligi
                       rules: Sequence[OutcomeRule] = OUTCOME_RULES) -> DataFrame:
     """Closure outcome, confidence and text length of eligible rows; others are left null."""
     eligible = F.lit(True) if eligible is None else eligible
-    df = df.withColumn("_text", F.when(eligible, F.coalesce(normalize_text(text), F.lit(""))))
+    df = add_normalized(df.withColumn("_eligible", eligible), {"_text": F.when(F.col("_eligible"), F.col(text))})
+    df = df.withColumn("_text", F.when(F.col("_eligible"), F.coalesce("_text", F.lit("")))).drop("_eligible")
     number = first_match([(matches(F.col("_text"), rule.pattern), i) for i, rule in enumerate(rules, start=1)])
     df = df.withColumn("_rule", F.explode(F.array(number)))
 

@@ -1,11 +1,13 @@
 """Steps that many queries share: what they compute, and that they do it once."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from fixtures import texts as X
 from fixtures import views as V
 from reqlens.contracts import RAW_COLUMNS
-from reqlens.functions.text import matches, normalize_text
+from reqlens.functions.text import add_normalized, matches, normalize_text
 from reqlens.operators import frames, ngrams, taxonomy
 from reqlens.rules import OUTCOME_RULES
 
@@ -76,3 +78,22 @@ def test_texts_are_stripped_once(spark):
     made = frames.clean_requests(raw)
     assert plan(made.select("status")).count("trim(") <= 1
     assert made.first()["status"] == "In-Progress"
+
+
+def test_texts_normalized_by_projections_equal_the_expression(spark):
+    given = ["  A\t b--c\n\nD ", "", "   ", None, "nan", " NULL ", "â\u0080\u0093 1", "\xa0It\u2003", "a â\u0080\u009cb\u3000"]
+    rows = spark.createDataFrame([(t, t) for t in given], "t string, u string")
+    made = add_normalized(rows, {"x": "t", "y": F.upper("u")})
+    assert made.where(~F.col("x").eqNullSafe(normalize_text("t")) | ~F.col("y").eqNullSafe(normalize_text(F.upper("u")))).count() == 0
+
+
+def test_generated_methods_of_the_enriched_table_are_small_enough_to_be_compiled(spark, tmp_path):
+    kinds = {name: "timestamp_ntz" for name in ("created_date", "closed_date", "resolution_action_updated_date")}
+    columns = [*RAW_COLUMNS, "resolution_description"]
+    spark.createDataFrame([], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in columns)).write.parquet(f"{tmp_path}/raw")
+    raw = spark.read.parquet(f"{tmp_path}/raw").withColumn("city", F.col("resolution_description"))
+    base = frames.add_lifecycle(frames.in_scope(frames.clean_requests(raw), V.SCOPE)).withColumn("resolution_description", F.col("city"))
+    made = frames.enrich_inline(taxonomy.label_requests(base, V.RULES, V.MISMATCHES))
+    code = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(made._jdf.queryExecution(), "codegen")
+    sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000  # the JVM only interprets larger methods

@@ -20,9 +20,15 @@ ATTRIBUTES = ["population", "median_household_income", "poverty_share", "renter_
 ATTR = ", ".join(f"a.{c}" for c in ATTRIBUTES)
 
 
+# What the equity operators read of the enriched table; every row of it.
+REQUEST_COLUMNS = ["unique_key", "incident_zip", "borough", "community_board", "agency", "complaint_type", "descriptor", "issue_family", "issue_subtype",
+                   "subtype_modeled_flag", "potential_label_mismatch_flag", "created_year", "created_month_start", "created_season",
+                   "resolved_with_valid_date", "resolution_days", "unresolved_flag", "status_backlog_flag"]
+
+
 def _frame(spark, sf):
     demographics = V.area_demographics(spark, sf)
-    return equity.equity_frame(V.enriched(spark, sf), demographics), demographics
+    return equity.equity_frame(V.enriched(spark, sf, REQUEST_COLUMNS), demographics), demographics
 
 
 QUINTILE_JOINS = " ".join(f"LEFT JOIN {q}_rows USING (unique_key)" for q in QUINTILE_COLUMNS)

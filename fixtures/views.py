@@ -6,7 +6,7 @@ untidy on purpose (blanks, null words, unknown places) so that the cleaning has
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -155,9 +155,16 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "labelled", build)
 
 
-def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The enriched stage table: written once per session, as between stages, then scanned."""
-    return _once(spark, sf_dir, "enriched", lambda: cut_lineage(frames.enrich_inline(labelled(spark, sf_dir))))
+def enriched(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ()) -> DataFrame:
+    """The enriched stage table: written once per session, as between stages, then scanned.
+
+    Queries that read few ``columns`` write and scan a table of these alone, unless the whole one was written already.
+    """
+    whole = (spark.sparkContext.applicationId, sf_dir, "enriched")
+    if columns and whole in _VIEWS:
+        return _VIEWS[whole].select(*columns)
+    return _once(spark, sf_dir, " ".join(["enriched", *columns]), lambda: cut_lineage(
+        frames.enrich_inline(labelled(spark, sf_dir)).select(*(columns or ["*"]))))
 
 
 AREA_SQL = """

@@ -1,9 +1,11 @@
 """Steps that many queries share: what they compute, and that they do it once."""
 
+import datetime as dt
 import re
 
 from pyspark.sql import functions as F
 
+from fixtures import equities as E
 from fixtures import texts as X
 from fixtures import views as V
 from reqlens.contracts import RAW_COLUMNS
@@ -97,3 +99,36 @@ def test_generated_methods_of_the_enriched_table_are_small_enough_to_be_compiled
     code = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(made._jdf.queryExecution(), "codegen")
     sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", code)]
     assert sizes and max(sizes) < 8000  # the JVM only interprets larger methods
+
+
+def order_tables(spark, folder):
+    """Orders with and without lines, areas and texts; one key twice, one null, which has no creation date."""
+    day = dt.datetime(2000, 3, 1)
+    tables = {
+        "region": ([(0, "ASIA")], "r_regionkey int, r_name string"),
+        "nation": ([(n, f"N{n}", 0) for n in (1, 7)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": ([(c, (1, 7)[c % 2], 10.0 * c, "BUILDING") for c in range(60)], "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "part": ([(0, "old bolt", "PROMO"), (1, "cold anvil", "ECONOMY")], "p_partkey bigint, p_name string, p_type string"),
+        "orders": ([(key, i % 60, "FOP"[i % 3], day + dt.timedelta(days=i), ("1-URGENT", "2-HIGH", "5-LOW")[i % 3])
+                    for i, key in enumerate([*range(90), 5, None])], "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp, o_orderpriority string"),
+        "lineitem": ([(i, i % 2, day + dt.timedelta(days=2 * i)) for i in range(0, 90, 2)], "l_orderkey bigint, l_partkey bigint, l_shipdate timestamp"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_equity_queries_write_the_columns_they_read(spark, tmp_path):
+    sf = order_tables(spark, tmp_path)
+    frame, _ = E._frame(spark, sf)
+    assert not any(key[1:] == (sf, "enriched") for key in V._VIEWS)
+    narrow = V.enriched(spark, sf, E.REQUEST_COLUMNS)
+    scanned = spark.read.parquet(narrow.inputFiles()[0]).columns
+    assert scanned == E.REQUEST_COLUMNS and "descriptor_norm" not in scanned
+    narrow_rows, frame_rows = narrow.collect(), frame.count()
+    whole = V.enriched(spark, sf)
+    assert "resolution_outcome_group" in whole.columns
+    assert sorted(map(repr, narrow_rows)) == sorted(map(repr, whole.select(*E.REQUEST_COLUMNS).collect()))
+    assert frame_rows == len(narrow_rows) == 91
+    again = V.enriched(spark, sf, E.REQUEST_COLUMNS)
+    assert again.inputFiles() == whole.inputFiles()  # the whole table is there: nothing is written again

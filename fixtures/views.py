@@ -187,6 +187,6 @@ FROM (
 
 
 def area_demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per area: every tenth without demographics, some with population zero."""
+    """One row per area: every tenth without demographics, some with population zero. Written once, as every scan of requests joins it."""
     sql = AREA_SQL.replace("{text}", "STRING")
-    return _once(spark, sf_dir, "areas", lambda: spark.sql(sql, customer=table(spark, sf_dir, "customer")))
+    return _once(spark, sf_dir, "areas", lambda: cut_lineage(spark.sql(sql, customer=table(spark, sf_dir, "customer"))))

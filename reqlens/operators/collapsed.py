@@ -2,13 +2,14 @@
 
 All features are categories, so rows with equal features fold into one row with sums by a group-by that combines on
 the map side. The table of folded rows grows with the variety of the features. Every pass of a fit is then one
-aggregate over pairs of levels: it gives the sums of products that the normal equations or a Newton step need, one
-row per pair of levels, and only these reach the driver. All rows count, and nothing depends on partitions.
+aggregate over pairs of levels: each task adds up its own folded rows in arrays and gives one row per pair of levels.
+These sums of products are what the normal equations or a Newton step need, and only they reach the driver. All rows
+count, and nothing depends on partitions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -40,8 +41,20 @@ def collapse(df: DataFrame, features: Sequence[str], sums: Mapping[str, Column])
 
     Features must not be null. The levels of all features, a few hundred, are model state on the driver.
     """
-    folded = cut_lineage(df.groupBy(*[F.col(f).cast("string").alias(f) for f in features]).agg(
-        F.count(F.lit(1)).alias(ROWS), *[F.sum(value).alias(name) for name, value in sums.items()]))
+    return collapse_parts(df, features, {"all": (F.lit(True), sums)})["all"]
+
+
+def collapse_parts(df: DataFrame, features: Sequence[str], parts: Mapping[str, tuple[Column, Mapping[str, Column]]]) -> dict[str, Design]:
+    """``collapse`` for several models in one pass over the rows: per model a condition on its rows, and its sums."""
+    folded = cut_lineage(df.groupBy(*[F.col(f).cast("string").alias(f) for f in features]).agg(*[
+        total for name, (kept, sums) in parts.items() for total in (
+            F.count_if(kept).alias(f"{ROWS}_{name}"), *[F.sum(F.when(kept, value)).alias(f"{ROWS}_{name}_{of}") for of, value in sums.items()])]))
+    return {name: _design(folded.where(F.col(f"{ROWS}_{name}") > 0).select(
+        *features, F.col(f"{ROWS}_{name}").alias(ROWS), *[F.col(f"{ROWS}_{name}_{of}").alias(of) for of in sums]), features)
+        for name, (_, sums) in parts.items()}
+
+
+def _design(folded: DataFrame, features: Sequence[str]) -> Design:
     levels = folded.unpivot([], list(features), "feature", "level").distinct().collect()
     names = [(f, level) for f in features for level in sorted(r["level"] for r in levels if r["feature"] == f)[1:]]
     terms = [F.lit(0)]
@@ -49,15 +62,41 @@ def collapse(df: DataFrame, features: Sequence[str], sums: Mapping[str, Column])
         own = {level: i for i, (name, level) in enumerate(names, 1) if name == feature}
         if own:
             terms.append(F.try_element_at(F.map_from_arrays(F.lit(list(own)), F.lit(list(own.values()))), F.col(feature)))
-    return Design(folded.withColumn("_terms", F.array_compact(F.array(*terms))), names)
+    return Design(cut_lineage(folded.withColumn("_terms", F.array_compact(F.array(*terms)))), names)  # looked up once, not in every pass
 
 
 def cross_sums(design: Design, weight: Column, response: Column) -> DataFrame:
     """``left, right, weight, response``: sums over the folded rows that have both columns, ``left <= right``."""
-    rows = design.rows.select("_terms", weight.cast("double").alias("_w"), response.cast("double").alias("_r"))
-    pairs = rows.select("_w", "_r", "_terms", F.explode("_terms").alias("left")).select(
-        "_w", "_r", "left", F.explode(F.filter("_terms", lambda t: t >= F.col("left"))).alias("right"))
-    return pairs.groupBy("left", "right").agg(F.sum("_w").alias("weight"), F.sum("_r").alias("response"))
+    rows = design.rows.select("_terms", *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(name) for name, c in (("_w", weight), ("_r", response))])
+    pairs = rows.mapInArrow(_pair_sums(len(design.names) + 1), "left int, right int, weight double, response double")
+    return pairs.groupBy("left", "right").agg(F.sum("weight").alias("weight"), F.sum("response").alias("response"))
+
+
+def _pair_sums(size: int) -> Callable:
+    """Sums per pair of columns over the rows of a task: ``size`` squared numbers, as many as the driver's matrix has."""
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        seen, weights, responses = np.zeros(size * size, dtype=np.int64), np.zeros(size * size), np.zeros(size * size)
+        for batch in batches:
+            terms = batch.column(0)
+            flat = terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            w, r = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            lengths = terms.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            for step in range(int(lengths.max(initial=0))):  # each term with the one ``step`` places behind it in its row
+                left, right = slice(0, len(flat) - step), slice(step, len(flat))
+                same = row[left] == row[right]
+                pair, at = (flat[left] * size + flat[right])[same], row[left][same]
+                seen += np.bincount(pair, minlength=size * size)
+                weights += np.bincount(pair, weights=w[at], minlength=size * size)
+                responses += np.bincount(pair, weights=r[at], minlength=size * size)
+        found = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array((found // size).astype(np.int32)), pa.array((found % size).astype(np.int32)), pa.array(weights[found]), pa.array(responses[found])],
+            names=["left", "right", "weight", "response"])
+    return run
 
 
 def _matrices(design: Design, weight: Column, response: Column) -> tuple[np.ndarray, np.ndarray]:

@@ -82,7 +82,7 @@ def quintile_table(df: DataFrame, quintiles: Mapping[str, tuple[str, str]] = QUI
 
     At most four areas per measure hold a boundary, so almost every list of keys is empty.
     """
-    ranges = _area_positions(df, quintiles)
+    ranges = cut_lineage(_area_positions(df, quintiles))  # a row per area and measure, read several times below
     boundaries = ranges.select(
         "quintile", "zcta", "start", "n",
         F.explode(F.array(*[_last_rank(part) for part in range(1, PARTS)])).alias("last"))
@@ -179,15 +179,23 @@ def model_rows(df: DataFrame, quintiles: DataFrame) -> DataFrame:
     return label_quintiles(usable, quintiles).dropna(subset=features)
 
 
-def duration_design(rows: DataFrame) -> collapsed.Design:
-    resolved = rows.where(F.col("resolved_with_valid_date") & F.col("resolution_days").isNotNull())
+def _duration_part() -> tuple[Column, dict[str, Column]]:
     log_days = F.log1p("resolution_days")
-    return collapsed.collapse(resolved, [*QUINTILES, *CONTROL_FEATURES], {"total": log_days, "squares": log_days * log_days})
+    return F.col("resolved_with_valid_date") & F.col("resolution_days").isNotNull(), {"total": log_days, "squares": log_days * log_days}
+
+
+def _backlog_part() -> tuple[Column, dict[str, Column]]:
+    return F.col("unresolved_flag").isNotNull(), {"positives": F.col("unresolved_flag").cast("int")}
+
+
+def duration_design(rows: DataFrame) -> collapsed.Design:
+    resolved, sums = _duration_part()
+    return collapsed.collapse(rows.where(resolved), [*QUINTILES, *CONTROL_FEATURES], sums)
 
 
-def backlog_design(rows: DataFrame) -> collapsed.Design:
-    return collapsed.collapse(rows.where(F.col("unresolved_flag").isNotNull()), [*QUINTILES, *CONTROL_FEATURES],
-                              {"positives": F.col("unresolved_flag").cast("int")})
+def model_designs(rows: DataFrame) -> dict[str, collapsed.Design]:
+    """The designs of the duration and the backlog model, from one pass over the rows."""
+    return collapsed.collapse_parts(rows, [*QUINTILES, *CONTROL_FEATURES], {"duration": _duration_part(), "backlog": _backlog_part()})
 
 
 def adjusted_models(df: DataFrame) -> DataFrame:
@@ -198,11 +206,10 @@ def adjusted_models(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     demographic = list(QUINTILES)
-    table = model_rows(df, cut_lineage(quintile_table(df)))
-    duration = duration_design(table)
+    designs = model_designs(model_rows(df, cut_lineage(quintile_table(df))))
+    duration, backlog = designs["duration"], designs["backlog"]
     coefficients, fit, count = collapsed.least_squares(duration, "total", "squares")
     rows = _coefficient_rows("log_resolution_days", _names(duration), coefficients[1:], demographic, "r2", fit, count)
-    backlog = backlog_design(table)
     coefficients = collapsed.logistic(backlog, "positives")
     area = collapsed.area_under_curve(backlog, coefficients, "positives")
     count = backlog.rows.agg(F.coalesce(F.sum(collapsed.ROWS), F.lit(0))).first()[0]

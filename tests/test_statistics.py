@@ -339,3 +339,29 @@ def test_collapsed_models_of_empty_and_constant_rows(spark):
     assert coefficients.tolist() == [1.0] and np.isnan(fit) and rows == 2
     none = collapsed.collapse(df.limit(0), ["a"], sums)
     assert collapsed.least_squares(none, "total", "squares")[2] == 0 and collapsed.logistic(none, "positives").tolist() == [0.0]
+
+
+def test_pairs_of_levels_are_added_up_in_arrays(spark):
+    frame = categorical_rows(400)
+    df = to_spark(spark, frame, "a string, b string, c string, y double, hit boolean").repartition(3)
+    design = collapsed.collapse(df, ["a", "b", "c"], {"total": F.col("y")})
+    sums = collapsed.cross_sums(design, F.col(collapsed.ROWS), F.col("total"))
+    assert "Generate" not in sums._jdf.queryExecution().optimizedPlan().toString()  # no row per folded row and pair
+    x, _ = dummies(frame, ["a", "b", "c"])
+    weights, responses = x.T @ x, x.T @ (x * frame["y"].to_numpy()[:, None])
+    found = {(r["left"], r["right"]): r for r in sums.collect()}
+    assert set(found) == {(i, j) for i in range(len(weights)) for j in range(i, len(weights)) if weights[i, j]}
+    for (i, j), row in found.items():
+        assert row["weight"] == weights[i, j] and row["response"] == pytest.approx(responses[i, j])
+
+
+def test_models_of_different_rows_are_folded_in_one_pass(spark):
+    rows = [("p", True, 1.0), ("p", None, 2.0), ("q", True, 4.0), ("q", True, None), ("r", False, 8.0), (None, True, 3.0), ("p", True, 5.0)]
+    df = spark.createDataFrame(rows, "a string, hit boolean, y double").where("a is not null")
+    parts = {"one": (F.col("hit") & F.col("y").isNotNull(), {"total": F.col("y")}), "two": (F.col("hit").isNotNull(), {"positives": F.col("hit").cast("int")})}
+    made = collapsed.collapse_parts(df, ["a"], parts)
+    for name, (kept, sums) in parts.items():
+        alone = collapsed.collapse(df.where(kept), ["a"], sums)
+        columns = ["a", collapsed.ROWS, *sums, "_terms"]
+        assert made[name].names == alone.names
+        assert sorted(made[name].rows.select(*columns).collect()) == sorted(alone.rows.select(*columns).collect())

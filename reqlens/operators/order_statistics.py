@@ -10,7 +10,7 @@ What crosses the network grows with groups times bins and with the values of the
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -21,6 +21,7 @@ from reqlens.session import cut_lineage
 VALUE, ROWS, BIN, LEAST, GREATEST = "_value", "_rows", "_bin", "_least", "_greatest"
 MEASURE, LABEL = "_measure", "_label"
 HOUR_OF_DAY = 1.0 / 24.0
+BINS_PER_DOUBLING = 16
 BROADCAST_BINS = 200_000  # wanted bins (some 100 bytes each) that are broadcast; more are joined by a shuffle
 
 
@@ -35,13 +36,21 @@ class Tally:
     labels: DataFrame | None = None  # rows per (keys, measure, label)
 
 
+def widening_bins(value: Column) -> Column:
+    """Bins that widen with the value: an hour wide at a day, a day at three weeks, some 230 up to five years.
+
+    For many small groups over a long span, where bins of one width either hold a row each or hold all short times.
+    """
+    return F.floor(F.signum(value) * F.log2(F.abs(value) / F.lit(HOUR_OF_DAY) + 1) * BINS_PER_DOUBLING)
+
+
 def tally(df: DataFrame, keys: Mapping[str, Column] | Sequence[str], flags: Mapping[str, Column],
-          value: Column | None = None, bin_width: float = HOUR_OF_DAY, staged: bool = False,
+          value: Column | None = None, bin_width: float | None = HOUR_OF_DAY, staged: bool = False,
           labels: Mapping[str, Column] | None = None) -> Tally:
     """Rows, flagged rows, least and greatest value per (keys, bin), combined on the map side.
 
     ``bin_width`` bounds what pass two counts in a wanted bin: at most ``bin_width`` divided by the clock
-    tick distinct values. ``staged`` writes the counts once for several summaries. ``labels`` names text
+    tick distinct values; without it, bins widen with the value. ``staged`` writes the counts once for several summaries. ``labels`` names text
     columns whose values are counted per group in the same pass, for ``leading_labels``; nulls are not
     counted. The counts are then written, as both sides read them.
     """
@@ -50,7 +59,7 @@ def tally(df: DataFrame, keys: Mapping[str, Column] | Sequence[str], flags: Mapp
     columns = {**named, **{name: F.coalesce(flag, F.lit(False)) for name, flag in flags.items()}, VALUE: measured}
     labelled = {f"_label_{name}": label.cast("string") for name, label in (labels or {}).items()}
     rows = df.select(*[column.alias(name) for name, column in {**columns, **labelled}.items()])
-    rows = rows.withColumn(BIN, F.floor(F.col(VALUE) / F.lit(bin_width)))
+    rows = rows.withColumn(BIN, widening_bins(F.col(VALUE)) if bin_width is None else F.floor(F.col(VALUE) / F.lit(bin_width)))
     counted = _with_labels(rows, list(labels)) if labels else rows
     by_label = [MEASURE, LABEL] if labels else []
     histogram = counted.groupBy(*named, BIN, *by_label).agg(
@@ -74,6 +83,16 @@ def _with_labels(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
     return spread.withColumns({name: F.when(F.col(MEASURE).isNull(), F.col(name)) for name in (BIN, VALUE)}).drop("_entry")
 
 
+def respread(tallied: Tally, keys: Sequence[str], spread: Callable[[DataFrame], DataFrame]) -> Tally:
+    """The tally of rows that ``spread`` turns into several, each with its ``keys``: the counts are spread, not the rows.
+
+    ``spread`` adds and repeats by the keys of ``tallied`` alone. The counts are written.
+    """
+    counts = spread(tallied.histogram).groupBy(*keys, BIN).agg(
+        F.sum(ROWS).alias(ROWS), *[F.sum(name).alias(name) for name in tallied.flags], F.min(LEAST).alias(LEAST), F.max(GREATEST).alias(GREATEST))
+    return Tally(spread(tallied.rows).select(*keys, VALUE, BIN), list(keys), tallied.flags, cut_lineage(counts))
+
+
 def leading_labels(tallied: Tally, keys: Sequence[str], modes: Mapping[str, str],
                    distinct: Mapping[str, str] | None = None) -> DataFrame:
     """Most frequent label (the smallest on ties) and number of distinct labels, per group of a tally.
@@ -164,7 +183,8 @@ def _inside(rows: DataFrame, wanted: DataFrame, bins: int, keys: Sequence[str],
     named = {name: f"_w_{name}" for name in (*keys, BIN)}
     target = wanted.withColumnsRenamed(named)
     same = all_of([F.col(name).eqNullSafe(F.col(other)) for name, other in named.items()])
-    detail = rows.join(F.broadcast(target) if bins <= BROADCAST_BINS else target, same).groupBy(*keys, BIN, VALUE).agg(
+    measured = rows.where(F.col(VALUE).isNotNull())  # rows without a value are in no wanted bin
+    detail = measured.join(F.broadcast(target) if bins <= BROADCAST_BINS else target, same).groupBy(*keys, BIN, VALUE).agg(
         F.count(F.lit(1)).alias(ROWS), F.any_value("_edges").alias("_edges"))
     upto = Window.partitionBy(*keys, BIN).orderBy(VALUE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(ROWS).over(upto)

@@ -11,7 +11,7 @@ from reqlens.functions.lifecycle import year_type
 from reqlens.functions.measures import modeled_subtype
 from reqlens.operators.filters import aligned_ytd_cutoff
 from reqlens.operators.joins import attach
-from reqlens.operators.order_statistics import Tally, approximate_quantile, leading_labels, summarize, tally
+from reqlens.operators.order_statistics import HOUR_OF_DAY, Tally, approximate_quantile, leading_labels, respread, summarize, tally
 
 # Count column -> flag it counts.
 OPERATIONS_COUNTS = {
@@ -46,8 +46,8 @@ def resolved_days() -> Column:
 
 
 def tally_requests(df: DataFrame, keys: Sequence[str] | Mapping[str, Column],
-                   counts: Mapping[str, str] = OPERATIONS_COUNTS, staged: bool = False) -> Tally:
-    return tally(df, keys, {name: F.col(flag) for name, flag in counts.items()}, resolved_days(), staged=staged)
+                   counts: Mapping[str, str] = OPERATIONS_COUNTS, bin_width: float | None = HOUR_OF_DAY) -> Tally:
+    return tally(df, keys, {name: F.col(flag) for name, flag in counts.items()}, resolved_days(), bin_width)
 
 
 def add_shares(df: DataFrame, counts: Sequence[str]) -> DataFrame:
@@ -137,12 +137,11 @@ def segment_monthly(df: DataFrame, segment: str) -> DataFrame:
 
 def by_issue_level(df: DataFrame, levels: Sequence[str] = ISSUE_LEVELS) -> DataFrame:
     """One row per request and issue level; the subtype level holds modelled subtypes only."""
-    entries = [
-        F.struct(F.lit(level).alias("issue_level"), F.col(level).alias("issue_value"),
-                 (modeled_subtype().isNotNull() if level == "issue_subtype" else F.lit(True)).alias("keep"))
-        for level in levels
-    ]
-    exploded = df.withColumn("_entry", F.explode(F.filter(F.array(*entries), lambda entry: entry["keep"])))
+    entries = []
+    for level in levels:
+        entry = F.struct(F.lit(level).alias("issue_level"), F.col(level).alias("issue_value"))
+        entries.append(F.when(modeled_subtype().isNotNull(), entry) if level == "issue_subtype" else entry)
+    exploded = df.withColumn("_entry", F.explode(F.array(*entries))).where(F.col("_entry").isNotNull())
     return exploded.withColumns({
         "issue_level": F.col("_entry.issue_level"), "issue_value": F.col("_entry.issue_value")}).drop("_entry")
 
@@ -152,10 +151,13 @@ def against_benchmark(df: DataFrame, cell_keys: Sequence[str], benchmark_keys: S
                       levels: Sequence[str] = ISSUE_LEVELS) -> DataFrame:
     """Summary of every cell next to the summary of its benchmark, with gaps.
 
-    Cells and benchmarks are rolled up from one written tally; rows are read again only for bins whose
-    ends do not settle a wanted position.
+    Requests are counted once by all that the levels read; these counts are spread over the levels. Cells and
+    benchmarks are rolled up from that one written tally; rows are read again only for bins whose ends do not
+    settle a wanted position.
     """
-    tallied = tally_requests(by_issue_level(df, levels), cell_keys, counts, staged=True)
+    own = [key for key in cell_keys if key not in ("issue_level", "issue_value")]
+    read = dict.fromkeys([*own, *levels, *(["subtype_modeled_flag"] if "issue_subtype" in levels else [])])
+    tallied = respread(tally_requests(df, list(read), counts, bin_width=None), cell_keys, lambda rows: by_issue_level(rows, levels))
     cells = summarize_requests(tallied, cell_keys, counts)
     compared = [
         "complaints", "resolved_complaints", "unresolved_complaints", "status_backlog_complaints",

@@ -365,3 +365,37 @@ def test_models_of_different_rows_are_folded_in_one_pass(spark):
         columns = ["a", collapsed.ROWS, *sums, "_terms"]
         assert made[name].names == alone.names
         assert sorted(made[name].rows.select(*columns).collect()) == sorted(alone.rows.select(*columns).collect())
+
+
+def test_quantiles_in_widening_bins_equal_numpy(spark):
+    frame = hot_frame()
+    frame["v"] = frame["v"] * np.where(np.arange(len(frame)) % 5 == 0, 100.0, 1.0) - np.where(np.arange(len(frame)) % 7 == 0, 3.0, 0.0)
+    df = to_spark(spark, frame, "g string, v double, flag boolean")
+    binned = df.where("v is not null").select("v", O.widening_bins(F.col("v")).alias("bin")).toPandas().sort_values("v")
+    assert binned["bin"].is_monotonic_increasing and binned["v"].min() < 0
+    out = {r["g"]: r["q"] for r in O.grouped_quantiles(df, ["g"], "v", {"q": 0.9}, bin_width=None).collect()}
+    for name in ("hot", "a", "b"):
+        assert out[name] == pytest.approx(frame.loc[frame["g"] == name, "v"].dropna().quantile(0.9), abs=1e-9)
+
+
+def test_requests_are_counted_before_they_are_spread_over_the_levels(spark, monkeypatch):
+    rows = [("z1", "A", "p", "s1", True, True, 1.0 + i) for i in range(9)] + [("z1", "A", "p", "not_modeled", False, True, 50.0), ("z2", "A", "q", "s2", True, False, None),
+            ("z2", None, "q", "s2", True, True, 2.0), ("z2", "A", None, None, True, True, 3.0), ("z2", "A", "p", "s1", True, True, 900.0)]
+    df = spark.createDataFrame(rows, "zcta string, agency string, complaint_type string, issue_subtype string, subtype_modeled_flag boolean, "
+                               "resolved_with_valid_date boolean, resolution_days double").withColumns({"issue_family": F.col("complaint_type"), **{
+                                   flag: F.lit(False) for flag in ("unresolved_flag", "status_backlog_flag", "potential_label_mismatch_flag")}})
+    given = []
+    spread = S.by_issue_level
+    monkeypatch.setattr(S, "by_issue_level", lambda rows, levels: given.append(rows.columns) or spread(rows, levels))
+    keys = ["issue_level", "zcta", "issue_value", "agency"]
+    made = S.against_benchmark(df, keys, keys[:1] + keys[2:], S.EQUITY_COUNTS, "benchmark", "volume_share").collect()
+    assert O.ROWS in given[0]
+    levels = spread(df, ["complaint_type", "issue_family", "issue_subtype"]).toPandas()
+    assert len(made) == len(levels.groupby(keys, dropna=False))
+    for row in made:
+        cell = levels[np.logical_and.reduce([levels[k].isna() if row[k] is None else levels[k] == row[k] for k in keys])]
+        whole = levels[np.logical_and.reduce([levels[k].isna() if row[k] is None else levels[k] == row[k] for k in keys if k != "zcta"])]
+        assert (row["complaints"], row["benchmark_complaints"]) == (len(cell), len(whole))
+        for part, name in ((cell, "median_resolution_days"), (whole, "benchmark_median_resolution_days")):
+            days = part.loc[part["resolved_with_valid_date"], "resolution_days"].dropna()
+            assert row[name] == (None if days.empty else pytest.approx(days.median()))

@@ -1,6 +1,6 @@
 """Gradient boosting for several classes at once on categorical features, by histograms.
 
-Spark encodes each feature as one byte and folds equal rows of the fitting sample, whose size ``split_by_year``
+Spark encodes each feature as one byte and folds equal rows of the fitting sample, whose size ``tree_forecast``
 bounds; what is left are a few bytes a row, on which the trees are grown in NumPy. Every round grows one tree per class on
 the gradients of the softmax loss. A tree grows best-first: the leaf whose best split gains most is split
 next. A split sends a set of levels to the left; levels are ordered by gradient over hessian, and the best

@@ -38,13 +38,14 @@ def model_frame(enriched: DataFrame, scope: Scope = DEFAULT_SCOPE) -> DataFrame:
         name: F.coalesce(F.col(name).cast("string"), F.lit("Unknown")) for name in POST_ROUTING_FEATURES})
 
 
-def split_by_year(frame: DataFrame, scope: Scope = DEFAULT_SCOPE, train_size: int = 350_000) -> tuple[DataFrame, DataFrame]:
+def split_by_year(frame: DataFrame, scope: Scope = DEFAULT_SCOPE, train_size: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Out-of-time split: fit on the base year, test on the partial year.
 
-    The fitting rows are a sample of bounded size; every row of the test year is scored. Both are read
+    Both years are whole; only with ``train_size`` the fitting rows are a sample of that size. Both are read
     by every model, so they are written once.
     """
-    train = cut_lineage(stratified_sample(frame.where(F.col("created_year") == scope.base_year), train_size))
+    train = frame.where(F.col("created_year") == scope.base_year)
+    train = cut_lineage(train if train_size is None else stratified_sample(train, train_size))
     test = cut_lineage(frame.where(F.col("created_year") == scope.partial_year))
     if train.limit(1).count() == 0 or test.limit(1).count() == 0:
         raise ValueError("The training or the test year has no rows.")
@@ -217,13 +218,15 @@ TREE_LEVEL_LIMITS = {"descriptor": 250, "incident_zip_clean": 250}
 
 def tree_forecast(train: DataFrame, test: DataFrame, features: Sequence[str], feature_set: str,
                   rounds: int = 200, step: float = 0.08, leaves: int = 63, min_leaf: int = 200,
-                  limits: Mapping[str, int] = TREE_LEVEL_LIMITS) -> DataFrame:
+                  limits: Mapping[str, int] = TREE_LEVEL_LIMITS, train_size: int = 350_000) -> DataFrame:
     """Boosted trees over all classes on capped categorical features, with balanced weights.
 
-    ``train`` is the bounded sample of ``split_by_year``. Every row of ``test`` is scored; levels beyond the
-    limits, unseen ones and nulls share one code.
+    Trees grow on the driver, so they alone are fitted on a sample of ``train_size`` rows. Every row of ``test`` is
+    scored; levels beyond the limits, unseen ones and nulls share one code.
     """
     spark = train.sparkSession
+    sample = stratified_sample(train, train_size)
+    train = sample if sample is train else cut_lineage(sample)  # the whole table is a written one already
     classes = train_classes(train)
     known = boosting.level_codes(train, features, dict(limits))
     codes = boosting.code_bytes(known)

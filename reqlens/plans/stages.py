@@ -168,19 +168,19 @@ def equity_stage(enriched: DataFrame, demographics: DataFrame) -> Tables:
 def forecast_stage(enriched: DataFrame, scope: Scope = DEFAULT_SCOPE, train_size: int = 350_000,
                    tree_rounds: int = 200, min_slice_rows: int = 1000,
                    min_count: int = 100, min_leaf: int = 200) -> Tables:
-    """Baseline, logistic and tree models for both feature sets, with their evaluation."""
-    train, test = forecast.split_by_year(forecast.model_frame(enriched, scope), scope, train_size)
+    """Baseline, logistic and tree models for both feature sets, with their evaluation; ``train_size`` bounds the fit of the trees alone."""
+    train, test = forecast.split_by_year(forecast.model_frame(enriched, scope), scope)
     classes, rows = forecast.train_classes(train), train.count()
     baseline = forecast.majority_predictions(train, test)
     metrics = [forecast.classification_report(baseline, classes, MODEL_ORDER[0], "shared", rows)]
     predictions, importance, confusion = [], [], []
     for name, features in FEATURE_SETS.items():
         logistic, weights = forecast.logistic_forecast(train, test, features, name, min_count=min_count)
-        trees = forecast.tree_forecast(train, test, features, name, rounds=tree_rounds, min_leaf=min_leaf)
+        trees = forecast.tree_forecast(train, test, features, name, rounds=tree_rounds, min_leaf=min_leaf, train_size=train_size)
         predictions.append(logistic)
         importance.append(weights)
-        for model, frame in ((MODEL_ORDER[1], logistic), (MODEL_ORDER[2], trees)):
-            metrics.append(forecast.classification_report(frame, classes, model, name, rows))
+        for model, frame, fitted in ((MODEL_ORDER[1], logistic, rows), (MODEL_ORDER[2], trees, min(rows, train_size))):
+            metrics.append(forecast.classification_report(frame, classes, model, name, fitted))
             confusion.append(forecast.confusion_matrix(frame, classes, model, name))
     scored = forecast.union_all(predictions)
     return {

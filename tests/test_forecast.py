@@ -87,6 +87,20 @@ def test_models_beat_the_baseline(spark):
         P.split_by_year(learnable(spark).where("created_year = 2025"), scope)
 
 
+def test_the_fitting_year_is_whole(spark):
+    frame = learnable(spark, 540_000)
+    train, test = P.split_by_year(frame, Scope("2025-01-01", 2025, 2026))
+    assert (train.count(), test.count()) == (360_000, 180_000)
+    part, _ = P.split_by_year(frame, Scope("2025-01-01", 2025, 2026), train_size=1_000)
+    assert part.count() == 1_000
+    # Ten rows of 360 000 have this level: it is frequent enough only if all of them count.
+    few = train.withColumn("agency", F.when(F.col("unique_key").cast("int") % 36_000 == 0, "few").otherwise(F.col("agency")))
+    _, importance = P.logistic_forecast(few, test.limit(10), ["agency"], "post_routing", min_count=10)
+    assert {r["feature"] for r in importance.collect()} == {"agency_A0", "agency_A1", "agency_A2", "agency_few"}
+    trees = P.tree_forecast(train, test.limit(200), ["agency"], "post_routing", rounds=1, leaves=3, min_leaf=5, train_size=500)
+    assert trees.count() == 200 and trees.where("correct_prediction_flag").count() > 120
+
+
 def plain_boosting(codes, labels, counts, weights, classes, rounds, step, leaves, least_rows):
     """The same model by loops over rows, features and levels; returns the margins of the rows."""
     n, total = len(codes), sum(c * w for c, w in zip(counts, weights))

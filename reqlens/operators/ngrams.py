@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain, pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -127,14 +126,100 @@ PROFILE_SCHEMA = T.StructType([
 ])
 
 
+COUNTED = "complaint_type string, ngram string, count bigint, documents bigint"
+SLICE = 1 << 20  # words looked at together
+TIED = 4  # so many times ``max_terms`` words per family may share the last rank before all terms are counted
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray, pa.Array]]:
+    """Texts of one family with the row of each word, and the words: at most ``SLICE`` of them, or one text."""
+    for batch in batches:
+        families = batch.column("family").dictionary_encode()
+        codes = families.indices.to_numpy(zero_copy_only=False)
+        for code, family in enumerate(families.dictionary.to_pylist()):
+            part = batch.take(pa.array(np.flatnonzero(codes == code)))
+            sizes = pc.list_value_length(part.column("words")).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, start = np.cumsum(sizes), 0
+            while start < len(part):
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + SLICE, "right")))
+                piece = part.slice(start, stop - start)
+                yield family, piece, np.repeat(np.arange(stop - start), sizes[start:stop]), piece.column("words").flatten().cast(pa.string())
+                start = stop
+
+
+def _tallied(family: str, part: pa.RecordBatch, row: np.ndarray, code: np.ndarray, size: int, name: Callable) -> pa.RecordBatch:
+    """Occurrences and document frequency of the codes below ``size`` that stand in the given rows; ``name`` makes terms of codes."""
+    weight = part.column("rows").to_numpy()
+    places, times = np.unique(row * size + code, return_counts=True)
+    of = weight[places // size]
+    found, at = np.unique(places % size, return_inverse=True)
+    sums = [np.bincount(at, weights=w, minlength=len(found)).astype(np.int64) for w in (times * of, of)]
+    return pa.RecordBatch.from_arrays([pa.array([family] * len(found), pa.string()), name(found), *map(pa.array, sums)],
+                                      names=["complaint_type", "ngram", "count", "documents"])
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for family, part, row, words in _slices(batches):
+        coded = words.dictionary_encode()
+        yield _tallied(family, part, row, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(coded.dictionary)),
+                       lambda found: coded.dictionary.take(pa.array(found)))
+
+
+def _codes(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """The place of each word among the known ones, or -1."""
+    return pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _pairs(row: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and codes of the bigrams of two known words."""
+    left, right = code[:-1], code[1:]
+    kept = (row[:-1] == row[1:]) & (left >= 0) & (right >= 0)
+    return row[:-1][kept], left[kept] * size + right[kept]
+
+
+def _leading_terms(texts: DataFrame, stop_words: Sequence[str], pattern: str, min_documents: int, max_terms: int) -> DataFrame:
+    """``_vocabulary`` of each family, with bigrams counted only where both words may belong to one.
+
+    A bigram occurs no more often, and in no more texts, than either of its words. So it can be among the most
+    frequent terms only if both words are among the most frequent words, those that share the last rank included.
+    All terms are counted where very many words do, and where words hold spaces, as a word then may equal a bigram.
+    """
+    spark, keys = texts.sparkSession, ["complaint_type"]
+    tokens = texts.select(F.col("complaint_type").alias("family"), "rows", terms_of(F.col("text_clean"), stop_words, pattern).alias("words"))
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys, "ngram").agg(F.sum("count").alias("count"), F.sum("documents").alias("documents"))
+
+    words = cut_lineage(summed(tokens.mapInArrow(_count_words, COUNTED)))
+    families, spaced = words.agg(F.count_distinct(*keys), F.bool_or(F.contains("ngram", F.lit(" ")))).first()
+    most = TIED * max_terms * families
+    leading = _vocabulary(words, keys, min_documents, max_terms, ties=True).select(*keys, "ngram").limit(most + 1).collect()
+    if spaced or len(leading) > most:
+        return _vocabulary(term_counts(texts, "text_clean", stop_words, F.col("rows"), keys, pattern), keys, min_documents, max_terms)
+    known: dict[str, list[str]] = {}
+    for row in leading:
+        known.setdefault(row["complaint_type"], []).append(row["ngram"])
+    sent = spark.sparkContext.broadcast(known)
+
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = {family: pa.array(own, pa.string()) for family, own in sent.value.items()}
+        for family, part, row, words in _slices(batches):
+            if family in sets:
+                own, size = sets[family], len(sets[family])
+                yield _tallied(family, part, *_pairs(row, _codes(words, own), size), size * size, lambda found: pc.binary_join_element_wise(
+                    own.take(pa.array(found // size)), own.take(pa.array(found % size)), " "))
+
+    return _vocabulary(words.unionByName(summed(tokens.mapInArrow(count_pairs, COUNTED))), keys, min_documents, max_terms)
+
+
 def _vocabulary(counts: DataFrame, keys: Sequence[str], min_documents: int, max_terms: int,
-                salts: int = 256) -> DataFrame:
-    """Most frequent terms per key, in two steps: a hot key's terms are first cut per salt."""
-    order = [F.desc("count"), F.asc("ngram")]
+                salts: int = 256, ties: bool = False) -> DataFrame:
+    """Most frequent terms per key, in two steps: a hot key's terms are first cut per salt. ``ties``: and those that occur as often as the last."""
+    order, place = ([F.desc("count")], F.rank()) if ties else ([F.desc("count"), F.asc("ngram")], F.row_number())
     salted = counts.where(F.col("documents") >= min_documents).withColumn(
         "_salt", F.pmod(F.xxhash64("ngram"), F.lit(salts)))
-    partial = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
-    final = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    partial = place.over(Window.partitionBy(*keys, "_salt").orderBy(*order))
+    final = place.over(Window.partitionBy(*keys).orderBy(*order))
     kept = salted.withColumn("_rank", partial).where(F.col("_rank") <= max_terms)
     return kept.withColumn("_rank", final).where(F.col("_rank") <= max_terms)
 
@@ -175,32 +260,66 @@ def family_vectors(df: DataFrame, min_rows: int = 150, max_terms: int = 1500, mi
         F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("distinct")).where(
         (F.col("rows") >= min_rows) & (F.col("distinct") >= 2))
     rows = {row["complaint_type"]: (row["rows"], row["distinct"]) for row in sizes.collect()}
-    counts = term_counts(texts, "text_clean", stop_words, F.col("rows"), ["complaint_type"], pattern)
+    texts = texts.where(F.col("complaint_type").isin(list(rows)))
     chosen: dict[str, dict[str, int]] = {}
-    for row in _vocabulary(counts, ["complaint_type"], min_documents, max_terms).collect():
+    for row in _leading_terms(texts, stop_words, pattern, min_documents, max_terms).collect():
         chosen.setdefault(row["complaint_type"], {})[row["ngram"]] = row["documents"]
     vocabulary = {name: sorted(chosen[name]) for name in rows if len(chosen.get(name, ())) >= 2}
-    weights = {name: {term: (i, _smooth_idf(rows[name][0], chosen[name][term])) for i, term in enumerate(terms)}
-               for name, terms in vocabulary.items()}
-    sent = spark.sparkContext.broadcast(weights)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keys, numbers = [], []
-            for name, words in zip(frame["family"], frame["words"]):
-                known, words = sent.value[name], words.tolist()
-                counted = Counter(term for term in chain(words, map(" ".join, pairwise(words))) if term in known)
-                places = np.array([known[word][0] for word in counted], dtype="<i4")
-                values = np.array([n * known[word][1] for word, n in counted.items()], dtype="<f8")
-                length = np.sqrt((values ** 2).sum())
-                keys.append(places.tobytes())
-                numbers.append((values / length if length else values).tobytes())
-            yield frame[["family", "point", "weight"]].assign(keys=keys, numbers=numbers)
-
+    weights = {name: (terms, np.array([_smooth_idf(rows[name][0], chosen[name][term]) for term in terms])) for name, terms in vocabulary.items()}
     known = texts.where(F.col("complaint_type").isin(list(vocabulary))).select(
         F.col("complaint_type").alias("family"), F.col("text_clean").alias("point"), F.col("rows").cast("double").alias("weight"),
         terms_of(F.col("text_clean"), stop_words, pattern).alias("words"))
-    return FamilyVectors(cut_lineage(known.mapInPandas(run, clustering.POINTS)), vocabulary, rows)
+    return FamilyVectors(cut_lineage(known.mapInArrow(_vectors(spark.sparkContext.broadcast(weights)), clustering.POINTS)), vocabulary, rows)
+
+
+def _vectors(sent) -> Callable:
+    """Points of texts; ``sent`` holds the terms of each family and their weights."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[str, _Places] = {}
+        for family, part, row, words in _slices(batches):
+            terms, idf = sent.value[family]
+            if family not in tables:
+                tables[family] = _places(terms)
+            (row, place), width = tables[family].found(row, words), len(terms)
+            cells, times = np.unique(row * width + place, return_counts=True)
+            row, place = cells // width, cells % width
+            values = times * idf[place]
+            values /= np.sqrt(np.bincount(row, weights=values ** 2, minlength=len(part)))[row]
+            ends = np.concatenate([[0], np.bincount(row, minlength=len(part)).cumsum()])
+            cells = [pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((ends * of.itemsize).astype("<i4")), pa.py_buffer(of)])
+                     for of in (place.astype("<i4"), values.astype("<f8"))]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("family", "point", "weight")], *cells],
+                                             names=["family", "point", "weight", "keys", "numbers"])
+    return run
+
+
+@dataclass
+class _Places:
+    """Where the terms of a family stand: by word, and by the codes of two words for bigrams."""
+
+    words: pa.Array
+    of_word: np.ndarray
+    pairs: np.ndarray
+    of_pair: np.ndarray
+
+    def found(self, row: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and places of all terms in the words of the given rows."""
+        code = _codes(words, self.words)
+        single = np.where(code >= 0, self.of_word[code], -1)
+        of, pair = _pairs(row, code, len(self.words))
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        double = np.where(self.pairs[at] == pair, self.of_pair[at], -1)
+        return np.concatenate([row[single >= 0], of[double >= 0]]), np.concatenate([single[single >= 0], double[double >= 0]])
+
+
+def _places(terms: Sequence[str]) -> _Places:
+    """A term with a space is a bigram of the words on both sides of any of its spaces."""
+    splits = [(term[:i], term[i + 1:], place) for place, term in enumerate(terms) for i, sign in enumerate(term) if sign == " "]
+    code = {word: i for i, word in enumerate(dict.fromkeys([*terms, *(word for left, right, _ in splits for word in (left, right))]))}
+    of_word = np.full(len(code), -1)
+    of_word[[code[term] for term in terms]] = np.arange(len(terms))
+    pairs = sorted((code[left] * len(code) + code[right], place) for left, right, place in splits) or [(-1, -1)]
+    return _Places(pa.array(list(code), pa.string()), of_word, *(np.array(side, dtype=np.int64) for side in zip(*pairs)))
 
 
 def residual_clusters(df: DataFrame, min_rows: int = 150, max_clusters: int = 6, max_terms: int = 1500,
@@ -238,9 +357,11 @@ def _smooth_idf(rows: int, documents: int) -> float:
 
 
 def attach_clusters(df: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Cluster of every unmatched request, through its text."""
+    """Cluster of every unmatched request, through the digest of its text: whole texts need not be shuffled and sorted."""
     unmatched = F.col("issue_subtype") == UNMATCHED
-    other = assignments.withColumnsRenamed({"complaint_type": "_family", "text_clean": "_text"})
-    return df.join(
-        other, unmatched & (F.col("complaint_type") == F.col("_family")) & (F.col("text_clean") == F.col("_text")),
-        "left").drop("_family", "_text")
+    other = assignments.select(F.col("complaint_type").alias("_family"), F.sha2("text_clean", 256).alias("_digest"),
+                               *[c for c in assignments.columns if c not in ("complaint_type", "text_clean")])
+    keyed = df.withColumn("_text_digest", F.sha2("text_clean", 256))
+    return keyed.join(
+        other, unmatched & (F.col("complaint_type") == F.col("_family")) & (F.col("_text_digest") == F.col("_digest")),
+        "left").drop("_family", "_digest", "_text_digest")

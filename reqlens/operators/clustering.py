@@ -36,7 +36,8 @@ def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dense_blocks(batches: Iterator[pa.RecordBatch], widths: Mapping[str, int]) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Points of one family with their dense vectors and squared lengths, in blocks."""
+    """Points of one family with their dense vectors and squared lengths, in blocks; the vectors are good until the next block."""
+    room = np.zeros(BLOCK * max(widths.values(), default=0))
     for batch in batches:
         families = batch.column("family").dictionary_encode()
         codes = families.indices.to_numpy(zero_copy_only=False)
@@ -49,9 +50,10 @@ def dense_blocks(batches: Iterator[pa.RecordBatch], widths: Mapping[str, int]) -
             for start in range(0, len(own), BLOCK):
                 part = own.slice(start, BLOCK)
                 rows, cells = np.repeat(np.arange(len(part)), sizes[start:start + BLOCK]), slice(ends[start], ends[start + len(part)])
-                made = np.zeros((len(part), width))
-                made.ravel()[rows * width + keys[cells]] = numbers[cells]
-                yield family, part, made, np.bincount(rows, weights=numbers[cells] ** 2, minlength=len(part))
+                at = rows * width + keys[cells]
+                room[at] = numbers[cells]
+                yield family, part, room[:len(part) * width].reshape(len(part), width), np.bincount(rows, weights=numbers[cells] ** 2, minlength=len(part))
+                room[at] = 0
 
 
 def squared_distances(points: np.ndarray, lengths: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -143,6 +145,7 @@ def one_round(points: DataFrame, centres: Centres) -> tuple[dict[str, np.ndarray
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+        room: dict[str, np.ndarray] = {}
         for family, part, dense, lengths in dense_blocks(batches, widths):
             own = sent.value[family]
             starts, clusters, width = own.shape
@@ -155,8 +158,8 @@ def one_round(points: DataFrame, centres: Centres) -> tuple[dict[str, np.ndarray
                 member[np.arange(len(part)), start * clusters + nearest[:, start]] = weight
                 inertia[start * clusters] = weight @ distance[np.arange(len(part)), start, nearest[:, start]]
             if family not in sums:
-                sums[family] = np.zeros((starts * clusters, width + 2))
-            sums[family][:, :width] += member.T @ dense
+                sums[family], room[family] = np.zeros((starts * clusters, width + 2)), np.empty((starts * clusters, width))
+            sums[family][:, :width] += np.matmul(member.T, dense, out=room[family])
             sums[family][:, width] += member.sum(axis=0)
             sums[family][:, width + 1] += inertia
         yield _rows((family, slot, row) for family, made in sums.items() for slot, row in enumerate(made))

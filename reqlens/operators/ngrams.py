@@ -339,17 +339,25 @@ def residual_clusters(df: DataFrame, min_rows: int = 150, max_clusters: int = 6,
         return spark.createDataFrame([], ASSIGNMENT_SCHEMA), spark.createDataFrame([], PROFILE_SCHEMA)
     centres = clustering.best_centres(made.points, sizes, starts, seed, iterations)
     placed = cut_lineage(clustering.assign(made.points, centres))
-    labels = [(name, k, _top_terms(centre, made.vocabulary[name], label_terms), made.rows[name][0])
-              for name, own in centres.items() for k, centre in enumerate(own)]
-    named = placed.join(spark.createDataFrame(labels, "family string, cluster bigint, label string, family_rows bigint"), ["family", "cluster"])
-    assignments = named.select(F.col("family").alias("complaint_type"), F.col("point").alias("text_clean"),
-                               F.col("cluster").alias("residual_cluster"), F.col("label").alias("residual_cluster_label"))
-    profiles = named.groupBy(F.col("family").alias("complaint_type"), F.col("cluster").alias("residual_cluster")).agg(
-        F.sum("weight").cast("bigint").alias("cluster_rows"), (F.sum("weight") / F.first("family_rows")).alias("cluster_share"),
-        F.first("label").alias("cluster_terms"), F.min("point").alias("example_text"))
+    labels = spark.createDataFrame([(name, k, _top_terms(centre, made.vocabulary[name], label_terms), made.rows[name][0])
+                                    for name, own in centres.items() for k, centre in enumerate(own)], "family string, cluster bigint, label string, family_rows bigint")
+    assignments = placed.join(labels, ["family", "cluster"]).select(
+        F.col("family").alias("complaint_type"), F.col("point").alias("text_clean"),
+        F.col("cluster").alias("residual_cluster"), F.col("label").alias("residual_cluster_label"))
+    totals = placed.mapInArrow(_cluster_totals, placed.schema).groupBy("family", "cluster").agg(F.sum("weight").alias("weight"), F.min("point").alias("point"))
+    profiles = totals.join(labels, ["family", "cluster"]).select(
+        F.col("family").alias("complaint_type"), F.col("cluster").alias("residual_cluster"), F.col("weight").cast("bigint").alias("cluster_rows"),
+        (F.col("weight") / F.col("family_rows")).alias("cluster_share"), F.col("label").alias("cluster_terms"), F.col("point").alias("example_text"))
     return assignments, profiles
 
 
+def _cluster_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows and first text of each cluster in a batch: one row each, so texts are neither sorted nor shuffled."""
+    for batch in batches:
+        sums = pa.table(batch).group_by(["family", "cluster"]).aggregate([("point", "min"), ("weight", "sum")])
+        yield from sums.select(["family", "point_min", "weight_sum", "cluster"]).rename_columns(["family", "point", "weight", "cluster"]).to_batches()
+
+
 def _smooth_idf(rows: int, documents: int) -> float:
     from math import log
 

@@ -142,6 +142,17 @@ def test_rounds_read_no_texts_and_leave_out_starts_that_stand_still(spark, monke
         assert np.allclose(best[family], centres[family][int(np.argmin(np.round(inertia[family], 6)))], atol=1e-6)
 
 
+def test_profiles_take_the_first_text_of_a_cluster_without_sorting_texts(spark):
+    rows = [("G", text, "other_unclassified") for text in ("red apple", "red apple pie", "green pear", "green pear tart") for _ in range(40)]
+    df = spark.createDataFrame(rows, "complaint_type string, text_clean string, issue_subtype string").repartition(4)
+    _, profiles = ngrams.residual_clusters(df)
+    found = {r["example_text"]: (r["cluster_rows"], r["cluster_share"]) for r in profiles.collect()}
+    assert found == {"red apple": (80, 0.5), "green pear": (80, 0.5)}
+    assert profiles.schema == ngrams.PROFILE_SCHEMA
+    plan = profiles._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
+
+
 def test_clusters_are_attached_by_digests(spark):
     rows = [("G", "red apple", "other_unclassified"), ("G", "red apple", "matched"), ("H", "red apple", "other_unclassified"),
             ("G", None, "other_unclassified"), (None, "red apple", "other_unclassified"), ("G", "", "other_unclassified")]
